@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, personal_data, quality_rules, token_counts, token_files
+from . import decontaminate, html_extract, line_dedup, packing, personal_data, quality_model, quality_rules, token_counts, token_files
 from .common import read, stage_root
 
 VOCABULARY = "word_bpe_49k.json"
@@ -20,6 +20,10 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(read(spark, sf_dir, "documents"), vocabulary())
     return counts.withColumn("over_limit", F.col("n_tokens") > LIMIT)
@@ -70,7 +74,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary(), end_id=1).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality_rules, op4_decontaminate, op5_personal_data, op7_token_files, op8_line_dedup, op9_packing)}
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_token_counts, op3_quality_rules, op4_decontaminate, op5_personal_data, op7_token_files, op8_line_dedup, op9_packing, op10_quality_model)}
 
 #: A-Z lower-cased.
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
