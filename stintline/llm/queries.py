@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, packing, personal_data, quality_model, quality_rules, token_counts, token_files
+from . import decontaminate, html_extract, line_dedup, ngram_join, packing, personal_data, quality_model, quality_rules, token_counts, token_files
 from .common import read, stage_root
 
 VOCABULARY = "word_bpe_49k.json"
@@ -60,6 +60,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(read(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{stage_root(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_tokens(read(spark, sf_dir, "documents"), path, vocabulary())
@@ -78,7 +82,7 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_token_counts, op3_quality_rules, op4_decontaminate, op5_personal_data, op7_token_files, op8_line_dedup, op9_packing, op10_quality_model)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_token_counts, op3_quality_rules, op4_decontaminate, op5_personal_data, op6_ngram_join, op7_token_files, op8_line_dedup, op9_packing, op10_quality_model)}
 
 #: A-Z lower-cased.
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -106,4 +110,13 @@ f AS (SELECT r, l.doc_id, i, line, coalesce(l.doc_id <> keeper, false) AS gone F
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM f GROUP BY r""",
+    "op6_ngram_join": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM s AS a JOIN s AS b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+e AS (SELECT x, y FROM p JOIN n AS a ON a.r = x JOIN n AS b ON b.r = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+c AS (SELECT DISTINCT x, x AS y FROM e UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x),
+m AS (SELECT c.x AS r, min(d.doc_id) AS least FROM c JOIN d ON d.r = c.y GROUP BY c.x)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least, doc_id) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)""",
 }
