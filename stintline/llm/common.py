@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -48,6 +49,35 @@ def drop_stages(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def kept(key: tuple, make: Callable):
+    """What make() returned the first time in this process: for models and caches that the tasks of
+    a Python worker share. Functions travel by value, so a module's own globals would not last."""
+    held = sys.__dict__.setdefault("_stintline_kept", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+class Recent(dict):
+    """A cache of make(key) with at most 2 * CAP entries, from which what is not asked for goes first."""
+
+    CAP = 250_000
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.CAP:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: T.StructType) -> DataFrame:
     """Map the named columns, in slices of SLICE rows, to rows of schema.
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import SLICE
-from .tokens import Ids
+from .tokens import shared_ids
 
 TIERS = (256, 512, 1024, 2048)
 #: Remainders in a bundle: with the longest tier's 2048 ids of 4 bytes each, 17 MB at most.
@@ -132,7 +132,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int | None = 1, tie
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, base = Ids(vocabulary), TaskContext.get().partitionId() << 36
+        encoder, base = shared_ids(vocabulary), TaskContext.get().partitionId() << 36
         sequence = step = 0
         waiting: list = []  # (length, ((id, tokens, data, first), start)): data from the id `first` on
         whole: list = []

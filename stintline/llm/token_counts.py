@@ -14,21 +14,14 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_rows
-from .tokens import CACHE, WORDS, plain
+from .common import Recent, kept, map_rows
+from .tokens import WORDS, byte_letters, plain
 
 OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
 
-def byte_letters() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = iter(range(0x100, 0x200))
-    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
-
-
-class MergeCounts(dict):
-    """Pre-token -> its number of tokens, found by merging; a cache of at most CACHE pre-tokens."""
+class MergeCounts(Recent):
+    """Pre-token -> its number of tokens, found by merging; kept in a cache."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -73,11 +66,8 @@ class MergeCounts(dict):
                 heappush(heap, (r, h))
         return count
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = n = self.merged("".join(map(self.letters.__getitem__, word.encode())))
-        return n
+    def make(self, word: str) -> int:
+        return self.merged("".join(map(self.letters.__getitem__, word.encode())))
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -104,7 +94,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
 
     def make():
-        counts = MergeCounts(path)
+        counts = kept(("merges", path), lambda: MergeCounts(path))
 
         def fn(ids, texts):
             return ids, [len(t.encode()) if t else 0 for t in texts], [counts.count(t) for t in texts]

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import SLICE
-from .tokens import Ids
+from .tokens import shared_ids
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -53,7 +53,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, start, encoder = TaskContext.get().partitionId(), 0, Ids(vocabulary)
+        part, start, encoder = TaskContext.get().partitionId(), 0, shared_ids(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 rows = batch.slice(at, SLICE)
