@@ -107,7 +107,7 @@ def speed_trap_stats(telemetry: DataFrame, laps: DataFrame, sessions: DataFrame)
     tops = telemetry.where(F.col("speed").between(*TRAP_SPEED)).groupBy("lap_id").agg(F.max("speed").alias("top"))
     raced = with_session(laps, sessions).where("session_type = 'Race' AND is_valid = 1")
     means = tops.join(raced.withColumnRenamed("id", "lap_id"), "lap_id").groupBy("driver", "circuit", "season").agg(F.avg("top").alias("avg_top_speed"))
-    place = F.row_number().over(Window.partitionBy("circuit", "season").orderBy(F.col("avg_top_speed").desc(), "driver"))
+    place = F.row_number().over(Window.partitionBy("circuit", "season").orderBy(F.round("avg_top_speed", 9).desc(), "driver"))
     return means.withColumn("rank_in_field", place).where(F.col("avg_top_speed").between(*TOP_SPEED))
 
 

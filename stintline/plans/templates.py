@@ -93,7 +93,7 @@ PIVOT_FACTS = ("circuit", "CAST(n_slow AS BIGINT) AS n_slow", "CAST(n_med AS BIG
 
 
 def _typed_means(kind: str) -> str:
-    return f"(SELECT cs.driver, cs.circuit, avg(cs.avg_min_speed) AS speed, avg(cs.delta_vs_field) AS avg_delta, count(*) AS n_corners FROM {WHERE_TYPED} WHERE c.corner_type = '{kind}' GROUP BY cs.driver, cs.circuit HAVING count(*) >= 2) AS t"
+    return f"(SELECT cs.driver, cs.circuit, round(avg(cs.avg_min_speed), 9) AS speed, round(avg(cs.delta_vs_field), 9) AS avg_delta, count(*) AS n_corners FROM {WHERE_TYPED} WHERE c.corner_type = '{kind}' GROUP BY cs.driver, cs.circuit HAVING count(*) >= 2) AS t"
 
 
 def _pairs(table: str, on: str, columns: str, where: str) -> str:
@@ -124,7 +124,7 @@ TEMPLATES: dict[str, Template] = {
     "t11_high_speed_corners": Template(_typed_means("high"), ("driver", "circuit", "speed", "avg_delta", "n_corners"), "How does {driver} handle high-speed corners at {circuit}?", "Over {n_corners} corners {speed:.1} km/h, {avg_delta:+.1} km/h to the field."),
     "t12_slow_speed_corners": Template(_typed_means("slow"), ("driver", "circuit", "speed", "avg_delta", "n_corners"), "How does {driver} perform in slow-speed corners at {circuit}?", "Over {n_corners} corners {speed:.1} km/h, {avg_delta:+.1} km/h to the field."),
     "t13_circuit_corner_types": Template(PIVOT, PIVOT_FACTS, "What kind of corners make {circuit} challenging?", "{total} corners: {n_slow} slow, {n_med} medium, {n_high} high-speed; mostly {dominant}."),
-    "t14_fuel_effect_circuit": Template(f"(SELECT circuit, season, avg(fuel_effect_per_10kg) AS effect, count(*) AS n_drivers FROM {FUEL} WHERE fuel_effect_per_10kg IS NOT NULL GROUP BY circuit, season HAVING count(*) >= 3) AS t", ("circuit", "season", "effect", "n_drivers"), "How much does fuel load affect lap time at {circuit} in {season}?", "10 kg cost {effect:.3} s per lap, over {n_drivers} drivers."),
+    "t14_fuel_effect_circuit": Template(f"(SELECT circuit, season, round(avg(fuel_effect_per_10kg), 9) AS effect, count(*) AS n_drivers FROM {FUEL} WHERE fuel_effect_per_10kg IS NOT NULL GROUP BY circuit, season HAVING count(*) >= 3) AS t", ("circuit", "season", "effect", "n_drivers"), "How much does fuel load affect lap time at {circuit} in {season}?", "10 kg cost {effect:.3} s per lap, over {n_drivers} drivers."),
     "t15_driver_fuel_sensitivity": Template(f"{FUEL} WHERE fuel_effect_per_10kg IS NOT NULL", ("driver", "circuit", "season", "fuel_effect_per_10kg", "CASE WHEN fuel_effect_per_10kg > 0.25 THEN 'large' ELSE 'modest' END AS size"), "How fuel-sensitive is {driver}'s car at {circuit} in {season}?", "{fuel_effect_per_10kg:.3} s per lap for 10 kg, a {size} penalty."),
     "t16_quali_race_converts": Template(f"{RACE} WHERE delta IS NOT NULL AND quali_lap IS NOT NULL AND avg_race_pace IS NOT NULL", ("driver", "circuit", "season", "quali_lap", "avg_race_pace", "delta"), "Does {driver} convert qualifying pace to race pace at {circuit} in {season}?", "Qualifying {quali_lap:lap}, race {avg_race_pace:lap}: {delta:+.3}s."),
     "t17_best_quali_at_circuit": Template(first(RACE, "circuit, season", "quali_lap, driver", "quali_lap IS NOT NULL"), ("circuit", "season", "driver", "quali_lap"), "Who set the best qualifying lap at {circuit} in {season}?", "{driver}, with {quali_lap:lap}."),
@@ -137,7 +137,7 @@ TEMPLATES: dict[str, Template] = {
     "t24_driver_corner_profile": Template(f"(SELECT driver, circuit, min(delta_vs_field) AS min_delta, max(delta_vs_field) AS max_delta, count(DISTINCT corner_number) AS n_corners, max(CASE WHEN lo = 1 THEN corner_number END) AS min_corner, max(CASE WHEN hi = 1 THEN corner_number END) AS max_corner FROM (SELECT *, row_number() OVER (PARTITION BY driver, circuit ORDER BY round(delta_vs_field, 6), corner_number) AS lo, row_number() OVER (PARTITION BY driver, circuit ORDER BY round(delta_vs_field, 6) DESC, corner_number) AS hi FROM {CORNER}) AS r GROUP BY driver, circuit HAVING count(DISTINCT corner_number) >= 4) AS t", ("driver", "circuit", "min_delta", "max_delta", "n_corners", "min_corner", "max_corner"), "Which corners are {driver}'s strongest and weakest at {circuit}?", "Over {n_corners} corners from {min_delta:+.1} km/h at Turn {min_corner} to {max_delta:+.1} km/h at Turn {max_corner}; positive is faster."),
     "t25_best_race_converters": Template(first(RACE, "circuit, season", "delta, driver", "delta > 0"), ("circuit", "season", "driver", "delta", "quali_lap", "avg_race_pace"), "Which driver best converts qualifying pace to race pace at {circuit} in {season}?", "{driver}: {delta:.3} s between {quali_lap:lap} and {avg_race_pace:lap}."),
     "t26_compound_viability": Template(first(TYRE, "circuit, season", "max_viable_laps DESC, compound", "max_viable_laps IS NOT NULL AND avg_deg_per_lap IS NOT NULL"), TYRE_FACTS, "What is the maximum viable stint length at {circuit} in {season}?", "{max_viable_laps} laps on {compound:cap}, at {avg_deg_per_lap:.3} s/lap."),
-    "t27_field_corner_speed_by_type": Template(f"(SELECT cs.circuit, c.corner_type, avg(cs.avg_min_speed) AS field_avg, count(DISTINCT cs.corner_number) AS n_corners FROM {WHERE_TYPED} WHERE c.corner_type IS NOT NULL GROUP BY cs.circuit, c.corner_type HAVING count(DISTINCT cs.corner_number) >= 2) AS t", ("circuit", "corner_type", "field_avg", "n_corners"), "What is the typical minimum speed through {corner_type}-speed corners at {circuit}?", "{field_avg:.1} km/h over {n_corners} corners."),
+    "t27_field_corner_speed_by_type": Template(f"(SELECT cs.circuit, c.corner_type, round(avg(cs.avg_min_speed), 9) AS field_avg, count(DISTINCT cs.corner_number) AS n_corners FROM {WHERE_TYPED} WHERE c.corner_type IS NOT NULL GROUP BY cs.circuit, c.corner_type HAVING count(DISTINCT cs.corner_number) >= 2) AS t", ("circuit", "corner_type", "field_avg", "n_corners"), "What is the typical minimum speed through {corner_type}-speed corners at {circuit}?", "{field_avg:.1} km/h over {n_corners} corners."),
     "t28_speed_trap_top5": Template(f"(SELECT circuit, season, count(*) AS n, {', '.join(f'max(CASE WHEN rank_in_field = {i} THEN driver END) AS d{i}, max(CASE WHEN rank_in_field = {i} THEN avg_top_speed END) AS v{i}' for i in range(1, 6))} FROM {TRAP} WHERE rank_in_field <= 5 GROUP BY circuit, season HAVING count(*) >= 3) AS t", ("circuit", "season", "n", *(f"{x}{i}" for i in range(1, 6) for x in "dv")), "Who are the top straight-line speed performers at {circuit} in {season}?", "{n} drivers, led by {d1} ({v1:.1} km/h), {d2} ({v2:.1}) and {d3} ({v3:.1})."),
     "t29_quali_summary": Template(first(SECTOR, "circuit, season", f"round({D1} + {D2} + {D3}, 9), driver", SECTORS_KNOWN), ("circuit", "season", "driver", D1, D2, D3, f"{D1} + {D2} + {D3} AS total"), "Who had the most complete qualifying performance at {circuit} in {season}?", "{driver}: " + DELTAS + ", together {total:+.3}s."),
     "t30_tyre_deg_vs_speed": Template(f"(SELECT ts.circuit, ts.season, ts.compound, ts.avg_deg_per_lap, ts.max_viable_laps, sts.avg_top_speed FROM {TYRE} AS ts JOIN (SELECT * FROM {TRAP} WHERE rank_in_field = 1) AS sts ON sts.circuit = ts.circuit AND sts.season = ts.season WHERE ts.avg_deg_per_lap IS NOT NULL AND sts.avg_top_speed IS NOT NULL) AS t", ("circuit", "season", "compound", "avg_deg_per_lap", "max_viable_laps", "avg_top_speed"), "What is the strategic picture for {compound:cap} tyres at {circuit} in {season}?", "{avg_deg_per_lap:.3} s/lap for {max_viable_laps} laps, with {avg_top_speed:.1} km/h on the straight."),
@@ -150,9 +150,9 @@ TEMPLATES: dict[str, Template] = {
     "e08_sector_strength_defend": Template(f"{SECTOR} WHERE {SECTORS_KNOWN}", ("driver", "circuit", "season", D1, D2, D3, f"{BEST} AS best"), "Where can {driver} defend lap time at {circuit} in {season}?", "In sector {best}: " + DELTAS + "."),
     "e09_head_to_head_sector_edge": Template(SECTOR_PAIR, (*PAIR_FACTS, *(f"CASE WHEN a{i} <= b{i} THEN d1 ELSE d2 END AS w{i}" for i in (1, 2, 3)), *(f"abs(b{i} - a{i}) AS m{i}" for i in (1, 2, 3))), "Compare {d1} and {d2} by sector at {circuit} in {season}.", "Sector 1: {w1} by {m1:.3} s; sector 2: {w2} by {m2:.3} s; sector 3: {w3} by {m3:.3} s."),
     "e10_top_speed_vs_sector_loss": Template(f"(SELECT d.driver, d.circuit, d.season, {D1}, {D2}, {D3}, s.avg_top_speed, s.rank_in_field FROM {SECTOR} AS d JOIN {TRAP} AS s ON s.driver = d.driver AND s.circuit = d.circuit AND s.season = d.season WHERE s.avg_top_speed BETWEEN 280 AND 370 AND s.rank_in_field <= 5 AND {SECTORS_KNOWN}) AS t", ("driver", "circuit", "season", D1, D2, D3, "avg_top_speed", "rank_in_field", f"{D1} + {D2} + {D3} AS total"), "Is {driver}'s top speed translating into lap time at {circuit} in {season}?", "P{rank_in_field} at {avg_top_speed:.1} km/h, but " + DELTAS + ", together {total:+.3}s."),
-    "e11_speed_setup_signal": Template(f"(SELECT circuit, season, max(avg_top_speed) AS fastest, min(avg_top_speed) AS slowest, avg(avg_top_speed) AS avg_speed, count(*) AS n FROM {TRAP} WHERE avg_top_speed BETWEEN 280 AND 370 GROUP BY circuit, season HAVING count(*) >= 8) AS t", ("circuit", "season", "fastest", "slowest", "avg_speed", "n", "fastest - slowest AS spread"), "What does the speed trap spread say about setup at {circuit} in {season}?", "{slowest:.1} to {fastest:.1} km/h, mean {avg_speed:.1}, over {n} drivers: a spread of {spread:.1}."),
+    "e11_speed_setup_signal": Template(f"(SELECT circuit, season, max(avg_top_speed) AS fastest, min(avg_top_speed) AS slowest, round(avg(avg_top_speed), 9) AS avg_speed, count(*) AS n FROM {TRAP} WHERE avg_top_speed BETWEEN 280 AND 370 GROUP BY circuit, season HAVING count(*) >= 8) AS t", ("circuit", "season", "fastest", "slowest", "avg_speed", "n", "fastest - slowest AS spread"), "What does the speed trap spread say about setup at {circuit} in {season}?", "{slowest:.1} to {fastest:.1} km/h, mean {avg_speed:.1}, over {n} drivers: a spread of {spread:.1}."),
     "e12_corner_attack": Template(f"{CORNER} WHERE avg_min_speed BETWEEN 60 AND 320 AND abs(delta_vs_field) >= 3.0", ("driver", "circuit", "corner_number", "avg_min_speed", "delta_vs_field"), "What should {driver} change through Turn {corner_number} at {circuit}?", "{avg_min_speed:.1} km/h is {delta_vs_field:+.1} km/h to the field."),
-    "e13_corner_type_setup": Template(f"(SELECT cs.driver, cs.circuit, c.corner_type, avg(cs.avg_min_speed) AS avg_speed, avg(cs.delta_vs_field) AS avg_delta, count(*) AS n FROM {WHERE_TYPED} WHERE c.corner_type IS NOT NULL AND cs.avg_min_speed BETWEEN 60 AND 320 GROUP BY cs.driver, cs.circuit, c.corner_type HAVING count(*) >= 2) AS t", ("driver", "circuit", "corner_type", "avg_speed", "avg_delta", "n"), "What does {driver}'s {corner_type}-corner profile look like at {circuit}?", "{avg_speed:.1} km/h over {n} corners, {avg_delta:+.1} km/h to the field."),
+    "e13_corner_type_setup": Template(f"(SELECT cs.driver, cs.circuit, c.corner_type, round(avg(cs.avg_min_speed), 9) AS avg_speed, round(avg(cs.delta_vs_field), 9) AS avg_delta, count(*) AS n FROM {WHERE_TYPED} WHERE c.corner_type IS NOT NULL AND cs.avg_min_speed BETWEEN 60 AND 320 GROUP BY cs.driver, cs.circuit, c.corner_type HAVING count(*) >= 2) AS t", ("driver", "circuit", "corner_type", "avg_speed", "avg_delta", "n"), "What does {driver}'s {corner_type}-corner profile look like at {circuit}?", "{avg_speed:.1} km/h over {n} corners, {avg_delta:+.1} km/h to the field."),
     "e14_corner_consistency": Template(f"(SELECT driver, circuit, min(delta_vs_field) AS min_delta, max(delta_vs_field) AS max_delta, count(*) AS n FROM {CORNER} WHERE avg_min_speed BETWEEN 60 AND 320 GROUP BY driver, circuit HAVING count(*) >= 6) AS t", ("driver", "circuit", "min_delta", "max_delta", "n", "max_delta - min_delta AS spread"), "How consistent is {driver} across corners at {circuit}?", "From {min_delta:+.1} to {max_delta:+.1} km/h over {n} corners, a spread of {spread:.1}."),
     "e15_fuel_phase_strategy": Template(f"{FUEL} WHERE fuel_effect_per_10kg IS NOT NULL", ("driver", "circuit", "season", "fuel_effect_per_10kg"), "How should {driver} adjust driving as fuel burns off at {circuit} in {season}?", "Each 10 kg burned gives {fuel_effect_per_10kg:.3} s per lap; attack later."),
     "e16_quali_to_race_setup": Template(f"{RACE} WHERE delta BETWEEN 2.0 AND 15.0 AND quali_lap IS NOT NULL AND avg_race_pace IS NOT NULL", ("driver", "circuit", "season", "quali_lap", "avg_race_pace", "delta"), "What does {driver}'s quali-to-race delta say at {circuit} in {season}?", "{quali_lap:lap} against {avg_race_pace:lap}: {delta:+.3}s."),
@@ -171,7 +171,7 @@ TEMPLATES: dict[str, Template] = {
     "b2_corner_type_examples": Template(PIVOT, PIVOT_FACTS, "How many slow, medium and high-speed corners does {circuit} have?", "{n_slow}, {n_med} and {n_high} of {total}."),
     "b3_sparse_comparison_examples": Template(f"(SELECT a.circuit, a.season, a.driver AS d1, b.driver AS d2, a.{D1} + a.{D2} + a.{D3} AS s1, b.{D1} + b.{D2} + b.{D3} AS s2, x.avg_top_speed AS v1, y.avg_top_speed AS v2, p.delta AS q1, r.delta AS q2 FROM {SECTOR} AS a JOIN {SECTOR} AS b ON a.circuit = b.circuit AND a.season = b.season AND a.driver < b.driver LEFT JOIN {TRAP} AS x ON x.driver = a.driver AND x.circuit = a.circuit AND x.season = a.season LEFT JOIN {TRAP} AS y ON y.driver = b.driver AND y.circuit = b.circuit AND y.season = b.season LEFT JOIN {RACE} AS p ON p.driver = a.driver AND p.circuit = a.circuit AND p.season = a.season LEFT JOIN {RACE} AS r ON r.driver = b.driver AND r.circuit = b.circuit AND r.season = b.season WHERE a.{D1} IS NOT NULL AND a.{D2} IS NOT NULL AND a.{D3} IS NOT NULL AND b.{D1} IS NOT NULL AND b.{D2} IS NOT NULL AND b.{D3} IS NOT NULL AND x.avg_top_speed IS NOT NULL AND y.avg_top_speed IS NOT NULL AND p.delta IS NOT NULL AND r.delta IS NOT NULL) AS t", ("circuit", "season", "d1", "d2", "s1", "s2", "v1", "v2", "q1", "q2"), "Compare {d1} and {d2} at {circuit} in {season}.", "Sectors {s1:+.3}s and {s2:+.3}s, top speed {v1:.1} and {v2:.1} km/h, race delta {q1:+.3}s and {q2:+.3}s.", "season, circuit, d1, d2", 400),
     "m2a_tyre_behaviour": Template(f"{TYRE} WHERE avg_deg_per_lap IS NOT NULL AND max_viable_laps IS NOT NULL", (*TYRE_FACTS, "track_temp_sensitivity"), "What do we know of {compound:cap} tyres at {circuit} in {season}?", TYRE_TAIL, DRAW.format(keys="CAST(season AS STRING), circuit, compound"), 200),
-    "m2b_undercut_strategy": Template(f"(SELECT t.circuit, t.season, t.compound, min(t.avg_deg_per_lap) AS deg, min(t.cliff_lap) AS cliff, min(t.max_viable_laps) AS viable, avg(f.fuel_effect_per_10kg) AS fuel, min(q.avg_race_pace) AS pace FROM {TYRE} AS t LEFT JOIN {FUEL} AS f ON f.circuit = t.circuit AND f.season = t.season LEFT JOIN {RACE} AS q ON q.circuit = t.circuit AND q.season = t.season GROUP BY t.circuit, t.season, t.compound) AS m", ("circuit", "season", "compound", "deg", "cliff", "viable", "fuel", "pace"), "Is an undercut on {compound:cap} worth it at {circuit} in {season}?", "Degradation {deg:.3} s/lap, cliff at lap {cliff}, viable for {viable} laps.", DRAW.format(keys="CAST(season AS STRING), circuit, compound"), 200),
+    "m2b_undercut_strategy": Template(f"(SELECT t.circuit, t.season, t.compound, min(t.avg_deg_per_lap) AS deg, min(t.cliff_lap) AS cliff, min(t.max_viable_laps) AS viable, round(avg(f.fuel_effect_per_10kg), 9) AS fuel, min(q.avg_race_pace) AS pace FROM {TYRE} AS t LEFT JOIN {FUEL} AS f ON f.circuit = t.circuit AND f.season = t.season LEFT JOIN {RACE} AS q ON q.circuit = t.circuit AND q.season = t.season GROUP BY t.circuit, t.season, t.compound) AS m", ("circuit", "season", "compound", "deg", "cliff", "viable", "fuel", "pace"), "Is an undercut on {compound:cap} worth it at {circuit} in {season}?", "Degradation {deg:.3} s/lap, cliff at lap {cliff}, viable for {viable} laps.", DRAW.format(keys="CAST(season AS STRING), circuit, compound"), 200),
     "m2c_driver_characteristics": Template(f"(SELECT d.driver, d.circuit, d.season, {D1}, {D2}, {D3}, s.avg_top_speed, s.rank_in_field, q.delta FROM {SECTOR} AS d LEFT JOIN {TRAP} AS s ON s.driver = d.driver AND s.circuit = d.circuit AND s.season = d.season LEFT JOIN {RACE} AS q ON q.driver = d.driver AND q.circuit = d.circuit AND q.season = d.season WHERE {SECTORS_KNOWN}) AS t", ("driver", "circuit", "season", D1, D2, D3, "avg_top_speed", "rank_in_field", "delta"), "What characterises {driver} at {circuit} in {season}?", DELTAS + ".", DRAW.format(keys="CAST(season AS STRING), circuit, driver"), 1000),
     "m2e_driver_comparison": Template(f"(SELECT a.circuit, a.season, a.driver AS d1, b.driver AS d2, a.{D1} AS a1, b.{D1} AS b1, x.avg_top_speed AS v1, y.avg_top_speed AS v2 FROM {SECTOR} AS a JOIN {SECTOR} AS b ON a.circuit = b.circuit AND a.season = b.season AND a.driver < b.driver LEFT JOIN {TRAP} AS x ON x.driver = a.driver AND x.circuit = a.circuit AND x.season = a.season LEFT JOIN {TRAP} AS y ON y.driver = b.driver AND y.circuit = b.circuit AND y.season = b.season WHERE a.{D1} IS NOT NULL AND b.{D1} IS NOT NULL) AS t", ("circuit", "season", "d1", "d2", "a1", "b1", "v1", "v2"), "How do {d1} and {d2} differ at {circuit} in {season}?", "Sector 1 {a1:+.3}s and {b1:+.3}s.", DRAW.format(keys="CAST(season AS STRING), circuit, d1, d2"), 500),
     "m3_race_moments": Template(f"(SELECT l.driver, l.lap_number, l.tyre_age, l.compound, l.lap_time, s.circuit, s.season, t.avg_deg_per_lap, t.cliff_lap, t.max_viable_laps, f.fuel_effect_per_10kg, d.{D1} FROM laps AS l JOIN sessions AS s ON s.id = l.session_id LEFT JOIN {TYRE} AS t ON t.circuit = s.circuit AND t.season = s.season AND t.compound = l.compound LEFT JOIN {FUEL} AS f ON f.driver = l.driver AND f.circuit = s.circuit AND f.season = s.season LEFT JOIN {SECTOR} AS d ON d.driver = l.driver AND d.circuit = s.circuit AND d.season = s.season WHERE s.session_type = 'Race' AND l.is_valid = 1 AND l.tyre_age BETWEEN 8 AND 25 AND l.lap_number BETWEEN 20 AND 50 AND t.avg_deg_per_lap IS NOT NULL) AS m", (*LAP_FACTS[:-1], "fuel_effect_per_10kg", D1), "{driver} on lap {lap_number} at {circuit} in {season}: what now?", "{compound:cap} of age {tyre_age}: " + TYRE_TAIL, DRAW.format(keys="'moment', " + LAP_KEYS), 600),
