@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STEP = 50.0
 RAW_TIMES = ["LapTime", "Sector1Time", "Sector2Time", "Sector3Time"]
 
 
-def seconds(interval: Column) -> Column:
-    """A day-time interval, or a number of seconds, as seconds."""
-    return interval.cast("double")
+def seconds(raw: DataFrame, name: str) -> Column:
+    """A column that holds day-time intervals, or numbers of seconds, as seconds."""
+    c = F.col(name)
+    if not isinstance(raw.schema[name].dataType, T.DayTimeIntervalType):
+        return c.cast("double")
+    parts = {"DAY": 86400, "HOUR": 3600, "MINUTE": 60, "SECOND": 1}
+    return reduce(add, (F.extract(F.lit(p), c).cast("double") * n for p, n in parts.items()))
 
 
 def clean_laps(raw: DataFrame, drop_null_status: bool = False) -> DataFrame:
@@ -38,7 +43,7 @@ def to_laps(raw: DataFrame, session_id: Column) -> DataFrame:
         session_id.alias("session_id"),
         F.col("Driver").alias("driver"),
         F.col("LapNumber").cast("int").alias("lap_number"),
-        *(seconds(F.col(c)).alias(n) for c, n in zip(RAW_TIMES, ("lap_time", "sector1", "sector2", "sector3"), strict=True)),
+        *(seconds(raw, c).alias(n) for c, n in zip(RAW_TIMES, ("lap_time", "sector1", "sector2", "sector3"), strict=True)),
         F.nullif(F.col("Compound"), F.lit("")).alias("compound"),
         F.col("TyreLife").cast("int").alias("tyre_age"),
         F.lit(1).alias("is_valid"),

@@ -22,10 +22,16 @@ DDL = {
 #: Columns by which a table is laid out on disk, so that session filters prune files.
 LAYOUT = {"sessions": ["season"], "laps": [], "telemetry": []}
 
-MESSAGES = "ARRAY<STRUCT<role: STRING, content: STRING>>"
-CHAT = T.StructType.fromDDL(f"messages {MESSAGES}")
-EVAL = T.StructType.fromDDL("question STRING, reference STRING, generated STRING, rouge_l DOUBLE, bleu DOUBLE, factual BOOLEAN, halluc DOUBLE, ref_nums ARRAY<DOUBLE>, pred_nums ARRAY<DOUBLE>")
-CHECKPOINT = T.StructType.fromDDL("m2_done MAP<STRING, INT>, m3_done INT, total_discarded INT")
+_S, _D = T.StringType(), T.DoubleType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+CHAT = _struct(messages=T.ArrayType(_struct(role=_S, content=_S)))
+EVAL = _struct(question=_S, reference=_S, generated=_S, rouge_l=_D, bleu=_D, factual=T.BooleanType(), halluc=_D, ref_nums=T.ArrayType(_D), pred_nums=T.ArrayType(_D))
+CHECKPOINT = _struct(m2_done=T.MapType(_S, T.IntegerType()), m3_done=T.IntegerType(), total_discarded=T.IntegerType())
 
 
 def schema(table: str) -> T.StructType:
