@@ -1,17 +1,18 @@
 """Operator 6, n-gram Jaccard join: T-occurrence search with DivideSkip, in blocks.
 
 1. Documents with equal shingle sets become one class; classes are what is joined.
-2. A class posts the tokens (shingle hashes) of its prefix: of linked sets, the prefixes share a token in any
-   common order of tokens. The order puts tokens that many classes hold last, so that lists are short; the
-   counts behind it only choose the order, so they may leave out rare tokens.
-3. Classes that share posted tokens, directly or over others, form blocks. Inside a block, in one task, the
-   T-occurrence search finds for each set the smaller sets with at least T common tokens: short inverted
+2. A class posts the tokens (shingle hashes) of its prefix: the prefixes of linked sets share several tokens,
+   in any common order of tokens. The order puts tokens that many classes hold last, so that lists are
+   short; the counts behind it only choose the order, so they may leave out rare tokens. A class
+   whose posted tokens are mostly its own has no link and drops out.
+3. Linked sets lie in one band of sizes or in two that follow each other. In each pair of bands, classes that
+   share posted tokens, directly or over others, form blocks. Inside a block, in one task, the T-occurrence search finds for each set the smaller sets with at least T common tokens: short inverted
    lists are merged with a heap, long ones probed by binary search (DivideSkip), and sets that are
    already known to be connected are passed over.
 4. Blocks too large for a task are cut into random shards; what these link is contracted. Then a few members
-   of each component meet; then posted tokens that still hold two components, and only those, are
-   searched in full, each pair of shards in a task. So a large group of copies costs about its own
-   size, and no link is lost.
+   of each component meet; then the classes that still share enough tokens with other components, and
+   only those, are searched in full, each pair of shards in a task. So a large group of copies costs about
+   its own size, and no link is lost.
 """
 
 from __future__ import annotations
@@ -20,16 +21,16 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from heapq import merge
 from itertools import groupby
-from math import log2
+from math import log, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, SLICE, durable
+from .common import BROADCAST_BYTES, SLICE, durable, small_enough
 from .components import Union, components
 
 #: Classes and tokens that one task searches at a time.
@@ -42,32 +43,72 @@ CHUNK = 1 << 20
 MEMBERS = 8
 #: DivideSkip's weight of a probe against a merge step.
 MU = 0.01
-_MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self) >= 500_000:
-            self.clear()
-        self[word] = h = xxh3_64_intdigest(word)
-        return h
-
-
-def shingle_set(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
+#: A linked set shares at least 1 + SHARE of the tokens that it may miss with each other posted set.
+SHARE = 0.5
+#: Bytes of a text that are hashed at a time.
+PIECE = 1 << 20
+_RANDOM = np.random.default_rng(0x5EED)
+_MULTIPLIERS = (_RANDOM.integers(0, 1 << 63, 64, np.uint64) << np.uint64(1)) | np.uint64(1)
+#: A random number for each byte, 0 for white space: a word's hash is a sum over its bytes and places.
+_BYTES = _RANDOM.integers(1, 1 << 63, 256, np.uint64)
+_WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+class Powers:
+    """Powers of the step and of its inverse, modulo 2^64, as far as they were needed."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            one = np.ones(1, np.uint64)
+            with np.errstate(over="ignore"):
+                self.up = np.cumprod(np.concatenate((one, np.full(n, _STEP, np.uint64))), dtype=np.uint64)
+                self.down = np.cumprod(np.concatenate((one, np.full(n, _BACK, np.uint64))), dtype=np.uint64)
+        return self.up, self.down
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(data: bytes, powers: Powers) -> np.ndarray:
+    """64-bit hashes of the words of lower-cased bytes, in order; equal words have equal hashes."""
+    out, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + PIECE)
+        while end < len(data) and not _WHITE[data[end]]:
+            end += 1  # a piece ends with a word
+        piece = np.frombuffer(data, np.uint8, end - at, at)
+        inside = ~_WHITE[piece]
+        edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+        starts, stops = edge[::2], edge[1::2]
+        up, down = powers.upto(len(piece) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[piece] * up[: len(piece)], dtype=np.uint64)))
+            out.append(_mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64)))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingle_set(text: bytes | str | None, size: int, powers: Powers) -> np.ndarray:
     """The sorted 64-bit hashes of a text's distinct shingles; of its whole sequence if it is shorter."""
-    words = text.encode().lower().split() if text else []  # bytes: ASCII letters and white space alone
-    if not words:
+    data = text.encode() if isinstance(text, str) else bytes(text or b"")
+    w = word_hashes(data.lower(), powers)  # bytes: ASCII letters and white space alone
+    if not len(w):
         return np.zeros(0, np.int64)
-    n = min(size, len(words))
-    w = np.fromiter((hashes[x] for x in words), np.uint64, len(words))
+    n = min(size, len(w))
     with np.errstate(over="ignore"):
-        h = np.full(len(w) - n + 1, n * 0x2545F4914F6CDD1D % (1 << 64), np.uint64)
+        h = np.full(len(w) - n + 1, n, np.uint64)
         for i in range(n):
-            h = (h ^ (w[i : len(w) - n + 1 + i] * np.uint64(_MULTIPLIERS[i % 8] + 2 * (i // 8)))) * np.uint64(0xFF51AFD7ED558CCD)
-            h ^= h >> np.uint64(32)
-    return np.unique(h.view(np.int64))
+            h += w[i : len(w) - n + 1 + i] * _MULTIPLIERS[i % 64]
+            if i % 64 == 63:
+                h = _mixed(h)
+        return np.unique(_mixed(h).view(np.int64))
 
 
 def class_of(tokens: np.ndarray) -> int | None:
@@ -79,9 +120,20 @@ def class_of(tokens: np.ndarray) -> int | None:
     return (h - (1 << 64) if h >> 63 else h) if len(tokens) else None
 
 
+def must_share(n: int, num: int, den: int) -> int:
+    """Tokens that the prefixes of two linked sets share, if the smaller has n: 1 and SHARE of what a
+    set of n may miss. It doesn't fall as n grows."""
+    return 1 + int(SHARE * (n - -(-num * n // den)))
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
-    """Tokens of which a set of n shares one with each set that it links to."""
-    return n - -(-num * n // den) + 1
+    """Tokens that a set of n posts. Sets with T common tokens share k of their first n - T + k ones."""
+    return n - -(-num * n // den) + must_share(n, num, den)
+
+
+def size_band(n: int, num: int, den: int) -> int:
+    """A band of sizes: linked sets lie in one band, or in two that follow each other."""
+    return int(log(n) / max(1e-6, 1.0001 * log(den / num)))
 
 
 def in_order(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -158,7 +210,7 @@ def _read_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, waiting, held, seen = WordHashes(), [], 0, set()
+        powers, waiting, held, seen = Powers(), [], 0, set()
 
         def counted():
             t, k = np.unique(np.concatenate(waiting), return_counts=True)
@@ -171,7 +223,7 @@ def _read_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 part = batch.slice(at, SLICE)
                 classes, sizes = [], []
                 for text in part.column(1).to_pylist():
-                    tokens = shingle_set(text, size, hashes)
+                    tokens = shingle_set(text, size, powers)
                     classes.append(class_of(tokens))
                     sizes.append(len(tokens))
                     if len(tokens) and classes[-1] not in seen:
@@ -192,17 +244,18 @@ def _read_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, size: int, num: int, den: int, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """token and cls: the prefix of each class, in the common order; copies within a task post once."""
+    """token, cls, need and band: the prefix of each class, in the common order, how many of its tokens
+    a linked set would share, and the band of its size; copies within a task post once."""
     sent = docs.sparkSession.sparkContext.broadcast((frequent, counts))  # MOST_FREQUENT rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        powers, seen = Powers(), set()
         frequent, counts = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                out, of = [np.zeros(0, np.int64)], []
+                out, of, need, band = [np.zeros(0, np.int64)], [], [], []
                 for text in batch.column(0).slice(at, SLICE).to_pylist():
-                    tokens = shingle_set(text, size, hashes)
+                    tokens = shingle_set(text, size, powers)
                     cls = class_of(tokens)
                     if cls is None or cls in seen:
                         continue
@@ -210,27 +263,48 @@ def _postings(docs: DataFrame, size: int, num: int, den: int, frequent: np.ndarr
                         seen.add(cls)
                     out.append(in_order(tokens, frequent, counts)[: prefix_length(len(tokens), num, den)])
                     of += [cls] * len(out[-1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(of, pa.int64())], names=["token", "cls"])
+                    need += [must_share(-(-num * len(tokens) // den), num, den)] * len(out[-1])
+                    band += [size_band(len(tokens), num, den)] * len(out[-1])
+                columns = [pa.array(np.concatenate(out)), pa.array(of, pa.int64()), pa.array(need, pa.int32()), pa.array(band, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "cls", "need", "band"])
+
+    return docs.select("_text").mapInArrow(run, "token long, cls long, need int, band int")
+
 
-    return docs.select("_text").mapInArrow(run, "token long, cls long")
+def _shared(posts: DataFrame, by: list[str], of: list[str], member: str = "cls") -> DataFrame:
+    """The posts of lists (by) that hold two members, of classes (of) that keep as many as they need.
+
+    In a pair of bands, a list counts only if it holds a set of the lower band, since the others also
+    meet in the next pair. A class posts each token once for each task that read a copy of it; this can
+    only keep a class that could go.
+    """
+    lists, classes = Window.partitionBy(*by), Window.partitionBy(*of)
+    told = F.min(member).over(lists) < F.max(member).over(lists)
+    if "band" in by:
+        told = told & (F.min("own").over(lists) == F.col("band"))
+    posts = posts.withColumn("_told", told).where("_told").drop("_told")
+    return posts.withColumn("_kept", F.count(F.lit(1)).over(classes)).where("_kept >= need").drop("_kept")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """cls and tokens (64-bit integers, as bytes) of the wanted classes (cls), once each."""
-    n = wanted.count()
+    """uid, cls, n and tokens (64-bit integers, as bytes) of the wanted classes (cls).
+
+    A class comes once from each task that holds a copy; uid tells these apart.
+    """
     sent = None
-    if n * 8 <= BROADCAST_BYTES:
-        held = np.sort(wanted.toArrow()["cls"].to_numpy())
-        sent = docs.sparkSession.sparkContext.broadcast(held)
+    if small_enough(wanted, 8):
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["cls"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
-        held = None if sent is None else sent.value
+        from pyspark import TaskContext
+
+        powers, seen = Powers(), set()
+        held, uid = None if sent is None else sent.value, TaskContext.get().partitionId() << 36
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 out, of = [], []
                 for text in batch.column(0).slice(at, SLICE).to_pylist():
-                    tokens = shingle_set(text, size, hashes)
+                    tokens = shingle_set(text, size, powers)
                     cls = class_of(tokens)
                     if cls is None or cls in seen:
                         continue
@@ -240,12 +314,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                         seen.add(cls)
                     out.append(tokens.tobytes())
                     of.append(cls)
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(out, pa.binary())], names=["cls", "tokens"])
+                uids, uid = range(uid, uid + len(of)), uid + len(of)
+                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(of, pa.int64()), pa.array([len(t) // 8 for t in out], pa.int64()), pa.array(out, pa.binary())], names=["uid", "cls", "n", "tokens"])
 
-    sets = docs.select("_text").mapInArrow(run, "cls long, tokens binary")
-    if sent is None:  # too many to send: match by a shuffle
-        sets = sets.join(wanted, "cls", "left_semi")
-    return sets.groupBy("cls").agg(F.min("tokens").alias("tokens"))
+    sets = docs.select("_text").mapInArrow(run, "uid long, cls long, n long, tokens binary")
+    return sets if sent is not None else sets.join(wanted, "cls", "left_semi")  # too many to send: match by a shuffle
 
 
 def _search(units: DataFrame, num: int, den: int) -> DataFrame:
@@ -273,7 +346,8 @@ def _search(units: DataFrame, num: int, den: int) -> DataFrame:
         out = links(*rows)
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    ordered = units.select("unit", "label", "cls", "tokens").repartition("unit").sortWithinPartitions("unit")
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as the work isn't in the bytes
+    ordered = units.select("unit", "label", "cls", "tokens").repartition(tasks, "unit").sortWithinPartitions("unit")
     return ordered.mapInArrow(run, "a long, b long")
 
 
@@ -285,6 +359,35 @@ def _labelled(table: DataFrame, labels: DataFrame | None, column: str = "cls") -
     return table.join(named, column, "left").withColumn("label", F.coalesce("_label", column)).drop("_label")
 
 
+def _sized(rows: DataFrame, by: list[str], block_sets: int, block_tokens: int) -> DataFrame:
+    """rows with shards: in how many parts a task each must take the rows of a group."""
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_sets"), F.sum("n").alias("_tokens"))
+    shards = F.greatest(F.ceil(F.col("_sets") / block_sets), F.ceil(F.col("_tokens") / block_tokens))
+    return rows.join(sizes.select(*by, shards.alias("shards")), by)
+
+
+def _units(held: DataFrame, step: str, block_sets: int, block_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with unit, what one task searches at a time; cls and band of those whose links are then known).
+
+    A block that a task can take is a unit. A larger one is cut by step: into random shards, or into
+    a few members of each component, or into all pairs of shards.
+    """
+    if step == "members":
+        members = held.groupBy("block", "label").agg(F.count(F.lit(1)).alias("_members"))
+        some = F.pmod(F.xxhash64("cls", F.lit(29)), F.ceil(F.col("_members") / MEMBERS)) == 0
+        held = held.join(members, ["block", "label"]).where(some).drop("_members")
+    held = _sized(held, ["block"], block_sets, block_tokens)
+    shard = F.pmod(F.xxhash64("cls", F.lit(17)), F.col("shards"))
+    if step == "pairs":
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))
+        units = held.withColumn("_mine", shard).withColumn("_other", other)
+        units = units.withColumn("unit", F.xxhash64("block", F.least("_mine", "_other"), F.greatest("_mine", "_other")))
+    else:
+        units = held.withColumn("unit", F.xxhash64("block", shard))
+    settled = held.where(F.lit(False) if step == "members" else F.col("shards") == 1).select("cls", "band").distinct()
+    return units.select("unit", "label", "uid"), settled
+
+
 def class_components(docs: DataFrame, size: int, num: int, den: int, block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, cls, n) of every row of docs (_id, _text), and node, label: the classes that links join.
 
@@ -296,46 +399,34 @@ def class_components(docs: DataFrame, size: int, num: int, den: int, block_sets:
     often = often.orderBy(F.col("times").desc(), "token").limit(MOST_FREQUENT).toArrow()
     order = np.argsort(often["token"].to_numpy())
     frequent, counts = often["token"].to_numpy()[order], often["times"].to_numpy()[order]
-    postings = durable(_postings(docs, size, num, den, frequent, counts), "join-postings")
-    shared = postings.groupBy("token").agg(F.min("cls").alias("hub"), F.max("cls").alias("_most")).where("hub <> _most").select("token", "hub")
-    shared = durable(shared, "join-shared")
-    if shared.count() * 16 <= BROADCAST_BYTES:
-        shared = F.broadcast(shared)
-    posts = durable(postings.join(shared, "token").select("token", "cls").distinct(), "join-posts")
+    posts = durable(_shared(_postings(docs, size, num, den, frequent, counts), ["token"], ["cls"]), "join-posts")
+    # each set joins those of its band and of the one before
+    posts = posts.withColumnRenamed("band", "own").withColumn("band", F.explode(F.array("own", F.col("own") - 1)))
+    for _ in range(2):  # as classes drop out, lists shrink
+        posts = _shared(posts, ["token", "band"], ["cls", "band"])
+    posts = durable(posts, "join-posts")
     wanted = durable(posts.select("cls").distinct(), "join-wanted")
-    sets = durable(_sets_of(docs, wanted, size).withColumn("n", F.length("tokens") / 8), "join-classes")
+    sets = durable(_sets_of(docs, wanted, size), "join-classes", compression="none")
+    picked = durable(sets.groupBy("cls", "n").agg(F.min("uid").alias("uid")), "join-picked")
     labels = links = None
     for step in ("shards", "members", "pairs"):
-        named = durable(_labelled(posts, labels), "join-named")
-        mixed = named.groupBy("token").agg(F.min("label").alias("hub"), F.max("label").alias("_most")).where("hub <> _most").select("token", "hub")
-        active = durable(named.join(mixed, "token"), "join-active")
+        # a link yet to be found shares enough tokens, and all of these are in lists of two components
+        active = durable(_shared(_labelled(posts, labels), ["token", "band"], ["cls", "band"], "label"), "join-active")
         if active.isEmpty():
             break
-        blocks = components(active.select(F.col("label").alias("a"), F.col("hub").alias("b")).distinct())
+        node, hub = F.xxhash64("label", "band"), F.xxhash64("hub", "band")
+        hubs = active.groupBy("token", "band").agg(F.min("label").alias("hub"))
+        edges = active.join(hubs, ["token", "band"]).where("label <> hub").select(node.alias("a"), hub.alias("b"))
+        blocks = components(edges.distinct())
         blocks = durable(blocks.select(F.col("node").alias("_node"), F.col("label").alias("_block")), "join-blocks")
-        held = active.select("cls", "label").distinct().join(blocks, F.col("label") == F.col("_node"), "left")
-        held = durable(held.select("cls", "label", F.coalesce("_block", "label").alias("block")).join(sets, "cls"), "join-held")
-        weights = held.groupBy("block").agg(F.count(F.lit(1)).alias("_sets"), F.sum("n").alias("_tokens"))
-        weights = weights.withColumn("shards", F.greatest(F.ceil(F.col("_sets") / block_sets), F.ceil(F.col("_tokens") / block_tokens)))
-        held = held.join(weights.select("block", "shards"), "block")
-        shard = F.pmod(F.xxhash64("cls", F.lit(17)), F.col("shards"))
-        if step == "shards":
-            units = held.withColumn("unit", F.xxhash64("block", shard))
-        elif step == "members":
-            # only whole blocks that one task has searched are settled, and these are no longer mixed
-            members = held.groupBy("block", "label").agg(F.count(F.lit(1)).alias("_members"))
-            some = F.pmod(F.xxhash64("cls", F.lit(29)), F.ceil(F.col("_members") / MEMBERS)) == 0
-            held = held.drop("shards").join(members, ["block", "label"]).where(some)
-            of = held.groupBy("block").agg(F.count(F.lit(1)).alias("_sets"), F.sum("n").alias("_tokens"))
-            of = of.withColumn("shards", F.greatest(F.ceil(F.col("_sets") / block_sets), F.ceil(F.col("_tokens") / block_tokens)))
-            units = held.join(of.select("block", "shards"), "block").withColumn("unit", F.xxhash64("block", shard, F.lit(1)))
-        else:
-            units = held.withColumn("_mine", shard).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-            units = units.withColumn("unit", F.xxhash64("block", F.least("_mine", "_other"), F.greatest("_mine", "_other"), F.lit(2)))
-        found = durable(_search(units, num, den), "join-links")
-        if step == "shards":  # blocks that fit one task are settled: their lists need no further look
-            whole = durable(held.where("shards = 1").select("cls").distinct(), "join-whole")
-            posts = durable(posts.join(whole, "cls", "left_anti"), "join-posts")
+        held = active.select("cls", "label", "band").distinct().withColumn("node", node).join(blocks, F.col("node") == F.col("_node"), "left")
+        held = durable(held.select("cls", "label", "band", F.coalesce("_block", "node").alias("block")).join(picked, "cls"), "join-held")
+        units, settled = _units(held, step, block_sets, block_tokens)
+        units = durable(units.select("unit", "label", "uid"), "join-units")
+        if small_enough(units, 64):
+            units = F.broadcast(units)
+        found = durable(_search(sets.join(units, "uid"), num, den), "join-links")
+        posts = durable(posts.join(settled, ["cls", "band"], "left_anti"), "join-posts")
         links = found if links is None else links.unionByName(found)
         labels = durable(components(links), "join-labels")
     return rows, labels
@@ -349,7 +440,7 @@ def ngram_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id
     is null or repeated; a null id is never the smallest. Equal sets always link. Other columns of
     docs are not read, and an empty table gives an empty one. Long texts cost in proportion.
     """
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     rows, labels = class_components(slim, size, num, den, block_sets, block_tokens)
     least = _labelled(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least")), labels)
     least = durable(least, "join-least")
@@ -367,6 +458,6 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_c
     """
     found = ngram_join(docs, size, num, den, id_col, text_col)
     gone = durable(found.where(F.col(id_col).isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")
-    if gone.count() * 16 <= BROADCAST_BYTES:
+    if small_enough(gone, 16):
         gone = F.broadcast(gone)
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
