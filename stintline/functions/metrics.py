@@ -8,12 +8,37 @@ from pyspark.sql import functions as F
 from .text import close, let, numbers, ungrounded
 
 
+#: Tokens that fit the bits of a long.
+WORD = 60
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: one row of the table at a time.
+    """Length of the longest common subsequence of two arrays: by bits if b is short, else by rows."""
+    return F.when(F.size(b) <= WORD, _lcs_bits(a, b)).otherwise(_lcs_rows(a, b))
+
+
+def _lcs_bits(a: Column, b: Column) -> Column:
+    """The table's rows as bits of one long: a zero bit stands where a row's value rises along b."""
+
+    def bit(i):
+        return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+    full = bit(F.size(b)) - 1
+
+    def row(v, token):
+        marks = F.transform(b, lambda x, i: F.when(x == token, bit(i)).otherwise(F.lit(0).cast("long")))
+        hit = v.bitwiseAND(F.aggregate(marks, F.lit(0).cast("long"), lambda s, m: s + m))
+        return let(hit, lambda u: (v + u).bitwiseOR(v - u).bitwiseAND(full))
+
+    return F.size(b) - F.bit_count(F.aggregate(a, full, row))
+
+
+def _lcs_rows(a: Column, b: Column) -> Column:
+    """One row of the table at a time.
 
     For each token of a, the new row is a running maximum along b. Time is the product of the
     lengths; memory is one row.

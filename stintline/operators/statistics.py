@@ -118,9 +118,9 @@ def local_minima(telemetry: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("lap_id").orderBy("distance")
     usable = telemetry.where("distance IS NOT NULL AND speed IS NOT NULL")
-    slow = usable.groupBy("lap_id").agg(F.expr("percentile(speed, 0.6)").alias("slow"))
-    near = usable.withColumn("before", F.lag("speed").over(w)).withColumn("after", F.lead("speed").over(w))
-    found = near.join(slow, "lap_id").where("speed <= before AND speed < after AND speed <= slow")
+    slow = F.percentile("speed", 0.6).over(Window.partitionBy("lap_id"))  # the lags' shuffle and sort serve it too
+    near = usable.withColumns({"before": F.lag("speed").over(w), "after": F.lead("speed").over(w), "slow": slow})
+    found = near.where("speed <= before AND speed < after AND speed <= slow")
     return found.select("lap_id", "distance", "speed")
 
 

@@ -34,6 +34,15 @@ SELECT season, concat(r_name, ' ', CAST((rn - 1 - (rn - 1) % {SESSION_LAPS}) / {
   CAST((rn - 1) % {SESSION_LAPS} + 1 AS INT) AS lap_number, u, v
 FROM ({RAW}) AS raw"""
 
+#: The events that NUMBERED deals laps to, from counts alone.
+EVENTS = f"""
+SELECT season, concat(r_name, ' ', CAST(k + 1 AS STRING)) AS circuit, session_type FROM (
+  SELECT season, r_name, session_type, {{ints:rounds}} AS k FROM (
+    SELECT season, r_name, session_type, CAST(max((n + {SESSION_LAPS - 1} - (n + {SESSION_LAPS - 1}) % {SESSION_LAPS}) / {SESSION_LAPS}) AS INT) AS rounds FROM (
+      SELECT 2022 + year(l_shipdate) % 4 AS season, r_name, CASE WHEN l_linenumber % 2 = 0 THEN 'Q' ELSE 'Race' END AS session_type, l_suppkey % 20 AS d, count(*) AS n
+      FROM lineitem JOIN region ON r_regionkey = l_partkey % 5 GROUP BY 1, 2, 3, 4) AS counts
+    GROUP BY season, r_name, session_type) AS rounds_of) AS events"""
+
 TIMED = f"""
 SELECT *, CAST((lap_number - 1) % 18 + 1 AS INT) AS tyre_age,
   CASE WHEN lap_number <= 18 OR lap_number > 54 THEN 'SOFT' WHEN lap_number <= 36 THEN 'MEDIUM' ELSE 'HARD' END AS compound,
@@ -49,8 +58,8 @@ SELECT concat_ws('|', CAST(season AS STRING), circuit, session_type, driver, CAS
   lap_time - (0.30e0 * lap_time + v / 5e0) - (0.38e0 * lap_time - v / 10e0) AS sector3, compound, tyre_age, 1 AS is_valid
 FROM ({TIMED}) AS timed""",
     "sessions": f"""
-SELECT DISTINCT concat_ws('|', CAST(season AS STRING), circuit, session_type) AS id, CAST(season AS INT) AS season, circuit, session_type
-FROM ({NUMBERED}) AS numbered""",
+SELECT concat_ws('|', CAST(season AS STRING), circuit, session_type) AS id, CAST(season AS INT) AS season, circuit, session_type
+FROM ({EVENTS}) AS held""",
     "telemetry": f"""
 SELECT id AS lap_id, CAST(50 * i AS DOUBLE) AS distance,
   CAST(90 + 10 * abs((17 * i + 8 * (length(circuit) % 5)) % 40 - 20) + CAST(substr(driver, 2) AS INT) + lap_number % 2 AS DOUBLE) AS speed
@@ -58,7 +67,7 @@ FROM (SELECT concat_ws('|', CAST(season AS STRING), circuit, session_type, drive
   FROM ({NUMBERED}) AS numbered WHERE session_type = 'Race') AS samples""",
     "corners": f"""
 SELECT circuit, CAST(k + 1 AS INT) AS corner_number, CAST(60 + 130 * k + 20 * (k % 3) AS DOUBLE) AS distance_from_start
-FROM (SELECT circuit, {{ints:{CORNERS}}} AS k FROM (SELECT DISTINCT circuit FROM ({NUMBERED}) AS numbered) AS circuits) AS numbers""",
+FROM (SELECT circuit, {{ints:{CORNERS}}} AS k FROM (SELECT DISTINCT circuit FROM ({EVENTS}) AS held) AS circuits) AS numbers""",
     "weather": """
 SELECT id AS lap_id, 25e0 + CAST(lap_number * 13 % 17 AS DOUBLE) / 2e0 AS track_temp FROM laps""",
 }

@@ -84,7 +84,7 @@ def test_metrics_against_plain_versions(spark):
 
     rng = random.Random(1)
     said = lambda: " ".join(rng.choice(["the", "lap", "was", "1:20.5", "quick", "Slow", "12"]) for _ in range(rng.randint(0, 14)))
-    pairs = [(said(), said()) for _ in range(60)] + [("a b c d e", "a b c d e"), ("a b c", "a b c"), ("", "a"), ("the the the the", "the the the the the")]
+    pairs = [(said(), said()) for _ in range(60)] + [("a b c d e", "a b c d e"), ("a b c", "a b c"), ("", "a"), ("the the the the", "the the the the the"), ("a b " * 50, "b a c " * 40), ("x " * 70 + "y", "y " + "x " * 65)]
     df = metrics.score(spark.createDataFrame(pairs, "reference string, generated string"))
     for r in df.collect():
         assert r["rouge_l"] == pytest.approx(plain_rouge(r["reference"], r["generated"]))
