@@ -87,7 +87,40 @@ QUERIES = {f.__name__: f for f in (op1_html_extract, op2_token_counts, op3_quali
 #: A-Z lower-cased.
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _breaks(level: int | str) -> dict[str, str]:
+    """Rule -> SQL of breaking it at a level (from 1), given as a number or a column."""
+    out = {}
+    for rule, (over, under, scale, rising, cuts) in quality_rules.RULES.items():
+        out[rule] = f"{over} * {scale} {'>' if rising else '<'} [{', '.join(map(str, cuts))}][{level}] * {under}"
+    return out
+
+
+_LEVELS, _ANY = quality_rules.LEVELS, " OR ".join(f"({x})" for x in _breaks("level").values())
+_QUALITY = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, w[i:i + 4] AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+n AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS k FROM g) WHERE k > 1),
+p AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM n) GROUP BY r),
+l AS (SELECT r, count(*) AS n_lines, count(*) FILTER (rn > 1) AS n_dup_lines FROM (
+  SELECT r, row_number() OVER (PARTITION BY r, line) AS rn FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) GROUP BY r),
+c AS (SELECT d.r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_marks, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals,
+  len(list_filter(w, lambda x, i: i > 1 AND w[i - 1] = x)) AS n_doubles, coalesce(n_lines, 0) AS n_lines
+  FROM d LEFT JOIN p ON p.r = d.r LEFT JOIN l ON l.r = d.r),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
+h AS (SELECT b.* FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)),
+k AS (SELECT lang, level, count(*) AS n, count(*) FILTER ({_ANY}) AS k FROM h, (SELECT unnest(range(1, {_LEVELS + 1})) AS level) GROUP BY ALL),
+f AS (SELECT lang, level, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({quality_rules.RISK}) + (n - j) * ln(1 - {quality_rules.RISK}))) AS tail
+  FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM k) GROUP BY ALL),
+s AS (SELECT lang, coalesce(min(level) FILTER (tail > {quality_rules.DELTA} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM f))), {_LEVELS + 1}) - 1 AS level FROM f GROUP BY lang),
+v AS (SELECT b.*, concat_ws(',', {', '.join(f"CASE WHEN level > 0 AND {x} THEN '{rule}' END" for rule, x in _breaks("level").items())}) AS broken
+  FROM b LEFT JOIN s ON s.lang IS NOT DISTINCT FROM b.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken = '' AS kept, broken FROM v"""
+
 ORACLE_SQL = {
+    "op3_quality_rules": _QUALITY,
     "op4_decontaminate": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
