@@ -136,3 +136,14 @@ def histogram(scored: DataFrame, column: str, buckets: int = 5) -> DataFrame:
 def report(scored: DataFrame) -> DataFrame:
     """One row of means and shares."""
     return scored.agg(F.count(F.lit(1)).alias("n"), F.avg("rouge_l").alias("rouge_l"), F.avg("bleu").alias("bleu"), F.avg(F.col("factual").cast("double")).alias("factual"), F.avg("halluc").alias("halluc"))
+
+
+def rescored(saved: DataFrame, old: str = "halluc", reference: str = "reference", prediction: str = "generated") -> DataFrame:
+    """Saved records with their hallucination and factual scores found again, and by how much the first fell."""
+    r, p = F.col(reference), F.col(prediction)
+    return saved.withColumns({"new_halluc": hallucination(r, p), "new_factual": factual(r, p)}).withColumn("improvement", F.col(old) - F.col("new_halluc"))
+
+
+def extremes(scored: DataFrame, column: str, key: str, k: int, lowest: bool = True) -> DataFrame:
+    """The k rows of the lowest (or highest) score for a report; ties go to the lower key."""
+    return scored.orderBy(F.col(column).asc() if lowest else F.col(column).desc(), key).limit(k)

@@ -232,3 +232,23 @@ def plausible_times(lap_time: Column, *sectors: Column) -> Column:
     """Laps of 60 to 145 s, sectors of 10 to 60 s; missing values don't count against a row."""
     ok = F.coalesce(lap_time.between(60, 145), F.lit(True))
     return reduce(lambda a, s: a & F.coalesce(s.between(10, 60), F.lit(True)), sectors, ok)
+
+
+def clean_response(text: Column) -> Column:
+    """A model's reply without quotes around it and with its escapes undone."""
+    t = F.trim(text)
+    quoted = (F.length(t) >= 2) & (t.rlike(r'(?s)^".*"$') | t.rlike(r"(?s)^'.*'$"))
+    t = F.when(quoted, F.trim(t.substr(F.lit(2), F.length(t) - 2))).otherwise(t)
+    return F.replace(F.replace(t, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
+
+
+def recovered_json(text: Column, schema: str) -> Column:
+    """The object that a reply holds: alone, in a fenced block, or inside of other text; null if none parses."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    inside = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    return F.from_json(F.when(fenced != "", fenced).otherwise(inside), schema)
+
+
+def delta_lines(drivers_shown: Column, wanted: Column) -> Column:
+    """Drivers whose delta lines a reply shows: the wanted ones, or all if none is named."""
+    return F.when(F.size(wanted) == 0, drivers_shown).otherwise(F.array_intersect(drivers_shown, wanted))

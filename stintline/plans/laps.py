@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, lap_query
+from ..functions import text as X
+from ..operators import cleaning, corner_map, lap_query
 from ..operators.statistics import GROUP, inlier, rejects, with_session
 from ..sources.files import append_new
 from ..sources.fixtures import load, run_sql
-from .stats import rounded
+from .stats import rounded, tables
 from .stats_sql import with_stats
 
 #: Raw timing rows, as a timing feed lands them: the laps, with pit stops, flags and deletions.
@@ -109,7 +110,26 @@ def lap_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (fastest_lap_per_driver, lap_n, avg_pace_per_driver, sector_delta_vs_reference, sector_delta_vs_field, head_to_head_check, latest_session_per_circuit, clean_laps, resample, outliers, next_slower, incremental_load, corner_type_usable, lap_rejects)}
+def map_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the maps of circuits outside of Asia, taken as unmapped, come from."""
+    t = load(spark, sf_dir, "corners", "sessions")
+    return corner_map.map_sources(t["sessions"], t["corners"].where("circuit LIKE 'ASIA%'"))
+
+
+def stale_corner_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corner statistics that stay if Europe's map ended at corner nine."""
+    t = tables(spark, sf_dir, "corner_stats")
+    short = t["corners"].where("NOT circuit LIKE 'EUROPE%' OR corner_number < 10")
+    return corner_map.without_stale(t["corner_stats"], short).select("driver", "circuit", "corner_number")
+
+
+def plausible_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    laps = load(spark, sf_dir, "laps")["laps"]
+    ok = X.plausible_times(F.col("lap_time"), F.col("sector1"), F.col("sector2"), F.col("sector3"))
+    return laps.groupBy("driver").agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("odd"), F.min(X.lap_time_text(F.round("lap_time", 1))).alias("best"))
+
+
+QUERIES = {f.__name__: f for f in (map_sources, stale_corner_stats, plausible_laps, fastest_lap_per_driver, lap_n, avg_pace_per_driver, sector_delta_vs_reference, sector_delta_vs_field, head_to_head_check, latest_session_per_circuit, clean_laps, resample, outliers, next_slower, incremental_load, corner_type_usable, lap_rejects)}
 
 _FULL = "is_valid = 1 AND lap_time IS NOT NULL AND sector1 IS NOT NULL AND sector2 IS NOT NULL AND sector3 IS NOT NULL AND (session_type <> 'Race' OR lap_number > 1)"
 _FAST = f"SELECT session_id, driver, lap_number, lap_time, sector1, sector2, sector3 FROM raced WHERE {_FULL} AND lap_time > 0 QUALIFY row_number() OVER (PARTITION BY session_id, driver ORDER BY lap_time, lap_number) = 1"
@@ -117,6 +137,9 @@ _MEAN = f"SELECT session_id, driver, round(avg(lap_time), 9) AS lap_time, round(
 _FILL = "coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY lap_id ORDER BY i ROWS UNBOUNDED PRECEDING), first_value({c} IGNORE NULLS) OVER (PARTITION BY lap_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
 
 ORACLE_SQL = {
+    "map_sources": with_stats("SELECT circuit, id, season, session_type FROM sessions WHERE circuit NOT LIKE 'ASIA%' QUALIFY row_number() OVER (PARTITION BY circuit ORDER BY season DESC, session_type, id) = 1"),
+    "stale_corner_stats": with_stats("SELECT driver, circuit, corner_number FROM corner_stats WHERE circuit NOT LIKE 'EUROPE%' OR circuit NOT IN (SELECT circuit FROM corner_stats WHERE corner_number > 9)"),
+    "plausible_laps": with_stats("SELECT driver, count(*) FILTER (lap_time BETWEEN 60 AND 145 AND sector1 BETWEEN 10 AND 60 AND sector2 BETWEEN 10 AND 60 AND sector3 BETWEEN 10 AND 60) AS ok, count(*) FILTER (NOT (lap_time BETWEEN 60 AND 145 AND sector1 BETWEEN 10 AND 60 AND sector2 BETWEEN 10 AND 60 AND sector3 BETWEEN 10 AND 60)) AS odd, min('1:' || lpad(CAST(CAST(round(lap_time, 1) - 60 AS DECIMAL(9, 3)) AS VARCHAR), 6, '0')) AS best FROM laps GROUP BY driver"),
     "fastest_lap_per_driver": with_stats(_FAST),
     "lap_n": with_stats(f"SELECT session_id, driver, lap_number, lap_time, sector1, sector2, sector3 FROM raced WHERE {_FULL} AND lap_number = 12"),
     "avg_pace_per_driver": with_stats(_MEAN),

@@ -175,9 +175,30 @@ def cosine_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest(vectors, vectors.where("vec_id % 20 = 0"), 5)
 
 
+def rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose hallucination score, once found without tolerance, fell."""
+    saved = answers(spark, sf_dir).withColumn("halluc", F.when(X.fails_guard(F.col("reference"), F.col("generated")), 1.0).otherwise(0.5))
+    return metrics.rescored(saved).select("id", F.round("new_halluc", 9).alias("new_halluc"), "new_factual", F.round("improvement", 9).alias("improvement"))
+
+
+def worst_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty lowest scores, for the report."""
+    return metrics.extremes(bleu4(spark, sf_dir), "bleu", "id", 20)
+
+
+def recovered_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrapped = F.when(F.col("id") % 3 == 0, F.format_string('Here: ```json\n{"user": "u%d", "n": %d}\n```', "id", "id")).when(F.col("id") % 3 == 1, F.format_string('say {"user": "u%d", "n": %d} ok', "id", "id")).otherwise(F.lit("none"))
+    return answers(spark, sf_dir).select("id", X.recovered_json(wrapped, "user STRING, n BIGINT").alias("j")).select("id", "j.user", "j.n")
+
+
+def cleaned_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.when(F.col("id") % 2 == 0, F.concat(F.lit(' "'), "generated", F.lit('" '))).otherwise(F.concat(F.lit("a \\"), F.lit('"'), "generated"))
+    return answers(spark, sf_dir).select("id", X.clean_response(said).alias("text"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (intent_mode, intent_fields, intent_drivers, intent_topics, numbers, grounding, redacted_claims, degradation_claims, sector_rewrites, grounding_prefix, vacuous_replies, dialogue_facts, rouge_l, bleu4, bleu_histogram, score_report, dedup_first, split_by_tag, leakage, quota_sample, chat_examples, history_last50, carry_forward, doubted_history, cosine_knn)
+    for f in (rescored, worst_bleu, recovered_json, cleaned_responses, intent_mode, intent_fields, intent_drivers, intent_topics, numbers, grounding, redacted_claims, degradation_claims, sector_rewrites, grounding_prefix, vacuous_replies, dialogue_facts, rouge_l, bleu4, bleu_histogram, score_report, dedup_first, split_by_tag, leakage, quota_sample, chat_examples, history_last50, carry_forward, doubted_history, cosine_knn)
 }
 
 
@@ -234,6 +255,10 @@ _BAD = "coalesce('deg_rate=' || CAST(list_filter(list_transform(regexp_extract_a
 )
 
 ORACLE_SQL = {
+    "rescored": f"{_AN}, x AS (SELECT id, CASE WHEN len(rn) = 0 OR len(pn) = 0 THEN 0.0 ELSE {_LONE} / len(pn) END AS h, len(rn) = 0 OR len(list_filter(rn, lambda r: len(list_filter(pn, lambda p: {_CLOSE})) > 0)) > 0 AS f, CASE WHEN {_LONE} > 0 THEN 1.0 ELSE 0.5 END AS o FROM n) SELECT id, round(h, 9) AS new_halluc, f AS new_factual, round(o - h, 9) AS improvement FROM x",
+    "worst_bleu": f"{_BLEU} SELECT id, bleu FROM s ORDER BY bleu, id LIMIT 20",
+    "recovered_json": f"{_A} SELECT id, CASE WHEN id % 3 < 2 THEN 'u' || CAST(id AS VARCHAR) END AS user, CASE WHEN id % 3 < 2 THEN id END AS n FROM a",
+    "cleaned_responses": f"{_A} SELECT id, CASE WHEN id % 2 = 0 THEN generated ELSE 'a ' || chr(34) || generated END AS text FROM a",
     "intent_mode": f"{_M} SELECT id, {_MODE} AS mode, {_has(K.PUSHBACK, 'lower(text)')} AS pushback FROM m",
     "intent_fields": f"{_M}, i AS (SELECT *, {_CIRCUIT} AS circuit, {_LAP} AS lap_number FROM m) SELECT id, circuit, coalesce(map_extract(MAP {{{', '.join(f'{_q(a)}: {_q(b)}' for a, b in K.STORED_NAMES.items())}}}, circuit)[1], circuit) AS stored, CAST({_get(K.YEAR)} AS INTEGER) AS year, {_SESSION} AS session, lap_number, lap_number IS NULL AND {_has(K.FASTEST)} AS lap_fastest, {_has(K.AVERAGE)} AS wants_average FROM i",
     "intent_drivers": f"""{_M}, c AS (SELECT id, list_filter(list_transform(regexp_extract_all(text, '\\b([A-Za-z]{{3}})\\b', 1), lambda x: upper(x)), lambda x: list_contains([{', '.join(map(_q, K.DRIVERS))}], x))
