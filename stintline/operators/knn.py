@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Most bytes of queries that are sent to every executor at once.
+BLOCK_BYTES = 32 << 20
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -16,16 +21,22 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", blocks: int = 32) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", parts: int = 32, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, id, similarity and place of the k vectors most similar to each query, itself left out.
 
-    Queries are broadcast only in blocks: each block of vectors keeps its own k best for a query
-    before these meet, so no more than k rows per query and block are shuffled.
+    Queries are broadcast in blocks of at most block_bytes, found from their number and width. Of each
+    part of the vectors, no more than the k best for a query are shuffled.
     """
     q = queries.select(F.col(id_col).alias("query_id"), unit(F.col(vector_col)).alias("_q"))
-    v = vectors.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("_v")).withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    pairs = v.join(F.broadcast(q), F.col("id") != F.col("query_id")).select("query_id", "id", "_block", F.round(dot(F.col("_q"), F.col("_v")), 9).alias("similarity"))
+    v = vectors.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("_v")).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("_q")), F.lit(0)).alias("width")).first()
+    blocks = max(1, -(-size["n"] * (8 * size["width"] + 40) * 2 // block_bytes))  # twice, as hashing is uneven
     order = [F.col("similarity").desc(), F.col("id")]
-    local = pairs.withColumn("_rn", F.row_number().over(Window.partitionBy("query_id", "_block").orderBy(*order))).where(F.col("_rn") <= k)
+
+    def best(block: DataFrame) -> DataFrame:
+        pairs = v.join(F.broadcast(block), F.col("id") != F.col("query_id")).select("query_id", "id", "_part", F.round(dot(F.col("_q"), F.col("_v")), 9).alias("similarity"))
+        return pairs.withColumn("_rn", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))).where(F.col("_rn") <= k)
+
+    local = reduce(DataFrame.unionByName, (best(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q) for b in range(blocks)))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    return local.drop("_rn", "_block").withColumn("place", place).where(F.col("place") <= k)
+    return local.drop("_rn", "_part").withColumn("place", place).where(F.col("place") <= k)

@@ -173,7 +173,8 @@ def test_nearest(spark):
     v = rng.normal(size=(60, 8))
     df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<float>")
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    got = {(r["query_id"], r["place"]): r["id"] for r in knn.nearest(df, df.where("vec_id % 20 = 0"), 3, blocks=4).collect()}
-    for q in (0, 20, 40):
-        order = [i for i in np.argsort(-(unit @ unit[q])) if i != q][:3]
-        assert [got[q, k] for k in (1, 2, 3)] == order
+    for limit in (knn.BLOCK_BYTES, 200):  # at once, and in several blocks
+        got = {(r["query_id"], r["place"]): r["id"] for r in knn.nearest(df, df.where("vec_id % 20 = 0"), 3, parts=4, block_bytes=limit).collect()}
+        for q in (0, 20, 40):
+            order = [i for i in np.argsort(-(unit @ unit[q])) if i != q][:3]
+            assert [got[q, k] for k in (1, 2, 3)] == order
