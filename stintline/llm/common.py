@@ -61,7 +61,7 @@ def kept(key: tuple, make: Callable):
 class Recent(dict):
     """A cache of make(key) with at most 2 * CAP entries, from which what is not asked for goes first."""
 
-    CAP = 250_000
+    CAP = 100_000
 
     def __init__(self):
         super().__init__()

@@ -114,9 +114,9 @@ def steps(lengths: list[int], size: int) -> list[int]:
     return out
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int | None = 1, tiers: tuple[int, ...] = TIERS, bundle: int = BUNDLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int | None = 1, tiers: tuple[int, ...] = TIERS, bundle: int = BUNDLE, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
-    tier (the window's padded length), step (its step group) and ids.
+    tier (the window's padded length), step (its step group) and, unless with_ids is false, ids.
 
     Each id of each text, and the end id after it, lies in exactly one piece. A null or empty text is
     its end id. Null and repeated ids are carried along: rows are packed one by one. Other columns are
@@ -125,7 +125,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int | None = 1, tie
     """
     kind = docs.schema[id_col].dataType
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, T.LongType()) for n in names), T.StructField("tier", T.IntegerType()), T.StructField("step", T.LongType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, T.LongType()) for n in names), T.StructField("tier", T.IntegerType()), T.StructField("step", T.LongType()), *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
     arrow = to_arrow_schema(schema)
     end, most = b"" if end_id is None else end_id.to_bytes(4, "little"), max(tiers)
 
@@ -145,7 +145,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int | None = 1, tie
                 offset = 0
                 for (doc, tokens, data, first), start, n in inside:
                     ids = data[4 * (start - first) : 4 * (start - first + n)]
-                    out.append((doc, start, n, zlib.crc32(ids), tokens, base + sequence, offset, tier, base + step + group, ids))
+                    out.append((doc, start, n, zlib.crc32(ids), tokens, base + sequence, offset, tier, base + step + group, ids if with_ids else None))
                     offset += n
                 sequence += 1
             step += max(groups, default=-1) + 1

@@ -55,13 +55,9 @@ def repeated_words(words: list, size: int = WINDOW) -> int:
     windows = list(zip(*(words[i:] for i in range(size)), strict=False))
     if len(set(windows)) == len(windows):
         return 0
-    first: dict = {}
-    covered, n = 0, 0  # words before `covered` are counted or passed
-    twice = set()
-    for w in windows:
-        if w in first:
-            twice.add(w)
-        first[w] = True
+    covered, n = 0, 0  # words before `covered` are counted
+    seen: set = set()
+    twice = {w for w in windows if w in seen or seen.add(w)}
     for i, w in enumerate(windows):
         if w in twice:
             n += i + size - max(i, covered)
