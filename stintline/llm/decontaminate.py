@@ -21,8 +21,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import SLICE, durable
 
 SIZE = 10
-#: Grams in one broadcast: about 150 bytes each with their words, so 40 MB at most.
-BLOCK_GRAMS = 250_000
+#: Grams in one broadcast: about 400 bytes each in a worker, so 40 MB at most.
+BLOCK_GRAMS = 100_000
 #: A-Z lower-cased; ASCII other than letters and digits separates words.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 _STEP = 0x9E3779B97F4A7C15
