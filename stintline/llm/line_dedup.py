@@ -1,16 +1,15 @@
 """Operator 8, line dedup: lines that many documents repeat, found by sorted hashes. DataFrame functions only.
 
-The hashes of all keys are range-partitioned by hash, document and nothing else, and each partition is
-sorted by hash, document (largest first) and position, so the occurrences of a key stream past in
-order. A key that a third of all documents hold spreads over many partitions, since the document is part of
-the range. One occurrence for each key and document is left of each run; these are counted for each key
-before anything else is shuffled. What returns to the documents is the set of keys each of them loses, and
+The hashes of all keys are range-partitioned by hash and document, and each partition is sorted by hash,
+document and position, so the occurrences of a key stream past in order and the first of each document
+is kept. A key that a third of all documents hold spreads over many partitions, since the document is part
+of the range. The first occurrences are counted for each key where they lie before anything is shuffled. What returns to the documents is the set of keys each of them loses, and
 the result is a gap-coded keep bitmap for each document, not a text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, small_enough
@@ -50,8 +49,9 @@ def dropped_keys(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
     lines = lines.select(F.col(id_col).alias("doc"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
     keys = lines.select("doc", "pos", key_hash(F.col("line"), least_chars).alias("key")).where("key IS NOT NULL").select("key.h", "key.g", "doc", "pos")
     keys = durable(keys, "line-keys")
-    ordered = keys.repartitionByRange("h", "g", F.col("doc").desc()).sortWithinPartitions("h", "g", F.col("doc").desc(), "pos")
-    firsts = durable(ordered.groupBy("h", "g", "doc").agg(F.min("pos").alias("pos")), "line-firsts")
+    place = F.row_number().over(Window.partitionBy("h", "g", "doc").orderBy("pos"))  # on the ranges and their sort
+    ordered = keys.repartitionByRange("h", "g", "doc").withColumn("_place", place)
+    firsts = durable(ordered.where("_place = 1").select("h", "g", "doc"), "line-firsts")
     common = firsts.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= least_docs)
     common = durable(common.select("h", "g", "keeper"), "line-common")
     if small_enough(common, 64):
