@@ -59,19 +59,17 @@ def kept(key: tuple, make: Callable):
 
 
 class Recent(dict):
-    """A cache of make(key) with at most 2 * CAP entries, from which what is not asked for goes first."""
+    """A cache of make(key) with at most 2 * cap entries, from which what is not asked for goes first."""
 
-    CAP = 100_000
-
-    def __init__(self):
+    def __init__(self, cap: int = 100_000):
         super().__init__()
-        self.old: dict = {}
+        self.cap, self.old = cap, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.CAP:
+        if len(self) >= self.cap:
             self.old = dict(self)
             self.clear()
         self[key] = value

@@ -22,6 +22,8 @@ from .tokens import shared_ids
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
+#: Pre-tokens in the older and the newer half of a worker's cache, 200 bytes each.
+CACHE = 250_000
 #: Parquet settings: bounded row groups, small pages with indexes, a dictionary for ids, deltas for metadata.
 OPTIONS = {
     "compression": "zstd",
@@ -53,7 +55,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, start, encoder = TaskContext.get().partitionId(), 0, shared_ids(vocabulary)
+        part, start, encoder = TaskContext.get().partitionId(), 0, shared_ids(vocabulary, CACHE)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 rows = batch.slice(at, SLICE)

@@ -38,10 +38,10 @@ def plain(text: str) -> bool:
 class Ids(Recent):
     """Pre-token -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cap: int = 100_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(cap)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -65,6 +65,6 @@ class Ids(Recent):
         return self.whole(text) + end
 
 
-def shared_ids(path: str) -> Ids:
-    """The encoder that all tasks of this process use."""
-    return kept(("ids", path), lambda: Ids(path))
+def shared_ids(path: str, cap: int = 100_000) -> Ids:
+    """The encoder, with a cache of this size, that all tasks of this process use."""
+    return kept(("ids", path, cap), lambda: Ids(path, cap))
