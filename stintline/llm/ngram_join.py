@@ -441,6 +441,12 @@ def ngram_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id
     docs are not read, and an empty table gives an empty one. Long texts cost in proportion.
     """
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    joined = _with_component(slim, size, num, den, block_sets, block_tokens)
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _with_component(slim: DataFrame, size: int, num: int, den: int, block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """doc_id, n and component_id, the smallest doc_id that is not null, of every row of slim (_id, _text)."""
     rows, labels = class_components(slim, size, num, den, block_sets, block_tokens)
     least = _labelled(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least")), labels)
     least = durable(least, "join-least")
@@ -448,16 +454,22 @@ def ngram_join(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id
     classes = durable(least.join(best, "label").select(F.col("cls").alias("_cls"), "component_id"), "join-components")
     joined = rows.join(classes, F.col("cls") == F.col("_cls"), "left")
     own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return joined.select("doc_id", "n", own.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """docs with one row of each component: the first row of its smallest id. All columns as they were.
 
-    Rows with a null id stay, as nothing tells which of them would be first; so do rows without words.
+    Rows are told apart by a number that is written with them, so that rows of one id, with one text or
+    several, are decided one by one. Rows with a null id stay, as nothing tells which of them would be
+    first; so do rows without words.
     """
-    found = ngram_join(docs, size, num, den, id_col, text_col)
-    gone = durable(found.where(F.col(id_col).isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")
+    columns = docs.columns
+    row = "_row" + "_" * max(map(len, columns))  # longer than any name in docs
+    held = durable(docs.withColumn(row, F.monotonically_increasing_id()), "join-rows")
+    place = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.col(row).alias("row")))
+    found = _with_component(held.select(place.alias("_id"), F.col(text_col).cast("binary").alias("_text")), size, num, den, block_sets, block_tokens)
+    gone = durable(found.where("doc_id.row <> component_id.row").select(F.col("doc_id.row").alias(row)), "join-gone")
     if small_enough(gone, 16):
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return held.join(gone, row, "left_anti").select(*columns)
