@@ -11,9 +11,11 @@ from dataclasses import dataclass, field
 from html import unescape
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label|style|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+#: Attributes whose words name an element.
+_NAMING = frozenset("class id role itemprop aria-label".split())
 _SPLIT = re.compile(r"[^a-z]+")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_HIDDEN = re.compile(r"(?<![\w-])display\s*:\s*none|(?<![\w-])(?:content-)?visibility\s*:\s*hidden", re.I)
 #: Elements whose content is not markup, or not shown.
 RAW = frozenset("script style title textarea noscript iframe noembed noframes template svg math object xmp select datalist canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,11 +41,15 @@ class Block:
 def _names(attributes: str) -> tuple[str, ...] | None:
     """Words of the naming attributes; None if the element is hidden."""
     words: list[str] = []
+    seen = set()
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
+        if name in seen:  # the first of a name counts
+            continue
+        seen.add(name)
         if name == "hidden" or name == "style" and _HIDDEN.search(value):
             return None
-        if name != "style":
+        if name in _NAMING:
             value = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
             words += (w for w in _SPLIT.split(value.lower()) if w)
     return tuple(words)
