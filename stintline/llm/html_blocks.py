@@ -16,8 +16,10 @@ _ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+
 _NAMING = frozenset("class id role itemprop aria-label".split())
 _SPLIT = re.compile(r"[^a-z]+")
 _HIDDEN = re.compile(r"(?<![\w-])display\s*:\s*none|(?<![\w-])(?:content-)?visibility\s*:\s*hidden", re.I)
-#: Elements whose content is not markup, or not shown.
-RAW = frozenset("script style title textarea noscript iframe noembed noframes template svg math object xmp select datalist canvas audio video".split())
+#: Elements whose content is not markup, and the end of each; without one, the page's rest is their content.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I | re.A) for t in "script style title textarea iframe noembed noframes xmp".split()}
+#: Elements whose content is markup that is not shown, and their tags.
+UNSEEN = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^<>]*", re.I | re.A) for t in "template noscript svg math object select datalist canvas audio video".split()}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6"
@@ -55,6 +57,18 @@ def _names(attributes: str) -> tuple[str, ...] | None:
     return tuple(words)
 
 
+def _ended(html: str, tag: str) -> set[int]:
+    """Where those elements of an unseen kind start that have an end tag of their own."""
+    starts, ended = [], set()
+    for m in UNSEEN[tag].finditer(html):
+        if not m[1]:
+            if not m[0].endswith("/"):
+                starts.append(m.start())
+        elif starts:
+            ended.add(starts.pop())
+    return ended
+
+
 def leaf_blocks(html: str | None) -> list[Block]:
     """The blocks of a page in page order; those without text are left out. Null: none."""
     if not html:
@@ -64,7 +78,8 @@ def leaf_blocks(html: str | None) -> list[Block]:
     parts: list[str] = []
     inline: set[str] = set()
     linked, at, n = 0, 0, len(html)
-    lower = None
+    unseen: list[tuple[int, bool]] = []  # places of unseen elements on the stack; whether they have an end tag
+    ended: dict[str, set[int]] = {}
 
     def flush():
         nonlocal linked
@@ -90,10 +105,19 @@ def leaf_blocks(html: str | None) -> list[Block]:
                 linked += len(text.strip())
 
     def close(depth: int):
-        if any(t in BLOCK for t, _, _ in stack[depth:]):
+        top = len(stack)
+        while unseen and unseen[-1][0] >= depth:
+            top = unseen.pop()[0]
+        if not unseen and any(t in BLOCK for t, _, _ in stack[depth:top]):
             flush()
         del stack[depth:]
 
+    def start_block(tag: str) -> int:
+        """Where on the stack the elements lie that a block may close; unseen ones without an end tag end here."""
+        while unseen and not unseen[-1][1] and tag not in ("option", "optgroup"):
+            close(unseen[-1][0])
+        return unseen[-1][0] + 1 if unseen else 0
+
     while at < n:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -114,26 +138,35 @@ def leaf_blocks(html: str | None) -> list[Block]:
                 if stack[i][0] == tag:
                     close(i)
                     break
-                if tag not in BLOCK and stack[i][0] in BLOCK or stack[i][0] in ("td", "th") and tag not in ("tr", "table", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
+                if tag not in BLOCK and tag not in UNSEEN and (stack[i][0] in BLOCK or stack[i][0] in UNSEEN) or stack[i][0] in ("td", "th") and tag not in ("tr", "table", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
                     break  # an inline end tag stays in its block, a cell keeps its content
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
-                if lower is None:
-                    lower = html.lower() if len(html.lower()) == n else html
-                end = lower.find(f"</{tag}", at)
-                at = n if end < 0 else max(lower.find(">", end) + 1, 0) or n
+                end = RAW[tag].search(html, at)
+                at = end.end() if end else n
+            parts.append(" ")
+            continue
+        if tag in UNSEEN:
             parts.append(" ")
+            if not m[3].endswith("/"):
+                if tag not in ended:
+                    ended[tag] = _ended(html, tag)
+                unseen.append((len(stack), m.start() in ended[tag]))
+                stack.append((tag, (), True))
             continue
         if tag in VOID:
             if tag in BLOCK:
-                flush()
+                start_block(tag)
+                if not unseen:
+                    flush()
             else:
                 parts.append(" " if tag != "wbr" else "")
             continue
         if tag in BLOCK:
             ends, scope = _SIBLINGS.get(tag, set()), _SCOPES.get(tag, set())
-            for i in range(len(stack) - 1, -1, -1):
+            least = start_block(tag)
+            for i in range(len(stack) - 1, least - 1, -1):
                 t = stack[i][0]
                 if t in ends or t == "p" and tag in _ENDS_P:
                     close(i)
@@ -141,13 +174,14 @@ def leaf_blocks(html: str | None) -> list[Block]:
                         break
                 elif t in scope or not ends and t in BLOCK:
                     break
-            flush()
+            if not unseen:
+                flush()
         elif tag == "a":  # links don't nest
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "a":
                     del stack[i]
                     break
-                if stack[i][0] in BLOCK:
+                if stack[i][0] in BLOCK or stack[i][0] in UNSEEN:
                     break
         names = _names(m[3]) if m[3] else ()
         hidden = names is None or bool(stack and stack[-1][2])
