@@ -41,8 +41,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed token sequences, without their ids."""
-    return pack_documents(docs, vocabulary(), with_ids=False)
+    """The pieces of the packed token sequences, with their ids."""
+    return pack_documents(docs, vocabulary())
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("decontamination", benchmark), ("packing", packed)]

@@ -27,6 +27,8 @@ from .tokens import shared_ids
 TIERS = (256, 512, 1024, 2048)
 #: Remainders in a bundle: with the longest tier's 2048 ids of 4 bytes each, 17 MB at most.
 BUNDLE = 2048
+#: Pieces passed on together: 4 MB of ids at most.
+PIECES = 512
 #: Windows of the longest tier in a step group; shorter windows count by their length.
 STEP = 32
 
@@ -141,17 +143,23 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int | None = 1, tie
             nonlocal sequence, step
             groups = steps([sum(p[2] for p in inside) for _, inside in windows], STEP * most)
             out = []
+
+            def passed():
+                return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
             for (tier, inside), group in zip(windows, groups, strict=True):
                 offset = 0
                 for (doc, tokens, data, first), start, n in inside:
                     ids = data[4 * (start - first) : 4 * (start - first + n)]
                     out.append((doc, start, n, zlib.crc32(ids), tokens, base + sequence, offset, tier, base + step + group, ids if with_ids else None))
                     offset += n
+                    if len(out) >= PIECES:
+                        yield passed()
+                        out.clear()
                 sequence += 1
             step += max(groups, default=-1) + 1
-            for at in range(0, len(out), 4096):
-                part = out[at : at + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], f.type) for i, f in enumerate(arrow)], schema=arrow)
+            if out:
+                yield passed()
 
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):

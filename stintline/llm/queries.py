@@ -75,7 +75,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary(), end_id=1, with_ids=False)
+    packed = packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary(), end_id=1)
+    return packed.withColumn("ids_crc32", F.crc32("ids"))
 
 
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
