@@ -85,6 +85,13 @@ def gap_code(drop: Column) -> Column:
     return F.transform(drop, lambda p, i: p - F.when(i == 0, F.lit(-1)).otherwise(F.get(drop, i - 1)) - 1)
 
 
+def gap_positions(gaps: Column) -> Column:
+    """The ascending positions that gap_code() compressed."""
+    at = lambda s, g: s["at"] + g + 1
+    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("seen"))
+    return F.aggregate(gaps, start, lambda s, g: F.struct(at(s, g).alias("at"), F.concat(s["seen"], F.array(at(s, g))).alias("seen")), lambda s: s["seen"])
+
+
 def gap_decode(gaps: list[int], n_lines: int) -> list[bool]:
     """The keep bitmap that gap_code() compressed, a flag for each line."""
     keep, at = [True] * n_lines, -1
@@ -97,16 +104,18 @@ def gap_decode(gaps: list[int], n_lines: int) -> list[bool]:
 def line_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped, keep_gaps (the keep bitmap, gap-coded) and kept_sha256 of every row.
 
+    The number of dropped lines and the hash are those of the bitmap, decoded.
     Other columns of docs are not read; an empty table gives an empty one; cases as in with_bitmaps().
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = with_bitmaps(slim, least_chars, least_docs)
+    found = with_bitmaps(slim, least_chars, least_docs).withColumn("keep_gaps", gap_code(F.col("_drop")))
+    found = found.withColumn("_lost", gap_positions(F.col("keep_gaps")))
     return found.select(
         "doc_id",
         F.size("_lines").cast("long").alias("n_lines"),
-        F.size("_drop").cast("long").alias("n_dropped"),
-        gap_code(F.col("_drop")).alias("keep_gaps"),
-        F.sha2(F.encode(kept_text(F.col("_lines"), F.col("_drop")), "UTF-8"), 256).alias("kept_sha256"),
+        F.size("keep_gaps").cast("long").alias("n_dropped"),
+        "keep_gaps",
+        F.sha2(F.encode(kept_text(F.col("_lines"), F.col("_lost")), "UTF-8"), 256).alias("kept_sha256"),
     )
 
 

@@ -71,7 +71,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_bitmaps(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return line_dedup.line_bitmaps(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256", "keep_gaps")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Registered jobs return what they make, and what they tell of it follows from it."""
 
+import hashlib
 import random
 import zlib
 from collections import defaultdict
 
 import corpus_pipeline
 from test_small import LINE, prose, whole_ids
-from stintline.llm import packing, queries
+from stintline.llm import line_dedup, packing, queries
 
 
 def test_packing_returns_the_ids(spark, tmp_path, monkeypatch):
@@ -23,3 +24,14 @@ def test_packing_returns_the_ids(spark, tmp_path, monkeypatch):
             pieces[r["doc_id"]].append((r["start"], bytes(r["ids"])))
         for i, t in texts.items():
             assert b"".join(p for _, p in sorted(pieces[i])) == b"".join(x.to_bytes(4, "little") for x in [*whole_ids(t), 1])
+
+
+def test_line_dedup_returns_its_bitmaps(spark, tmp_path):
+    own = lambda i, k: f"line {k} of document {i}, which no other one has, as is plain to see"
+    texts = {i: "\n".join([LINE, own(i, 1), LINE, LINE, own(i, 2), LINE]) for i in range(6)} | {6: None, 7: "x\ny"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    for r in queries.op8_line_dedup(spark, f"file://{tmp_path}").collect():
+        lines = (texts[r["doc_id"]] or "").split("\n")
+        keep = line_dedup.gap_decode(r["keep_gaps"], r["n_lines"])
+        assert keep == [x != LINE or r["doc_id"] == 5 for x in lines] and r["n_dropped"] == keep.count(False)
+        assert r["kept_sha256"] == hashlib.sha256("\n".join(x for x, k in zip(lines, keep, strict=True) if k).encode()).hexdigest()
