@@ -40,15 +40,27 @@ def durable(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stage_path = path
+    return table
 
 
-def drop_stages(spark: SparkSession) -> None:
-    """Delete every table that durable() has written in this session."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables of durable() that nothing yet to run reads."""
+    for table in tables:
+        _delete(table.sparkSession, table.stage_path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete every table that durable() has written in this session and that was not released."""
+    _delete(spark, stage_root(spark))
+
+
 def kept(key: tuple, make: Callable):
     """What make() returned the first time in this process: for models and caches that the tasks of
     a Python worker share. Functions travel by value, so a module's own globals would not last."""

@@ -3,8 +3,9 @@
 1. Documents with equal shingle sets become one class; classes are what is joined.
 2. A class posts the tokens (shingle hashes) of its prefix: the prefixes of linked sets share several tokens,
    in any common order of tokens. The order puts tokens that many classes hold last, so that lists are
-   short; the counts behind it only choose the order, so they may leave out rare tokens. A class
-   whose posted tokens are mostly its own has no link and drops out.
+   short; the counts behind it only choose the order, so they may leave out rare tokens. The list of a
+   token known to be frequent is dealt to several tasks. A class whose posted tokens are mostly its own
+   has no link and drops out.
 3. Linked sets lie in one band of sizes or in two that follow each other. In each pair of bands, classes that
    share posted tokens, directly or over others, form blocks. Inside a block, in one task, the T-occurrence search finds for each set the smaller sets with at least T common tokens: short inverted
    lists are merged with a heap, long ones probed by binary search (DivideSkip), and sets that are
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, SLICE, durable, small_enough
+from .common import SLICE, durable, release, small_enough
 from .components import Union, components
 
 #: Classes and tokens that one task searches at a time.
@@ -45,29 +46,20 @@ MEMBERS = 8
 MU = 0.01
 #: A linked set shares at least 1 + SHARE of the tokens that it may miss with each other posted set.
 SHARE = 0.5
+#: Latest members of a component that a set meets before the others.
+RECENT = 3
+#: Postings of a token, by its known count, beyond which its list is dealt to several tasks.
+HOT = 256
+#: Words of 64 bits in the filter of wanted classes: 8 MB, whatever the input.
+FILTER_WORDS = 1 << 20
 #: Bytes of a text that are hashed at a time.
 PIECE = 1 << 20
 _RANDOM = np.random.default_rng(0x5EED)
 _MULTIPLIERS = (_RANDOM.integers(0, 1 << 63, 64, np.uint64) << np.uint64(1)) | np.uint64(1)
-#: A random number for each byte, 0 for white space: a word's hash is a sum over its bytes and places.
-_BYTES = _RANDOM.integers(1, 1 << 63, 256, np.uint64)
+#: Words of at most so many bytes are hashed by tabulation: a random number for each byte in each place.
+PLACES = 64
+_TABLE = _RANDOM.integers(0, (1 << 64) - 1, PLACES << 8, np.uint64, endpoint=True)
 _WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-
-
-class Powers:
-    """Powers of the step and of its inverse, modulo 2^64, as far as they were needed."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            one = np.ones(1, np.uint64)
-            with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.concatenate((one, np.full(n, _STEP, np.uint64))), dtype=np.uint64)
-                self.down = np.cumprod(np.concatenate((one, np.full(n, _BACK, np.uint64))), dtype=np.uint64)
-        return self.up, self.down
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -76,8 +68,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: bytes, powers: Powers) -> np.ndarray:
-    """64-bit hashes of the words of lower-cased bytes, in order; equal words have equal hashes."""
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of lower-cased bytes, in order; equal words have equal hashes.
+
+    Words of up to PLACES bytes take the sum of a random table's entries, so that no pattern of bytes
+    makes two of them meet more often than chance does; longer ones are hashed whole.
+    """
+    from xxhash import xxh3_64_intdigest
+
     out, at = [], 0
     while at < len(data):
         end = min(len(data), at + PIECE)
@@ -86,19 +84,23 @@ def word_hashes(data: bytes, powers: Powers) -> np.ndarray:
         piece = np.frombuffer(data, np.uint8, end - at, at)
         inside = ~_WHITE[piece]
         edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
-        starts, stops = edge[::2], edge[1::2]
-        up, down = powers.upto(len(piece) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[piece] * up[: len(piece)], dtype=np.uint64)))
-            out.append(_mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64)))
+        starts, sizes = edge[::2], edge[1::2] - edge[::2]
+        if len(starts):
+            first = np.cumsum(sizes) - sizes
+            letters = piece[inside]
+            place = np.minimum(np.arange(len(letters)) - np.repeat(first, sizes), PLACES - 1)
+            h = _mixed(np.add.reduceat(_TABLE[(place << 8) | letters], first) + sizes.astype(np.uint64))
+            for i in np.flatnonzero(sizes > PLACES).tolist():
+                h[i] = xxh3_64_intdigest(data[at + starts[i] : at + starts[i] + sizes[i]])
+            out.append(h)
         at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def shingle_set(text: bytes | str | None, size: int, powers: Powers) -> np.ndarray:
+def shingle_set(text: bytes | str | None, size: int) -> np.ndarray:
     """The sorted 64-bit hashes of a text's distinct shingles; of its whole sequence if it is shorter."""
     data = text.encode() if isinstance(text, str) else bytes(text or b"")
-    w = word_hashes(data.lower(), powers)  # bytes: ASCII letters and white space alone
+    w = word_hashes(data.lower())  # bytes: ASCII letters and white space alone
     if not len(w):
         return np.zeros(0, np.int64)
     n = min(size, len(w))
@@ -136,66 +138,87 @@ def size_band(n: int, num: int, den: int) -> int:
     return int(log(n) / max(1e-6, 1.0001 * log(den / num)))
 
 
-def in_order(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Tokens by their known count, then by hash: the common order."""
+def known_counts(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each token was counted; 0 for those not known to be frequent."""
     if not len(frequent):
-        return tokens
+        return np.zeros(len(tokens), np.int64)
     at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-    return tokens[np.argsort(np.where(frequent[at] == tokens, counts[at], 0), kind="stable")]
+    return np.where(frequent[at] == tokens, counts[at], 0)
 
 
 def t_occurrence(sets: list[np.ndarray], labels: list[int], num: int, den: int, mu: float = MU) -> list[tuple[int, int]]:
     """Links (i, j) between sets with den * intersection >= num * union that join all sets which links
-    connect; sets of one label count as connected from the start. Sets must be in order of size."""
-    sizes = [len(s) for s in sets]
-    known = Union()
+    connect; sets of one label count as connected from the start. Sets must be in order of size.
+
+    Each set first meets the latest members of each component, then all sets of the components that
+    it didn't join; so a family of copies is merged by a few lists of a few members.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
     apart = len(set(labels))
-    if apart < 2 or not sets:
+    if apart < 2:
         return []
+    part = np.unique(np.array(labels, np.int64), return_inverse=True)[1]  # each set's component
+    recent: dict[int, list[int]] = {}
+    shown = np.zeros(len(sets), bool)
     tokens, place, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(place, kind="stable")  # inverted lists, one after another, each ascending
-    posted, ends = owner[order], np.cumsum(df)
-    lists: dict[int, list[int]] = {}
+    posted, begins = owner[order], np.cumsum(df) - df
     place = np.split(place, np.cumsum(sizes)[:-1])
     links = []
-    for q in range(1, len(sets)):
-        n = sizes[q]
-        low = -(-num * n // den)
-        first = bisect_left(sizes, low, 0, q)
-        need = -(-num * (n + low) // (num + den))
-        mine = place[q][df[place[q]] > 1]
-        if first == q or len(mine) < need:
-            continue
-        found = []
-        for t in mine.tolist():
-            held = lists.get(t)
-            if held is None:
-                held = lists[t] = posted[ends[t] - df[t] : ends[t]].tolist()
-            a, b = bisect_left(held, first), bisect_left(held, q)
-            if a < b:
-                found.append(held[a:b])
-        if len(found) < need:
-            continue
-        found.sort(key=len)
+
+    def join(c: int, q: int):
+        a, b = int(part[c]), int(part[q])
+        part[part == b] = a
+        both = sorted(recent.pop(a, []) + recent.pop(b, []))
+        shown[both[:-RECENT]] = False
+        recent[a] = both[-RECENT:]
+        links.append((c, q))
+
+    def skip(q: int, who: np.ndarray, of: np.ndarray, need: int):
+        """DivideSkip over the lists (of) of earlier sets (who): merge the short ones, probe the long ones."""
+        cuts = np.flatnonzero(np.diff(of)) + 1
+        if len(who) == 0 or len(cuts) + 1 < need:
+            return
+        found = sorted((x.tolist() for x in np.split(who, cuts)), key=len)
         n_long = min(need - 1, int(need / (mu * log2(len(found[-1]) + 1) + 1)))
         short, long = found[: len(found) - n_long], found[len(found) - n_long :]
         for c, run in groupby(merge(*short)):
             count = sum(1 for _ in run)
-            if count < need - n_long or known.root(labels[c]) == known.root(labels[q]):
+            if count < need - n_long or part[c] == part[q]:
                 continue
-            wanted = -(-num * (n + sizes[c]) // (num + den))
+            wanted = -(-num * (len(sets[q]) + len(sets[c])) // (num + den))
             for k in range(len(long) - 1, -1, -1):
                 if count >= wanted or count + k + 1 < wanted:
                     break
                 at = bisect_left(long[k], c)
                 count += at < len(long[k]) and long[k][at] == c
             if count >= wanted:
-                known.join(labels[c], labels[q])
-                links.append((c, q))
-                apart -= 1
-                if apart < 2:
-                    return links
+                join(c, q)
+
+    for q in range(len(sets)):
+        n = len(sets[q])
+        low = -(-num * n // den)
+        first = int(np.searchsorted(sizes[:q], low))
+        need = -(-num * (n + low) // (num + den))
+        mine = place[q][df[place[q]] > 1]
+        if first < q and len(mine) >= need:
+            lens = df[mine]
+            who = posted[np.repeat(begins[mine] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
+            of = np.repeat(np.arange(len(mine)), lens)
+            here = (who >= first) & (who < q) & (part[who] != part[q])
+            who, of = who[here], of[here]
+            met = shown[who]
+            skip(q, who[met], of[met], need)
+            here = ~met & (part[who] != part[q])
+            skip(q, who[here], of[here], need)
+            if len(links) >= apart - 1:
+                return links
+        mates = recent.setdefault(int(part[q]), [])
+        mates.append(q)
+        shown[q] = True
+        if len(mates) > RECENT:
+            shown[mates.pop(0)] = False
     return links
 
 
@@ -203,14 +226,14 @@ _DOCS = [T.StructField(n, T.LongType()) for n in ("cls", "n", "token", "times")]
 
 
 def _read_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """A row (id, cls, n) for each document, and rows (token, times) of prefix tokens, by hash order,
-    that classes of one task share."""
+    """A row (id, cls, n) for each document, and rows (token, times) of tokens that classes of one
+    task share."""
     kind = docs.schema["_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *_DOCS, T.StructField("is_doc", T.BooleanType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, waiting, held, seen = Powers(), [], 0, set()
+        waiting, held, seen = [], 0, set()
 
         def counted():
             t, k = np.unique(np.concatenate(waiting), return_counts=True)
@@ -223,12 +246,12 @@ def _read_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 part = batch.slice(at, SLICE)
                 classes, sizes = [], []
                 for text in part.column(1).to_pylist():
-                    tokens = shingle_set(text, size, powers)
+                    tokens = shingle_set(text, size)
                     classes.append(class_of(tokens))
                     sizes.append(len(tokens))
                     if len(tokens) and classes[-1] not in seen:
                         seen.add(classes[-1])
-                        waiting.append(tokens[: prefix_length(len(tokens), num, den)])
+                        waiting.append(tokens)
                         held += len(waiting[-1])
                 k = len(classes)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([True] * k)], schema=arrow)
@@ -244,71 +267,118 @@ def _read_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, size: int, num: int, den: int, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """token, cls, need and band: the prefix of each class, in the common order, how many of its tokens
-    a linked set would share, and the band of its size; copies within a task post once."""
+    """The prefix of each class, in the common order: tokens by known count, then by hash.
+
+    Columns: token, cls; need, how many posted tokens a linked set would share; own, the band of its size;
+    salts, in how many parts a frequent token's list is dealt, and salt, the part of this class.
+    Copies within a task post once.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((frequent, counts))  # MOST_FREQUENT rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, seen = Powers(), set()
+        seen = set()
         frequent, counts = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                out, of, need, band = [np.zeros(0, np.int64)], [], [], []
+                out, often, of, need, band = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [], []
                 for text in batch.column(0).slice(at, SLICE).to_pylist():
-                    tokens = shingle_set(text, size, powers)
+                    tokens = shingle_set(text, size)
                     cls = class_of(tokens)
                     if cls is None or cls in seen:
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(cls)
-                    out.append(in_order(tokens, frequent, counts)[: prefix_length(len(tokens), num, den)])
-                    of += [cls] * len(out[-1])
-                    need += [must_share(-(-num * len(tokens) // den), num, den)] * len(out[-1])
-                    band += [size_band(len(tokens), num, den)] * len(out[-1])
-                columns = [pa.array(np.concatenate(out)), pa.array(of, pa.int64()), pa.array(need, pa.int32()), pa.array(band, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "cls", "need", "band"])
+                    n, times = len(tokens), known_counts(tokens, frequent, counts)
+                    chosen = np.argsort(times, kind="stable")[: prefix_length(n, num, den)]
+                    out.append(tokens[chosen])
+                    often.append(times[chosen])
+                    k = len(chosen)
+                    of += [cls] * k
+                    need += [must_share(-(-num * n // den), num, den)] * k
+                    band += [size_band(n, num, den)] * k
+                salts = 1 + np.concatenate(often) // HOT
+                classes = np.array(of, np.int64)
+                salt = (_mixed(classes.view(np.uint64)) % salts.astype(np.uint64)).astype(np.int32)
+                columns = [pa.array(np.concatenate(out)), pa.array(classes), pa.array(need, pa.int32()), pa.array(band, pa.int32()), pa.array(salts.astype(np.int32)), pa.array(salt)]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "cls", "need", "own", "salts", "salt"])
 
-    return docs.select("_text").mapInArrow(run, "token long, cls long, need int, band int")
+    return docs.select("_text").mapInArrow(run, "token long, cls long, need int, own int, salts int, salt int")
+
+
+def _needed(posts: DataFrame, of: list[str]) -> DataFrame:
+    """The posts of classes (of) that keep as many as they need."""
+    return posts.withColumn("_kept", F.count(F.lit(1)).over(Window.partitionBy(*of))).where("_kept >= need").drop("_kept")
+
+
+def _posted_twice(posts: DataFrame) -> DataFrame:
+    """The posts of tokens that two classes hold, of classes that keep as many as they need.
+
+    A list in parts isn't looked at, as its token is known to be frequent. A class posts each token once
+    for each task that read a copy of it; this can only keep a class that could go.
+    """
+    w = Window.partitionBy("token", "salt")
+    told = (F.col("salts") > 1) | (F.min("cls").over(w) < F.max("cls").over(w))
+    return _needed(posts.withColumn("_told", told).where("_told").drop("_told"), ["cls"])
 
 
-def _shared(posts: DataFrame, by: list[str], of: list[str], member: str = "cls") -> DataFrame:
-    """The posts of lists (by) that hold two members, of classes (of) that keep as many as they need.
+def _shared(posts: DataFrame, member: str = "cls") -> DataFrame:
+    """The posts of lists (token, band) that hold two members, of classes that keep as many as they need.
 
     In a pair of bands, a list counts only if it holds a set of the lower band, since the others also
-    meet in the next pair. A class posts each token once for each task that read a copy of it; this can
-    only keep a class that could go.
+    meet in the next pair. Of a list in parts, the parts' minima and maxima are put together.
     """
-    lists, classes = Window.partitionBy(*by), Window.partitionBy(*of)
-    told = F.min(member).over(lists) < F.max(member).over(lists)
-    if "band" in by:
-        told = told & (F.min("own").over(lists) == F.col("band"))
-    posts = posts.withColumn("_told", told).where("_told").drop("_told")
-    return posts.withColumn("_kept", F.count(F.lit(1)).over(classes)).where("_kept >= need").drop("_kept")
+    by = ["token", "band"]
+    w = Window.partitionBy(*by)
+    told = (F.min(member).over(w) < F.max(member).over(w)) & (F.min("own").over(w) == F.col("band"))
+    cold = posts.where("salts = 1").withColumn("_told", told).where("_told").drop("_told")
+    hot = posts.where("salts > 1")
+    lists = hot.groupBy(*by, "salts").agg(F.min(member).alias("_lo"), F.max(member).alias("_hi"), F.min("own").alias("_own")).where("_lo < _hi AND _own = band")
+    lists = lists.select(*by, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return _needed(cold.unionByName(hot.join(lists, [*by, "salt"], "left_semi")), ["cls", "band"])
+
+
+def _edges(active: DataFrame) -> DataFrame:
+    """Edges (a, b) that join all labels of each list (token, band), within the band: each label to the
+    smallest of its part, and these to the smallest of all parts."""
+    by = ["token", "band"]
+    near = active.withColumn("hub", F.min("label").over(Window.partitionBy(*by, "salt"))).where("label <> hub").select("label", "hub", "band")
+    parts = active.where("salts > 1").groupBy(*by, "salt").agg(F.min("label").alias("label"))
+    far = parts.withColumn("hub", F.min("label").over(Window.partitionBy(*by))).where("label <> hub").select("label", "hub", "band")
+    return near.unionByName(far).select(F.xxhash64("label", "band").alias("a"), F.xxhash64("hub", "band").alias("b")).distinct()
+
+
+def _filter_of(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_WORDS words, put together on the executors, with a bit for each class (cls)."""
+    at = F.col("cls").bitwiseAND(F.lit(FILTER_WORDS * 64 - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))
+    words = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(FILTER_WORDS, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """uid, cls, n and tokens (64-bit integers, as bytes) of the wanted classes (cls).
+    """uid, cls, n and tokens (64-bit integers, as bytes) of the wanted classes (cls), and of some others.
 
-    A class comes once from each task that holds a copy; uid tells these apart.
+    A class comes once from each task that holds a copy; uid tells these apart. Classes are let through
+    by a filter of fixed size; later steps pick theirs by uid, so one that is let through in vain only takes space.
     """
-    sent = None
-    if small_enough(wanted, 8):
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["cls"].to_numpy()))
+    sent = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        powers, seen = Powers(), set()
-        held, uid = None if sent is None else sent.value, TaskContext.get().partitionId() << 36
+        seen, held, uid = set(), sent.value, TaskContext.get().partitionId() << 36
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 out, of = [], []
                 for text in batch.column(0).slice(at, SLICE).to_pylist():
-                    tokens = shingle_set(text, size, powers)
+                    tokens = shingle_set(text, size)
                     cls = class_of(tokens)
                     if cls is None or cls in seen:
                         continue
-                    if held is not None and not (len(held) and held[min(np.searchsorted(held, cls), len(held) - 1)] == cls):
+                    place = cls & (FILTER_WORDS * 64 - 1)
+                    if not int(held[place >> 6]) >> (place & 63) & 1:
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(cls)
@@ -317,8 +387,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 uids, uid = range(uid, uid + len(of)), uid + len(of)
                 yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(of, pa.int64()), pa.array([len(t) // 8 for t in out], pa.int64()), pa.array(out, pa.binary())], names=["uid", "cls", "n", "tokens"])
 
-    sets = docs.select("_text").mapInArrow(run, "uid long, cls long, n long, tokens binary")
-    return sets if sent is not None else sets.join(wanted, "cls", "left_semi")  # too many to send: match by a shuffle
+    return docs.select("_text").mapInArrow(run, "uid long, cls long, n long, tokens binary")
 
 
 def _search(units: DataFrame, num: int, den: int) -> DataFrame:
@@ -399,36 +468,36 @@ def class_components(docs: DataFrame, size: int, num: int, den: int, block_sets:
     often = often.orderBy(F.col("times").desc(), "token").limit(MOST_FREQUENT).toArrow()
     order = np.argsort(often["token"].to_numpy())
     frequent, counts = often["token"].to_numpy()[order], often["times"].to_numpy()[order]
-    posts = durable(_shared(_postings(docs, size, num, den, frequent, counts), ["token"], ["cls"]), "join-posts")
+    posts = durable(_posted_twice(_postings(docs, size, num, den, frequent, counts)), "join-posts")
     # each set joins those of its band and of the one before
-    posts = posts.withColumnRenamed("band", "own").withColumn("band", F.explode(F.array("own", F.col("own") - 1)))
-    for _ in range(2):  # as classes drop out, lists shrink
-        posts = _shared(posts, ["token", "band"], ["cls", "band"])
-    posts = durable(posts, "join-posts")
+    banded = durable(_shared(posts.withColumn("band", F.explode(F.array("own", F.col("own") - 1)))), "join-posts")
+    release(posts)
+    posts = durable(_shared(banded), "join-posts")  # as classes drop out, lists shrink
+    release(banded)
     wanted = durable(posts.select("cls").distinct(), "join-wanted")
     sets = durable(_sets_of(docs, wanted, size), "join-classes", compression="none")
-    picked = durable(sets.groupBy("cls", "n").agg(F.min("uid").alias("uid")), "join-picked")
+    picked = durable(sets.join(wanted, "cls", "left_semi").groupBy("cls", "n").agg(F.min("uid").alias("uid")), "join-picked")
     labels = links = None
     for step in ("shards", "members", "pairs"):
         # a link yet to be found shares enough tokens, and all of these are in lists of two components
-        active = durable(_shared(_labelled(posts, labels), ["token", "band"], ["cls", "band"], "label"), "join-active")
+        active = durable(_shared(_labelled(posts, labels), "label"), "join-active")
         if active.isEmpty():
             break
-        node, hub = F.xxhash64("label", "band"), F.xxhash64("hub", "band")
-        hubs = active.groupBy("token", "band").agg(F.min("label").alias("hub"))
-        edges = active.join(hubs, ["token", "band"]).where("label <> hub").select(node.alias("a"), hub.alias("b"))
-        blocks = components(edges.distinct())
+        node = F.xxhash64("label", "band")
+        blocks = components(_edges(active))
         blocks = durable(blocks.select(F.col("node").alias("_node"), F.col("label").alias("_block")), "join-blocks")
         held = active.select("cls", "label", "band").distinct().withColumn("node", node).join(blocks, F.col("node") == F.col("_node"), "left")
         held = durable(held.select("cls", "label", "band", F.coalesce("_block", "node").alias("block")).join(picked, "cls"), "join-held")
         units, settled = _units(held, step, block_sets, block_tokens)
         units = durable(units.select("unit", "label", "uid"), "join-units")
-        if small_enough(units, 64):
-            units = F.broadcast(units)
-        found = durable(_search(sets.join(units, "uid"), num, den), "join-links")
-        posts = durable(posts.join(settled, ["cls", "band"], "left_anti"), "join-posts")
+        sent = F.broadcast(units) if small_enough(units, 64) else units
+        found = durable(_search(sets.join(sent, "uid"), num, den), "join-links")
+        left = durable(posts.join(settled, ["cls", "band"], "left_anti"), "join-posts")
+        release(posts, active, blocks, held, units)
+        posts = left
         links = found if links is None else links.unionByName(found)
         labels = durable(components(links), "join-labels")
+    release(posts, wanted, sets, picked)
     return rows, labels
 
 
@@ -470,6 +539,5 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_c
     place = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.col(row).alias("row")))
     found = _with_component(held.select(place.alias("_id"), F.col(text_col).cast("binary").alias("_text")), size, num, den, block_sets, block_tokens)
     gone = durable(found.where("doc_id.row <> component_id.row").select(F.col("doc_id.row").alias(row)), "join-gone")
-    if small_enough(gone, 16):
-        gone = F.broadcast(gone)
-    return held.join(gone, row, "left_anti").select(*columns)
+    # one plan for every size: rows are dealt by their numbers, and those that go are a task's hash table
+    return held.join(gone.hint("shuffle_hash"), row, "left_anti").select(*columns)
