@@ -2,9 +2,11 @@
 
 The hashes of all keys are range-partitioned by hash and document, and each partition is sorted by hash,
 document and position, so the occurrences of a key stream past in order and the first of each document
-is kept. A key that a third of all documents hold spreads over many partitions, since the document is part
-of the range. The first occurrences are counted for each key where they lie before anything is shuffled. What returns to the documents is the set of keys each of them loses, and
-the result is a gap-coded keep bitmap for each document, not a text.
+is counted. A key that a third of all documents hold spreads over many ranges, since the document is part
+of the range; each range counts its own documents, the ranges' counts are put together, and the verdict
+goes back to each range. What returns to a document is its keep bitmap, coded as runs of kept lines, not
+a text; it is made from the table of keys alone. Texts are only read again to apply the bitmaps. All
+joins are by shuffle, so that the plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, small_enough
+from .common import durable, release
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
 #: The white space that keys lose at both ends, and the letters that they fold.
@@ -42,100 +44,106 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def dropped_keys(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc (not null) and keys, the hashes of the keys whose lines it loses; a row for each document
-    that loses any."""
+def text_mark(text: Column) -> Column:
+    """Tells the texts of rows that share an id apart."""
+    return F.xxhash64(text)
+
+
+def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc (not null), mark (its text's) and drop, the ascending positions of the lines that it loses; a
+    row for each document and text that loses any."""
     lines = docs.where(F.col(id_col).isNotNull() & (F.char_length(text_col) >= least_chars))
-    lines = lines.select(F.col(id_col).alias("doc"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
-    keys = lines.select("doc", "pos", key_hash(F.col("line"), least_chars).alias("key")).where("key IS NOT NULL").select("key.h", "key.g", "doc", "pos")
+    lines = lines.select(F.col(id_col).alias("doc"), text_mark(F.col(text_col)).alias("mark"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
+    keys = lines.select("doc", "mark", "pos", key_hash(F.col("line"), least_chars).alias("key")).where("key IS NOT NULL").select("key.h", "key.g", "doc", "mark", "pos")
     keys = durable(keys, "line-keys")
     place = F.row_number().over(Window.partitionBy("h", "g", "doc").orderBy("pos"))  # on the ranges and their sort
-    ordered = keys.repartitionByRange("h", "g", "doc").withColumn("_place", place)
-    firsts = durable(ordered.where("_place = 1").select("h", "g", "doc"), "line-firsts")
-    common = firsts.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= least_docs)
-    common = durable(common.select("h", "g", "keeper"), "line-common")
-    if small_enough(common, 64):
-        common = F.broadcast(common)
-    lost = firsts.join(common, ["h", "g"]).where(F.col("doc") != F.col("keeper"))
-    return lost.groupBy("doc").agg(F.collect_list(F.struct("h", "g")).alias("keys"))
+    ordered = keys.repartitionByRange("h", "g", "doc").withColumns({"first": place == 1, "part": F.spark_partition_id()})
+    ordered = durable(ordered, "line-ordered")
+    release(keys)
+    parts = ordered.where("first").groupBy("h", "g", "part").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("doc"))
+    by_key = Window.partitionBy("h", "g")  # a row for each range that holds the key
+    common = parts.withColumns({"n": F.sum("n").over(by_key), "keeper": F.max("doc").over(by_key)}).where(F.col("n") >= least_docs)
+    lost = ordered.join(common.select("h", "g", "part", "keeper"), ["h", "g", "part"]).where(F.col("doc") != F.col("keeper"))
+    return lost.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+
+
+def keep_runs(drop: Column, n_lines: Column) -> Column:
+    """The keep bitmap as runs of kept lines, {first, n}: what lies between the ascending positions dropped."""
+    before = F.transform(drop, lambda p, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(drop, i - 1) + 1).alias("first"), p.alias("end")))
+    last = F.struct((F.element_at(drop, -1) + 1).alias("first"), n_lines.alias("end"))
+    runs = F.transform(F.concat(before, F.array(last)), lambda r: F.struct(r["first"].alias("first"), (r["end"] - r["first"]).alias("n")))
+    return F.filter(runs, lambda r: r["n"] > 0)
+
+
+def runs_text(runs: Column) -> Column:
+    """Runs as text: first:n, in order, comma-joined."""
+    return F.array_join(F.transform(runs, lambda r: F.concat_ws(":", r["first"], r["n"])), ",")
+
+
+def runs_decode(text: str, n_lines: int) -> list[bool]:
+    """The keep bitmap that runs_text() wrote, a flag for each line."""
+    keep = [False] * n_lines
+    for run in text.split(",") if text else []:
+        first, n = map(int, run.split(":"))
+        keep[first : first + n] = [True] * n
+    return keep
+
+
+def kept_text(text: Column, runs: Column) -> Column:
+    """The lines of the runs, joined; each run is cut out at once."""
+    cut = lambda lines: F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(lines, r["first"] + 1, r["n"]))), "\n")
+    return F.get(F.transform(F.array(lines_of(text)), cut), F.lit(0))
 
 
 def with_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with _lines, its lines, and _drop, the ascending positions of the lines that it loses.
+    """docs with _lines, their number, and _runs, the keep bitmap, null where all lines stay.
 
     A null text is one empty line. Rows with a null id are not counted as documents and lose
     nothing. Rows that share an id are one document: a key is lost from all of them or from none.
+    A document may lose any number of lines; the work is in proportion to its lines.
     """
-    lost = durable(dropped_keys(docs, least_chars, least_docs, id_col, text_col), "line-lost").withColumnRenamed("doc", "_doc").withColumnRenamed("keys", "_keys")
-    held = lost.agg(F.coalesce(F.sum(F.size("_keys")), F.lit(0)).alias("keys"), F.count(F.lit(1)).alias("docs")).first()
-    if 48 * held["keys"] + 64 * held["docs"] <= 32 << 20:
-        lost = F.broadcast(lost)
-    lines = docs.join(lost, F.col(id_col) == F.col("_doc"), "left").withColumn("_lines", lines_of(F.col(text_col)))
-    gone = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.array_contains(F.col("_keys"), key_hash(F.get(F.col("_lines"), i), least_chars)))
-    return lines.withColumn("_drop", F.when(F.col("_keys").isNull(), F.array().cast("array<int>")).otherwise(gone)).drop("_doc", "_keys")
-
-
-def kept_text(lines: Column, drop: Column) -> Column:
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(drop, i))
-    return F.array_join(F.when(F.size(drop) == 0, lines).otherwise(kept), "\n")
-
-
-def gap_code(drop: Column) -> Column:
-    """Ascending positions as the number of kept lines before each dropped one: a compressed bitmap."""
-    return F.transform(drop, lambda p, i: p - F.when(i == 0, F.lit(-1)).otherwise(F.get(drop, i - 1)) - 1)
-
-
-def gap_positions(gaps: Column) -> Column:
-    """The ascending positions that gap_code() compressed."""
-    at = lambda s, g: s["at"] + g + 1
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("seen"))
-    return F.aggregate(gaps, start, lambda s, g: F.struct(at(s, g).alias("at"), F.concat(s["seen"], F.array(at(s, g))).alias("seen")), lambda s: s["seen"])
-
-
-def gap_decode(gaps: list[int], n_lines: int) -> list[bool]:
-    """The keep bitmap that gap_code() compressed, a flag for each line."""
-    keep, at = [True] * n_lines, -1
-    for g in gaps:
-        at += g + 1
-        keep[at] = False
-    return keep
+    lost = durable(dropped_lines(docs, least_chars, least_docs, id_col, text_col), "line-lost")
+    lost = lost.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("drop").alias("_drop")).hint("shuffle_hash")
+    same = (F.col(id_col) == F.col("_doc")) & (text_mark(F.col(text_col)) == F.col("_mark"))
+    found = docs.join(lost, same, "left").withColumn("_lines", F.size(lines_of(F.col(text_col))))
+    runs = F.when(F.col("_drop").isNotNull(), keep_runs(F.col("_drop"), F.col("_lines")))
+    return found.withColumn("_runs", runs).drop("_doc", "_mark", "_drop")
 
 
 def line_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_dropped, keep_gaps (the keep bitmap, gap-coded) and kept_sha256 of every row.
+    """doc_id, n_lines, n_dropped, keep_runs (the keep bitmap, as in runs_text()) and kept_sha256 of every row.
 
-    The number of dropped lines and the hash are those of the bitmap, decoded.
+    The number of dropped lines and the hash are those of the bitmap.
     Other columns of docs are not read; an empty table gives an empty one; cases as in with_bitmaps().
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = with_bitmaps(slim, least_chars, least_docs).withColumn("keep_gaps", gap_code(F.col("_drop")))
-    found = found.withColumn("_lost", gap_positions(F.col("keep_gaps")))
-    return found.select(
+    found = with_bitmaps(slim, least_chars, least_docs)
+    all_lines = F.array(F.struct(F.lit(0).alias("first"), F.col("_lines").alias("n")))
+    kept = F.when(F.col("_runs").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept_text(F.col("text"), F.col("_runs")))
+    n_kept = F.aggregate("_all", F.lit(0), lambda n, r: n + r["n"])
+    return found.withColumn("_all", F.coalesce("_runs", all_lines)).select(
         "doc_id",
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.size("keep_gaps").cast("long").alias("n_dropped"),
-        "keep_gaps",
-        F.sha2(F.encode(kept_text(F.col("_lines"), F.col("_lost")), "UTF-8"), 256).alias("kept_sha256"),
+        F.col("_lines").cast("long").alias("n_lines"),
+        (F.col("_lines") - n_kept).cast("long").alias("n_dropped"),
+        runs_text(F.col("_all")).alias("keep_runs"),
+        F.sha2(F.encode(kept, "UTF-8"), 256).alias("kept_sha256"),
     )
 
 
-def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def drop_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs without the lines that they lose; chars_col, if there, is counted again where lines went.
 
     Rows stay, even if all of their lines go; null texts stay null. All columns as they were.
     """
     columns = docs.columns
-    packed = docs.select(F.col("doc_id").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*columns).alias("_row"))
+    packed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*(c for c in columns if c != text_col)).alias("_row"))
     found = with_bitmaps(packed, least_chars, least_docs)
-    some = F.size("_drop") > 0
-    text = F.when(some, kept_text(F.col("_lines"), F.col("_drop"))).otherwise(F.col("text"))
-    found = found.withColumn("_new", text)
+    some = F.col("_runs").isNotNull()
+    found = found.withColumn("_new", F.when(some, kept_text(F.col("text"), F.col("_runs"))).otherwise(F.col("text")))
     out = []
     for c in columns:
-        old = F.col("_row")[c]
-        if c == text_col:
-            old = F.col("_new")
-        elif c == chars_col:
+        old = F.col("_new") if c == text_col else F.col("_row")[c]
+        if c == chars_col:
             old = F.when(some, F.char_length("_new").cast(docs.schema[c].dataType)).otherwise(old)
         out.append(old.alias(c))
     return found.select(*out)

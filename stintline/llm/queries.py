@@ -71,7 +71,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_bitmaps(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256", "keep_gaps")
+    return line_dedup.line_bitmaps(read(spark, sf_dir, "documents"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,10 +140,12 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text,
 l AS (SELECT r, doc_id, i, lines[i] AS line, {_FOLD.format("trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key
   FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d)),
 k AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-f AS (SELECT r, l.doc_id, i, line, coalesce(l.doc_id <> keeper, false) AS gone FROM l LEFT JOIN k ON l.key = k.key)
-SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+f AS (SELECT r, l.doc_id, i, line, coalesce(l.doc_id <> keeper, false) AS gone FROM l LEFT JOIN k ON l.key = k.key),
+u AS (SELECT r, concat(min(i) - 1, ':', count(*)) AS run, min(i) AS i FROM (SELECT r, i, i - row_number() OVER (PARTITION BY r ORDER BY i) AS island FROM f WHERE NOT gone) GROUP BY r, island),
+b AS (SELECT r, string_agg(run, ',' ORDER BY i) AS runs FROM u GROUP BY r)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(any_value(runs), '') AS keep_runs,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM f GROUP BY r""",
+FROM f LEFT JOIN b USING (r) GROUP BY r""",
     "op6_ngram_join": rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),

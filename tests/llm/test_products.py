@@ -32,6 +32,29 @@ def test_line_dedup_returns_its_bitmaps(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
     for r in queries.op8_line_dedup(spark, f"file://{tmp_path}").collect():
         lines = (texts[r["doc_id"]] or "").split("\n")
-        keep = line_dedup.gap_decode(r["keep_gaps"], r["n_lines"])
+        keep = line_dedup.runs_decode(r["keep_runs"], r["n_lines"])
         assert keep == [x != LINE or r["doc_id"] == 5 for x in lines] and r["n_dropped"] == keep.count(False)
         assert r["kept_sha256"] == hashlib.sha256("\n".join(x for x, k in zip(lines, keep, strict=True) if k).encode()).hexdigest()
+
+
+def test_long_documents_lose_many_lines_in_linear_time(spark):
+    """20,000 lines, every second of them lost, in seconds."""
+    import time
+
+    shared = [f"shared line {k} that a handful of documents hold, word for word" for k in range(10_000)]
+    texts = {i: "\n".join(x for k, s in enumerate(shared) for x in (s, f"{i}.{k}")) for i in range(5)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup.line_bitmaps(docs).collect()}
+    assert time.time() - began < 60
+    for i, t in texts.items():
+        kept = t if i == 4 else "\n".join(f"{i}.{k}" for k in range(10_000))
+        assert got[i] == (20_000, 0 if i == 4 else 10_000, hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_line_dedup_tells_texts_of_one_id_apart(spark):
+    rows = [(i, f"{LINE}\nown {i}") for i in range(6)] + [(2, f"a\n{LINE}"), (None, LINE), (None, LINE), (None, None)]
+    cut = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r["doc_id"], r["text"]) for r in cut.collect()), key=repr)
+    want = [(i, f"own {i}") for i in range(5)] + [(5, f"{LINE}\nown 5"), (2, "a"), (None, LINE), (None, LINE), (None, None)]
+    assert got == sorted(want, key=repr)

@@ -372,7 +372,7 @@ def plain_lines(rows):
 
 
 def test_line_dedup(docs, none):
-    got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"], tuple(line_dedup.gap_decode(r["keep_gaps"], r["n_lines"]))) for r in line_dedup.line_bitmaps(docs).collect())
+    got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"], tuple(line_dedup.runs_decode(r["keep_runs"], r["n_lines"]))) for r in line_dedup.line_bitmaps(docs).collect())
     assert got == plain_lines(ROWS)
     assert line_dedup.line_bitmaps(none).count() == 0
     cut = line_dedup.drop_lines(docs)
