@@ -32,7 +32,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import types as T
 
 from .common import SLICE, durable, release, small_enough
-from .components import Union, components
+from .components import components
+from .hashing import mixed, window_hashes, word_hashes
 
 #: Classes and tokens that one task searches at a time.
 BLOCK_SETS, BLOCK_TOKENS = 1024, 600_000
@@ -52,65 +53,13 @@ RECENT = 3
 HOT = 256
 #: Words of 64 bits in the filter of wanted classes: 8 MB, whatever the input.
 FILTER_WORDS = 1 << 20
-#: Bytes of a text that are hashed at a time.
-PIECE = 1 << 20
-_RANDOM = np.random.default_rng(0x5EED)
-_MULTIPLIERS = (_RANDOM.integers(0, 1 << 63, 64, np.uint64) << np.uint64(1)) | np.uint64(1)
-#: Words of at most so many bytes are hashed by tabulation: a random number for each byte in each place.
-PLACES = 64
-_TABLE = _RANDOM.integers(0, (1 << 64) - 1, PLACES << 8, np.uint64, endpoint=True)
-_WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of lower-cased bytes, in order; equal words have equal hashes.
-
-    Words of up to PLACES bytes take the sum of a random table's entries, so that no pattern of bytes
-    makes two of them meet more often than chance does; longer ones are hashed whole.
-    """
-    from xxhash import xxh3_64_intdigest
-
-    out, at = [], 0
-    while at < len(data):
-        end = min(len(data), at + PIECE)
-        while end < len(data) and not _WHITE[data[end]]:
-            end += 1  # a piece ends with a word
-        piece = np.frombuffer(data, np.uint8, end - at, at)
-        inside = ~_WHITE[piece]
-        edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
-        starts, sizes = edge[::2], edge[1::2] - edge[::2]
-        if len(starts):
-            first = np.cumsum(sizes) - sizes
-            letters = piece[inside]
-            place = np.minimum(np.arange(len(letters)) - np.repeat(first, sizes), PLACES - 1)
-            h = _mixed(np.add.reduceat(_TABLE[(place << 8) | letters], first) + sizes.astype(np.uint64))
-            for i in np.flatnonzero(sizes > PLACES).tolist():
-                h[i] = xxh3_64_intdigest(data[at + starts[i] : at + starts[i] + sizes[i]])
-            out.append(h)
-        at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingle_set(text: bytes | str | None, size: int) -> np.ndarray:
     """The sorted 64-bit hashes of a text's distinct shingles; of its whole sequence if it is shorter."""
     data = text.encode() if isinstance(text, str) else bytes(text or b"")
     w = word_hashes(data.lower())  # bytes: ASCII letters and white space alone
-    if not len(w):
-        return np.zeros(0, np.int64)
-    n = min(size, len(w))
-    with np.errstate(over="ignore"):
-        h = np.full(len(w) - n + 1, n, np.uint64)
-        for i in range(n):
-            h += w[i : len(w) - n + 1 + i] * _MULTIPLIERS[i % 64]
-            if i % 64 == 63:
-                h = _mixed(h)
-        return np.unique(_mixed(h).view(np.int64))
+    return np.unique(window_hashes(w, min(size, len(w))).view(np.int64)) if len(w) else np.zeros(0, np.int64)
 
 
 def class_of(tokens: np.ndarray) -> int | None:
@@ -298,7 +247,7 @@ def _postings(docs: DataFrame, size: int, num: int, den: int, frequent: np.ndarr
                     band += [size_band(n, num, den)] * k
                 salts = 1 + np.concatenate(often) // HOT
                 classes = np.array(of, np.int64)
-                salt = (_mixed(classes.view(np.uint64)) % salts.astype(np.uint64)).astype(np.int32)
+                salt = (mixed(classes.view(np.uint64)) % salts.astype(np.uint64)).astype(np.int32)
                 columns = [pa.array(np.concatenate(out)), pa.array(classes), pa.array(need, pa.int32()), pa.array(band, pa.int32()), pa.array(salts.astype(np.int32)), pa.array(salt)]
                 yield pa.RecordBatch.from_arrays(columns, names=["token", "cls", "need", "own", "salts", "salt"])
 

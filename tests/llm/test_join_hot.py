@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 
-from stintline.llm import ngram_join
+from stintline.llm import hashing, ngram_join
 from test_small import near_copies, plain_components, rows_of
 
 
@@ -18,7 +18,7 @@ def thue_morse(n):
 def test_words_that_mirror_each_other_have_hashes_of_their_own(n):
     word = thue_morse(n)
     other = word.translate(str.maketrans("ab", "ba"))
-    a, b, c = ngram_join.word_hashes(f"{word} {other}\t{word}".encode()).tolist()
+    a, b, c = hashing.word_hashes(f"{word} {other}\t{word}".encode()).tolist()
     assert a == c != b
     assert not set(ngram_join.shingle_set(f"{word} x", 5).tolist()) & set(ngram_join.shingle_set(f"{other} x", 5).tolist())
 
@@ -26,11 +26,11 @@ def test_words_that_mirror_each_other_have_hashes_of_their_own(n):
 def test_word_hashes_go_by_words_alone(monkeypatch):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcé") for _ in range(rng.choice((1, 2, 5, 63, 64, 65, 200)))) for _ in range(400)]
-    one = ngram_join.word_hashes("  ".join(words).encode()).tolist()
+    one = hashing.word_hashes("  ".join(words).encode()).tolist()
     assert len({*zip(words, one, strict=True)}) == len(set(words)) == len(set(one))
-    monkeypatch.setattr(ngram_join, "PIECE", 50)
-    assert ngram_join.word_hashes("\n".join(words).encode()).tolist() == one
-    assert len(ngram_join.word_hashes(b" \t ")) == 0
+    monkeypatch.setattr(hashing, "PIECE", 50)
+    assert hashing.word_hashes("\n".join(words).encode()).tolist() == one
+    assert len(hashing.word_hashes(b" \t ")) == 0
 
 
 @pytest.mark.parametrize("hot", [3, 20])

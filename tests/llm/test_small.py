@@ -188,9 +188,10 @@ def plain_contamination(text):
     return len(words), len(hit), tuple(sorted(items))
 
 
-@pytest.mark.parametrize("block_grams", [decontaminate.BLOCK_GRAMS, 3])
-def test_decontamination(spark, docs, none, block_grams, monkeypatch):
-    monkeypatch.setattr(decontaminate.benchmark_hits, "__defaults__", (*decontaminate.benchmark_hits.__defaults__[:-1], block_grams))
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 250])
+def test_decontamination(spark, docs, none, block_bytes, monkeypatch):
+    monkeypatch.setattr(decontaminate.benchmark_hits, "__defaults__", (*decontaminate.benchmark_hits.__defaults__[:-1], block_bytes))
+    monkeypatch.setattr(decontaminate.contamination, "__defaults__", (*decontaminate.contamination.__defaults__[:-1], block_bytes))
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     words = BENCH[0][1].split()
     extra = [(50, "intro " + " ".join(words[3:18]).replace("t", "T") + " end", "en"), (51, " ".join(words[:4]), "en"), (52, "a Short-Item; here! also short words b", "en")]
