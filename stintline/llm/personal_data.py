@@ -5,7 +5,8 @@ before a digit, dots and separators between digits, and cue words of accounts an
 parser walks left and right over the characters that its kind allows, settles the boundaries and
 validates what lies between. Four kinds follow fixed patterns (BASE); the parsers walk instead of
 matching, but find what the patterns find, leftmost and non-overlapping. The cues add three kinds more:
-accounts (IBAN, by their check digits), secrets given to a named key, and user information in links.
+accounts (IBAN, by their check digits), secrets (given to a named key, or told by a known prefix), and
+user information in links. Cues count in any case.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ ACCOUNT_CUES = ("iban", "account")
 SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "private_key", "bearer")
 SECRET = frozenset(string.ascii_letters + string.digits + "_+/=-.~")
 LEAST_SECRET = 16
+#: Prefixes of widely used access keys, the characters after them, and how many of these there are.
+_UPPER, _WORD = frozenset(string.ascii_uppercase + string.digits), frozenset(string.ascii_letters + string.digits + "_-")
+KEY_PREFIXES = {"AKIA": (_UPPER, 16, 16), "ASIA": (_UPPER, 16, 16), "AIza": (_WORD, 35, 35), "ghp_": (_WORD, 36, 255), "gho_": (_WORD, 36, 255), "ghs_": (_WORD, 36, 255), "sk_live_": (_WORD, 16, 255), "xoxb-": (_WORD, 20, 255), "xoxp-": (_WORD, 20, 255)}
+_FOLD = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
 def luhn(digits: str) -> bool:
@@ -64,12 +69,18 @@ def automaton():
     found.add_word("://", ("link", 3))
     for kind, cues in (("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                found.add_word(form, (kind, len(form)))
+            found.add_word(cue, (kind, len(cue)))
+    for prefix in KEY_PREFIXES:
+        found.add_word(prefix.lower(), ("prefix", len(prefix)))
     found.make_automaton()
     return found
 
 
+def _folded(text: str) -> str:
+    """The text with A-Z in lower case: what anchors are looked for in, character by character."""
+    return text.lower() if text.isascii() else text.translate(_FOLD)
+
+
 def _right(text: str, at: int, allowed: frozenset) -> int:
     while at < len(text) and text[at] in allowed:
         at += 1
@@ -124,7 +135,25 @@ def _account(text: str, at: int) -> tuple[int, int] | None:
     return (at, end) if end > at else None
 
 
-def _secret(text: str, at: int) -> tuple[int, int] | None:
+class Runs:
+    """The run of secret characters around a place: each run of a text is walked once, however many cues it holds."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.end, self.digit = text, 0, 0, -1
+
+    def value(self, at: int) -> int:
+        """The end of the secret that begins at a place, or 0: long enough, with a digit, without dots at its end."""
+        text = self.text
+        if not self.start <= at < self.end:
+            self.start, self.end = at, _right(text, at, SECRET)
+            while self.end > at and text[self.end - 1] == ".":
+                self.end -= 1
+            self.digit = next((i for i in range(self.end - 1, at - 1, -1) if text[i] in DIGITS), -1)
+        return self.end if self.end - at >= LEAST_SECRET and self.digit >= at else 0
+
+
+def _secret(text: str, at: int, runs: Runs) -> tuple[int, int] | None:
+    """The value given to a key that ends here, after an equals sign or a colon, in quotes or not."""
     n = len(text)
     while at < n and text[at] in "\"' ":
         at += 1
@@ -133,11 +162,21 @@ def _secret(text: str, at: int) -> tuple[int, int] | None:
     at += 1
     while at < n and text[at] in "\"' ":
         at += 1
-    end = _right(text, at, SECRET)
-    while end > at and text[end - 1] == ".":
-        end -= 1
-    value = text[at:end]
-    return (at, end) if len(value) >= LEAST_SECRET and not DIGITS.isdisjoint(value) else None
+    end = runs.value(at)
+    return (at, end) if end else None
+
+
+def _prefixed(text: str, at: int, length: int) -> tuple[int, int] | None:
+    """A key that its prefix tells, alone between other characters."""
+    rule = KEY_PREFIXES.get(text[at : at + length])
+    if rule is None or at and text[at - 1] in _WORD:
+        return None
+    allowed, least, most = rule
+    start, end = at + length, at + length
+    while end < len(text) and end - start <= most and text[end] in allowed:
+        end += 1
+    alone = end == len(text) or text[end] not in _WORD
+    return (at, end) if alone and least <= end - start <= most else None
 
 
 def _link(text: str, at: int) -> tuple[int, int] | None:
@@ -154,8 +193,14 @@ def find_spans(text: str | None, anchors) -> list[tuple[int, int, int]]:
         return []
     spans = []
     last = dict.fromkeys(KINDS, 0)
-    for stop, (kind, length) in anchors.iter(text):
+    runs = Runs(text)
+    for stop, (kind, length) in anchors.iter(_folded(text)):
         at = stop + 1 - length
+        if kind == "prefix":
+            if at >= last["secret"] and (found := _prefixed(text, at, length)):
+                spans.append((at, KINDS.index("secret"), found[1]))
+                last["secret"] = found[1]
+            continue
         if at < last[kind]:
             continue  # inside what was walked before
         if kind == "email":
@@ -166,12 +211,13 @@ def find_spans(text: str | None, anchors) -> list[tuple[int, int, int]]:
         elif kind == "ip":
             start, end = _chain(text, at, _DOT, last[kind])
             last[kind] = end
-            parts = text[start:end].split(".")
+            parts, begin = text[start:end].split("."), start
             for i in range(0, len(parts) - 3, 4):
-                stop_at = start + len(".".join(parts[: i + 4]))
                 four = parts[i : i + 4]
+                size = sum(map(len, four)) + 3
                 if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
-                    spans.append((stop_at - len(".".join(four)), 1, stop_at))
+                    spans.append((begin, 1, begin + size))
+                begin += size + 1
         elif kind == "card":
             start, end = _chain(text, at, GAPS, last[kind])
             last[kind] = end
@@ -185,7 +231,7 @@ def find_spans(text: str | None, anchors) -> list[tuple[int, int, int]]:
                 if 9 <= sum(c in DIGITS for c in text[at:end]) <= 15:
                     spans.append((at, 3, end))
         else:
-            found = {"account": _account, "secret": _secret, "link": _link}[kind](text, stop + 1)
+            found = _secret(text, stop + 1, runs) if kind == "secret" else {"account": _account, "link": _link}[kind](text, stop + 1)
             if found:
                 spans.append((found[0], KINDS.index(kind), found[1]))
                 last[kind] = found[1]
@@ -197,7 +243,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null and empty texts have no spans; ids may be null or repeated, as each row is looked at alone; other
     columns are not read; an empty table gives an empty one. Long texts cost one pass, and a run of
-    digits or address characters of any length is walked once for each of its kinds.
+    digits, address or secret characters of any length is walked once for each of its kinds.
     """
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("spans", T.ArrayType(span))])

@@ -4,7 +4,8 @@ A text becomes a sparse vector: its distinct words and their shapes, hashed; sta
 and metadata of the text itself (its size and its share of plain ASCII). The machine scores
 w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j, where the pair sum is found in linear time as half of
 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2). It is trained with AdaGrad on at most TRAIN_ROWS labelled
-documents, chosen by the hash of their ids; every document is scored where it lies.
+documents of at most TRAIN_FEATURES features, chosen by the hash of their ids; every document is scored
+where it lies.
 """
 
 from __future__ import annotations
@@ -14,16 +15,17 @@ from math import log1p, sqrt
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import durable, map_rows, release
 from .quality_rules import COUNTS, text_counts
 
 BUCKETS, RANK, EPOCHS, BATCH = 1 << 15, 4, 10, 128
-#: Labelled documents that the machine learns from: at most so many, the smallest by hash of their ids.
-TRAIN_ROWS = 12_000
+#: Labelled documents that the machine learns from: at most so many, the smallest by hash of their ids,
+#: with at most so many features together (8 bytes each, on the driver).
+TRAIN_ROWS, TRAIN_FEATURES = 12_000, 12_000_000
 #: Every FOLDS-th document by checksum of its id is held out.
 FOLDS = 5
 THRESHOLD = 0.3
@@ -130,11 +132,12 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Machine:
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, features: int = TRAIN_FEATURES, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     """Learn from the labelled documents that aren't held out, at most `most` of them.
 
-    Labels without a quality are left out; of repeated labels the lowest counts. Without any label
-    the machine scores its start, about a half.
+    Labels without a quality are left out; of repeated labels the lowest counts, and of the rows of a repeated id
+    the text of the lowest checksum. Whole texts are learnt from, in the order of the hash of their
+    ids, as long as their features together stay within the bound. Without any label the machine scores its start, about a half.
     """
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.min("quality").alias("_quality")).withColumn("_rank", F.xxhash64("doc_id"))
@@ -151,10 +154,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, id_col: st
 
         return fn
 
-    table = map_rows(texts, ["_rank", "_quality", "_text"], make, T.StructType([T.StructField(*f) for f in fields])).toArrow()
-    order = np.lexsort((table["_crc"].to_numpy(), table["_rank"].to_numpy()))  # the same order on any cluster
+    made = durable(map_rows(texts, ["_rank", "_quality", "_text"], make, T.StructType([T.StructField(*f) for f in fields])), "quality-vectors")
+    one = made.groupBy("_rank").agg(F.min(F.struct("_crc", F.size("_index").alias("_n"))).alias("_least"))  # a row for each chosen label
+    so_far = F.sum("_least._n").over(Window.orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0))
+    one = one.withColumn("_sum", so_far).where(F.col("_sum") <= features).select("_rank", "_least._crc")
+    table = made.join(F.broadcast(one), ["_rank", "_crc"]).dropDuplicates(["_rank", "_crc"]).toArrow()
+    order = np.argsort(table["_rank"].to_numpy())  # the same order on any cluster
     index, x = table["_index"].combine_chunks(), table["_x"].combine_chunks()
     rows = [(index[i].values.to_numpy().astype(np.int64), x[i].values.to_numpy()) for i in order.tolist()]
+    release(made)
     return Machine().fit(rows, table["_quality"].to_numpy()[order].astype(np.float64))
 
 

@@ -1,15 +1,19 @@
 """Operator 3, quality rules: risk-controlled cutoffs from labelled holdouts.
 
-Each rule compares a statistic of a text with a cutoff; a text breaks the rule when its statistic is above
-the cutoff (below it, for the falling rule). LEVELS sets of cutoffs run from lenient to strict. For each
-stratum and level, the labelled good texts of the stratum give n and k, how many of them break a rule at
-that level. The hypothesis that the level rejects more than RISK of all good texts of the stratum has the
-exact p-value P(Binomial(n, RISK) <= k). Two corrections keep the chance of any wrong certificate under
-DELTA: each stratum tests at DELTA / number of strata (Bonferroni), and within a stratum the levels are
-tested from lenient to strict, stopping at the first that isn't certified (fixed sequence). The last
-certified level gives the stratum's cutoffs. So, with probability 1 - DELTA, in no stratum do the rules
-together reject more than RISK of the good texts. A stratum with too few labels gets no cutoff and loses
-no text.
+Each rule has a statistic of a text, a whole number from 0 to GRID, and rejects the texts above a cutoff.
+Labelled texts that pass the base rules are dealt into two halves by a hash of their ids. On the first
+half, each rule proposes cutoffs for each stratum: among those that lose no more of the good texts than a
+level allows, the most lenient whose balance, the share of bad texts caught less that of good ones lost, comes
+up to the level's part of the best; a rule that catches nothing has none. The levels go from lenient to strict, and what a level rejects the
+next one rejects too. On the second half, the hypothesis that the rules of a level together reject more
+than RISK of the good texts of the stratum has the exact p-value P(Binomial(n, RISK) <= k), with k of n
+good texts rejected. Two corrections keep the chance of any wrong certificate under DELTA: each stratum
+tests at DELTA / number of strata (Bonferroni), and within a stratum levels are tested in order, stopping
+at the first that isn't certified (fixed sequence). The last certified level gives the cutoffs.
+
+So, with probability 1 - DELTA, in no stratum do these rules reject more than RISK of the good texts that
+pass the base rules. Good texts that fail the base are not part of this guarantee: the base rejects
+them whatever the labels say. A stratum with too few labels gets no cutoff and loses no text but by the base.
 """
 
 from __future__ import annotations
@@ -27,22 +31,27 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import SLICE, durable, map_rows, small_enough
 
-RISK, DELTA, LEVELS = 0.03, 0.05, 8
+RISK, DELTA = 0.03, 0.05
+#: For each level, how many good texts of a thousand in the first half a rule may lose, and the
+#: percentage of the best balance that its cutoff must reach.
+LEVELS = ((0, 50), (0, 90), (0, 100), (2, 100), (5, 100))
+#: Statistics are cut off here, so that a stratum has a bounded number of candidates.
+GRID = 8191
 #: Fixed values of the base statistics.
 WHITE, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
 
-#: rule -> (numerator, denominator, scale, rising, cutoffs from lenient to strict)
-RULES: dict[str, tuple[str, str, int, bool, list[int]]] = {
-    "symbols": ("n_symbols", "word_chars", 1000, True, [600, 400, 300, 200, 150, 100, 70, 50]),
-    "marks": ("n_marks", "n_words", 1000, True, [3000, 1500, 1000, 800, 600, 400, 300, 250]),
-    "capitals": ("n_capitals", "word_chars", 1000, True, [950, 900, 800, 700, 600, 500, 400, 300]),
-    "line_copies": ("n_dup_lines", "n_lines", 1000, True, [950, 900, 850, 800, 750, 700, 650, 600]),
-    "repeats": ("n_repeat_words", "n_words", 1000, True, [195, 190, 185, 180, 170, 160, 150, 140]),
-    "short_words": ("word_chars", "n_words", 100, False, [50, 80, 100, 120, 140, 160, 180, 200]),
-    "long_words": ("word_chars", "n_words", 100, True, [5000, 4000, 3000, 2500, 2000, 1800, 1600, 1500]),
-    "doubles": ("n_doubles", "n_words", 1000, True, [900, 700, 500, 400, 300, 250, 200, 150]),
+#: rule -> (numerator, denominator, scale, whether high values are bad)
+RULES: dict[str, tuple[str, str, int, bool]] = {
+    "symbols": ("n_symbols", "word_chars", 1000, True),
+    "marks": ("n_marks", "n_words", 1000, True),
+    "capitals": ("n_capitals", "word_chars", 1000, True),
+    "line_copies": ("n_dup_lines", "n_lines", 1000, True),
+    "repeats": ("n_repeat_words", "n_words", 1000, True),
+    "short_words": ("word_chars", "n_words", 100, False),
+    "long_words": ("word_chars", "n_words", 100, True),
+    "doubles": ("n_doubles", "n_words", 1000, True),
 }
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_capitals", "n_doubles", "n_lines"]
@@ -115,64 +124,108 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def _beyond(rule: str, cutoff: Column) -> Column:
-    over, under, scale, rising, _ = RULES[rule]
-    left, right = F.col(over) * scale, cutoff * F.col(under)
-    return left > right if rising else left < right
+def statistics() -> Column:
+    """The rules' statistics of a row of COUNTS, in order."""
+    out = []
+    for over, under, scale, high in RULES.values():
+        value = F.least(F.lit(GRID), F.floor(F.col(over) * scale / F.greatest(F.lit(1), F.col(under)))).cast("int")
+        out.append(value if high else GRID - value)
+    return F.array(*out)
 
 
 def log_tail(n: int, k: int, risk: float) -> float:
-    """log P(Binomial(n, risk) <= k), summed exactly in the log domain."""
+    """log P(Binomial(n, risk) <= k) for k <= n * risk: terms fall from k down, and those that can't be seen are left out."""
     from math import exp, lgamma, log, log1p
 
-    terms = [lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(risk) + (n - j) * log1p(-risk) for j in range(k + 1)]
-    top = max(terms)
-    return top + log(sum(exp(t - top) for t in terms))
+    def term(j):
+        return lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(risk) + (n - j) * log1p(-risk)
 
+    top, total = term(k), 0.0
+    for j in range(k, -1, -1):
+        share = exp(term(j) - top)
+        total += share
+        if share < 1e-18:
+            break
+    return top + log(total)
 
-def certify(good: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """stratum, n, and the number of its certified levels, from the statistics of good texts.
 
-    The rejected texts of each level are counted where the rows lie, one row for each stratum and task.
-    The exact tests run over the strata's rows, one after another, on executors.
+def certified(n: int, ks: list[int], tests: int, risk: float, delta: float) -> int:
+    """How many levels, with ks of n good texts rejected, are certified in order."""
+    from math import log
+
+    for i, k in enumerate(ks):
+        if not n or k > n * risk or log_tail(n, k, risk) > log(delta / tests):
+            return i
+    return len(ks)
+
+
+def proposals(half: DataFrame, levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
+    """stratum and proposed: for each level the rules' cutoffs (null: none), from rows (stratum, good, v).
+
+    Rows are counted by rule and value where they lie, so a window sees GRID + 1 rows of a stratum and rule at most.
     """
-    breaks = [reduce(or_, (_beyond(r, F.lit(spec[-1][i])) for r, spec in RULES.items())) for i in range(LEVELS)]
-    per = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(F.sum(b.cast("long")).alias(f"k{i}") for i, b in enumerate(breaks)))
+    each = half.select("stratum", "good", F.posexplode("v").alias("rule", "value"))
+    counts = each.groupBy("stratum", "rule", "value").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    whole = Window.partitionBy("stratum", "rule")
+    above = whole.orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    lost, caught = (F.coalesce(F.sum(c).over(above), F.lit(0)) for c in "gb")
+    seen = counts.select("*", lost.alias("lost"), caught.alias("caught"), F.sum("g").over(whole).alias("ng"), F.sum("b").over(whole).alias("nb"))
+    gain = F.col("caught").cast("decimal(19,0)") * F.col("ng") - F.col("lost").cast("decimal(19,0)") * F.col("nb")
+    seen = seen.withColumn("gain", gain).where("gain > 0")
+    cuts = []
+    for i, (allowed, percent) in enumerate(levels):
+        here = F.col("lost") * 1000 <= F.col("ng") * allowed
+        seen = seen.withColumn(f"best{i}", F.max(F.when(here, F.col("gain"))).over(whole))
+        cuts.append(F.max(F.when(here & (F.col("gain") * 100 >= F.col(f"best{i}") * percent), F.col("value"))))
+    found = seen.groupBy("stratum", "rule").agg(F.array(*cuts).alias("cuts"))
+    rules = [F.max(F.when(F.col("rule") == i, F.col("cuts"))) for i in range(len(RULES))]
+    by_level = F.array(*(F.array(*(F.get(r, F.lit(i)) for r in rules)) for i in range(len(levels))))
+    return found.groupBy("stratum").agg(by_level.alias("proposed"))
+
+
+def _broken(v: Column, cuts: Column) -> Column:
+    """Flags of the rules whose statistic is above their cutoff."""
+    return F.array(*(F.coalesce(F.get(v, F.lit(i)) > F.get(cuts, F.lit(i)), F.lit(False)) for i in range(len(RULES))))
+
+
+def certify(holdout: DataFrame, risk: float = RISK, delta: float = DELTA, levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
+    """stratum, n, level and cuts (null at level 0) of each stratum of rows (stratum, good, first, v).
+
+    Rejected texts are counted where the rows lie, one row for each stratum and task; the exact tests run
+    over the strata's rows, one after another, on executors.
+    """
+    cuts = durable(proposals(holdout.where("first"), levels).withColumnRenamed("stratum", "_of"), "quality-proposals")
+    good = holdout.where("good AND NOT first").join(cuts, F.col("stratum").eqNullSafe(F.col("_of")), "left")
+    ks = [F.count_if(F.exists(_broken(F.col("v"), F.get("proposed", F.lit(i))), lambda x: x)).alias(f"k{i}") for i in range(len(levels))]
+    per = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *ks)
     per = per.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # a row for each stratum
     schema = T.StructType([T.StructField("stratum", T.StringType()), T.StructField("n", T.LongType()), T.StructField("level", T.IntegerType())])
 
     def make():
-        from math import log
-
-        def level(n, strata, ks):
-            for i, k in enumerate(ks):
-                if log_tail(n, k, risk) > log(delta / strata):
-                    return i
-            return len(ks)
-
         def fn(stratum, n, strata, *ks):
-            return stratum, n, [level(*x) for x in zip(n, strata, zip(*ks, strict=True), strict=True)]
+            return stratum, n, [certified(*x, risk, delta) for x in zip(n, zip(*ks, strict=True), strata, strict=True)]
 
         return fn
 
-    return map_rows(per, ["stratum", "n", "strata", *(f"k{i}" for i in range(LEVELS))], make, schema)
+    told = map_rows(per, ["stratum", "n", "strata", *(f"k{i}" for i in range(len(levels)))], make, schema)
+    told = told.join(cuts, F.col("stratum").eqNullSafe(F.col("_of")), "left")
+    return told.select("stratum", "n", "level", F.when(F.col("level") > 0, F.get("proposed", F.col("level") - 1)).alias("cuts"))
 
 
 def cutoffs(counted: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
-    """certify() on the labelled good texts among counted, ready to join: broadcast where it is small."""
-    good = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    good = good.select(F.col("doc_id").alias("_good"))
-    holdout = counted.where(~base_failed()).join(good, F.col("_id") == F.col("_good"), "left_semi")
+    """certify() on the labelled texts among counted, ready to join: broadcast where it is small."""
+    told = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+    first = F.substring(F.md5(F.encode(F.col("_id").cast("string"), "UTF-8")), 1, 1) < "8"
+    holdout = counted.where(~base_failed()).join(told.withColumnRenamed("doc_id", "_labelled"), F.col("_id") == F.col("_labelled"))
+    holdout = durable(holdout.select("stratum", "good", first.alias("first"), statistics().alias("v")), "quality-holdout")
     cuts = durable(certify(holdout, risk, delta).withColumnRenamed("stratum", "_of"), "quality-cutoffs")
-    return F.broadcast(cuts) if small_enough(cuts, 64) else cuts
+    return F.broadcast(cuts) if small_enough(cuts, 128) else cuts
 
 
 def broken_rules() -> Column:
-    """Names of the rules that a row breaks at its stratum's level; none without one."""
-    at = F.when(F.col("level") > 0, F.col("level"))
-    cut = {r: F.element_at(F.array(*map(F.lit, spec[-1])), at) for r, spec in RULES.items()}
-    tests = (F.when(F.coalesce(_beyond(r, cut[r]), F.lit(False)), F.lit(r)) for r in RULES)
-    return F.array_compact(F.array(*tests))
+    """Names of the rules that a row breaks at its stratum's cutoffs; none without them."""
+    flags = _broken(statistics(), F.col("cuts"))
+    return F.array_compact(F.array(*(F.when(F.get(flags, F.lit(i)), F.lit(r)) for i, r in enumerate(RULES))))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:

@@ -57,7 +57,7 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter("spans", lambda s: s["kind"].isin(*personal_data.BASE))
     counts = (F.size(of(k)).cast("long").alias(f"n_{k}") for k in personal_data.BASE)
-    return found.select("doc_id", *counts, F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,36 +89,47 @@ QUERIES = {f.__name__: f for f in (op1_html_extract, op2_token_counts, op3_quali
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _breaks(level: int | str) -> dict[str, str]:
-    """Rule -> SQL of breaking it at a level (from 1), given as a number or a column."""
-    out = {}
-    for rule, (over, under, scale, rising, cuts) in quality_rules.RULES.items():
-        out[rule] = f"{over} * {scale} {'>' if rising else '<'} [{', '.join(map(str, cuts))}][{level}] * {under}"
-    return out
+def _statistics() -> str:
+    """The rules' statistics of a row of counts, as an SQL list."""
+    values = [(f"least({quality_rules.GRID}, {over} * {scale} // greatest(1, {under}))", high) for over, under, scale, high in quality_rules.RULES.values()]
+    return f"[{', '.join(v if high else f'{quality_rules.GRID} - {v}' for v, high in values)}]"
 
 
-_LEVELS, _ANY = quality_rules.LEVELS, " OR ".join(f"({x})" for x in _breaks("level").values())
+_RULES, _ALLOWED, _RISK = list(quality_rules.RULES), quality_rules.LEVELS, quality_rules.RISK
 _QUALITY = rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 g AS (SELECT r, i, w[i:i + 4] AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
 n AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS k FROM g) WHERE k > 1),
 p AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM n) GROUP BY r),
 l AS (SELECT r, count(*) AS n_lines, count(*) FILTER (rn > 1) AS n_dup_lines FROM (
-  SELECT r, row_number() OVER (PARTITION BY r, line) AS rn FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')) GROUP BY r),
-c AS (SELECT d.r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  SELECT r, row_number() OVER (PARTITION BY r, line) AS rn FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-
+]')) GROUP BY r),
+c AS (SELECT d.r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ 	-
+]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
   length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_marks, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals,
   len(list_filter(w, lambda x, i: i > 1 AND w[i - 1] = x)) AS n_doubles, coalesce(n_lines, 0) AS n_lines
   FROM d LEFT JOIN p ON p.r = d.r LEFT JOIN l ON l.r = d.r),
-b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
-h AS (SELECT b.* FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)),
-k AS (SELECT lang, level, count(*) AS n, count(*) FILTER ({_ANY}) AS k FROM h, (SELECT unnest(range(1, {_LEVELS + 1})) AS level) GROUP BY ALL),
-f AS (SELECT lang, level, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({quality_rules.RISK}) + (n - j) * ln(1 - {quality_rules.RISK}))) AS tail
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {_statistics()} AS vals FROM c),
+told AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+h AS (SELECT row_number() OVER () AS id, lang, vals, good, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' AS first FROM b JOIN told USING (doc_id) WHERE NOT base_failed),
+e AS (SELECT lang, rule, vals[rule] AS v, count(*) FILTER (good) AS g, count(*) FILTER (NOT good) AS b FROM h, (SELECT unnest(range(1, {len(_RULES) + 1})) AS rule) WHERE first GROUP BY ALL),
+o AS (SELECT *, coalesce(sum(g) OVER above, 0) AS lost, coalesce(sum(b) OVER above, 0) AS caught, sum(g) OVER whole AS ng, sum(b) OVER whole AS nb FROM e
+  WINDOW whole AS (PARTITION BY lang, rule), above AS (PARTITION BY lang, rule ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (SELECT unnest(range(1, {len(_ALLOWED) + 1})) AS level, unnest({[a for a, _ in _ALLOWED]}) AS allowed, unnest({[p for _, p in _ALLOWED]}) AS percent),
+q AS (SELECT lang, rule, level, max(v) AS cut FROM (
+  SELECT *, caught * ng - lost * nb AS gain, max(caught * ng - lost * nb) OVER (PARTITION BY lang, rule, level) AS best FROM o, levels WHERE lost * 1000 <= ng * allowed)
+  WHERE gain > 0 AND 100 * gain >= percent * best GROUP BY ALL),
+k AS (SELECT lang, level, count(*) AS n, count(*) FILTER (hit) AS k FROM (
+  SELECT id, h.lang, levels.level, coalesce(bool_or(vals[rule] > cut), false) AS hit
+  FROM h CROSS JOIN levels LEFT JOIN q ON q.lang IS NOT DISTINCT FROM h.lang AND q.level = levels.level WHERE good AND NOT first GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT lang, level, CASE WHEN any_value(k) > any_value(n) * {_RISK} THEN 1 ELSE sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_RISK}) + (n - j) * ln(1 - {_RISK}))) END AS tail
   FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM k) GROUP BY ALL),
-s AS (SELECT lang, coalesce(min(level) FILTER (tail > {quality_rules.DELTA} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM f))), {_LEVELS + 1}) - 1 AS level FROM f GROUP BY lang),
-v AS (SELECT b.*, concat_ws(',', {', '.join(f"CASE WHEN level > 0 AND {x} THEN '{rule}' END" for rule, x in _breaks("level").items())}) AS broken
-  FROM b LEFT JOIN s ON s.lang IS NOT DISTINCT FROM b.lang)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken = '' AS kept, broken FROM v"""
+s AS (SELECT lang, coalesce(min(level) FILTER (tail > {quality_rules.DELTA} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM f))), {len(_ALLOWED) + 1}) - 1 AS level FROM f GROUP BY lang),
+x AS (SELECT b.r, string_agg([{', '.join(f"'{r}'" for r in _RULES)}][rule], ',' ORDER BY rule) AS broken
+  FROM b JOIN s ON s.lang IS NOT DISTINCT FROM b.lang JOIN q ON q.lang IS NOT DISTINCT FROM b.lang AND q.level = s.level WHERE vals[rule] > cut GROUP BY b.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken IS NULL AS kept, coalesce(broken, '') AS broken FROM b LEFT JOIN x USING (r)"""
 
 ORACLE_SQL = {
     "op3_quality_rules": _QUALITY,

@@ -17,8 +17,6 @@ from pyspark.sql import types as T
 from .common import Recent, kept, map_rows
 from .tokens import WORDS, byte_letters, plain
 
-OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-
 
 class MergeCounts(Recent):
     """Pre-token -> its number of tokens, found by merging; kept in a cache."""
@@ -88,10 +86,11 @@ class MergeCounts(Recent):
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Bytes and tokens of every whole text: doc_id, n_bytes, n_tokens. One row for each row of docs.
 
-    Null or empty text: 0 and 0. A null id stays null, repeated rows are each counted, an empty table
+    Null or empty text: 0 and 0. Ids may be of any type; a null id stays null, repeated rows are each counted, an empty table
     gives an empty one, and columns other than the two named are neither read nor returned. Very long
     texts are handled a pre-token at a time. No shuffle; a lost task is simply run again.
     """
+    out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def make():
         counts = kept(("merges", path), lambda: MergeCounts(path))
@@ -101,4 +100,4 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         return fn
 
-    return map_rows(docs, [id_col, text_col], make, OUT)
+    return map_rows(docs, [id_col, text_col], make, out)

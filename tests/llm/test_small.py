@@ -83,6 +83,8 @@ def test_token_counts(docs, none):
     got = rows_of(token_counts.token_counts(docs, VOCABULARY), "doc_id", "n_bytes", "n_tokens")
     assert got == Counter((i, len((t or "").encode()), len(whole_ids(t))) for i, t, _ in ROWS)
     assert token_counts.token_counts(none, VOCABULARY).count() == 0
+    named = token_counts.token_counts(docs.withColumn("doc_id", docs["doc_id"].cast("string")), VOCABULARY)
+    assert rows_of(named, "doc_id") == Counter((None if i is None else str(i),) for i, _, _ in ROWS)
 
 
 def test_merging_is_the_librarys(spark):
@@ -124,13 +126,13 @@ def labelled(spark, n=600):
 
 
 def test_quality_rules_certify(spark, docs, none):
-    table = labelled(spark)
+    table = labelled(spark, 2400)
     labels = table.select("doc_id", "quality")
     out = quality_rules.quality_rules(table, labels).join(labels, "doc_id")
     got = Counter((r["quality"], r["kept"]) for r in out.collect())
-    assert got == {(0, False): 150, (1, True): 450}
+    assert got[0, True] == 0 and 0.97 * 1800 <= got[1, True] <= 1800 == got[1, True] + got[1, False]
     kept = quality_rules.keep_good(table, labels)
-    assert kept.columns == table.columns and kept.where("quality = 0").count() == 0 and kept.count() == 450
+    assert kept.columns == table.columns and kept.where("quality = 0").count() == 0 and kept.count() == got[1, True]
     # without labels nothing is certified, and only the base rejects
     bare = quality_rules.quality_rules(docs, labels.where("1 = 0"))
     for r in bare.collect():
@@ -151,24 +153,66 @@ def test_binomial_tail_is_exact():
         assert exp(quality_rules.log_tail(n, k, 0.03)) == pytest.approx(float(exact), rel=1e-9)
 
 
-def test_quality_levels_follow_their_definition(spark):
-    """certify() against a plain walk over strata and levels."""
-    from math import log
-
-    counted = quality_rules.with_counts(labelled(spark).withColumnRenamed("lang", "stratum").where("quality = 1"), ["stratum"]).select("stratum", "_counts.*")
-    rows = [r.asDict() for r in counted.collect()]
-    got = {r["stratum"]: (r["n"], r["level"]) for r in quality_rules.certify(counted).collect()}
-    for stratum in ("en", "de"):
-        mine, level = [r for r in rows if r["stratum"] == stratum], 0
-        for i in range(quality_rules.LEVELS):
-            k = 0
-            for r in mine:
-                values = [(r[a] * s, spec[i] * r[b], up) for a, b, s, up, spec in quality_rules.RULES.values()]
-                k += any(x > y if up else x < y for x, y, up in values)
-            if quality_rules.log_tail(len(mine), k, quality_rules.RISK) > log(quality_rules.DELTA / 2):
+def judged(rng, stratum, n, shift, base=0):
+    """Labelled statistics (stratum, good, first, v): bad texts are higher in the first two rules."""
+    rows = []
+    for i in range(n):
+        good = rng.random() < 0.7
+        v = [base + rng.randint(0, 40) + (0 if good else shift) for _ in range(2)] + [rng.randint(0, 5) for _ in range(len(quality_rules.RULES) - 2)]
+        rows.append((stratum, good, i % 2 == 0, v))
+    return rows
+
+
+def plain_certify(rows):
+    from fractions import Fraction
+    from math import comb
+
+    cuts, out = {}, {}
+    strata = {r[0] for r in rows}
+    for s in strata:
+        half = [r for r in rows if r[0] == s and r[2]]
+        ng, nb = sum(r[1] for r in half), sum(not r[1] for r in half)
+        for i, (allowed, percent) in enumerate(quality_rules.LEVELS):
+            cuts[s, i] = []
+            for k in range(len(quality_rules.RULES)):
+                gains = {}
+                for v in {r[3][k] for r in half}:
+                    lost, caught = sum(r[1] and r[3][k] > v for r in half), sum(not r[1] and r[3][k] > v for r in half)
+                    if lost * 1000 <= ng * allowed and caught * ng > lost * nb:
+                        gains[v] = caught * ng - lost * nb
+                cuts[s, i].append(max((v for v, g in gains.items() if 100 * g >= percent * max(gains.values())), default=None))
+    risk = Fraction(str(quality_rules.RISK))
+    tests = len({r[0] for r in rows if r[1] and not r[2]})
+    for s in strata:
+        second = [r[3] for r in rows if r[0] == s and r[1] and not r[2]]
+        n, level = len(second), 0
+        for i in range(len(quality_rules.LEVELS)):
+            k = sum(any(c is not None and x > c for x, c in zip(v, cuts[s, i])) for v in second)
+            if not n or sum(comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(k + 1)) > Fraction("0.05") / tests:
                 break
             level = i + 1
-        assert got[stratum] == (len(mine), level)
+        if n:
+            out[s] = n, level, cuts[s, level - 1] if level else None
+    return out
+
+
+def test_cutoffs_follow_their_definition(spark):
+    rng = random.Random(12)
+    rows = judged(rng, "a", 1400, 30) + judged(rng, "b", 900, 60, 25) + judged(rng, None, 700, 500) + judged(rng, "few", 40, 90) + judged(rng, "none", 500, 0)
+    table = spark.createDataFrame(rows, "stratum string, good boolean, first boolean, v array<int>")
+    got = {r["stratum"]: (r["n"], r["level"], r["cuts"]) for r in quality_rules.certify(table).collect()}
+    assert got == plain_certify(rows)
+    assert got["few"][1] == 0 and got["a"][1] > 0 and got["b"][1] > 0 and got["a"][2] != got["b"][2]
+    # other labels, other cutoffs
+    moved = [(s, g, f, [x * 2 for x in v]) for s, g, f, v in rows if s == "a"]
+    again = {r["stratum"]: r["cuts"] for r in quality_rules.certify(spark.createDataFrame(moved, table.schema)).collect()}
+    assert again["a"][0] != got["a"][2][0]
+    assert quality_rules.certify(table.where("1 = 0")).count() == 0
+
+
+def test_the_tail_of_many_texts_is_quick():
+    assert quality_rules.certified(10**9, [10**9, 0], 4, 0.03, 0.05) == 0
+    assert quality_rules.certified(10**9, [29_900_000, 29_999_000], 4, 0.03, 0.05) == 1
 
 
 BENCH = [(100, prose(25)), (101, "short item here"), (102, None), (103, "  ,, "), (None, "also short words"), (104, "SHORT item, here")]
