@@ -22,7 +22,6 @@ from .html_pages import labelled_pages
 
 PAGES, EPOCHS, BATCH = 600, 12, 20
 _WORD = re.compile(r"[^\W\d_]+")
-_SECTIONS = frozenset("article aside footer form header main nav section dialog details".split())
 #: Longest text whose words are features.
 SHORT = 60
 
@@ -31,18 +30,12 @@ def _bucket(n: int) -> int:
     return min(n, 3) if n < 4 else min(3 + n.bit_length(), 12)
 
 
-def block_features(block: Block) -> list[str]:
-    tags = [t for t, _ in block.path]
-    text = block.text
-    out = ["always", f"in:{tags[-1] if tags else ''}", f"size:{_bucket(len(text) // 8)}", f"links:{10 * block.linked // max(1, len(text)) if block.linked else -1}"]
-    out += {f"under:{t}" for t in tags}
-    names = {w for _, words in block.path for w in words}
-    out += (f"name:{w}" for w in names)
-    out += {f"names:{t}:{w}" for t, words in block.path for w in words}
-    section = next((t for t in reversed(tags) if t in _SECTIONS), "none")
-    out.append(f"section:{section}")
-    nearest = next((words for _, words in reversed(block.path) if words), ())
-    out += (f"nearest:{w}" for w in nearest)
+def own_features(block: Block) -> list[str]:
+    """Features of a block's text and of the element that holds it."""
+    node, text = block.node, block.text
+    out = ["always", f"in:{node.tag if node else ''}", f"size:{_bucket(len(text) // 8)}", f"links:{10 * block.linked // max(1, len(text)) if block.linked else -1}"]
+    out.append(f"section:{node.section if node else 'none'}")
+    out += (f"nearest:{w}" for w in (node.nearest if node else ()))
     out.append(f"end:{'.' if text[-1] in '.!?…:' else 'w' if text[-1].isalnum() else 's'}")
     out += (f"inline:{t}" for t in block.inline)
     if any(c.isdigit() for c in text):
@@ -54,6 +47,15 @@ def block_features(block: Block) -> list[str]:
     return out
 
 
+def block_features(block: Block) -> list[str]:
+    """All features of a block, those of its ancestors included."""
+    out, node = own_features(block), block.node
+    while node is not None:
+        out += node.fresh
+        node = node.parent
+    return out
+
+
 class Field:
     """Feature weights (for article against other), transitions, and the chain's start."""
 
@@ -62,11 +64,23 @@ class Field:
 
     def viterbi(self, blocks: list[Block]) -> list[int]:
         """The likeliest labels; of equally likely ones, other."""
-        get, back = self.weights.get, []
+        get, back, paths = self.weights.get, [], {}
+
+        def of_path(node):
+            """The weight of a node and its ancestors; each node of a page is added up once."""
+            chain = []
+            while node is not None and node not in paths:
+                chain.append(node)
+                node = node.parent
+            total = paths[node] if node is not None else 0.0
+            for node in reversed(chain):
+                paths[node] = total = total + sum(get(f, 0.0) for f in node.fresh)
+            return total
+
         a0, a1 = self.start
         (m00, m01), (m10, m11) = self.move
         for i, block in enumerate(blocks):
-            e = sum(get(f, 0.0) for f in block_features(block))
+            e = sum(get(f, 0.0) for f in own_features(block)) + of_path(block.node)
             if i:
                 to0, to1 = (0, a0 + m00) if a0 + m00 >= a1 + m10 else (1, a1 + m10), (0, a0 + m01) if a0 + m01 >= a1 + m11 else (1, a1 + m11)
                 back.append((to0[0], to1[0]))
@@ -139,8 +153,9 @@ def main_text(html: str | None, field: Field) -> str:
 def extract(pages: DataFrame, field: Field | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url and text of every page; text is empty for a null or empty page or one without article.
 
-    Ids and urls may be null or repeated: each row is read alone. Long pages are read in one linear
-    pass. Other columns are not read; an empty table gives an empty one.
+    Ids and urls may be null or repeated: each row is read alone. Long pages, and broken ones however deep
+    their elements nest, are read in one linear pass. Other columns are not read; an empty table gives
+    an empty one.
     """
     field = field or default_field()
     sent = pages.sparkSession.sparkContext.broadcast((field.weights, field.move, field.start))  # some thousand features

@@ -123,7 +123,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int | None = 1, tie
     Each id of each text, and the end id after it, lies in exactly one piece. A null or empty text is
     its end id. Null and repeated ids are carried along: rows are packed one by one. Other columns are
     not read, an empty table gives an empty one, and a long text passes a window at a time. Nothing is
-    shuffled; sequence and step ids hold the partition, so that they differ between partitions.
+    shuffled; sequence and step ids hold the partition, so that they differ between partitions. Which
+    windows a document's pieces lie in follows from the rows that its scan task reads, in their order; a
+    task that runs again makes the same windows, a scan that is split in another way others.
     """
     kind = docs.schema[id_col].dataType
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -1,11 +1,14 @@
 """Inputs made to be slow, and repeated labels."""
 
+import os
 import random
 import time
 
 import pytest
 
-from stintline.llm import personal_data, quality_model
+from stintline.llm import html_extract, personal_data, quality_model
+from stintline.llm.html_blocks import leaf_blocks
+from stintline.llm.html_pages import labelled_pages
 
 LIMIT = 10  # seconds for a megabyte
 
@@ -47,3 +50,56 @@ def test_repeated_labelled_ids(spark, monkeypatch):
     assert 0 < taught[1][0] < n and taught[1][1] <= taught[0][1] // 2
     quality_model.train(docs.repartition(2), labels)
     assert taught[2] == taught[0]
+
+
+NESTED = ["<div>x", "<b>x", "<p><b>x</i>", "<ul><li>x", "</x><div class=a>y", "<td><section>x</div>", "<table><tr><td>x", "<b><h2>x</h2>", "<i></u>x", "<svg><p>x", "<a>x<b>", "<dl><dt>x", "<span class='c d'>x", "<x1>y"]
+
+
+@pytest.mark.parametrize("piece", NESTED)
+def test_a_broken_page_of_a_megabyte(piece):
+    page = piece * (1_000_000 // len(piece))
+    field = html_extract.default_field()
+    timed(html_extract.main_text, page, field)
+
+
+def test_deep_pages_take_linear_time():
+    field = html_extract.default_field()
+    html_extract.main_text("<div class=a>x" * 1000, field)
+    times = []
+    for n in (10_000, 80_000):
+        began = time.time()
+        html_extract.main_text("<div class=a>x" * n, field)
+        times.append(time.time() - began)
+    assert times[1] < 20 * times[0] + 0.2
+
+
+def plain_text(marked):
+    return "\n".join(" ".join(t.split()) for t, label in marked if label)
+
+
+def test_extraction_against_what_pages_were_written_with():
+    """Whole pages of another seed: the text is that of the blocks that were written as article."""
+    field, same, pages = html_extract.default_field(), 0, labelled_pages(200, seed=501)
+    for html, marked in pages:
+        same += html_extract.main_text(html, field) == plain_text(marked)
+    assert same > 0.93 * len(pages)
+
+
+PAGES = "/root/testdata/sf0.01/pages.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(PAGES), reason="no test tables")
+def test_extraction_of_the_test_pages():
+    """Blocks of an article that are in no part of the page's frame are kept, those of the frame are not."""
+    import pyarrow.parquet as pq
+
+    field, kept, lost, frame = html_extract.default_field(), 0, 0, 0
+    for html in pq.read_table(PAGES)["html"].to_pylist():
+        blocks = leaf_blocks(html)
+        for block, label in zip(blocks, field.viterbi(blocks), strict=True):
+            tags, names = {t for t, _ in block.path}, {w for _, words in block.path for w in words}
+            if tags & {"nav", "footer", "form", "aside"} or names & {"ad", "ads", "comments", "sidebar", "cookie", "menu", "footer"}:
+                frame += label
+            elif "article" in tags:
+                kept, lost = kept + label, lost + (not label)
+    assert kept > 1000 and lost <= 0.002 * kept and frame <= 0.002 * kept
