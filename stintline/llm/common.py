@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,10 @@ def stage_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+#: Folders that durable() wrote in this process, in order.
+_written: list[str] = []
+
+
 def durable(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later jobs don't recompute it, and
     a lost executor costs nothing that was written."""
@@ -42,6 +47,7 @@ def durable(df: DataFrame, name: str, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stage_path = path
+    _written.append(path)
     return table
 
 
@@ -56,6 +62,24 @@ def release(*tables: DataFrame) -> None:
         _delete(table.sparkSession, table.stage_path)
 
 
+@contextmanager
+def temporary(spark: SparkSession):
+    """Delete at the end what durable() writes inside, but for the tables given to the function that this yields."""
+    mark, kept_paths = len(_written), set()
+
+    def lasting(table: DataFrame) -> DataFrame:
+        kept_paths.add(table.stage_path)
+        return table
+
+    try:
+        yield lasting
+    finally:
+        for path in _written[mark:]:
+            if path not in kept_paths:
+                _delete(spark, path)
+        del _written[mark:]
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Delete every table that durable() has written in this session and that was not released."""
     _delete(spark, stage_root(spark))
