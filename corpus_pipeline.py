@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stintline.llm.common import durable, read
+from stintline.llm.common import durable, read, release, temporary
 from stintline.llm.decontaminate import decontaminate
 from stintline.llm.line_dedup import drop_lines
 from stintline.llm.ngram_join import keep_one
@@ -52,8 +52,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of sf_dir."""
-    docs = read(spark, sf_dir, "documents")
+    """The last stage's rows for the documents of sf_dir.
+
+    Once a stage's rows are written, the tables that it made on its way are deleted, and so are the rows of
+    the stage before.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        with temporary(spark) as lasting:
+            docs = lasting(durable(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}"))
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
