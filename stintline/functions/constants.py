@@ -109,3 +109,17 @@ ANCHOR_COUNT = r"(\d+)\s+(slow|medium|high)(?:-speed)?\s+corners?"
 ANCHOR_MIN = r"averages?\s+(\d+(?:\.\d+)?)\s*km/h\s+minimum speed"
 ANCHOR_DELTA = r"(\d+(?:\.\d+)?)\s*km/h\s+(above|below)\s+the field"
 KEY_FACTS = "Key facts: "
+
+#: drivers' full names, and the codes that head-to-head and stay-out questions spell out.
+FULL_NAMES = {
+    "ALB": "Alexander Albon", "ALO": "Fernando Alonso", "ANT": "Kimi Antonelli", "BEA": "Oliver Bearman", "BOT": "Valtteri Bottas", "COL": "Franco Colapinto",
+    "DEV": "Nyck de Vries", "DOO": "Jack Doohan", "GAS": "Pierre Gasly", "GIO": "Antonio Giovinazzi", "GRO": "Romain Grosjean", "HAD": "Isack Hadjar",
+    "HAM": "Lewis Hamilton", "HUL": "Nico Hulkenberg", "KVY": "Daniil Kvyat", "LAT": "Nicholas Latifi", "LAW": "Liam Lawson", "LEC": "Charles Leclerc",
+    "MAG": "Kevin Magnussen", "MAZ": "Nikita Mazepin", "MSC": "Mick Schumacher", "NOR": "Lando Norris", "OCO": "Esteban Ocon", "PER": "Sergio Perez",
+    "PIA": "Oscar Piastri", "RAI": "Kimi Raikkonen", "RIC": "Daniel Ricciardo", "RUS": "George Russell", "SAI": "Carlos Sainz", "SAR": "Logan Sargeant",
+    "STR": "Lance Stroll", "TSU": "Yuki Tsunoda", "VER": "Max Verstappen", "VET": "Sebastian Vettel", "ZHO": "Guanyu Zhou",
+}
+PAIR_CODES = "ALB ALO ANT BOT GAS HAM HUL LAW LEC MAG NOR OCO PER PIA RIC RUS SAI STR TSU VER VET ZHO MSC".split()
+STAY_OUT_CODES = "ALB ALO BOT GAS HAM HUL LAW LEC MAG NOR OCO PER PIA RIC RUS SAI STR TSU VER VET ZHO MSC LAT".split()
+#: Circuits that stay-out examples leave out, as they are held out of training.
+HELD_OUT = ["Bahrain", "Bahraini", "Monaco", "Monegasque", "Belgium", "Belgian", "Hungary", "Hungarian", "Italy", "Italian", "Singapore"]

@@ -80,13 +80,18 @@ def _ngrams(t: Column, n: int) -> Column:
 
 
 def _clipped(theirs: Column, mine: Column) -> Column:
-    """Grams of mine that theirs has too, each at most as often: what is left of mine once theirs is taken."""
+    """Grams of mine that theirs has too, each at most as often.
 
-    def of(s):
-        def count(grams, g):
-            return F.size(F.filter(grams, lambda x: x == g))
+    If either side repeats no gram, that is the size of the intersection; else each occurrence is told by
+    its number within equal ones, and the k-th of one side meets the k-th of the other.
+    """
 
-        return F.aggregate(F.array_distinct(s["m"]), F.lit(0), lambda n, g: n + F.least(count(s["m"], g), count(s["t"], g)))
+    def told(grams):
+        return let(F.array_sort(grams), lambda s: F.transform(s, lambda g, i: F.struct(g.alias("g"), (i - F.array_position(s, g)).alias("k"))))
+
+    def of(s):
+        unique = (F.size(F.array_distinct(s["m"])) == F.size(s["m"])) | (F.size(F.array_distinct(s["t"])) == F.size(s["t"]))
+        return F.when(unique, F.size(F.array_intersect(s["m"], s["t"]))).otherwise(F.size(F.array_intersect(told(s["m"]), told(s["t"]))))
 
     return let(F.struct(mine.alias("m"), theirs.alias("t")), of)
 
@@ -108,23 +113,42 @@ def bleu4(reference: Column, prediction: Column) -> Column:
     return let(_sides(reference, prediction), of)
 
 
-def factual(reference: Column, prediction: Column) -> Column:
-    """Whether any predicted number is close to any reference number; true without reference numbers."""
-    r = numbers(reference)
-    return (F.size(r) == 0) | let(numbers(prediction), lambda p: F.exists(r, lambda x: F.exists(p, lambda y: close(y, x))))
+def factual_of(r: Column, p: Column) -> Column:
+    """Whether any predicted number (p) is close to any reference number (r); true without reference numbers."""
+    return (F.size(r) == 0) | F.exists(r, lambda x: F.exists(p, lambda y: close(y, x)))
 
 
-def hallucination(reference: Column, prediction: Column) -> Column:
+def hallucination_of(r: Column, p: Column) -> Column:
     """Share of predicted numbers that no reference number is close to; 0 if either side has none."""
+    return F.when((F.size(r) == 0) | (F.size(p) == 0), 0.0).otherwise(F.size(ungrounded(p, r)) / F.size(p))
+
+
+def _numbered(reference: Column, prediction: Column, of) -> Column:
     sides = F.struct(numbers(reference).alias("r"), numbers(prediction).alias("p"))
-    share = lambda s: F.size(ungrounded(s["p"], s["r"])) / F.size(s["p"])
-    return let(sides, lambda s: F.when((F.size(s["r"]) == 0) | (F.size(s["p"]) == 0), 0.0).otherwise(share(s)))
+    return let(sides, lambda s: of(s["r"], s["p"]))
+
+
+def factual(reference: Column, prediction: Column) -> Column:
+    """factual_of() the numbers of two texts."""
+    return _numbered(reference, prediction, factual_of)
+
+
+def hallucination(reference: Column, prediction: Column) -> Column:
+    """hallucination_of() the numbers of two texts."""
+    return _numbered(reference, prediction, hallucination_of)
+
+
+def grounded(reference: Column, prediction: Column) -> Column:
+    """factual, halluc and fails_guard of two texts, whose numbers are read once."""
+    return _numbered(reference, prediction, lambda r, p: F.struct(factual_of(r, p).alias("factual"), hallucination_of(r, p).alias("halluc"), (F.size(ungrounded(p, r)) > 0).alias("fails_guard")))
 
 
 def score(pairs: DataFrame, reference: str = "reference", prediction: str = "generated") -> DataFrame:
     """pairs with all four scores and the numbers of both sides."""
     r, p = F.col(reference), F.col(prediction)
-    return pairs.withColumns({"rouge_l": rouge_l(r, p), "bleu": bleu4(r, p), "factual": factual(r, p), "halluc": hallucination(r, p), "ref_nums": numbers(r), "pred_nums": numbers(p)})
+    told = _numbered(r, p, lambda x, y: F.struct(factual_of(x, y).alias("f"), hallucination_of(x, y).alias("h"), x.alias("r"), y.alias("p")))
+    both = pairs.withColumn("_told", let(told, lambda t: t))
+    return both.withColumns({"rouge_l": rouge_l(r, p), "bleu": bleu4(r, p), "factual": F.col("_told.f"), "halluc": F.col("_told.h"), "ref_nums": F.col("_told.r"), "pred_nums": F.col("_told.p")}).drop("_told")
 
 
 def histogram(scored: DataFrame, column: str, buckets: int = 5) -> DataFrame:

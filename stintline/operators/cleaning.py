@@ -65,20 +65,26 @@ def resample(trace: DataFrame, columns: dict[str, str], key: str = "lap_id", ord
 
     columns maps source columns to results; a source that trace doesn't have gives zeros. Between
     samples values are interpolated, before the first one held. Laps with fewer than two samples of
-    a known distance yield nothing. The grid joins the trace's segments by a range within the lap, so
-    no lap is gathered in one row.
+    a known distance yield nothing. Each sample lays out the grid's points up to the next one, so a lap is
+    sorted once and joins nothing.
     """
     known = trace.where(F.col(distance).isNotNull() & ~F.isnan(distance)).withColumn("_d", F.col(distance).cast("double"))
     there = {c: n for c, n in columns.items() if c in trace.columns}
     w = Window.partitionBy(key).orderBy(order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     points = known.select(key, order, "_d", *(filled(c, [key], order).alias(n) for c, n in there.items()))
     ahead = [F.lead(c).over(w).alias(f"_next_{c}") for c in ["_d", *there.values()]]
-    segments = points.select("*", *ahead, F.row_number().over(w).alias("_n"))
-    ends = points.groupBy(key).agg(F.max_by("_d", order).alias("_last"), F.count(F.lit(1)).alias("_k")).where("_k >= 2 AND _last > 0")
-    grid = ends.select(key, F.explode(F.sequence(F.lit(0), F.ceil(F.col("_last") / step).cast("int") - 1)).alias("_g")).withColumn("distance", F.col("_g") * F.lit(step))
-    inside = (F.col("distance") >= F.col("_d")) & (F.col("distance") < F.coalesce("_next__d", F.lit(float("inf"))))
-    before = (F.col("_n") == 1) & (F.col("distance") < F.col("_d"))
-    near = grid.join(segments, key).where(inside | before)
+    segments = points.select("*", *ahead, F.row_number().over(w).alias("_n"), F.last("_d").over(whole).alias("_last"), F.count(F.lit(1)).over(whole).alias("_k"))
+
+    def index(at):
+        """The first point of the grid that isn't before a distance."""
+        return F.greatest(F.lit(0), F.ceil(at / step)).cast("int")
+
+    begin = F.when(F.col("_n") == 1, F.lit(0)).otherwise(index(F.col("_d")))
+    end = F.least(index(F.coalesce("_next__d", "_last")), index(F.col("_last"))) - 1  # the last sample holds to the end
+    end = F.when(F.col("_next__d").isNull(), index(F.col("_last")) - 1).otherwise(end)
+    laid = segments.where("_k >= 2 AND _last > 0").withColumn("_from", begin).withColumn("_to", end).where("_from <= _to")
+    near = laid.withColumn("_g", F.explode(F.sequence("_from", "_to"))).withColumn("distance", F.col("_g") * F.lit(step))
     share = F.when(F.col("distance") <= F.col("_d"), 0.0).otherwise(F.coalesce((F.col("distance") - F.col("_d")) / (F.col("_next__d") - F.col("_d")), F.lit(0.0)))
     out = []
     for c, n in columns.items():

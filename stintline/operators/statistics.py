@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: Bounds outside of which a statistic is rejected.
 SLOPE, CLIFF, VIABLE = (0.010, 0.250), (8, 35), (10, 45)
 SECTOR, TOP_SPEED, CORNER_SPEED, QUALI_RACE = (-2.0, 5.0), (280.0, 370.0), (60.0, 320.0), (2.0, 15.0)
@@ -111,17 +113,36 @@ def speed_trap_stats(telemetry: DataFrame, laps: DataFrame, sessions: DataFrame)
     return means.withColumn("rank_in_field", place).where(F.col("avg_top_speed").between(*TOP_SPEED))
 
 
+def _minima_by_lap(telemetry: DataFrame) -> DataFrame:
+    """lap_id and minima, an array of its local minima (distance, speed) by distance.
+
+    A lap is an array of some hundred samples at most, as its length over their spacing bounds them; of
+    tables in buckets by lap nothing is shuffled.
+    """
+    usable = telemetry.where("distance IS NOT NULL AND speed IS NOT NULL")
+    laps = usable.groupBy("lap_id").agg(F.array_sort(F.collect_list(F.struct("distance", "speed"))).alias("t"))
+    speeds = F.array_sort(F.transform("t", lambda x: x["speed"]))
+
+    def slow(s):
+        """The 60th percentile of sorted speeds, between two of them by its share."""
+        at = (F.size(s) - 1) * F.lit(0.6)
+        low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+        return F.when(low == high, F.get(s, low)).otherwise((high - at) * F.get(s, low) + (at - low) * F.get(s, high))
+
+    def found(z):
+        t = z["t"]
+        near = lambda x, i: (i > 0) & (x["speed"] <= F.get(t, i - 1)["speed"]) & (x["speed"] < F.get(t, i + 1)["speed"]) & (x["speed"] <= z["slow"])
+        return F.filter(t, lambda x, i: F.coalesce(near(x, i), F.lit(False)))
+
+    return laps.select("lap_id", let(F.struct("t", let(speeds, slow).alias("slow")), found).alias("minima"))
+
+
 def local_minima(telemetry: DataFrame) -> DataFrame:
     """Points not faster than the one before, slower than the next, and within the slowest 60 % of their lap.
 
     The first and the last point of a lap are none.
     """
-    w = Window.partitionBy("lap_id").orderBy("distance")
-    usable = telemetry.where("distance IS NOT NULL AND speed IS NOT NULL")
-    slow = F.percentile("speed", 0.6).over(Window.partitionBy("lap_id"))  # the lags' shuffle and sort serve it too
-    near = usable.withColumns({"before": F.lag("speed").over(w), "after": F.lead("speed").over(w), "slow": slow})
-    found = near.where("speed <= before AND speed < after AND speed <= slow")
-    return found.select("lap_id", "distance", "speed")
+    return _minima_by_lap(telemetry).select("lap_id", F.explode("minima").alias("m")).select("lap_id", "m.distance", "m.speed")
 
 
 def corner_tolerances(corners: DataFrame) -> DataFrame:
@@ -135,14 +156,21 @@ def corner_tolerances(corners: DataFrame) -> DataFrame:
 
 def corner_matches(telemetry: DataFrame, laps: DataFrame, sessions: DataFrame, corners: DataFrame) -> DataFrame:
     """Slowest speed of each lap at each corner: minima go to the nearest corner (the lower number on
-    ties), and are dropped if that corner's tolerance doesn't reach them."""
+    ties), and are dropped if that corner's tolerance doesn't reach them.
+
+    A circuit's corners are one array, some dozens at most, that joins its laps; all else is in the lap's row.
+    """
     driven = with_session(laps, sessions).where("is_valid = 1").select(F.col("id").alias("lap_id"), "driver", "circuit")
-    at = local_minima(telemetry).join(driven, "lap_id")
-    near = at.join(corner_tolerances(corners).select("circuit", "corner_number", "distance_from_start", "tolerance"), "circuit")
-    near = near.withColumn("away", F.abs(F.col("distance") - F.col("distance_from_start")))
-    chosen = near.groupBy("lap_id", "driver", "circuit", "distance", "speed").agg(F.min(F.struct("away", "corner_number", "tolerance")).alias("c"))
-    chosen = chosen.where("c.away <= c.tolerance")
-    return chosen.groupBy("driver", "circuit", "lap_id", F.col("c.corner_number").alias("corner_number")).agg(F.min("speed").alias("speed"))
+    map_of = corner_tolerances(corners).groupBy("circuit").agg(F.collect_list(F.struct("distance_from_start", "corner_number", "tolerance")).alias("map"))
+    held = _minima_by_lap(telemetry).where(F.size("minima") > 0).join(driven, "lap_id").join(map_of, "circuit")
+
+    def nearest(m):
+        at = F.array_min(F.transform("map", lambda c: F.struct(F.abs(m["distance"] - c["distance_from_start"]).alias("away"), c["corner_number"].alias("number"), c["tolerance"].alias("tolerance"))))
+        return F.struct(at["number"].alias("corner_number"), m["speed"].alias("speed"), (at["away"] <= at["tolerance"]).alias("near"))
+
+    reached = F.array_sort(F.filter(F.transform("minima", nearest), lambda x: x["near"]))
+    slowest = let(reached, lambda r: F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1)["corner_number"] != x["corner_number"])))
+    return held.select("driver", "circuit", "lap_id", F.explode(slowest).alias("x")).select("driver", "circuit", "lap_id", "x.corner_number", "x.speed")
 
 
 def _corner_means(telemetry, laps, sessions, corners) -> DataFrame:

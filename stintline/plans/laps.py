@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import cleaning, corner_map, lap_query
 from ..operators.statistics import GROUP, inlier, rejects, with_session
 from ..sources.files import append_new
-from ..sources.fixtures import load, run_sql
+from ..sources.fixtures import run_sql
 from .stats import rounded, tables
 from .stats_sql import with_stats
 
@@ -32,7 +32,7 @@ FROM telemetry"""
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, RAW_LAPS, load(spark, sf_dir, "laps"))
+    return run_sql(spark, RAW_LAPS, tables(spark, sf_dir, "laps"))
 
 
 def clean_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +41,12 @@ def clean_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trace = run_sql(spark, TRACE.replace('"', "`"), load(spark, sf_dir, "telemetry"))
+    trace = run_sql(spark, TRACE.replace('"', "`"), tables(spark, sf_dir, "telemetry"))
     return cleaning.resample(trace, {"Speed": "speed", "Throttle": "throttle", "nGear": "gear"})
 
 
 def _laps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = load(spark, sf_dir, "laps", "sessions")
+    t = tables(spark, sf_dir, "laps", "sessions")
     return with_session(t["laps"], t["sessions"])
 
 
@@ -75,7 +75,7 @@ def head_to_head_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_session_per_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sessions = load(spark, sf_dir, "sessions")["sessions"]
+    sessions = tables(spark, sf_dir, "sessions")["sessions"]
     return sessions.groupBy("circuit", "session_type").agg(F.max_by("id", "season").alias("id"), F.max("season").alias("season"))
 
 
@@ -86,7 +86,7 @@ def outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def next_slower(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each lap's gap to the next strictly slower time of its session and lap number."""
-    laps = load(spark, sf_dir, "laps")["laps"]
+    laps = tables(spark, sf_dir, "laps")["laps"]
     times = laps.select("session_id", "lap_number", "lap_time").distinct()
     lead = F.expr("lead(lap_time) OVER (PARTITION BY session_id, lap_number ORDER BY lap_time)")
     return laps.join(times.withColumn("next", lead), ["session_id", "lap_number", "lap_time"]).select("id", (F.col("next") - F.col("lap_time")).alias("gap"))
@@ -94,37 +94,37 @@ def next_slower(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incremental_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Laps of the newest season that a table of the older seasons lacks."""
-    laps = load(spark, sf_dir, "laps")["laps"]
+    laps = tables(spark, sf_dir, "laps")["laps"]
     old = laps.where("NOT session_id LIKE '2025%'")
     return append_new(laps, old, ["session_id", "driver", "lap_number"]).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def corner_type_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corners and mapped corners of each circuit: circuits without any mapped one need a new map."""
-    corners = load(spark, sf_dir, "corners")["corners"]
+    corners = tables(spark, sf_dir, "corners")["corners"]
     return corners.groupBy("circuit").agg(F.count(F.lit(1)).alias("corners"), F.count("distance_from_start").alias("mapped"), F.max("corner_number").alias("highest"))
 
 
 def lap_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rejects(load(spark, sf_dir, "laps")["laps"], {"lap_time": (78.0, 83.0), "sector1": (23.0, 25.2)})
+    found = rejects(tables(spark, sf_dir, "laps")["laps"], {"lap_time": (78.0, 83.0), "sector1": (23.0, 25.2)})
     return found.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def map_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the maps of circuits outside of Asia, taken as unmapped, come from."""
-    t = load(spark, sf_dir, "corners", "sessions")
+    t = tables(spark, sf_dir, "corners", "sessions")
     return corner_map.map_sources(t["sessions"], t["corners"].where("circuit LIKE 'ASIA%'"))
 
 
 def stale_corner_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corner statistics that stay if Europe's map ended at corner nine."""
-    t = tables(spark, sf_dir, "corner_stats")
+    t = tables(spark, sf_dir, "corner_stats", "corners")
     short = t["corners"].where("NOT circuit LIKE 'EUROPE%' OR corner_number < 10")
     return corner_map.without_stale(t["corner_stats"], short).select("driver", "circuit", "corner_number")
 
 
 def plausible_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    laps = load(spark, sf_dir, "laps")["laps"]
+    laps = tables(spark, sf_dir, "laps")["laps"]
     ok = X.plausible_times(F.col("lap_time"), F.col("sector1"), F.col("sector2"), F.col("sector3"))
     return laps.groupBy("driver").agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("odd"), F.min(X.lap_time_text(F.round("lap_time", 1))).alias("best"))
 

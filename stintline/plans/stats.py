@@ -1,4 +1,4 @@
-"""The statistics as registered queries, and the set of tables that later plans draw on."""
+"""The statistics as registered queries, and the store of tables that later plans draw on."""
 
 from __future__ import annotations
 
@@ -7,22 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import statistics as S
-from ..sources.fixtures import load
+from ..operators import build, statistics as S
+from ..sources import fixtures
+from ..sources.store import Store, shared_root
 from .stats_sql import with_stats
 
-BUILD: dict[str, Callable[[dict], DataFrame]] = {
-    "tyre_stats": lambda t: S.tyre_stats(t["laps"], t["sessions"], t["weather"]),
-    "driver_sector_stats": lambda t: S.driver_sector_stats(t["laps"], t["sessions"]),
-    "speed_trap_stats": lambda t: S.speed_trap_stats(t["telemetry"], t["laps"], t["sessions"]),
-    "corner_stats": lambda t: S.corner_stats(t["telemetry"], t["laps"], t["sessions"], t["corners"]),
-    "corners_typed": lambda t: S.typed_corners(t["telemetry"], t["laps"], t["sessions"], t["corners"]),
-    "fuel_stats": lambda t: S.fuel_stats(t["laps"], t["sessions"]),
-    "quali_race_delta": lambda t: S.quali_race_delta(t["laps"], t["sessions"]),
-    "driver_session_counts": lambda t: S.driver_session_counts(t["laps"]),
-}
-
-
 #: Digits kept of a statistic: sums in another order differ beyond them.
 DIGITS = 9
 
@@ -32,16 +21,48 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, DIGITS) for c, t in df.dtypes if t == "double"})
 
 
-def tables(spark: SparkSession, sf_dir: str, *stats: str) -> dict[str, DataFrame]:
-    """The adapter tables and the named statistics, all lazy."""
-    base = load(spark, sf_dir)
-    return base | {name: rounded(BUILD[name](base)) for name in stats}
+_STORES: dict[tuple[str, str], Store] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> Store:
+    """The session's store over sf_dir: the adapter tables and the statistics, each built once."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORES:
+        makers: dict[str, Callable[[Store], DataFrame]] = {}
+        for name in fixtures.VIEWS:
+            makers[name] = lambda st, name=name: fixtures.view(spark, sf_dir, name, st.lean)
+        for name, make in build.STATISTICS.items():
+            makers[name] = lambda st, make=make: rounded(make(st.lean))
+        _STORES[key] = Store(spark, f"{shared_root(spark)}/built-{len(_STORES)}", makers)
+    return _STORES[key]
+
+
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """The named tables of the store."""
+    held = store(spark, sf_dir)
+    return {name: held.lean(name) for name in names}
+
+
+def statistics_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics job over sf_dir: what it publishes, with the number of rows of each table."""
+    held = store(spark, sf_dir)
+    target = f"{held.root}-published"
+    build.build_statistics(held.lean, target)
+    counts = [spark.read.parquet(f"{target}/{name}").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name in build.STATISTICS]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
 
 
 def _query(name: str):
     return lambda spark, sf_dir: tables(spark, sf_dir, name)[name]
 
 
-QUERIES = {name: _query(name) for name in BUILD}
-QUERIES["local_minima"] = lambda spark, sf_dir: S.local_minima(load(spark, sf_dir, "telemetry")["telemetry"])
-ORACLE_SQL = {name: with_stats(f"SELECT * FROM {name}") for name in BUILD} | {"local_minima": with_stats("SELECT * FROM minima")}
+QUERIES = {name: _query(name) for name in build.STATISTICS}
+QUERIES["local_minima"] = lambda spark, sf_dir: S.local_minima(tables(spark, sf_dir, "telemetry")["telemetry"])
+QUERIES["statistics_build"] = statistics_build
+ORACLE_SQL = {name: with_stats(f"SELECT * FROM {name}") for name in build.STATISTICS} | {
+    "local_minima": with_stats("SELECT * FROM minima"),
+    "statistics_build": with_stats(" UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM {name}" for name in build.STATISTICS)),
+}

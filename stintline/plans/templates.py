@@ -2,8 +2,9 @@
 
 A template is a relation in SQL, its facts, and two texts with {fact:format} fields. The same template makes
 a Spark plan and a DuckDB query. Formats: .N (N decimals), +.N (with a sign), lap (M:SS.mmm), cap
-(capitalised), abs.N. Questions are fixed values, since corpora are deduplicated by them; answers state the
-same facts in this engine's own words.
+(capitalised), abs.N, name (a driver's full name), pair and surname (the same where such questions spell them
+out). Questions and the bounds of relations are fixed values, since corpora are deduplicated by them; answers
+state the same facts in this engine's own words. What checks a template's facts is written apart, in templates_sql.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import constants as K
 from ..sources.fixtures import run_sql
 from .stats import tables
 from .stats_sql import with_stats
+from .templates_sql import FACTS
 
 #: The tyre filter that strategy templates share.
 TYRE_FILTER = "avg_deg_per_lap BETWEEN 0.010 AND 0.250 AND cliff_lap BETWEEN 8 AND 35 AND max_viable_laps BETWEEN 10 AND 45"
@@ -42,7 +45,16 @@ class Template:
         return f"SELECT {', '.join(names)}, {render(self.question)} AS question, {render(self.answer)} AS answer FROM ({inner}) AS facts{tail}"
 
 
+def _spelled(column: str, names: dict[str, str]) -> str:
+    return f"CASE {column} {' '.join(f'WHEN {chr(39)}{c}{chr(39)} THEN {chr(39)}{n}{chr(39)}' for c, n in names.items())} ELSE {column} END"
+
+
+NAMES = {"name": K.FULL_NAMES, "pair": {c: K.FULL_NAMES[c] for c in K.PAIR_CODES}, "surname": {c: K.FULL_NAMES[c].split(" ")[-1] for c in K.STAY_OUT_CODES}}
+
+
 def _field(name: str, form: str) -> str:
+    if form in NAMES:
+        return _spelled(name, NAMES[form])
     if form == "cap":
         return f"concat(upper(substr({name}, 1, 1)), lower(substr({name}, 2)))"
     if form == "lap":
@@ -170,12 +182,12 @@ TEMPLATES: dict[str, Template] = {
     "b1_strategy_examples": Template(LAP_JOIN.format(low=8, high=28), LAP_FACTS, "{driver}, lap {lap_number} at {circuit} {season}: {compound:cap} tyres of age {tyre_age}. Box or stay out?", "{margin} laps to the cliff: " + TYRE_TAIL, DRAW.format(keys="'boost', " + LAP_KEYS), 600),
     "b2_corner_type_examples": Template(PIVOT, PIVOT_FACTS, "How many slow, medium and high-speed corners does {circuit} have?", "{n_slow}, {n_med} and {n_high} of {total}."),
     "b3_sparse_comparison_examples": Template(f"(SELECT a.circuit, a.season, a.driver AS d1, b.driver AS d2, a.{D1} + a.{D2} + a.{D3} AS s1, b.{D1} + b.{D2} + b.{D3} AS s2, x.avg_top_speed AS v1, y.avg_top_speed AS v2, p.delta AS q1, r.delta AS q2 FROM {SECTOR} AS a JOIN {SECTOR} AS b ON a.circuit = b.circuit AND a.season = b.season AND a.driver < b.driver LEFT JOIN {TRAP} AS x ON x.driver = a.driver AND x.circuit = a.circuit AND x.season = a.season LEFT JOIN {TRAP} AS y ON y.driver = b.driver AND y.circuit = b.circuit AND y.season = b.season LEFT JOIN {RACE} AS p ON p.driver = a.driver AND p.circuit = a.circuit AND p.season = a.season LEFT JOIN {RACE} AS r ON r.driver = b.driver AND r.circuit = b.circuit AND r.season = b.season WHERE a.{D1} IS NOT NULL AND a.{D2} IS NOT NULL AND a.{D3} IS NOT NULL AND b.{D1} IS NOT NULL AND b.{D2} IS NOT NULL AND b.{D3} IS NOT NULL AND x.avg_top_speed IS NOT NULL AND y.avg_top_speed IS NOT NULL AND p.delta IS NOT NULL AND r.delta IS NOT NULL) AS t", ("circuit", "season", "d1", "d2", "s1", "s2", "v1", "v2", "q1", "q2"), "Compare {d1} and {d2} at {circuit} in {season}.", "Sectors {s1:+.3}s and {s2:+.3}s, top speed {v1:.1} and {v2:.1} km/h, race delta {q1:+.3}s and {q2:+.3}s.", "season, circuit, d1, d2", 400),
-    "m2a_tyre_behaviour": Template(f"{TYRE} WHERE avg_deg_per_lap IS NOT NULL AND max_viable_laps IS NOT NULL", (*TYRE_FACTS, "track_temp_sensitivity"), "What do we know of {compound:cap} tyres at {circuit} in {season}?", TYRE_TAIL, DRAW.format(keys="CAST(season AS STRING), circuit, compound"), 200),
-    "m2b_undercut_strategy": Template(f"(SELECT t.circuit, t.season, t.compound, min(t.avg_deg_per_lap) AS deg, min(t.cliff_lap) AS cliff, min(t.max_viable_laps) AS viable, round(avg(f.fuel_effect_per_10kg), 9) AS fuel, min(q.avg_race_pace) AS pace FROM {TYRE} AS t LEFT JOIN {FUEL} AS f ON f.circuit = t.circuit AND f.season = t.season LEFT JOIN {RACE} AS q ON q.circuit = t.circuit AND q.season = t.season GROUP BY t.circuit, t.season, t.compound) AS m", ("circuit", "season", "compound", "deg", "cliff", "viable", "fuel", "pace"), "Is an undercut on {compound:cap} worth it at {circuit} in {season}?", "Degradation {deg:.3} s/lap, cliff at lap {cliff}, viable for {viable} laps.", DRAW.format(keys="CAST(season AS STRING), circuit, compound"), 200),
-    "m2c_driver_characteristics": Template(f"(SELECT d.driver, d.circuit, d.season, {D1}, {D2}, {D3}, s.avg_top_speed, s.rank_in_field, q.delta FROM {SECTOR} AS d LEFT JOIN {TRAP} AS s ON s.driver = d.driver AND s.circuit = d.circuit AND s.season = d.season LEFT JOIN {RACE} AS q ON q.driver = d.driver AND q.circuit = d.circuit AND q.season = d.season WHERE {SECTORS_KNOWN}) AS t", ("driver", "circuit", "season", D1, D2, D3, "avg_top_speed", "rank_in_field", "delta"), "What characterises {driver} at {circuit} in {season}?", DELTAS + ".", DRAW.format(keys="CAST(season AS STRING), circuit, driver"), 1000),
-    "m2e_driver_comparison": Template(f"(SELECT a.circuit, a.season, a.driver AS d1, b.driver AS d2, a.{D1} AS a1, b.{D1} AS b1, x.avg_top_speed AS v1, y.avg_top_speed AS v2 FROM {SECTOR} AS a JOIN {SECTOR} AS b ON a.circuit = b.circuit AND a.season = b.season AND a.driver < b.driver LEFT JOIN {TRAP} AS x ON x.driver = a.driver AND x.circuit = a.circuit AND x.season = a.season LEFT JOIN {TRAP} AS y ON y.driver = b.driver AND y.circuit = b.circuit AND y.season = b.season WHERE a.{D1} IS NOT NULL AND b.{D1} IS NOT NULL) AS t", ("circuit", "season", "d1", "d2", "a1", "b1", "v1", "v2"), "How do {d1} and {d2} differ at {circuit} in {season}?", "Sector 1 {a1:+.3}s and {b1:+.3}s.", DRAW.format(keys="CAST(season AS STRING), circuit, d1, d2"), 500),
-    "m3_race_moments": Template(f"(SELECT l.driver, l.lap_number, l.tyre_age, l.compound, l.lap_time, s.circuit, s.season, t.avg_deg_per_lap, t.cliff_lap, t.max_viable_laps, f.fuel_effect_per_10kg, d.{D1} FROM laps AS l JOIN sessions AS s ON s.id = l.session_id LEFT JOIN {TYRE} AS t ON t.circuit = s.circuit AND t.season = s.season AND t.compound = l.compound LEFT JOIN {FUEL} AS f ON f.driver = l.driver AND f.circuit = s.circuit AND f.season = s.season LEFT JOIN {SECTOR} AS d ON d.driver = l.driver AND d.circuit = s.circuit AND d.season = s.season WHERE s.session_type = 'Race' AND l.is_valid = 1 AND l.tyre_age BETWEEN 8 AND 25 AND l.lap_number BETWEEN 20 AND 50 AND t.avg_deg_per_lap IS NOT NULL) AS m", (*LAP_FACTS[:-1], "fuel_effect_per_10kg", D1), "{driver} on lap {lap_number} at {circuit} in {season}: what now?", "{compound:cap} of age {tyre_age}: " + TYRE_TAIL, DRAW.format(keys="'moment', " + LAP_KEYS), 600),
-    "stay_out": Template(f"(SELECT l.driver, l.lap_number, l.tyre_age, l.compound, l.circuit, l.season, t.avg_deg_per_lap, t.cliff_lap, t.max_viable_laps, l.gap FROM (SELECT l.*, s.circuit, s.season, n.next_time - l.lap_time AS gap FROM laps AS l JOIN sessions AS s ON s.id = l.session_id JOIN (SELECT session_id, lap_number, lap_time, lead(lap_time) OVER (PARTITION BY session_id, lap_number ORDER BY lap_time) AS next_time FROM (SELECT DISTINCT session_id, lap_number, lap_time FROM laps WHERE is_valid = 1 AND lap_time IS NOT NULL) AS u) AS n ON n.session_id = l.session_id AND n.lap_number = l.lap_number AND n.lap_time = l.lap_time WHERE s.session_type = 'Race' AND l.is_valid = 1) AS l JOIN {TYRE} AS t ON t.circuit = l.circuit AND t.season = l.season AND t.compound = l.compound WHERE t.avg_deg_per_lap BETWEEN 0.010 AND 0.120 AND t.cliff_lap BETWEEN 12 AND 35 AND t.max_viable_laps BETWEEN 12 AND 45 AND l.tyre_age <= t.cliff_lap - 3 AND l.tyre_age <= t.max_viable_laps - 3 AND l.gap BETWEEN 0.1 AND 5.0) AS c", ("season", "circuit", "driver", "lap_number", "tyre_age", "compound", "avg_deg_per_lap", "cliff_lap", "max_viable_laps", "gap"), "{driver} is on lap {lap_number} at {circuit} in {season} on {compound:cap} of age {tyre_age}, {gap:.3} s ahead. Box or stay out?", "Stay out: " + TYRE_TAIL),
+    "m2a_tyre_behaviour": Template(f"{TYRE} WHERE avg_deg_per_lap IS NOT NULL AND max_viable_laps IS NOT NULL", (*TYRE_FACTS, "track_temp_sensitivity"), "How do {compound:cap} tyres behave at {circuit} in {season}? Include degradation profile, stint strategy, and any temperature sensitivity.", TYRE_TAIL, DRAW.format(keys="CAST(season AS STRING), circuit, compound"), 200),
+    "m2b_undercut_strategy": Template(f"(SELECT t.circuit, t.season, t.compound, t.avg_deg_per_lap, t.max_viable_laps, t.cliff_lap, f.fuel, q.pace FROM {TYRE} AS t LEFT JOIN (SELECT circuit, season, min_by(fuel_effect_per_10kg, driver) AS fuel FROM {FUEL} GROUP BY circuit, season) AS f ON f.circuit = t.circuit AND f.season = t.season LEFT JOIN (SELECT circuit, season, min_by(avg_race_pace, driver) AS pace FROM {RACE} GROUP BY circuit, season) AS q ON q.circuit = t.circuit AND q.season = t.season WHERE t.avg_deg_per_lap IS NOT NULL AND t.max_viable_laps IS NOT NULL) AS m", (*TYRE_FACTS, "fuel", "pace"), "What is the undercut and overcut opportunity at {circuit} in {season} on {compound:cap} tyres? When should a team trigger the undercut?", TYRE_TAIL, DRAW.format(keys="CAST(season AS STRING), circuit, compound"), 200),
+    "m2c_driver_characteristics": Template(f"(SELECT d.driver, d.circuit, d.season, {D1}, {D2}, {D3}, s.avg_top_speed, s.rank_in_field, q.quali_lap, q.avg_race_pace, q.delta FROM {SECTOR} AS d LEFT JOIN {TRAP} AS s ON s.driver = d.driver AND s.circuit = d.circuit AND s.season = d.season LEFT JOIN {RACE} AS q ON q.driver = d.driver AND q.circuit = d.circuit AND q.season = d.season WHERE {D1} IS NOT NULL) AS t", ("driver", "circuit", "season", D1, D2, D3, "avg_top_speed", "rank_in_field", "quali_lap", "avg_race_pace", "delta"), "Describe {driver:name}'s driving characteristics and strengths at {circuit} in {season}. Where does he gain and lose time?", DELTAS + ".", DRAW.format(keys="CAST(season AS STRING), circuit, driver"), 200),
+    "m2e_driver_comparison": Template(f"(SELECT a.circuit, a.season, a.driver AS d1, b.driver AS d2, {', '.join(f'{t}.{c} AS {t}{i}' for t in 'ab' for i, c in enumerate((D1, D2, D3), 1))}, x.avg_top_speed AS v1, x.rank_in_field AS r1, y.avg_top_speed AS v2, y.rank_in_field AS r2 FROM {SECTOR} AS a JOIN {SECTOR} AS b ON a.circuit = b.circuit AND a.season = b.season AND a.driver < b.driver LEFT JOIN {TRAP} AS x ON x.driver = a.driver AND x.circuit = a.circuit AND x.season = a.season LEFT JOIN {TRAP} AS y ON y.driver = b.driver AND y.circuit = b.circuit AND y.season = b.season WHERE a.{D1} IS NOT NULL AND b.{D1} IS NOT NULL) AS t", (*PAIR_FACTS, "v1", "r1", "v2", "r2"), "How do {d1:pair} and {d2:pair} compare at {circuit} in {season}? Who has the edge in each sector and who is stronger overall?", "Sector 1 {a1:+.3}s and {b1:+.3}s.", DRAW.format(keys="CAST(season AS STRING), circuit, d1, d2"), 200),
+    "m3_race_moments": Template(f"(SELECT l.driver, l.lap_number, l.tyre_age, l.compound, l.lap_time, l.sector1, l.sector2, l.sector3, s.circuit, s.season, t.avg_deg_per_lap, t.cliff_lap, t.max_viable_laps, f.fuel_effect_per_10kg, q.avg_race_pace FROM laps AS l JOIN sessions AS s ON s.id = l.session_id LEFT JOIN {TYRE} AS t ON t.circuit = s.circuit AND t.season = s.season AND t.compound = l.compound LEFT JOIN {FUEL} AS f ON f.driver = l.driver AND f.circuit = s.circuit AND f.season = s.season LEFT JOIN {RACE} AS q ON q.driver = l.driver AND q.circuit = s.circuit AND q.season = s.season WHERE s.session_type = 'Race' AND l.is_valid = 1 AND l.tyre_age BETWEEN 8 AND 25 AND l.lap_number BETWEEN 20 AND 50 AND l.lap_time IS NOT NULL AND l.compound IS NOT NULL AND t.avg_deg_per_lap IS NOT NULL) AS m", (*LAP_FACTS[:-1], *(f"round({c}, 9) AS {c}" for c in ("lap_time", "sector1", "sector2", "sector3")), "fuel_effect_per_10kg", "avg_race_pace"), "{driver} on lap {lap_number} at {circuit} in {season}: what now?", "{compound:cap} of age {tyre_age}: " + TYRE_TAIL, DRAW.format(keys="'moment', " + LAP_KEYS), 600),
+    "stay_out": Template(f"(SELECT c.*, n.next_time - c.lap_time AS gap FROM (SELECT l.session_id, l.driver, l.lap_number, l.tyre_age, l.compound, l.lap_time, s.circuit, s.season, t.avg_deg_per_lap, t.cliff_lap, t.max_viable_laps FROM laps AS l JOIN sessions AS s ON s.id = l.session_id JOIN {TYRE} AS t ON t.circuit = s.circuit AND t.season = s.season AND t.compound = l.compound WHERE s.session_type = 'Race' AND s.circuit NOT IN ({', '.join(repr(c) for c in K.HELD_OUT)}) AND l.is_valid = 1 AND l.tyre_age IS NOT NULL AND l.lap_time IS NOT NULL AND t.avg_deg_per_lap BETWEEN 0.010 AND 0.120 AND t.cliff_lap BETWEEN 12 AND 35 AND t.max_viable_laps BETWEEN 12 AND 45 AND l.tyre_age <= t.cliff_lap - 3 AND l.tyre_age <= t.max_viable_laps - 3 ORDER BY {DRAW.format(keys="'stay', " + LAP_KEYS)} LIMIT 1000) AS c JOIN (SELECT session_id, lap_number, lap_time, lead(lap_time) OVER (PARTITION BY session_id, lap_number ORDER BY lap_time) AS next_time FROM (SELECT DISTINCT session_id, lap_number, lap_time FROM laps WHERE is_valid = 1 AND lap_time IS NOT NULL) AS u) AS n ON n.session_id = c.session_id AND n.lap_number = c.lap_number AND n.lap_time = c.lap_time WHERE n.next_time - c.lap_time BETWEEN 0.1 AND 5.0) AS g", ("season", "circuit", "driver", "lap_number", "tyre_age", "compound", "avg_deg_per_lap", "cliff_lap", "max_viable_laps", "gap", "cliff_lap - tyre_age AS margin"), "{driver:surname} is on lap {lap_number} at {circuit} in {season}. Tyres are {tyre_age} laps old on the {compound:cap} compound, deg rate is {avg_deg_per_lap:.3} s/lap, cliff is at lap {cliff_lap}. Gap behind is {gap:.1} seconds. Recommend stay out with reasoning based on margin to cliff and traffic cost of pitting.", "Stay out: {margin} laps to the cliff, and a stop at a gap of {gap:.1} s costs the place to traffic. " + TYRE_TAIL),
 }
 
 #: Where the engines spell a concatenating aggregate differently.
@@ -188,11 +200,11 @@ CONCAT = {
         "compound:deg:max_laps = {summary}.",
     ),
     "m2d_circuit_strategy": (
-        f"SELECT circuit, season, {{concat}} AS summary, min(avg_deg_per_lap) AS deg, max(max_viable_laps) AS viable FROM {TYRE} GROUP BY circuit, season",
-        "concat_ws(':', compound, CAST(max_viable_laps AS STRING))",
-        ("circuit", "season", "summary", "deg", "viable"),
-        "What is the overall tyre strategy at {circuit} in {season}?",
-        "{summary}; least degradation {deg:.3} s/lap.",
+        f"SELECT t.circuit, t.season, {{concat}} AS summary, min(avg_deg_per_lap) AS deg, round(avg(fuel_effect_per_10kg), 9) AS fuel, min(avg_race_pace) AS pace FROM {TYRE} AS t LEFT JOIN {FUEL} AS f ON f.circuit = t.circuit AND f.season = t.season LEFT JOIN {RACE} AS q ON q.circuit = t.circuit AND q.season = t.season WHERE avg_deg_per_lap IS NOT NULL GROUP BY t.circuit, t.season",
+        "concat_ws(':', compound, CAST(CAST(round(avg_deg_per_lap, 4) AS DECIMAL(9, 4)) AS STRING), coalesce(CAST(max_viable_laps AS STRING), 'N/A'))",
+        ("circuit", "season", "summary", "deg", "fuel", "pace"),
+        "What does an optimal race strategy look like at {circuit} in {season}? Consider compound choices, stint lengths, and fuel effect.",
+        "{summary}; least degradation {deg:.4} s/lap.",
     ),
 }
 
@@ -204,14 +216,22 @@ def _concat_sql(name: str, dialect: str) -> str:
 
 
 SPARK_SQL = {name: t.sql() for name, t in TEMPLATES.items()} | {name: _concat_sql(name, "spark") for name in CONCAT}
-ORACLE_SQL = {name: with_stats(t.sql()) for name, t in TEMPLATES.items()} | {name: with_stats(_concat_sql(name, "duckdb")) for name in CONCAT}
-_STATS = (TYRE, SECTOR, TRAP, CORNER, FUEL, RACE, TYPED)
+
+
+def _check(name: str) -> str:
+    """The facts that templates_sql finds, with the template's texts."""
+    question, answer = CONCAT[name][3:] if name in CONCAT else (TEMPLATES[name].question, TEMPLATES[name].answer)
+    return with_stats(f"SELECT *, {render(question)} AS question, {render(answer)} AS answer FROM ({FACTS[name]}) AS facts")
+
+
+ORACLE_SQL = {name: _check(name) for name in SPARK_SQL}
+_TABLES = (TYRE, SECTOR, TRAP, CORNER, FUEL, RACE, TYPED, "laps", "sessions")
 
 
 def template(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Facts, question and answer of every row that the template yields."""
     sql = SPARK_SQL[name]
-    return run_sql(spark, sql, tables(spark, sf_dir, *(s for s in _STATS if re.search(rf"\b{s}\b", sql))))
+    return run_sql(spark, sql, tables(spark, sf_dir, *(s for s in _TABLES if re.search(rf"\b{s}\b", sql))))
 
 
 def _query(name: str):

@@ -75,7 +75,8 @@ def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, p = F.col("reference"), F.col("generated")
-    return answers(spark, sf_dir).select("id", metrics.factual(r, p).alias("factual"), F.round(metrics.hallucination(r, p), 9).alias("halluc"), X.fails_guard(r, p).alias("fails_guard"))
+    told = answers(spark, sf_dir).select("id", metrics.grounded(r, p).alias("g"))
+    return told.select("id", "g.factual", F.round("g.halluc", 9).alias("halluc"), "g.fails_guard")
 
 
 def redacted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
