@@ -77,8 +77,9 @@ def automaton():
 
 
 def _folded(text: str) -> str:
-    """The text with A-Z in lower case: what anchors are looked for in, character by character."""
-    return text.lower() if text.isascii() else text.translate(_FOLD)
+    """The text in lower case, character by character: what anchors are looked for in."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_FOLD)
 
 
 def _right(text: str, at: int, allowed: frozenset) -> int:
