@@ -123,3 +123,18 @@ PAIR_CODES = "ALB ALO ANT BOT GAS HAM HUL LAW LEC MAG NOR OCO PER PIA RIC RUS SA
 STAY_OUT_CODES = "ALB ALO BOT GAS HAM HUL LAW LEC MAG NOR OCO PER PIA RIC RUS SAI STR TSU VER VET ZHO MSC LAT".split()
 #: Circuits that stay-out examples leave out, as they are held out of training.
 HELD_OUT = ["Bahrain", "Bahraini", "Monaco", "Monegasque", "Belgium", "Belgian", "Hungary", "Hungarian", "Italy", "Italian", "Singapore"]
+
+#: A time in a table's line, and the bounds of a line's first four times, in seconds.
+TIME_CELL = r"(?:\d+:\d{2}\.\d+|\b\d{2,3}\.\d{2,3}\b)"
+CELL_BOUNDS = [("lap_time", 60.0, 145.0), ("sector1", 10.0, 60.0), ("sector2", 10.0, 60.0), ("sector3", 10.0, 60.0)]
+#: Values that a text labels, and their bounds.
+LABELLED = [
+    ("sector_delta", r"(?:sector\s*delta|delta).{0,6}(-?\d+\.?\d*)\s*s", -2.0, 8.0),
+    ("top_speed_kmh", r"(?:top\s*speed|speed\s*trap).{0,30}(\d{3})\s*km", 270.0, 380.0),
+    ("corner_min_kmh", r"(?:min(?:imum)?\s*speed|corner).{0,25}(\d{2,3})\s*km", 40.0, 330.0),
+    ("tyre_deg_s_per_lap", r"(?:deg|degradation).{0,12}(\d+\.\d+).{0,8}(?:/|\s)lap", 0.001, 0.300),
+    ("max_viable_laps", r"max.{0,10}viable.{0,8}(\d{1,2})\s*laps", 5.0, 55.0),
+    ("cliff_lap", r"cliff.{0,6}lap.{0,5}(\d{1,2})", 3.0, 45.0),
+    ("quali_race_delta", r"quali.{0,12}race.{0,12}(\d+\.?\d*)\s*s", 0.5, 20.0),
+    ("driver_top_speed_rank", r"(?:rank|position).{0,4}(?:#|no\.?)\s*(\d{1,2})\b", 1.0, 25.0),
+]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import close, let, numbers, ungrounded
@@ -171,3 +171,25 @@ def rescored(saved: DataFrame, old: str = "halluc", reference: str = "reference"
 def extremes(scored: DataFrame, column: str, key: str, k: int, lowest: bool = True) -> DataFrame:
     """The k rows of the lowest (or highest) score for a report; ties go to the lower key."""
     return scored.orderBy(F.col(column).asc() if lowest else F.col(column).desc(), key).limit(k)
+
+
+def report_lines(scored: DataFrame, key: str = "id", worst: int = 10) -> DataFrame:
+    """place and line of the evaluation's report: means, distributions, worst pairs, and pairs whose
+    numbers are wrong (at most `worst` of each), with how many there are. Every part is an aggregate or a limit."""
+    number = lambda c, digits: F.round(c, digits).cast(f"decimal(18,{digits})").cast("string")
+    means = report(scored)
+    texts = [F.concat(F.lit("examples "), F.col("n").cast("string"))]
+    texts += [F.concat(F.lit(f"{c} "), number(F.col(c), 4)) for c in ("rouge_l", "bleu", "factual", "halluc")]
+    wrong = F.concat(F.lit("wrong numbers in "), F.round(F.col("n") * (1 - F.col("factual"))).cast("long").cast("string"), F.lit(" of "), F.col("n").cast("string"))
+    out = means.select(F.posexplode(F.array(*texts)).alias("place", "line"))
+    for base, column in ((100, "rouge_l"), (200, "bleu")):
+        bars = histogram(scored, column)
+        label = F.concat(F.lit(f"{column} "), number(F.col("bucket") / 5, 1), F.lit("-"), number((F.col("bucket") + 1) / 5, 1), F.lit(" "), F.col("n").cast("string"))
+        out = out.unionByName(bars.select((F.col("bucket") + base).alias("place"), label.alias("line")))
+    rank = F.row_number().over(Window.orderBy("_by", key))  # over `worst` rows
+    low = scored.withColumn("_by", F.round("rouge_l", 9)).orderBy("_by", key).limit(worst)
+    out = out.unionByName(low.select((rank + 300).alias("place"), F.concat(F.lit("low "), F.col(key).cast("string"), F.lit(" "), number(F.col("rouge_l"), 3), F.lit(" "), number(F.col("bleu"), 3)).alias("line")))
+    out = out.unionByName(means.select(F.lit(400).alias("place"), wrong.alias("line")))
+    failed = scored.where("NOT factual").orderBy(key).limit(worst)
+    place = F.row_number().over(Window.orderBy(key))
+    return out.unionByName(failed.select((place + 400).alias("place"), F.concat(F.lit("wrong "), F.col(key).cast("string")).alias("line")))

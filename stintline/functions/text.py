@@ -191,7 +191,7 @@ def grounding_prefix(question: Column, answer: Column) -> Column:
 
 def dialogue(text: Column) -> Column:
     """Turns of an ENG:/DRV: script as messages; null for fewer than four."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     spoken = F.filter(lines, lambda x: x.startswith("ENG:") | x.startswith("DRV:"))
     turns = F.transform(spoken, lambda x: F.struct(F.when(x.startswith("ENG:"), "user").otherwise("assistant").alias("role"), F.trim(F.substring(x, 5, 1 << 30)).alias("content")))
     return F.when(F.size(turns) >= 4, turns)
@@ -234,6 +234,40 @@ def plausible_times(lap_time: Column, *sectors: Column) -> Column:
     return reduce(lambda a, s: a & F.coalesce(s.between(10, 60), F.lit(True)), sectors, ok)
 
 
+def driver_name(code: Column) -> Column:
+    """A driver's full name; a code that isn't known stands for itself."""
+    pairs = [F.lit(x) for pair in K.FULL_NAMES.items() for x in pair]
+    return F.coalesce(F.element_at(F.create_map(*pairs), code), code)
+
+
+def implausible(text: Column) -> Column:
+    """What a block of telemetry states that can't be: an array of field and value, empty for a sound block.
+
+    In lines of a table, the first four times are a lap and its sectors; lines in brackets and headings are
+    passed over. Elsewhere labelled values count. A block that says that nothing was left by the filters is sound.
+    """
+    of = "array<struct<field:string,value:double>>"
+
+    def out(field, value, low, high):
+        return F.when(~value.between(low, high), F.struct(F.lit(field).alias("field"), value.alias("value")))
+
+    def cells(line):
+        times = F.regexp_extract_all(line, F.lit(K.TIME_CELL), F.lit(0))
+        bad = lambda t: F.array(*(out(f, lap_time_seconds(F.get(t, F.lit(i))), low, high) for i, (f, low, high) in enumerate(K.CELL_BOUNDS)))
+        table = ~F.trim(line).startswith("(") & ~line.contains("===")
+        return let(times, lambda t: F.when(table & (F.size(t) >= 4), F.array_compact(bad(t))).otherwise(F.array().cast(of)))
+
+    def labelled(field, pattern, low, high):
+        values = F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), 1)
+        return F.array_compact(F.transform(values, lambda v: out(field, v.try_cast("double"), low, high))).cast(of)
+
+    found = [F.flatten(F.transform(F.split(text, "\n"), cells)).cast(of)]
+    for field, pattern, low, high in K.LABELLED:
+        found.append(labelled(field, pattern, low, high))
+    empty = text.isNull() | (F.trim(text) == "") | (F.lower(text).contains("no valid lap") & F.lower(text).contains("after filters"))
+    return F.when(empty, F.array().cast(of)).otherwise(F.concat(*found))
+
+
 def clean_response(text: Column) -> Column:
     """A model's reply without quotes around it and with its escapes undone."""
     t = F.trim(text)

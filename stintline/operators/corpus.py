@@ -87,3 +87,25 @@ def generate(candidates: DataFrame, generator, category: str, done: DataFrame, q
     told = generator(lacking.drop("_have", "_rn"))
     bad = X.fails_guard(F.col(facts), F.col("response"))
     return told.where(~bad), told.where(bad)
+
+
+def assemble(sources: dict[str, DataFrame]) -> DataFrame:
+    """question, answer, source, circuit and split of the corpus that sources (question, answer) make.
+
+    Sources come in their order: of equal questions the first one's stays, within a source the least
+    answer. The circuit is the one that question and answer name, and decides the split.
+    """
+    parts = [df.select(F.lit(i).alias("_place"), F.lit(name).alias("source"), "question", "answer") for i, (name, df) in enumerate(sources.items())]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    kept = first_wins(every, "question", ["_place", "answer"])
+    told = tagged(kept.withColumn("_text", F.concat_ws(" ", "question", "answer")), "_text")
+    return told.select("question", "answer", "source", "circuit", "split")
+
+
+def write_splits(corpus: DataFrame, folder: str, system: str) -> None:
+    """Write the corpus as JSON lines of chat examples, a folder for each split, unless splits share a question."""
+    require_no_leakage(corpus, "question")
+    shown = corpus.select("split", example(F.col("question"), F.col("answer"), system).alias("messages"))
+    shown.write.mode("overwrite").partitionBy("split").json(folder)

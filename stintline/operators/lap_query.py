@@ -87,7 +87,8 @@ def answer(intent: dict, laps: DataFrame, sessions: DataFrame, ingest=None) -> A
     """Fetch what a question names: the session, then one of three branches, then the checks.
 
     ingest(circuit, season, session_type), if given, may load a missing session and return the new
-    (laps, sessions). Season and session filters reach the scan of laps.
+    (laps, sessions). The session filter reaches the scan of laps; where laps are laid out by season, so
+    does the season's, and other seasons' folders aren't read.
     """
     kind = "Q" if intent.get("session") == "Q" else "Race"
     found = latest_session(sessions, intent["circuit"], kind, intent.get("year"))
@@ -96,7 +97,11 @@ def answer(intent: dict, laps: DataFrame, sessions: DataFrame, ingest=None) -> A
         found = latest_session(sessions, intent["circuit"], kind, intent.get("year"))
     if found is None:
         return Answer(None, "data_unavailable")
-    mine = laps.where(F.col("session_id") == found).withColumn("session_type", F.lit(kind))
+    mine = laps.where(F.col("session_id") == found)
+    if "season" in laps.columns:
+        season = sessions.where(F.col("id") == found).select("season").first()["season"]
+        mine = mine.where(F.col("season") == season)
+    mine = mine.withColumn("session_type", F.lit(kind))
     drivers, number, average = intent.get("drivers") or [], intent.get("lap_number"), bool(intent.get("wants_average"))
     if average and number is None:
         field_rows, branch = average_pace(mine), "avg_lap"

@@ -47,7 +47,7 @@ def statistics_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics job over sf_dir: what it publishes, with the number of rows of each table."""
     held = store(spark, sf_dir)
     target = f"{held.root}-published"
-    build.build_statistics(held.lean, target)
+    build.publish({name: held.lean(name) for name in build.STATISTICS}, target)
     counts = [spark.read.parquet(f"{target}/{name}").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name in build.STATISTICS]
     out = counts[0]
     for c in counts[1:]:

@@ -218,13 +218,13 @@ def _concat_sql(name: str, dialect: str) -> str:
 SPARK_SQL = {name: t.sql() for name, t in TEMPLATES.items()} | {name: _concat_sql(name, "spark") for name in CONCAT}
 
 
-def _check(name: str) -> str:
+def checked(name: str) -> str:
     """The facts that templates_sql finds, with the template's texts."""
     question, answer = CONCAT[name][3:] if name in CONCAT else (TEMPLATES[name].question, TEMPLATES[name].answer)
-    return with_stats(f"SELECT *, {render(question)} AS question, {render(answer)} AS answer FROM ({FACTS[name]}) AS facts")
+    return f"SELECT *, {render(question)} AS question, {render(answer)} AS answer FROM ({FACTS[name]}) AS facts"
 
 
-ORACLE_SQL = {name: _check(name) for name in SPARK_SQL}
+ORACLE_SQL = {name: with_stats(checked(name)) for name in SPARK_SQL}
 _TABLES = (TYRE, SECTOR, TRAP, CORNER, FUEL, RACE, TYPED, "laps", "sessions")
 
 

@@ -101,13 +101,9 @@ def grounding_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vacuous_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = F.col("generated")
-    return answers(spark, sf_dir).select("id", X.vacuous(g).alias("vacuous"), X.misread_sign(F.col("id") % 2 == 0, F.concat(g, F.lit(" behind"))).alias("misread"))
-
-
-def dialogue_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.concat(F.lit("Hamilton, lap "), F.col("id").cast("string"), F.lit(" on soft, "), F.col("generated"))
-    return answers(spark, sf_dir).select("id", X.dialogue_facts(said).alias("f")).select("id", "f.driver", "f.lap_number", "f.compound", "f.cliff_lap")
+    g, k = F.col("generated"), F.col("id") % 5
+    reply = F.concat(g, F.when(k == 0, " and is behind").when(k == 1, ". Struggling there").when(k == 2, " by the slowest").otherwise(""), F.when(F.col("id") % 11 == 0, F.repeat(F.lit(" padding of a reply"), 20)).otherwise(""))
+    return answers(spark, sf_dir).select("id", X.vacuous(reply).alias("vacuous"), X.misread_sign(F.col("id") % 7 < 3, reply).alias("misread"))
 
 
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,9 +156,12 @@ def history_last50(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each question means after those before it; some questions clear their conversation."""
     t = F.col("text")
-    turns = messages(spark, sf_dir).select("sid", F.col("id").alias("turn"), X.circuit(t).alias("circuit"), X.year(t).alias("year"), X.session(t).alias("session"))
-    return state.carry_intent(turns, "sid", ["turn"])
+    lap = F.coalesce(X.lap_number(t).cast("string"), F.when(X.lap_fastest(t), F.lit("fastest")))
+    parts = {"circuit": X.circuit(t), "year": X.year(t), "session": X.session(t), "lap": lap, "drivers": X.drivers(t), "telemetry": (X.mode(t) == "telemetry") | X.pushback(t), "clear": F.col("id") % 41 == 0}
+    turns = messages(spark, sf_dir).select("sid", F.col("id").alias("turn"), *(c.alias(n) for n, c in parts.items()))
+    return state.carry_intent(turns, "sid", ["turn"]).withColumn("drivers", F.array_join("drivers", ",")).drop("telemetry", "clear")
 
 
 def doubted_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +198,7 @@ def cleaned_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (rescored, worst_bleu, recovered_json, cleaned_responses, intent_mode, intent_fields, intent_drivers, intent_topics, numbers, grounding, redacted_claims, degradation_claims, sector_rewrites, grounding_prefix, vacuous_replies, dialogue_facts, rouge_l, bleu4, bleu_histogram, score_report, dedup_first, split_by_tag, leakage, quota_sample, chat_examples, history_last50, carry_forward, doubted_history, cosine_knn)
+    for f in (rescored, worst_bleu, recovered_json, cleaned_responses, intent_mode, intent_fields, intent_drivers, intent_topics, numbers, grounding, redacted_claims, degradation_claims, sector_rewrites, grounding_prefix, vacuous_replies, rouge_l, bleu4, bleu_histogram, score_report, dedup_first, split_by_tag, leakage, quota_sample, chat_examples, history_last50, carry_forward, doubted_history, cosine_knn)
 }
 
 
@@ -272,8 +271,7 @@ SELECT id, coalesce(array_to_string(list_filter(l, lambda x, i: list_position(l,
     "degradation_claims": f"{_A} SELECT reason, count(*) AS n FROM (SELECT {_BAD} AS reason FROM a) GROUP BY reason",
     "sector_rewrites": f"{_A} SELECT id, {_REWRITE} AS text, CAST(len(regexp_extract_all(generated, {_q('(?i)' + K.SECTOR_WORDING[0][0])})) AS BIGINT) AS n FROM a",
     "grounding_prefix": f"{_A} SELECT id, CASE WHEN facts IS NOT NULL AND facts <> '' THEN concat('Key facts: ', facts, '. ', generated) ELSE generated END AS text FROM (SELECT id, generated, CASE id % 3 WHEN 0 THEN {_ANCHOR} WHEN 1 THEN {_CORNERS} END AS facts FROM a)",
-    "vacuous_replies": f"{_A} SELECT id, length(generated) < 200 OR (length(generated) < 500 AND len(regexp_extract_all(generated, '\\b\\d+:\\d{{2}}\\.\\d{{3}}\\b|\\b\\d{{2,3}}\\.\\d{{3}}\\b')) < 2) AS vacuous, id % 2 = 0 AS misread FROM a",
-    "dialogue_facts": f"{_A} SELECT id, 'HAM' AS driver, TRY_CAST(id AS INTEGER) AS lap_number, 'soft' AS compound, TRY_CAST({_get(r'(?:cliff(?: lap)?(?: is| at|, number)?|tyre cliff(?: lap)?(?: is| at)?)' + chr(92) + r'D+(' + chr(92) + 'd+)', 1, 'generated')} AS INTEGER) AS cliff_lap FROM a",
+    "vacuous_replies": f"{_A}, b AS (SELECT id, generated || ['and is behind', 'Struggling', 'slowest', '', ''][id % 5 + 1] AS said, length(generated) + [14, 18, 15, 0, 0][id % 5 + 1] + CASE WHEN id % 11 = 0 THEN 380 ELSE 0 END AS n, len(regexp_extract_all(generated, '\\b(?:\\d+:\\d\\d|\\d{{2,3}})[.]\\d{{3}}\\b')) AS times FROM a) SELECT id, n < 200 OR (n < 500 AND times < 2) AS vacuous, id % 7 < 3 AND (regexp_matches(said, 'is behind$|Struggling$') OR contains(said, 'slower')) AS misread FROM b",
     "bleu4": f"{_BLEU} SELECT id, bleu FROM s",
     "bleu_histogram": f"{_BLEU} SELECT CAST(least(floor(bleu * 5), 4) AS INTEGER) AS bucket, count(*) AS n FROM s GROUP BY ALL",
     "dedup_first": f"{_M} SELECT text, min(id) AS id FROM m GROUP BY text",
@@ -282,9 +280,28 @@ SELECT id, coalesce(array_to_string(list_filter(l, lambda x, i: list_position(l,
     "quota_sample": f"{_M}, d AS (SELECT min(id) AS id, text, {_MODE} AS mode, md5(concat_ws('|', '84', text)) AS draw FROM m GROUP BY text) SELECT id, text, mode FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY mode ORDER BY draw, text) <= 75) ORDER BY draw, text LIMIT 120",
     "chat_examples": "SELECT conv_id, count(*) + 1 - CAST(arg_min(role, turn) = 'system' AS BIGINT) AS n, 'You are a race engineer.' AS system, arg_min(text, turn) FILTER (role = 'user') AS question, arg_max(text, turn) FILTER (role = 'assistant') AS answer, length(string_agg(text, ' ' ORDER BY turn) FILTER (role IN ('user', 'assistant'))) AS chars FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id",
     "history_last50": "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50",
-    "carry_forward": f"{_M}, i AS (SELECT sid, id AS turn, {_CIRCUIT} AS circuit, CAST({_get(K.YEAR)} AS INTEGER) AS year, {_SESSION} AS session FROM m) SELECT sid, turn, last_value(circuit IGNORE NULLS) OVER w AS circuit, last_value(year IGNORE NULLS) OVER w AS year, last_value(session IGNORE NULLS) OVER w AS session FROM i WINDOW w AS (PARTITION BY sid ORDER BY turn ROWS UNBOUNDED PRECEDING)",
+    "carry_forward": f"""{_M}, i AS (SELECT sid, id AS turn, {_CIRCUIT} AS circuit, CAST({_get(K.YEAR)} AS INTEGER) AS year, {_SESSION} AS session, coalesce(CAST({_LAP} AS VARCHAR), CASE WHEN {_has(K.FASTEST)} THEN 'fastest' END) AS lap,
+  {_MODE} = 'telemetry' OR {_has(K.PUSHBACK, 'lower(text)')} AS told, sum(CAST(id % 41 = 0 AS INTEGER)) OVER (PARTITION BY sid ORDER BY id) AS since FROM m),
+j AS (SELECT i.*, nullif(drivers, '') AS d FROM i JOIN ({{drivers}}) AS n ON n.id = i.turn)
+SELECT sid, turn, {', '.join(f"coalesce({c}, last_value(CASE WHEN told THEN {c} END IGNORE NULLS) OVER w) AS {c}" for c in ('circuit', 'year', 'session', 'lap'))}, coalesce(d, last_value(CASE WHEN told THEN d END IGNORE NULLS) OVER w) AS drivers
+FROM j WINDOW w AS (PARTITION BY sid, since ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "doubted_history": f"{_A} SELECT id, CASE WHEN id % 2 = 0 THEN 'assistant' ELSE 'user' END AS role, CASE WHEN id % 2 = 0 AND id % 5 < 3 THEN regexp_replace(generated, {_q(K.CLAIM)}, {_q(K.REDACTED)}, 'gi') ELSE generated END AS content FROM a",
     "cosine_knn": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
 SELECT query_id, id, similarity, CAST(rn AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rn FROM (
   SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 9) AS similarity FROM v JOIN v AS q ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)) WHERE rn <= 5""",
 }
+
+ORACLE_SQL["carry_forward"] = ORACLE_SQL["carry_forward"].replace("{drivers}", ORACLE_SQL["intent_drivers"])
+
+#: ROUGE-L by rows of the table of common subsequences: a row is the running maximum of what each place offers.
+_ROUGE = f"""WITH RECURSIVE a AS ({ANSWERS}), u AS (SELECT id, list_filter(string_split(lower(reference), ' '), lambda x: x <> '') AS r, list_filter(string_split(lower(generated), ' '), lambda x: x <> '') AS p FROM a),
+w AS (SELECT id, 0 AS i, list_transform(range(0, len(p) + 1), lambda x: 0) AS row FROM u
+  UNION ALL SELECT id, i + 1, list_transform(offers, lambda x, j: list_max(offers[1:j])) FROM (
+    SELECT w.id, i, list_transform(range(1, len(p) + 2), lambda j: CASE WHEN j = 1 THEN 0 WHEN p[j - 1] = r[i + 1] THEN row[j - 1] + 1 ELSE row[j] END) AS offers FROM w JOIN u ON u.id = w.id WHERE i < len(r))),
+rouge AS (SELECT u.id, CASE WHEN len(r) = 0 OR len(p) = 0 THEN 0.0 ELSE 2.0 * row[-1] / (len(r) + len(p)) END AS rouge_l FROM u JOIN w ON w.id = u.id AND w.i = len(r))"""
+#: Every score of every pair, found without the engine.
+SCORED = f"""{_ROUGE}, {_BLEU[len(_A) + 2 :]}, nn AS (SELECT *, {_numbers('reference')} AS rn, {_numbers('generated')} AS pn FROM a),
+gg AS (SELECT id, len(rn) = 0 OR len(list_filter(rn, lambda r: len(list_filter(pn, lambda p: {_CLOSE})) > 0)) > 0 AS factual, CASE WHEN len(rn) = 0 OR len(pn) = 0 THEN 0.0 ELSE {_LONE} / len(pn) END AS halluc FROM nn),
+scored AS (SELECT id, rouge_l, coalesce(bleu, 0.0) AS bleu, factual, halluc FROM rouge LEFT JOIN s USING (id) JOIN gg USING (id))"""
+ORACLE_SQL["rouge_l"] = f"{_ROUGE} SELECT id, round(rouge_l, 9) AS rouge_l FROM rouge"
+ORACLE_SQL["score_report"] = f"{SCORED} SELECT count(*) AS n, round(avg(rouge_l), 9) AS rouge_l, round(avg(bleu), 9) AS bleu, round(avg(CAST(factual AS INTEGER)), 9) AS factual, round(avg(halluc), 9) AS halluc FROM scored"

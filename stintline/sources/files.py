@@ -26,6 +26,24 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.select(*kept).write.mode("append" if append else "errorifexists").json(path)
 
 
+def rewrite_jsonl(spark: SparkSession, path: str, change) -> None:
+    """Replace a folder of JSON lines by change(its rows), a DataFrame of the same kind.
+
+    The first time, what was there stays beside it as path.bak. The new rows are written whole before the old
+    ones go, so that no table is overwritten while it is read.
+    """
+    jvm = spark._jvm
+    at, new, kept = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.bak"))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(new, True)
+    change(spark.read.json(path)).write.json(f"{path}.new")
+    if fs.exists(kept):
+        fs.delete(at, True)
+    else:
+        fs.rename(at, kept)
+    fs.rename(new, at)
+
+
 def dataset_paths(spark: SparkSession, folder: str) -> list[str]:
     """JSON-lines files of a folder in any store Spark reads, but for cleaned ones and backups."""
     jvm = spark._jvm
@@ -46,5 +64,5 @@ def surrogate_key(*columns: str):
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """Write one string column, already in order within one partition, as text."""
-    lines.coalesce(1).write.mode("overwrite").text(path)
+    """Write a report's lines (place, line), some dozens, as one text file in their order."""
+    lines.repartition(1).sortWithinPartitions("place").select("line").write.mode("overwrite").text(path)

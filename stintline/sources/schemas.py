@@ -20,7 +20,7 @@ DDL = {
     "weather": "session_id STRING, lap_number INT, track_temp DOUBLE",
 }
 #: Columns by which a table is laid out on disk, so that session filters prune files.
-LAYOUT = {"sessions": ["season"], "laps": [], "telemetry": []}
+LAYOUT = {"sessions": ["season"], "laps": ["session_id"], "telemetry": []}
 
 _S, _D = T.StringType(), T.DoubleType()
 

@@ -151,19 +151,43 @@ def test_history_and_carry(spark):
     assert got[0] == (None, None) and got[1] == ("A", None) and got[59] == ("A", 2024)
 
 
+TURNS = "sid string, turn long, circuit string, year int, session string, lap string, drivers array<string>, telemetry boolean, clear boolean"
+
+
 def test_streams(spark, tmp_path):
-    df = spark.createDataFrame([("s", i, "A" if i == 1 else None, 2024 if i == 2 else None, None) for i in range(5)], "sid string, turn long, circuit string, year int, session string")
-    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    rows = [("s", 0, None, None, None, None, [], True, False), ("s", 1, "A", None, "Q", "7", ["VER", "HAM"], True, False), ("s", 2, None, 2024, None, None, [], True, False), ("s", 3, "B", None, None, "fastest", ["LEC"], False, False)]
+    rows += [("s", 4, None, None, None, None, None, True, False), ("s", 5, None, None, None, None, [], True, True), ("s", 6, None, 2023, None, None, [], True, None), ("t", 1, None, None, None, None, None, True, True), ("t", 2, None, None, None, None, [], False, False)]
+    df = spark.createDataFrame(rows, TURNS)
+    df.where("turn < 4").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    q = state.carry_intent_stream(stream).writeStream.format("memory").queryName("carried").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
-    q.awaitTermination()
-    want = {tuple(r) for r in state.carry_intent(df, "sid", ["turn"]).collect()}
-    assert {tuple(r) for r in spark.table("carried").collect()} == want
+
+    def run():
+        q = state.carry_intent_stream(stream).writeStream.foreachBatch(lambda b, _: b.write.mode("append").parquet(f"{tmp_path}/carried")).option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    run()
+    df.where("turn >= 4").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run()  # the state goes on from the first batch
+    told = lambda d: {(r["sid"], r["turn"], r["circuit"], r["year"], r["session"], r["lap"], tuple(r["drivers"] or ())) for r in d.collect()}
+    want = told(state.carry_intent(df, "sid", ["turn"]))
+    assert told(spark.read.parquet(f"{tmp_path}/carried")) == want
+    assert ("s", 4, "A", 2024, "Q", "7", ("VER", "HAM")) in want and ("s", 3, "B", 2024, "Q", "fastest", ("LEC",)) in want and ("s", 6, None, 2023, None, None, ()) in want
+    plain = df.select("sid", "turn")
+    plain.coalesce(1).write.parquet(f"{tmp_path}/rows")
     for _ in range(2):  # the second load adds nothing
-        state.ingest_stream(spark, f"{tmp_path}/in", df.schema, f"{tmp_path}/out", f"{tmp_path}/c2", ["sid", "turn"]).awaitTermination()
-    df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    state.ingest_stream(spark, f"{tmp_path}/in", df.schema, f"{tmp_path}/out", f"{tmp_path}/c2", ["sid", "turn"]).awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 5
+        state.ingest_stream(spark, f"{tmp_path}/rows", plain.schema, f"{tmp_path}/out", f"{tmp_path}/c2", ["sid", "turn"]).awaitTermination()
+    plain.coalesce(1).write.mode("append").parquet(f"{tmp_path}/rows")
+    state.ingest_stream(spark, f"{tmp_path}/rows", plain.schema, f"{tmp_path}/out", f"{tmp_path}/c2", ["sid", "turn"]).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 9
+
+
+def test_clear_and_stamp(spark):
+    df = spark.createDataFrame([("s", i, "x") for i in range(9)] + [("t", 1, "y")], "key string, n long, text string")
+    got = {(r["key"], r["n"]) for r in state.kept_messages(df, "key", ["n"], F.col("text").eqNullSafe("x") & (F.col("n") == 5), 2).collect()}
+    assert got == {("s", 7), ("s", 8), ("t", 1)}
+    assert {r["n"] for r in state.kept_messages(df, "key", ["n"], F.col("n") == 8).collect()} == {1}
+    stamped = state.stamped(df).collect()
+    assert len({r["id"] for r in stamped}) == 10 and all(r["timestamp"] > 1.7e9 for r in stamped)
 
 
 def test_nearest(spark):
