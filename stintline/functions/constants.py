@@ -1,22 +1,27 @@
 """Names, aliases and patterns that results depend on."""
 
+#: Circuits.
 CIRCUITS = [
     "70th Anniversary", "Abu Dhabi", "Australia", "Austria", "Azerbaijan", "Bahrain", "Belgium", "Canada", "China", "Eifel", "Emilia Romagna",
     "France", "Great Britain", "Hungary", "Italy", "Japan", "Las Vegas", "Mexico City", "Miami", "Monaco", "Netherlands", "Portugal", "Qatar",
     "Russia", "Sakhir", "Saudi Arabia", "Singapore", "Spain", "Sao Paulo", "Styria", "Turkey", "Tuscany", "United States",
 ]
-DRIVERS = (
-    "ALB ALO ANT BEA BOT COL DEV DOO GAS GIO GRO HAD HAM HUL KVY LAT LAW LEC MAG MAZ MSC NOR OCO PER PIA RAI RIC RUS SAI SAR STR TSU VER VET ZHO AIT FIT KUB"
-).split()
+#: drivers' codes, and the surnames that stand for them.
+DRIVERS = [
+    "ALB", "ALO", "ANT", "BEA", "BOT", "COL", "DEV", "DOO", "GAS", "GIO", "GRO", "HAD", "HAM", "HUL", "KVY", "LAT",
+    "LAW", "LEC", "MAG", "MAZ", "MSC", "NOR", "OCO", "PER", "PIA", "RAI", "RIC", "RUS", "SAI", "SAR", "STR", "TSU",
+    "VER", "VET", "ZHO", "AIT", "FIT", "KUB",
+]
 SURNAMES = {
     "verstappen": "VER", "hamilton": "HAM", "leclerc": "LEC", "norris": "NOR", "sainz": "SAI", "russell": "RUS", "piastri": "PIA", "alonso": "ALO",
     "stroll": "STR", "gasly": "GAS", "ocon": "OCO", "perez": "PER", "tsunoda": "TSU", "ricciardo": "RIC", "albon": "ALB", "bottas": "BOT", "zhou": "ZHO",
     "magnussen": "MAG", "hulkenberg": "HUL", "sargeant": "SAR", "lawson": "LAW", "bearman": "BEA", "antonelli": "ANT", "schumacher": "MSC", "vettel": "VET",
     "raikkonen": "RAI", "latifi": "LAT", "de vries": "DEV", "doohan": "DOO", "hadjar": "HAD", "colapinto": "COL",
 }
+#: Circuits whose examples are for testing and for validation.
 TEST_CIRCUITS, VALIDATION_CIRCUITS = ["Italy", "Monaco", "Bahrain"], ["Belgium", "Singapore", "Hungary"]
 
-#: Aliases in questions, beside the circuits' names and their words of four letters or more.
+#: Aliases in questions, beside the circuits' names and their words of four letters or more.
 QUESTION_ALIASES = {
     "spa": "Belgium", "monza": "Italy", "silverstone": "Great Britain", "suzuka": "Japan", "baku": "Azerbaijan", "jeddah": "Saudi Arabia",
     "interlagos": "Sao Paulo", "albert park": "Australia", "hungaroring": "Hungary", "zandvoort": "Netherlands", "barcelona": "Spain",
@@ -24,7 +29,7 @@ QUESTION_ALIASES = {
     "vegas": "Las Vegas", "las vegas": "Las Vegas", "imola": "Emilia Romagna", "monte carlo": "Monaco", "red bull ring": "Austria",
     "paul ricard": "France", "portimao": "Portugal", "mugello": "Tuscany", "nurburgring": "Eifel", "losail": "Qatar", "sochi": "Russia",
 }
-#: Aliases in corpus texts, looked for after the circuits' names.
+#: Aliases in corpus texts, looked for after the circuits' names.
 CORPUS_ALIASES = {
     "monza": "Italy", "italian": "Italy", "spa": "Belgium", "belgian": "Belgium", "silverstone": "Great Britain", "british": "Great Britain",
     "hungaroring": "Hungary", "hungarian": "Hungary", "marina bay": "Singapore", "baku": "Azerbaijan", "jeddah": "Saudi Arabia",
@@ -36,7 +41,7 @@ CORPUS_ALIASES = {
     "miami": "Miami", "monaco": "Monaco", "bahrain": "Bahrain", "sakhir": "Sakhir", "qatar": "Qatar", "china": "China", "shanghai": "China",
     "canada": "Canada", "montreal": "Canada",
 }
-#: Circuit names as sessions store them; others are stored as they are.
+#: Circuit names as sessions store them; others are stored as they are.
 STORED_NAMES = {
     "Great Britain": "British", "Belgium": "Belgian", "Italy": "Italian", "Australia": "Australian", "Austria": "Austrian", "Japan": "Japanese",
     "Hungary": "Hungarian", "Netherlands": "Dutch", "Spain": "Spanish", "France": "French", "Canada": "Canadian", "Saudi Arabia": "Saudi Arabian",
@@ -60,20 +65,70 @@ def corpus_aliases() -> list[tuple[str, str]]:
     return names + sorted(CORPUS_ALIASES.items(), key=lambda x: -len(x[0]))
 
 
-#: Patterns of questions; all ignore case.
-STRATEGY = (
-    r"\b(undercut|overcut|stay out|stay in|cover the|safety car|VSC|virtual safety|track position|car behind|seconds back| pit window|pitted|pitting|"
-    r"one-?stop|two-?stop|stint|degrad|tyre life|hards?|mediums?|softers?|graining|cliff|do we|should we| pit or|or pit\b|grid slot)\b"
-)
-DATA_ASKED = (
-    r"(\btelemetry\b|from (the |our )?database|from fastf1|\bqualifying (lap|pace)\b|fastest lap|show me (the )?(data|lap|time|sector)|"
-    r"what (was|were|is) the .{0,50}(lap|time|sector)|how fast (was|is)|\blap time\b|mini.?sector|speed trap|\bcompare\s+.+\b(to|vs|versus)\b)"
-)
+#: Patterns of questions; all ignore case. Lists hold alternatives.
+STRATEGY_CASES = [
+    r"undercut",
+    r"overcut",
+    r"stay out",
+    r"stay in",
+    r"cover the",
+    r"safety car",
+    r"VSC",
+    r"virtual safety",
+    r"track position",
+    r"car behind",
+    r"seconds back",
+    r" pit window",
+    r"pitted",
+    r"pitting",
+    r"one-?stop",
+    r"two-?stop",
+    r"stint",
+    r"degrad",
+    r"tyre life",
+    r"hards?",
+    r"mediums?",
+    r"softers?",
+    r"graining",
+    r"cliff",
+    r"do we",
+    r"should we",
+    r" pit or",
+    r"or pit\b",
+    r"grid slot",
+]
+STRATEGY = r"\b(" + "|".join(STRATEGY_CASES) + r")\b"
+DATA_ASKED_CASES = [
+    r"\btelemetry\b",
+    r"from (the |our )?database",
+    r"from fastf1",
+    r"\bqualifying (lap|pace)\b",
+    r"fastest lap",
+    r"show me (the )?(data|lap|time|sector)",
+    r"what (was|were|is) the .{0,50}(lap|time|sector)",
+    r"how fast (was|is)",
+    r"\blap time\b",
+    r"mini.?sector",
+    r"speed trap",
+    r"\bcompare\s+.+\b(to|vs|versus)\b",
+]
+DATA_ASKED = r"(" + "|".join(DATA_ASKED_CASES) + r")"
 LAP_DATA = r"\b(?:lap\s*\d+|\d+(?:st|nd|rd|th)?\s*lap)\b|\b(compare|vs|versus)\b|\bsector\s*[123]\b|\b(Q1|Q2|Q3|FP1|FP2|FP3)\b|\b(fastest lap|telemetry|speed trap|mini.?sector)\b"
-PUSHBACK = (
-    r"\byou\s*are\s*wrong\b|\bi\s*don['’]t\s*think\s*so\b|\bthat'?s?\s*incorrect\b|\bcheck\s*again\b|\bverify\s*that\b|\bare\s*you\s*sure\b|\bdouble\s*check\b|"
-    r"\bthat\s*doesn['’]?t\s*sound\s*right\b|\bcheck\s*from\s*telemetry\b|\bgive\s*me\s*the\s*actual\s*data\b|\bnot\s*right\b|\bwrong\b.*\b(previous|last|answer)\b"
-)
+PUSHBACK_CASES = [
+    r"\byou\s*are\s*wrong\b",
+    r"\bi\s*don['’]t\s*think\s*so\b",
+    r"\bthat'?s?\s*incorrect\b",
+    r"\bcheck\s*again\b",
+    r"\bverify\s*that\b",
+    r"\bare\s*you\s*sure\b",
+    r"\bdouble\s*check\b",
+    r"\bthat\s*doesn['’]?t\s*sound\s*right\b",
+    r"\bcheck\s*from\s*telemetry\b",
+    r"\bgive\s*me\s*the\s*actual\s*data\b",
+    r"\bnot\s*right\b",
+    r"\bwrong\b.*\b(previous|last|answer)\b",
+]
+PUSHBACK = "|".join(PUSHBACK_CASES)
 QUALIFYING, PRACTICE = r"\b(quali(?:fying)?|Q1|Q2|Q3|pole|quali\s*lap|qualifying\s*pace|grid)\b", r"\b(FP1|FP2|FP3|free\s*practice|practice)\b"
 RACING = r"\b(sprint|grand\s*prix|gp\b|race\s*pace|in\s*the\s*race|stint|race lap)\b|\brace\b"
 LAP_NUMBER, FASTEST, YEAR, AVERAGE = r"\b(?:lap\s*(\d+)|(\d+)(?:st|nd|rd|th)?\s*lap)\b", r"\bfastest\s*lap\b", r"\b(20[12]\d)\b", r"\b(average|mean)\s*(race\s*)?pace\b"
@@ -88,18 +143,21 @@ TOPICS = {
     "fuel": r"\b(fuel|fuel effect|weight)\b",
     "driver": r"\b(driver|driving|style|characteristics)\b",
 }
-#: Patterns of answers.
+#: Patterns of answers.
 NUMBER, ORDINAL, YEARS = r"-?\b\d{1,2}:\d{2}\.\d+\b|-?\d+(?:\.\d+)?", r"\b(\d+)(?:st|nd|rd|th)\b", (2018, 2027)
 CLAIM = r"(\d+:\d{2}\.\d+)|(\d+\.?\d*)\s*(s|sec|/lap|s/lap|s\s*per|km/h|kph|kmh|%)|(\b\d{1,2}\.?\d*)\s*laps?\b"
+#: What stands in for a claim that was struck out.
 REDACTED = "[prior numeric claim redacted: verify with fresh data]"
 DEGRADATION = r"(?:deg(?:radation)?(?: rate)?|degraded at|deg_rate)[^-\d]{0,40}(-?\d+(?:\.\d+)?)\s*(?:s|seconds)?\s*/?\s*lap"
 VIABLE = r"(?:max(?:imum)? viable(?: tyre)? stint(?: length)?|max viable tyre stint|max_viable_laps|max stint|viable stint length)[^.\d]{0,50}(?:around|of|~|up to)?[^.\d]{0,20}(\d+)\s*laps?"
+#: Misleading comparisons of sectors, and how they are reworded.
 _NAME, _TIME = r"[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)?", r"(\d+(?:\.\d+)?)"
 SECTOR_WORDING = [
     (rf"\b({_NAME})\s+is\s+{_TIME}\s*s(?:econds)?\s+ahead of\s+({_NAME})\s+in\s+Sector\s+([123])\b", "$3 is $2s behind $1 in Sector $4"),
     (rf"\b({_NAME})\s+is\s+{_TIME}\s*s(?:econds)?\s+faster than\s+({_NAME})\s+in\s+Sector\s+([123])\b", "$1 has $2s advantage over $3 in Sector $4"),
     (rf"\b({_NAME})\s+has\s+{_TIME}\s*s(?:econds)?\s+deficit to\s+({_NAME})\s+in\s+Sector\s+([123])\b", "$1 is $2s behind $3 in Sector $4"),
 ]
+#: Patterns of the facts that lead an answer.
 ANCHOR_STRATEGY = r"(strategy|pit window|undercut|overcut|stretch|stint|stay out|box|compound works best|offset)"
 ANCHOR_CORNER = r"(corner|corners|turn|slow-speed|medium-speed|high-speed|corner type|profile)"
 ANCHOR_DEG, ANCHOR_CLIFF = r"(\d+(?:\.\d+)?)s/lap", r"cliff(?: lap)?(?: at| is| around)?(?: lap)?\s*(\d+)"
@@ -138,3 +196,16 @@ LABELLED = [
     ("quali_race_delta", r"quali.{0,12}race.{0,12}(\d+\.?\d*)\s*s", 0.5, 20.0),
     ("driver_top_speed_rank", r"(?:rank|position).{0,4}(?:#|no\.?)\s*(\d{1,2})\b", 1.0, 25.0),
 ]
+
+#: Patterns of what a dialogue names.
+SPOKEN = {
+    "lap_number": r"\blap\s+(\d+)\b",
+    "tyre_age": r"(\d+)\s+laps?(?:\s+old|\s+on the tyres|\s+into the stint)",
+    "compound": r"\b(soft|medium|hard|intermediate|wet)\b",
+    "deg_rate": r"(?:degradation(?: rate)?|degradation's|deg rate(?:'s)?)\D+(\d+(?:\.\d+)?)",
+    "cliff_lap": r"(?:cliff(?: lap)?(?: is| at|, number)?|tyre cliff(?: lap)?(?: is| at)?)\D+(\d+)",
+    "max_viable_laps": r"max viable(?: tyre)? stint(?: is| of)?\D+(\d+)",
+}
+#: A lap or sector time in a reply, and words that call a driver slower.
+STATED_TIME = r"\b\d+:\d{2}\.\d{3}\b|\b\d{2,3}\.\d{3}\b"
+SLOWER = r"\b(struggling|deficit|slower|behind|losing time|losing out)\b"

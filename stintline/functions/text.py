@@ -199,16 +199,9 @@ def dialogue(text: Column) -> Column:
 
 def dialogue_facts(text: Column) -> Column:
     """Lap, tyre age, compound, degradation, cliff and viable stint that a dialogue names."""
-    compound = F.lower(found(text, r"\b(soft|medium|hard|intermediate|wet)\b"))
-    return F.struct(
-        F.get(drivers(text), F.lit(0)).alias("driver"),
-        found(text, r"\blap\s+(\d+)\b").try_cast("int").alias("lap_number"),
-        found(text, r"(\d+)\s+laps?(?:\s+old|\s+on the tyres|\s+into the stint)").try_cast("int").alias("tyre_age"),
-        compound.alias("compound"),
-        found(text, r"(?:degradation(?: rate)?|degradation's|deg rate(?:'s)?)\D+(\d+(?:\.\d+)?)").try_cast("double").alias("deg_rate"),
-        found(text, r"(?:cliff(?: lap)?(?: is| at|, number)?|tyre cliff(?: lap)?(?: is| at)?)\D+(\d+)").try_cast("int").alias("cliff_lap"),
-        found(text, r"max viable(?: tyre)? stint(?: is| of)?\D+(\d+)").try_cast("int").alias("max_viable_laps"),
-    )
+    kinds = {"lap_number": "int", "tyre_age": "int", "compound": "string", "deg_rate": "double", "cliff_lap": "int", "max_viable_laps": "int"}
+    facts = {n: F.lower(found(text, K.SPOKEN[n])).try_cast(kind) for n, kind in kinds.items()}
+    return F.struct(F.get(drivers(text), F.lit(0)).alias("driver"), *(c.alias(n) for n, c in facts.items()))
 
 
 def rewrite_is_valid(text: Column) -> Column:
@@ -219,13 +212,13 @@ def rewrite_is_valid(text: Column) -> Column:
 
 def vacuous(reply: Column) -> Column:
     """Whether a reply says too little of laps: empty, under 200 characters, or under 500 with fewer than two times."""
-    times = F.regexp_count(reply, F.lit(r"\b\d+:\d{2}\.\d{3}\b|\b\d{2,3}\.\d{3}\b"))
+    times = F.regexp_count(reply, F.lit(K.STATED_TIME))
     return reply.isNull() | (F.length(F.trim(reply)) == 0) | ((F.length(reply) < 500) & (times < 2)) | (F.length(reply) < 200)
 
 
 def misread_sign(negative_delta: Column, reply: Column) -> Column:
     """Whether a reply calls a driver slower although the data has a negative (faster) sector delta."""
-    return negative_delta & matches(reply, r"\b(struggling|deficit|slower|behind|losing time|losing out)\b")
+    return negative_delta & matches(reply, K.SLOWER)
 
 
 def plausible_times(lap_time: Column, *sectors: Column) -> Column:

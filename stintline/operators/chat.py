@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..streaming import state
 from . import lap_query
 
 CLARIFY = "which circuit?"
@@ -57,3 +58,40 @@ def reply(spark: SparkSession, message: str, laps: DataFrame, sessions: DataFram
     stored = spark.range(1).select(X.stored_circuit(F.lit(intent["circuit"])).alias("c")).first()["c"]
     found = lap_query.answer(intent | {"circuit": stored}, laps, sessions, ingest)
     return Reply("telemetry", found.source, intent, found)
+
+
+HISTORY = "sid string, role string, content string, mode string, id string, timestamp double, clear boolean"
+
+
+class Conversations:
+    """The messages of all conversations, in a folder of Parquet files that only grows."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        spark.createDataFrame([], HISTORY).write.mode("append").parquet(folder)
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema(HISTORY).parquet(self.folder)
+
+    def add(self, sid: str, *messages: tuple[str, str], mode: str = "general") -> None:
+        """Append (role, content) messages in their order."""
+        rows = [(sid, role, content, mode, False, i) for i, (role, content) in enumerate(messages)]
+        self._append(rows)
+
+    def clear(self, sid: str) -> None:
+        """Forget a conversation: a row says that what came before is gone."""
+        self._append([(sid, None, None, None, True, 0)])
+
+    def _append(self, rows: list[tuple]) -> None:
+        df = self.spark.createDataFrame(rows, "sid string, role string, content string, mode string, clear boolean, _n int")
+        stamped = state.stamped(df).withColumn("timestamp", F.col("timestamp") + F.col("_n") / 1e6)
+        stamped.select("sid", "role", "content", "mode", "id", "timestamp", "clear").coalesce(1).write.mode("append").parquet(self.folder)
+
+    def history(self, sid: str, most: int = state.HISTORY) -> list[tuple[str, str]]:
+        """The last messages of a conversation as (role, content), oldest first; at most `most` rows come back."""
+        mine = state.kept_messages(self._rows().where(F.col("sid") == sid), "sid", ["timestamp", "id"], F.col("clear"), most)
+        return [(r["role"], r["content"]) for r in mine.orderBy("timestamp", "id").collect()]
+
+    def health(self) -> dict:
+        """Whether the folder can be read, and how many conversations it holds."""
+        return {"status": "ok", "conversations": self._rows().where("NOT clear").select("sid").distinct().count()}

@@ -35,6 +35,28 @@ def spoken_text(messages: Column, joint: str = " ") -> Column:
     return F.array_join(F.transform(said, lambda m: m["content"]), joint)
 
 
+def conversation_examples(turns: DataFrame, prompt: str) -> DataFrame:
+    """Of each conversation (conv_id, turn, role, text): the messages under the canonical prompt, counted, the
+    prompt, its first question, its last answer, and the characters spoken.
+
+    All of these are aggregates that tasks begin where the turns lie, so a conversation of any length is
+    never gathered.
+    """
+    said = F.when(F.col("role").isin("user", "assistant"), F.col("text"))
+    of = lambda role: F.when(F.col("role") == role, F.col("turn"))
+    held = turns.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("turns"),
+        F.min_by("role", "turn").alias("first"),
+        F.min_by("text", of("user")).alias("question"),
+        F.max_by("text", of("assistant")).alias("answer"),
+        F.sum(F.length(said)).alias("letters"),
+        F.count(said).alias("spoken"),
+    )
+    led = F.coalesce(F.col("first") == "system", F.lit(False)).cast("int")
+    chars = F.coalesce(F.col("letters"), F.lit(0)) + F.greatest(F.col("spoken") - 1, F.lit(0))
+    return held.select("conv_id", (F.col("turns") + 1 - led).alias("n"), F.lit(prompt).alias("system"), "question", "answer", F.when(F.col("spoken") > 0, chars).alias("chars"))
+
+
 def first_wins(examples: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row for each key, the first by the order given."""
     w = Window.partitionBy(key).orderBy(*order)

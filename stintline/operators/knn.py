@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 32 << 20
 
 
+def write_vectors(rows: DataFrame, path: str, id_col: str = "id", vector_col: str = "embedding") -> None:
+    """Write a table of vectors, each of unit length (null for a zero vector), with all other columns; the
+    first row of each id, by the rest of it, stays."""
+    others = [c for c in rows.columns if c not in (id_col, vector_col)]
+    kept = rows.groupBy(id_col).agg(F.min(F.struct(*others, vector_col)).alias("_r")).select(id_col, "_r.*")
+    kept.withColumn(vector_col, unit(F.col(vector_col))).write.mode("overwrite").parquet(path)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

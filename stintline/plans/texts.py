@@ -144,10 +144,7 @@ def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id IS NOT NULL")
-    chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("t"))
-    said = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    m = corpus.with_system(said, "You are a race engineer.")
-    return chats.select("conv_id", F.size(m).cast("long").alias("n"), corpus.first_of(m, "system").alias("system"), corpus.first_of(said, "user").alias("question"), corpus.first_of(said, "assistant", -1).alias("answer"), F.length(corpus.spoken_text(said)).cast("long").alias("chars"))
+    return corpus.conversation_examples(turns, "You are a race engineer.")
 
 
 def history_last50(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,3 +134,38 @@ def test_implausible_blocks(spark):
 def test_rendering_without_rows(spark):
     empty = spark.range(1).select(F.array().cast("array<struct<driver:string,lap_number:int,lap_time:double,sector1:double,sector2:double,sector3:double,compound:string,tyre_age:int>>").alias("rows"))
     assert empty.select(render.lap_table(F.col("rows")).alias("t"), render.lap_bullets(F.col("rows")).alias("b")).first() == (render.NO_ROWS, "")
+
+
+def test_conversations(spark, tmp_path):
+    from stintline.operators.chat import Conversations
+
+    talk = Conversations(spark, f"file://{tmp_path}/talk")
+    assert talk.history("a") == [] and talk.health() == {"status": "ok", "conversations": 0}
+    talk.add("a", ("user", "one"), ("assistant", "two"), mode="telemetry")
+    talk.add("b", ("user", "other"))
+    talk.add("a", ("user", "three"))
+    assert talk.history("a") == [("user", "one"), ("assistant", "two"), ("user", "three")] and talk.history("a", 1) == [("user", "three")]
+    talk.clear("a")
+    assert talk.history("a") == [] and talk.history("b") == [("user", "other")] and talk.health()["conversations"] == 2
+
+
+def test_session_and_catalog(spark):
+    from stintline.sources import schemas
+    from stintline.sources.session import open_session, table_columns
+
+    same = open_session(settings={"spark.sql.session.timeZone": "UTC"}, database="timing")
+    try:
+        schemas.create_tables(same, "timing")
+        held = table_columns(same, "timing")
+        assert set(held) == set(schemas.DDL) and sorted(held["laps"]) == sorted(f.name for f in schemas.schema("laps"))
+    finally:
+        spark.catalog.setCurrentDatabase("default")
+        spark.sql("DROP DATABASE timing CASCADE")
+
+
+def test_vectors_are_written_once(spark, tmp_path):
+    from stintline.operators import knn
+
+    rows = spark.createDataFrame([(1, [3.0, 4.0], "a"), (1, [3.0, 4.0], "a"), (2, [0.0, 0.0], None)], "id long, embedding array<double>, text string")
+    knn.write_vectors(rows, f"file://{tmp_path}/v")
+    assert {(r["id"], tuple(r["embedding"] or ()), r["text"]) for r in spark.read.parquet(f"{tmp_path}/v").collect()} == {(1, (0.6, 0.8), "a"), (2, (), None)}
