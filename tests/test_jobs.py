@@ -169,3 +169,28 @@ def test_vectors_are_written_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, [3.0, 4.0], "a"), (1, [3.0, 4.0], "a"), (2, [0.0, 0.0], None)], "id long, embedding array<double>, text string")
     knn.write_vectors(rows, f"file://{tmp_path}/v")
     assert {(r["id"], tuple(r["embedding"] or ()), r["text"]) for r in spark.read.parquet(f"{tmp_path}/v").collect()} == {(1, (0.6, 0.8), "a"), (2, (), None)}
+
+
+def test_paced_calls():
+    from stintline.operators.pacing import Paced, TooFast
+
+    now, slept, answers = [0.0], [], iter(["a", TooFast(), "b", TooFast(), TooFast(), ValueError("x"), TooFast(for_today=True)])
+
+    def call(prompt):
+        got = next(answers)
+        if isinstance(got, Exception):
+            raise got
+        return got
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    paced = Paced(call, apart=2, pause=60, retries=1, sleep=sleep, clock=lambda: now[0])
+    assert paced("p") == "a" and slept == []
+    assert paced("p") == "b" and slept == [2, 60]  # too fast once, then a response
+    assert paced("p") is None and paced("p") is None  # too fast twice; a failure
+    for _ in range(2):
+        with pytest.raises(TooFast) as e:
+            paced("p")
+        assert e.value.for_today
