@@ -33,7 +33,8 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
             makers[name] = lambda st, name=name: fixtures.view(spark, sf_dir, name, st.lean)
         for name, make in build.STATISTICS.items():
             makers[name] = lambda st, make=make: rounded(make(st.lean))
-        _STORES[key] = Store(spark, f"{shared_root(spark)}/built-{len(_STORES)}", makers)
+        laps = fixtures.source(spark, sf_dir)["lineitem"].count()  # from the files' footers
+        _STORES[key] = Store(spark, f"{shared_root(spark)}/built-{len(_STORES)}", makers, laps)
     return _STORES[key]
 
 

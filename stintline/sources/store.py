@@ -38,10 +38,12 @@ def shared_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def write(df: DataFrame, path: str, layout: Layout = Layout()) -> None:
+#: Laps of a bucket, at least, and their telemetry.
+BUCKET_LAPS = 15_000
+
+
+def write(df: DataFrame, path: str, layout: Layout = Layout(), buckets: int = 8) -> None:
     """Write a table under path. Bucketed tables enter the session's catalog under a name made from the path."""
-    spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if layout.bucket is None:
         df.write.partitionBy(*layout.partition).parquet(path) if layout.partition else df.write.parquet(path)
         return
@@ -71,15 +73,17 @@ class Store:
     stays valid for the session: a lost executor costs nothing, and queries don't build twice.
     """
 
-    def __init__(self, spark: SparkSession, root: str, build: dict[str, Callable[[Store], DataFrame]]):
+    def __init__(self, spark: SparkSession, root: str, build: dict[str, Callable[[Store], DataFrame]], laps: int = 0):
         self.spark, self.root, self.build = spark, root, build
+        #: One number for all tables, so that they can be joined bucket by bucket.
+        self.buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), laps // BUCKET_LAPS))
         self.there: set[str] = set()
 
     def __getitem__(self, name: str) -> DataFrame:
         layout, path = LAYOUTS.get(name, Layout()), f"{self.root}/{name}"
         if name not in self.there:
             df = self.build[name](self)
-            write(with_season(df) if layout.partition == ("season",) and "season" not in df.columns else df, path, layout)
+            write(with_season(df) if layout.partition == ("season",) and "season" not in df.columns else df, path, layout, self.buckets)
             self.there.add(name)
         return read(self.spark, path, layout)
 
