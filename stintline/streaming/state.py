@@ -33,6 +33,32 @@ def kept_messages(messages: DataFrame, key: str, order: list[str], clear: Column
     return last_messages(newest.drop("_since", "_last", "_clear"), key, order, most)
 
 
+_HELD = T.StructType([T.StructField("turns", T.ArrayType(T.LongType())), T.StructField("roles", T.ArrayType(T.StringType())), T.StructField("contents", T.ArrayType(T.StringType()))])
+
+
+def last_messages_stream(messages: DataFrame, most: int = HISTORY) -> DataFrame:
+    """The streaming form of last_messages() over rows sid, turn, role, content and clear.
+
+    Each batch gives the whole history, of at most so many rows, of every key that it touches; a key
+    that is cleared leaves no state and gives one row without a turn.
+    """
+    schema = "sid string, turn long, role string, content string"
+
+    def merge(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        for frame in frames:
+            for row in frame.sort_values("turn").itertuples(index=False):
+                held = [] if row.clear else [*held, (row.turn, row.role, row.content)][-most:]
+        if held:
+            state.update(tuple(list(c) for c in zip(*held, strict=True)))
+        elif state.exists:
+            state.remove()
+        rows = [(key[0], *h) for h in held] or [(key[0], None, None, None)]
+        yield pd.DataFrame(rows, columns=["sid", "turn", "role", "content"]).astype({"turn": "Int64"})
+
+    return messages.groupBy("sid").applyInPandasWithState(merge, schema, _HELD, "update", "NoTimeout")
+
+
 #: Fields of an intent that a follow-up question may leave out. lap is a number or 'fastest', as text.
 FIELDS = ["circuit", "year", "session", "lap", "drivers"]
 

@@ -181,6 +181,23 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 9
 
 
+def test_history_stream(spark, tmp_path):
+    rows = [("s", i, "user", f"m{i}", False) for i in range(6)] + [("t", 0, "user", "x", False)]
+    more = [("s", 6, "assistant", "m6", None), ("t", 1, None, None, True), ("u", 0, "user", "y", True), ("u", 1, "user", "z", False)]
+    schema = "sid string, turn long, role string, content string, clear boolean"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+
+    def run(n):
+        out = f"{tmp_path}/out{n}"
+        state.last_messages_stream(stream, 3).writeStream.foreachBatch(lambda b, _: b.write.mode("append").parquet(out)).outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        return {(r["sid"], r["turn"], r["content"]) for r in spark.read.parquet(out).collect()}
+
+    assert run(1) == {("s", 3, "m3"), ("s", 4, "m4"), ("s", 5, "m5"), ("t", 0, "x")}
+    spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert run(2) == {("s", 4, "m4"), ("s", 5, "m5"), ("s", 6, "m6"), ("t", None, None), ("u", 1, "z")}
+
+
 def test_clear_and_stamp(spark):
     df = spark.createDataFrame([("s", i, "x") for i in range(9)] + [("t", 1, "y")], "key string, n long, text string")
     got = {(r["key"], r["n"]) for r in state.kept_messages(df, "key", ["n"], F.col("text").eqNullSafe("x") & (F.col("n") == 5), 2).collect()}
