@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import types as T
 
-from .common import SLICE, durable, release, small_enough
+from .common import SLICE, durable, release
 from .components import components
 from .hashing import mixed, window_hashes, word_hashes
 
 #: Classes and tokens that one task searches at a time.
-BLOCK_SETS, BLOCK_TOKENS = 1024, 600_000
+BLOCK_SETS, BLOCK_TOKENS = 512, 300_000
 #: Tokens that the common order knows to be frequent: those counted at least so often, at most so many.
 FREQUENT, MOST_FREQUENT = 32, 400_000
 #: Tokens counted together in a task before their counts are passed on.
@@ -439,8 +439,7 @@ def class_components(docs: DataFrame, size: int, num: int, den: int, block_sets:
         held = durable(held.select("cls", "label", "band", F.coalesce("_block", "node").alias("block")).join(picked, "cls"), "join-held")
         units, settled = _units(held, step, block_sets, block_tokens)
         units = durable(units.select("unit", "label", "uid"), "join-units")
-        sent = F.broadcast(units) if small_enough(units, 64) else units
-        found = durable(_search(sets.join(sent, "uid"), num, den), "join-links")
+        found = durable(_search(sets.join(units.hint("shuffle_hash"), "uid"), num, den), "join-links")
         left = durable(posts.join(settled, ["cls", "band"], "left_anti"), "join-posts")
         release(posts, active, blocks, held, units)
         posts = left
