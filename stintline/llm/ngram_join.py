@@ -95,9 +95,10 @@ def known_counts(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -
     return np.where(frequent[at] == tokens, counts[at], 0)
 
 
-def t_occurrence(sets: list[np.ndarray], labels: list[int], num: int, den: int, mu: float = MU) -> list[tuple[int, int]]:
+def t_occurrence(sets: list[np.ndarray], labels: list[int], num: int, den: int, mu: float = MU, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (i, j) between sets with den * intersection >= num * union that join all sets which links
-    connect; sets of one label count as connected from the start. Sets must be in order of size.
+    connect; sets of one label count as connected from the start, and sets of one side, if sides are
+    given, needn't be compared. Sets must be in order of size.
 
     Each set first meets the latest members of each component, then all sets of the components that
     it didn't join; so a family of copies is merged by a few lists of a few members.
@@ -156,6 +157,8 @@ def t_occurrence(sets: list[np.ndarray], labels: list[int], num: int, den: int,
             who = posted[np.repeat(begins[mine] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
             of = np.repeat(np.arange(len(mine)), lens)
             here = (who >= first) & (who < q) & (part[who] != part[q])
+            if sides is not None:
+                here &= sides[who] != sides[q]
             who, of = who[here], of[here]
             met = shown[who]
             skip(q, who[met], of[met], need)
@@ -340,23 +343,25 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _search(units: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) within each unit of rows (unit, label, cls, tokens), one unit in memory at a time."""
+    """Links (a, b) within each unit of rows (unit, label, side, cls, tokens), one unit in memory at a
+    time; of a unit with two sides, between them alone."""
 
-    def links(label, cls, tokens):
+    def links(label, side, cls, tokens):
         order = sorted(range(len(cls)), key=lambda i: (len(tokens[i]), cls[i]))
         sets = [np.frombuffer(tokens[i], np.int64) for i in order]
-        found = t_occurrence(sets, [label[i] for i in order], num, den)
+        sides = np.array([side[i] for i in order]) if any(x >= 0 for x in side) else None
+        found = t_occurrence(sets, [label[i] for i in order], num, den, sides=sides)
         return [(cls[order[i]], cls[order[j]]) for i, j in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, rows = None, ([], [], [])
+        unit, rows = None, ([], [], [], [])
         out: list = []
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
             for u, *row in zip(*columns, strict=True):
                 if u != unit:
                     out += links(*rows)
-                    unit, rows = u, ([], [], [])
+                    unit, rows = u, ([], [], [], [])
                 for held, x in zip(rows, row, strict=True):
                     held.append(x)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
@@ -365,7 +370,7 @@ def _search(units: DataFrame, num: int, den: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as the work isn't in the bytes
-    ordered = units.select("unit", "label", "cls", "tokens").repartition(tasks, "unit").sortWithinPartitions("unit")
+    ordered = units.select("unit", "label", "side", "cls", "tokens").repartition(tasks, "unit").sortWithinPartitions("unit")
     return ordered.mapInArrow(run, "a long, b long")
 
 
@@ -388,7 +393,8 @@ def _units(held: DataFrame, step: str, block_sets: int, block_tokens: int) -> tu
     """(rows with unit, what one task searches at a time; cls and band of those whose links are then known).
 
     A block that a task can take is a unit. A larger one is cut by step: into random shards, or into
-    a few members of each component, or into all pairs of shards.
+    a few members of each component, or into all pairs of shards. A unit of two shards has two sides,
+    as each shard also meets itself; other units have none (-1).
     """
     if step == "members":
         members = held.groupBy("block", "label").agg(F.count(F.lit(1)).alias("_members"))
@@ -400,10 +406,11 @@ def _units(held: DataFrame, step: str, block_sets: int, block_tokens: int) -> tu
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))
         units = held.withColumn("_mine", shard).withColumn("_other", other)
         units = units.withColumn("unit", F.xxhash64("block", F.least("_mine", "_other"), F.greatest("_mine", "_other")))
+        units = units.withColumn("side", F.when(F.col("_mine") == F.col("_other"), -1).otherwise(F.col("_mine")))
     else:
-        units = held.withColumn("unit", F.xxhash64("block", shard))
+        units = held.withColumn("unit", F.xxhash64("block", shard)).withColumn("side", F.lit(-1))
     settled = held.where(F.lit(False) if step == "members" else F.col("shards") == 1).select("cls", "band").distinct()
-    return units.select("unit", "label", "uid"), settled
+    return units.select("unit", "label", "side", "uid"), settled
 
 
 def class_components(docs: DataFrame, size: int, num: int, den: int, block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame | None]:
@@ -438,7 +445,7 @@ def class_components(docs: DataFrame, size: int, num: int, den: int, block_sets:
         held = active.select("cls", "label", "band").distinct().withColumn("node", node).join(blocks, F.col("node") == F.col("_node"), "left")
         held = durable(held.select("cls", "label", "band", F.coalesce("_block", "node").alias("block")).join(picked, "cls"), "join-held")
         units, settled = _units(held, step, block_sets, block_tokens)
-        units = durable(units.select("unit", "label", "uid"), "join-units")
+        units = durable(units, "join-units")
         found = durable(_search(sets.join(units.hint("shuffle_hash"), "uid"), num, den), "join-links")
         left = durable(posts.join(settled, ["cls", "band"], "left_anti"), "join-posts")
         release(posts, active, blocks, held, units)

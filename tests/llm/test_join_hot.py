@@ -62,3 +62,13 @@ def test_a_family_of_copies_is_searched_in_seconds():
     began = time.time()
     assert len(ngram_join.t_occurrence(sets, list(range(1000)), 85, 100)) == 999
     assert time.time() - began < 15
+
+
+def test_sides_meet_each_other_alone():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 60)
+    sets = [np.unique(np.concatenate((base[k:], rng.integers(0, 1 << 62, k)))) for k in (0, 1, 2, 3, 4, 0)]
+    sides = np.array([0, 0, 1, 0, 1, 1])
+    found = ngram_join.t_occurrence(sets, list(range(6)), 85, 100, sides=sides)
+    assert all(sides[i] != sides[j] for i, j in found) and len(found) == 5
+    assert ngram_join.t_occurrence(sets, list(range(6)), 85, 100, sides=np.zeros(6, int)) == []
