@@ -14,11 +14,21 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows handed to a row function at once; bounds the Python objects alive in a worker.
 SLICE = 256
+#: Rows of an Arrow batch at most: rows may be long, and the JVM and the worker each hold a batch.
+BATCH_ROWS = 1024
 #: Largest table, in bytes, that an operator sends to every executor.
 BROADCAST_BYTES = 32 << 20
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by BATCH_ROWS, unless they are bounded more tightly already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -43,6 +53,7 @@ def durable(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later jobs don't recompute it, and
     a lost executor costs nothing that was written."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)

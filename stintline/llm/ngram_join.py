@@ -357,13 +357,14 @@ def _search(units: DataFrame, num: int, den: int) -> DataFrame:
         unit, rows = None, ([], [], [], [])
         out: list = []
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for u, *row in zip(*columns, strict=True):
-                if u != unit:
-                    out += links(*rows)
-                    unit, rows = u, ([], [], [], [])
-                for held, x in zip(rows, row, strict=True):
-                    held.append(x)
+            for at in range(0, batch.num_rows, SLICE):
+                columns = [c.to_pylist() for c in batch.slice(at, SLICE).columns]
+                for u, *row in zip(*columns, strict=True):
+                    if u != unit:
+                        out += links(*rows)
+                        unit, rows = u, ([], [], [], [])
+                    for held, x in zip(rows, row, strict=True):
+                        held.append(x)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
             out = []
         out = links(*rows)
