@@ -447,7 +447,9 @@ def class_components(docs: DataFrame, size: int, num: int, den: int, block_sets:
         held = durable(held.select("cls", "label", "band", F.coalesce("_block", "node").alias("block")).join(picked, "cls"), "join-held")
         units, settled = _units(held, step, block_sets, block_tokens)
         units = durable(units, "join-units")
-        found = durable(_search(sets.join(units.hint("shuffle_hash"), "uid"), num, den), "join-links")
+        # the first step has about as many units as candidates, and one plan for every size; what is left after it is little
+        sent = units.hint("shuffle_hash") if step == "shards" else units
+        found = durable(_search(sets.join(sent, "uid"), num, den), "join-links")
         left = durable(posts.join(settled, ["cls", "band"], "left_anti"), "join-posts")
         release(posts, active, blocks, held, units)
         posts = left
