@@ -67,7 +67,7 @@ def sector_delta_vs_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sector_delta_vs_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(lap_query.sector_deltas(avg_pace_per_driver(spark, sf_dir), average=True))
+    return rounded(lap_query.sector_deltas(lap_query.average_pace(_laps(spark, sf_dir)), average=True))
 
 
 def head_to_head_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +144,7 @@ ORACLE_SQL = {
     "lap_n": with_stats(f"SELECT session_id, driver, lap_number, lap_time, sector1, sector2, sector3 FROM raced WHERE {_FULL} AND lap_number = 12"),
     "avg_pace_per_driver": with_stats(_MEAN),
     "sector_delta_vs_reference": with_stats(f", f AS ({_FAST}) SELECT *, sector1 - first_value(sector1) OVER w AS delta1, sector2 - first_value(sector2) OVER w AS delta2, sector3 - first_value(sector3) OVER w AS delta3 FROM f WINDOW w AS (PARTITION BY session_id ORDER BY lap_time, driver)"),
-    "sector_delta_vs_field": with_stats(f", f AS ({_MEAN}) SELECT *, round(sector1 - avg(sector1) OVER w, 9) AS delta1, round(sector2 - avg(sector2) OVER w, 9) AS delta2, round(sector3 - avg(sector3) OVER w, 9) AS delta3 FROM f WINDOW w AS (PARTITION BY session_id)"),
+    "sector_delta_vs_field": with_stats(f", f AS (SELECT session_id, driver, avg(lap_time) AS lap_time, avg(sector1) AS s1, avg(sector2) AS s2, avg(sector3) AS s3 FROM raced WHERE {_FULL} AND lap_time > 0 GROUP BY ALL) SELECT session_id, driver, round(lap_time, 9) AS lap_time, round(s1, 9) AS sector1, round(s2, 9) AS sector2, round(s3, 9) AS sector3, round(s1 - avg(s1) OVER w, 9) AS delta1, round(s2 - avg(s2) OVER w, 9) AS delta2, round(s3 - avg(s3) OVER w, 9) AS delta3 FROM f WINDOW w AS (PARTITION BY session_id)"),
     "head_to_head_check": with_stats(f", f AS ({_FAST}) SELECT a.session_id, a.driver AS d1, b.driver AS d2, b.lap_time - a.lap_time AS gap, CASE WHEN round(a.lap_time, 3) = round(b.lap_time, 3) THEN 'identical lap times' WHEN a.session_id LIKE '%|Q' AND abs(b.lap_time - a.lap_time) < 0.05 THEN 'suspiciously close' END AS reason FROM f AS a JOIN f AS b ON a.session_id = b.session_id AND a.driver < b.driver"),
     "latest_session_per_circuit": with_stats("SELECT circuit, session_type, arg_max(id, season) AS id, max(season) AS season FROM sessions GROUP BY ALL"),
     "clean_laps": with_stats(f", r AS ({RAW_LAPS}) SELECT concat_ws('|', session_id, Driver, LapNumber) AS id, session_id, Driver AS driver, LapNumber AS lap_number, LapTime AS lap_time, nullif(Compound, '') AS compound, CAST(TyreLife AS INTEGER) AS tyre_age FROM r WHERE {KEPT}"),
