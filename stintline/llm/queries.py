@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, ngram_join, packing, personal_data, quality_model, quality_rules, token_counts, token_files
+from . import decontaminate, filter_audit, hard_negatives, html_extract, line_dedup, ngram_join, packing, personal_data, quality_model, quality_rules, sharding, token_counts, token_files
 from .common import read, stage_root
 
 VOCABULARY = "word_bpe_49k.json"
@@ -83,7 +83,30 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_token_counts, op3_quality_rules, op4_decontaminate, op5_personal_data, op6_ngram_join, op7_token_files, op8_line_dedup, op9_packing, op10_quality_model)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", noisy))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned = sharding.assign_shards(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return assigned.select(
+        "doc_id",
+        sharding.size_of(F.col("text")).alias("size"),
+        sharding.checksum(F.col("text")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_token_counts, op3_quality_rules, op4_decontaminate, op5_personal_data, op6_ngram_join, op7_token_files, op8_line_dedup, op9_packing, op10_quality_model, op11_hard_negatives, op12_filter_audit, op13_sharding)}
 
 #: A-Z lower-cased.
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -166,4 +189,37 @@ e AS (SELECT x, y FROM p JOIN n AS a ON a.r = x JOIN n AS b ON b.r = y WHERE 100
 c AS (SELECT DISTINCT x, x AS y FROM e UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x),
 m AS (SELECT c.x AS r, min(d.doc_id) AS least FROM c JOIN d ON d.r = c.y GROUP BY c.x)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least, doc_id) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id AS id, a.label = b.label AS alike, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v AS a JOIN v AS b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id, b) AS k FROM s WHERE alike) WHERE k <= 5),
+n AS (SELECT p.a, p.b, p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.id, s.b) AS rank
+  FROM p JOIN s ON s.a = p.a WHERE NOT s.alike AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
+    "op12_filter_audit": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, good, toxic, f, count(*) AS n FROM m GROUP BY ALL),
+x AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x AS a, x AS b, x AS c, x AS d, x AS e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT o, i AS step, o[i] AS own, o[1:i - 1] AS before FROM o, x),
+e AS (SELECT part, o, step, own, n, good, toxic, f, f[own] AS fails, list_bool_or(list_transform(before, lambda b: f[b])) AS gone FROM s, c),
+g AS (SELECT part, o, step, own, coalesce(sum(n) FILTER (NOT fails AND NOT coalesce(gone, false)), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT coalesce(gone, false)), 0) AS removed,
+  coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails AND len(list_filter(f, lambda y: y)) = 1), 0) AS unique_fails,
+  coalesce(sum(n) FILTER (fails AND NOT coalesce(gone, false) AND good), 0) AS good_lost, coalesce(sum(n) FILTER (fails AND NOT coalesce(gone, false) AND toxic), 0) AS toxic_lost FROM e GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda y: 'ABCDE'[y]), '') AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM g""",
+    "op13_sharding": rf"""
+WITH nibble AS (SELECT list_transform(range(16), lambda v: list_reduce([v, 0, 0, 0, 0], lambda c, i: xor(c >> 1, (c & 1) * 3988292384))) AS t),
+d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size,
+  list_transform(string_split(hex(encode(coalesce(text, ''))), ''), lambda x: strpos('123456789ABCDEF', x)) AS h FROM documents),
+v AS (SELECT doc_id, size, list_transform(range(2 * (size - 1)), lambda i: h[i + 2 - 2 * (i % 2)]) AS v FROM d),
+c AS (SELECT doc_id, size, xor(4294967295, list_reduce(v, lambda a, b: xor(a >> 4, t[(xor(a, b) & 15) + 1]), 4294967295)) AS text_crc32 FROM v, nibble),
+p AS (SELECT *, sum(size) OVER before - size AS upto, sum(size) OVER () AS total FROM c WINDOW before AS (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, CAST(least({sharding.SHARDS - 1}, (2 * upto + size) * {sharding.SHARDS} // (2 * total)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY upto) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s""",
 }
