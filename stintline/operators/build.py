@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.versions import Version, Versions
 from . import corner_map
 from . import statistics as S
 
@@ -15,39 +15,24 @@ STATISTICS: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]] = {
     "tyre_stats": lambda t: S.tyre_stats(t("laps"), t("sessions"), t("weather")),
     "driver_sector_stats": lambda t: S.driver_sector_stats(t("laps"), t("sessions")),
     "speed_trap_stats": lambda t: S.speed_trap_stats(t("telemetry"), t("laps"), t("sessions")),
-    "corner_stats": lambda t: corner_map.without_stale(S.corner_stats(t("telemetry"), t("laps"), t("sessions"), t("corners")), t("corners")),
-    "corners_typed": lambda t: S.typed_corners(t("telemetry"), t("laps"), t("sessions"), t("corners")),
+    "corner_stats": lambda t: corner_map.without_stale(S.corner_stats(t("corner_means")), t("corners")),
+    "corners_typed": lambda t: S.typed_corners(t("corner_means"), t("corners")),
     "fuel_stats": lambda t: S.fuel_stats(t("laps"), t("sessions")),
     "quali_race_delta": lambda t: S.quali_race_delta(t("laps"), t("sessions")),
     "driver_session_counts": lambda t: S.driver_session_counts(t("laps")),
 }
 
 
-def _fs(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+def corner_means(t: Callable[[str], DataFrame]) -> DataFrame:
+    """What corner_stats and corners_typed draw on: found once, as it reads all telemetry."""
+    return S.corner_means(S.corner_sums(S.corner_matches(t("telemetry"), t("laps"), t("sessions"), t("corners"))))
 
 
-def publish(tables: dict[str, DataFrame], target: str) -> None:
-    """Write all tables, then put them in target's place together.
-
-    Readers see the old tables until all of the new ones are written; a job that fails before leaves
-    target as it was.
-    """
-    spark = next(iter(tables.values())).sparkSession
-    staging = f"{target}.new-{uuid.uuid4().hex}"
-    old = f"{target}.old-{uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{staging}/{name}")
-    (new, fs), (at, _), (gone, _) = (_fs(spark, p) for p in (staging, target, old))
-    if fs.exists(at):
-        fs.rename(at, gone)
-    if not fs.rename(new, at):
-        fs.rename(gone, at)
-        raise OSError(f"{target} can't be replaced")
-    fs.delete(gone, True)
-
-
-def build_statistics(tables: Callable[[str], DataFrame], target: str) -> None:
-    """Compute the statistics and publish them under target."""
-    publish({name: make(tables) for name, make in STATISTICS.items()}, target)
+def build_statistics(spark: SparkSession, tables: Callable[[str], DataFrame], target: str) -> Version:
+    """Compute the statistics and publish them under target; readers see all of them together, or the old ones."""
+    versions = Versions(spark, target)
+    path = versions.new_folder("corner_means")
+    corner_means(tables).write.parquet(path)
+    means = spark.read.parquet(path)
+    made = {name: make(lambda t: means if t == "corner_means" else tables(t)) for name, make in STATISTICS.items()}
+    return versions.publish({**made, "corner_means": path})

@@ -41,6 +41,12 @@ def numbered_lap(laps: DataFrame, number: int, by: tuple[str, ...] = ("session_i
     return without_first(laps).where(f"{FULL} AND lap_number = {int(number)}").select(*by, "driver", "lap_number", *TIMES)
 
 
+def numbered_lap_of(laps: DataFrame, asked: DataFrame) -> DataFrame:
+    """The laps (session_id, lap) that are asked for, of each driver, with lap; lap 1 of a race is none."""
+    full = without_first(laps).where(FULL).withColumn("lap", F.col("lap_number"))
+    return full.join(asked, ["session_id", "lap"]).select("session_id", "lap", "driver", "lap_number", *TIMES)
+
+
 def average_pace(laps: DataFrame, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
     """Mean lap and sector times of each driver."""
     full = without_first(laps).where(f"{FULL} AND lap_time > 0")

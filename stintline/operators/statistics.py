@@ -173,14 +173,20 @@ def corner_matches(telemetry: DataFrame, laps: DataFrame, sessions: DataFrame, c
     return held.select("driver", "circuit", "lap_id", F.explode(slowest).alias("x")).select("driver", "circuit", "lap_id", "x.corner_number", "x.speed")
 
 
-def _corner_means(telemetry, laps, sessions, corners) -> DataFrame:
-    means = corner_matches(telemetry, laps, sessions, corners).groupBy("driver", "circuit", "corner_number").agg(F.avg("speed").alias("avg_min_speed"))
+def corner_sums(matches: DataFrame, *more: str) -> DataFrame:
+    """Sum and number of the slowest speeds of each driver at each corner (and of each of more): sums of parts add up."""
+    return matches.groupBy(*more, "driver", "circuit", "corner_number").agg(F.sum("speed").alias("total"), F.count("speed").alias("n"))
+
+
+def corner_means(sums: DataFrame) -> DataFrame:
+    """Mean slowest speed of each driver at each corner, and field, the mean of all drivers, from corner_sums()."""
+    means = sums.groupBy("driver", "circuit", "corner_number").agg((F.sum("total") / F.sum("n")).alias("avg_min_speed"))
     return means.withColumn("field", F.avg("avg_min_speed").over(Window.partitionBy("circuit", "corner_number")))
 
 
-def corner_stats(telemetry: DataFrame, laps: DataFrame, sessions: DataFrame, corners: DataFrame) -> DataFrame:
+def corner_stats(means: DataFrame) -> DataFrame:
     """Mean minimum speed of each driver at each corner, and its lead over the mean of all drivers."""
-    found = _corner_means(telemetry, laps, sessions, corners).where(F.col("avg_min_speed").between(*CORNER_SPEED))
+    found = means.where(F.col("avg_min_speed").between(*CORNER_SPEED))
     return found.select("driver", "circuit", "corner_number", "avg_min_speed", (F.col("avg_min_speed") - F.col("field")).alias("delta_vs_field"))
 
 
@@ -189,9 +195,9 @@ def corner_type(speed: Column) -> Column:
     return F.when(speed < 100, "slow").when(speed <= 180, "medium").otherwise("high")
 
 
-def typed_corners(telemetry: DataFrame, laps: DataFrame, sessions: DataFrame, corners: DataFrame) -> DataFrame:
+def typed_corners(means: DataFrame, corners: DataFrame) -> DataFrame:
     """corners with their type, from the field's mean speed; null where no driver was measured."""
-    fields = _corner_means(telemetry, laps, sessions, corners).where(F.col("avg_min_speed").between(*CORNER_SPEED)).groupBy("circuit", "corner_number").agg(F.first("field").alias("_field"))
+    fields = means.where(F.col("avg_min_speed").between(*CORNER_SPEED)).groupBy("circuit", "corner_number").agg(F.first("field").alias("_field"))
     typed = corners.select("circuit", "corner_number", "distance_from_start").join(fields, ["circuit", "corner_number"], "left")
     return typed.withColumn("corner_type", F.when(F.col("_field").isNotNull(), corner_type(F.col("_field")))).drop("_field")
 
@@ -216,19 +222,32 @@ def fuel_stats(laps: DataFrame, sessions: DataFrame) -> DataFrame:
     return pairs.groupBy("driver", "circuit", "season").agg(F.median("effect").alias("fuel_effect_per_10kg"))
 
 
-def quali_race_delta(laps: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Best qualifying lap, median race lap (without the start and the end) and their difference.
+_EVENT = ["driver", "circuit", "season"]
 
-    A difference out of bounds is null, the row stays.
-    """
-    named = with_session(laps, sessions).where("is_valid = 1 AND lap_time IS NOT NULL")
-    keys = ["driver", "circuit", "season"]
-    quali = named.where("session_type = 'Q'").groupBy(*keys).agg(F.min("lap_time").alias("quali_lap"))
-    race = named.where("session_type = 'Race'").withColumn("end", F.max("lap_number").over(Window.partitionBy("session_id", "driver")))
+
+def quali_best(laps: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Best qualifying lap of each driver at an event."""
+    named = with_session(laps, sessions).where("is_valid = 1 AND lap_time IS NOT NULL AND session_type = 'Q'")
+    return named.groupBy(*_EVENT).agg(F.min("lap_time").alias("quali_lap"))
+
+
+def race_pace(laps: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Median race lap of each driver at an event, without the start and the end."""
+    named = with_session(laps, sessions).where("is_valid = 1 AND lap_time IS NOT NULL AND session_type = 'Race'")
+    race = named.withColumn("end", F.max("lap_number").over(Window.partitionBy("session_id", "driver")))
     race = race.where((F.col("lap_number") >= RACE_FIRST) & (F.col("lap_number") <= F.col("end") - RACE_LAST_CUT))
-    pace = race.groupBy(*keys).agg(F.median("lap_time").alias("avg_race_pace"))
+    return race.groupBy(*_EVENT).agg(F.median("lap_time").alias("avg_race_pace"))
+
+
+def quali_race(best: DataFrame, pace: DataFrame) -> DataFrame:
+    """Both of the above and their difference; one that is out of bounds is null, the row stays."""
     gap = F.col("avg_race_pace") - F.col("quali_lap")
-    return quali.join(pace, keys).withColumn("delta", F.when(gap.between(*QUALI_RACE), gap))
+    return best.join(pace, _EVENT).withColumn("delta", F.when(gap.between(*QUALI_RACE), gap))
+
+
+def quali_race_delta(laps: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Best qualifying lap, median race lap and their difference."""
+    return quali_race(quali_best(laps, sessions), race_pace(laps, sessions))
 
 
 def driver_session_counts(laps: DataFrame, sparse_below: int = 3) -> DataFrame:

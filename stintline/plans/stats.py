@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import build, statistics as S
+from ..operators import build, incremental, statistics as S
 from ..sources import fixtures
 from ..sources.store import Store, shared_root
+from ..sources.versions import Versions, rows_of
 from .stats_sql import with_stats
 
 #: Digits kept of a statistic: sums in another order differ beyond them.
@@ -31,6 +33,7 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
         makers: dict[str, Callable[[Store], DataFrame]] = {}
         for name in fixtures.VIEWS:
             makers[name] = lambda st, name=name: fixtures.view(spark, sf_dir, name, st.lean)
+        makers["corner_means"] = lambda st: build.corner_means(st.lean)
         for name, make in build.STATISTICS.items():
             makers[name] = lambda st, make=make: rounded(make(st.lean))
         laps = fixtures.source(spark, sf_dir)["lineitem"].count()  # from the files' footers
@@ -45,15 +48,54 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
 
 
 def statistics_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statistics job over sf_dir: what it publishes, with the number of rows of each table."""
+    """The statistics job over sf_dir: what it publishes, with the number of rows of each table.
+
+    The store's tables never change, so they are published as they are, without another copy.
+    """
     held = store(spark, sf_dir)
-    target = f"{held.root}-published"
-    build.publish({name: held.lean(name) for name in build.STATISTICS}, target)
-    counts = [spark.read.parquet(f"{target}/{name}").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name in build.STATISTICS]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    for name in build.STATISTICS:
+        held[name]
+    versions = Versions(spark, f"{held.root}-published")
+    return rows_of(versions, versions.publish({name: f"{held.root}/{name}" for name in build.STATISTICS}))
+
+
+#: What tells the rows of each statistic apart.
+KEYS = {
+    "tyre_stats": ["circuit", "season", "compound"],
+    "driver_sector_stats": ["circuit", "season", "driver"],
+    "speed_trap_stats": ["circuit", "season", "driver"],
+    "corner_stats": ["circuit", "corner_number", "driver"],
+    "corners_typed": ["circuit", "corner_number"],
+    "fuel_stats": ["circuit", "season", "driver"],
+    "quali_race_delta": ["circuit", "season", "driver"],
+    "driver_session_counts": ["driver"],
+}
+
+
+def landed(spark: SparkSession, sf_dir: str) -> str:
+    """The folder in which laps, telemetry and weather lie by session."""
+    held = store(spark, sf_dir)
+    path = f"{held.root}-landed"
+    if "landed" not in held.there:
+        t = tables(spark, sf_dir, "laps", "telemetry", "weather")
+        session = F.array_join(F.slice(F.split("lap_id", r"\|"), 1, 3), "|")
+        for name, df in (("laps", t["laps"]), ("telemetry", t["telemetry"].withColumn("session_id", session)), ("weather", t["weather"].withColumn("session_id", session))):
+            incremental.by_session(df, f"{path}/{name}")
+        held.there.add("landed")
+    return path
+
+
+def statistics_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics after three updates: the older seasons, the newest one's qualifyings, and its races; and a
+    fourth that finds nothing new."""
+    path = landed(spark, sf_dir)
+    t = tables(spark, sf_dir, "sessions", "corners")
+    laps, telemetry, weather = (spark.read.parquet(f"{path}/{name}") for name in ("laps", "telemetry", "weather"))
+    root = f"{store(spark, sf_dir).root}-states-{uuid.uuid4().hex}"
+    for landing in ("season < 2025", "season < 2025 OR session_type = 'Q'", "true", "true"):
+        incremental.update(spark, root, laps, telemetry, t["sessions"].where(landing), t["corners"], weather)
+    found = incremental.finals(spark, root, t["corners"])
+    return incremental.together({name: rounded(df) for name, df in found.items()}, KEYS)
 
 
 def _query(name: str):
@@ -63,7 +105,30 @@ def _query(name: str):
 QUERIES = {name: _query(name) for name in build.STATISTICS}
 QUERIES["local_minima"] = lambda spark, sf_dir: S.local_minima(tables(spark, sf_dir, "telemetry")["telemetry"])
 QUERIES["statistics_build"] = statistics_build
+QUERIES["statistics_incremental"] = statistics_incremental
+
+
+def _together_sql() -> str:
+    """Rows of all statistics as incremental.together() writes them."""
+    facts = {
+        "tyre_stats": (["avg_deg_per_lap", "track_temp_sensitivity"], ["cliff_lap", "max_viable_laps"]),
+        "driver_sector_stats": (["avg_sector1_delta", "avg_sector2_delta", "avg_sector3_delta"], []),
+        "speed_trap_stats": (["avg_top_speed"], ["rank_in_field"]),
+        "corner_stats": (["avg_min_speed", "delta_vs_field"], []),
+        "corners_typed": (["distance_from_start"], ["corner_type"]),
+        "fuel_stats": (["fuel_effect_per_10kg"], []),
+        "quali_race_delta": (["avg_race_pace", "delta", "quali_lap"], []),
+        "driver_session_counts": ([], ["n_sessions", "sparse"]),
+    }
+    parts = []
+    for name, (doubles, others) in facts.items():
+        told = [f"coalesce(CAST({f'CAST(round({c}, 6) AS DECIMAL(18, 6))' if c in doubles else c} AS VARCHAR), '-')" for c in sorted([*doubles, *others])]
+        parts.append(f"SELECT '{name}' AS name, concat_ws('|', {', '.join(KEYS[name])}) AS key, concat_ws(' ', {', '.join(told)}) AS facts FROM {name}")
+    return " UNION ALL ".join(parts)
+
+
 ORACLE_SQL = {name: with_stats(f"SELECT * FROM {name}") for name in build.STATISTICS} | {
     "local_minima": with_stats("SELECT * FROM minima"),
+    "statistics_incremental": with_stats(_together_sql()),
     "statistics_build": with_stats(" UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM {name}" for name in build.STATISTICS)),
 }

@@ -219,6 +219,7 @@ _M, _A = f"WITH m AS ({MESSAGES})", f"WITH a AS ({ANSWERS})"
 _MODE = f"CASE WHEN NOT ({_has(K.STRATEGY)} AND NOT {_has(K.DATA_ASKED)}) AND {_has(K.LAP_DATA)} THEN 'telemetry' ELSE 'general' END"
 _SESSION = f"CASE WHEN {_has(K.QUALIFYING)} THEN 'Q' WHEN {_has(K.PRACTICE)} THEN coalesce(upper({_get(r'(FP[123])')}), 'FP2') WHEN {_has(K.RACING)} THEN 'Race' END"
 _LAP = f"TRY_CAST(coalesce({_get(K.LAP_NUMBER, 1)}, {_get(K.LAP_NUMBER, 2)}) AS INTEGER)"
+_YEAR, _AVERAGE, _DOUBT = f"CAST({_get(K.YEAR)} AS INTEGER)", _has(K.AVERAGE), _has(K.PUSHBACK, "lower(text)")
 _CIRCUIT, _TAG = _alias(K.question_aliases()), _alias(K.corpus_aliases())
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from stintline.functions import metrics, render
 from stintline.functions import text as X
-from stintline.operators import build, corpus, lap_query, session_load
+from stintline.operators import corpus, lap_query, session_load
 from stintline.sources import files, settings
 from stintline.sources.store import Layout, Store, read, write
+from stintline.sources.versions import Versions
 
 RAW = "season int, circuit string, session_type string, Driver string, LapNumber int, LapTime double, Sector1Time double, Sector2Time double, Sector3Time double, PitInTime double, TrackStatus string, Compound string, TyreLife double"
 TRACE = "season int, circuit string, session_type string, Driver string, LapNumber int, i int, Distance double, Speed double, Throttle double, Brake double, nGear double"
@@ -61,15 +62,15 @@ def test_missing_sessions_are_tried_newest_first():
 
 
 def test_publish_replaces_all_or_nothing(spark, tmp_path):
-    target = f"file://{tmp_path}/stats"
+    versions = Versions(spark, f"file://{tmp_path}/stats")
     one, two = spark.range(3), spark.range(5)
-    build.publish({"a": one, "b": one}, target)
+    versions.publish({"a": one, "b": one})
     broken = two.select(F.raise_error(F.lit("no")).alias("id"))
     with pytest.raises(Exception, match="no"):
-        build.publish({"a": two, "b": broken}, target)
-    assert spark.read.parquet(f"{target}/a").count() == 3
-    build.publish({"a": two, "b": two}, target)
-    assert spark.read.parquet(f"{target}/b").count() == 5
+        versions.publish({"a": two, "b": broken})
+    assert versions.read(versions.current(), "a").count() == 3
+    versions.publish({"a": two, "b": two})
+    assert versions.read(versions.current(), "b").count() == 5
 
 
 def test_store_builds_once_and_buckets(spark, tmp_path):
