@@ -117,8 +117,8 @@ def lap_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delta_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sector deltas of the first three drivers by code in races, of all in qualifying."""
-    wanted = F.when(F.col("session_id").endswith("|Race"), F.array(*(F.lit(f"D0{i}") for i in range(3)))).otherwise(F.array().cast("array<string>"))
+    """Sector deltas of three drivers in races, of all in qualifying."""
+    wanted = F.when(F.col("session_id").endswith("|Race"), F.array(*map(F.lit, ("VER", "HAM", "LEC")))).otherwise(F.array().cast("array<string>"))
     rows = render.by_session(_fastest(spark, sf_dir), ["delta1", "delta2", "delta3"])
     return rows.select("session_id", render.delta_text(F.col("rows"), wanted).alias("text"))
 
@@ -223,7 +223,7 @@ SELECT session_id, string_agg('- ' || driver || ' - lap ' || lap_number || ', '
     ),
     "delta_texts": with_stats(
         f""", {_BEST}, d AS (SELECT *, sector1 - first_value(sector1) OVER w AS d1, sector2 - first_value(sector2) OVER w AS d2, sector3 - first_value(sector3) OVER w AS d3 FROM f WINDOW w AS (PARTITION BY session_id ORDER BY lap_time, driver))
-SELECT session_id, coalesce(string_agg(driver || ' S1: ' || {_signed('d1')} || ' S2: ' || {_signed('d2')} || ' S3: ' || {_signed('d3')}, chr(10) ORDER BY lap_time, driver) FILTER (session_type = 'Q' OR driver < 'D03'), '') AS text FROM d GROUP BY session_id"""
+SELECT session_id, coalesce(string_agg(driver || ' S1: ' || {_signed('d1')} || ' S2: ' || {_signed('d2')} || ' S3: ' || {_signed('d3')}, chr(10) ORDER BY lap_time, driver) FILTER (session_type = 'Q' OR driver IN ('VER', 'HAM', 'LEC')), '') AS text FROM d GROUP BY session_id"""
     ),
     "replies_without_repeats": f"{texts._A} SELECT id, CASE id % 3 WHEN 0 THEN {_q(render.BLOCK)} || rtrim(generated) WHEN 1 THEN generated || {_q(render.BLOCK)} ELSE generated END AS text FROM a",
     "driver_names": f"WITH d AS ({texts.ORACLE_SQL['intent_drivers']}), n AS (SELECT unnest(map_entries(MAP {{{', '.join(f'{_q(c)}: {_q(n)}' for c, n in K.FULL_NAMES.items())}}})) AS e) SELECT id, coalesce(e.value, nullif(split_part(drivers, ',', 1), ''), 'D00') AS name FROM d LEFT JOIN n ON e.key = split_part(drivers, ',', 1)",

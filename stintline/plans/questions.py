@@ -13,16 +13,14 @@ from .stats import tables
 from .stats_sql import with_stats
 from .texts import _AVERAGE, _CIRCUIT, _DOUBT, _LAP, _MODE, _SESSION, _YEAR, ORACLE_SQL as TEXT_SQL, MESSAGES, _has, _orders, _q
 
-#: Drivers and circuits as questions name them, in the place of the fixtures' own.
-CODES = "VER,HAM,LEC,NOR,SAI,RUS,PIA,ALO,STR,GAS,OCO,PER,TSU,RIC,ALB,BOT,ZHO,MAG,HUL,SAR"
+#: Circuits as sessions store them, in the place of the fixtures' own.
 PLACES = "Italian,Belgian,British,Japanese,Bahrain,Dutch,Austrian,Las Vegas"
-_CODE = f"split_part('{CODES}', ',', CAST(substr(driver, 2) AS INT) + 1)"
 _PLACE = f"CASE WHEN circuit IN ('Monaco', 'Singapore') THEN circuit ELSE split_part('{PLACES}', ',', CAST((length(circuit) * 3 + TRY_CAST(right(circuit, 1) AS INT)) % 8 AS INT) + 1) END"
 
-#: Laps of drivers with known codes; some miss sectors, some are not valid, and some of a qualifying are equal or nearly so.
+#: Laps of which some miss sectors, some are not valid, and some of a qualifying are equal or nearly so.
 NAMED_LAPS = f"""
-SELECT id, session_id, {_CODE} AS driver, lap_number, CASE WHEN session_id LIKE '%Q' AND driver IN ('D03', 'D04') AND lap_number < 9 THEN CAST(70 + lap_number AS DOUBLE) WHEN session_id LIKE '%Q' AND driver IN ('D00', 'D01') AND lap_number = 5 AND length(session_id) % 2 = 0 THEN 70e0 + 0.03e0 * CAST(substr(driver, 2) AS INT)
-    WHEN driver = 'D07' AND lap_number = 11 THEN 150e0 ELSE lap_time END AS lap_time,
+SELECT id, session_id, driver, lap_number, CASE WHEN session_id LIKE '%Q' AND driver IN ('NOR', 'SAI') AND lap_number < 9 THEN CAST(70 + lap_number AS DOUBLE) WHEN session_id LIKE '%Q' AND driver IN ('VER', 'HAM') AND lap_number = 5 AND length(session_id) % 2 = 0 THEN CASE WHEN driver = 'VER' THEN 70e0 ELSE 70.03e0 END
+    WHEN driver = 'ALO' AND lap_number = 11 THEN 150e0 ELSE lap_time END AS lap_time,
   sector1, CASE WHEN lap_number % 23 = 7 THEN NULL ELSE sector2 END AS sector2, sector3, CASE WHEN lap_number % 19 = 4 THEN 0 ELSE is_valid END AS is_valid
 FROM laps"""
 NAMED_SESSIONS = f"SELECT id, season, {_PLACE} AS circuit, session_type FROM sessions"

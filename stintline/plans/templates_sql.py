@@ -6,6 +6,8 @@ out again, where there is a choice in other words.
 
 from __future__ import annotations
 
+from ..functions.constants import FULL_NAMES
+
 _TYRE = "circuit, season, compound, avg_deg_per_lap, cliff_lap, max_viable_laps"
 _GATE = "avg_deg_per_lap >= 0.010 AND avg_deg_per_lap <= 0.250 AND cliff_lap >= 8 AND cliff_lap <= 35 AND max_viable_laps >= 10 AND max_viable_laps <= 45"
 _DELTA = "avg_sector1_delta, avg_sector2_delta, avg_sector3_delta"
@@ -116,13 +118,14 @@ SELECT circuit, season, array_to_string(list_sort(l), ' | ') AS summary, CAST(le
     "e23_undercut_pressure": _strategy("NOT avg_deg_per_lap < 0.035"),
     "e24_overcut_case": _strategy("NOT avg_deg_per_lap > 0.035"),
     "k1_tyre_corrections": _strategy(more=", if(max_viable_laps > 9, max_viable_laps - 6, 3) AS wrong_max"),
-    "k2_corner_type_corrections": f"SELECT *, if(dominant = 'high', 'slow', 'high') AS wrong FROM ({_FORMS})",
-    "k3_driver_comparison_corrections": f"SELECT *, a1 + a2 + a3 AS total1, b1 + b2 + b3 AS total2, if(a1 + a2 + a3 > b1 + b2 + b3, d2, d1) AS stronger FROM ({_FULL_PAIR}) ORDER BY season, circuit, d1, d2 LIMIT 200",
+    "k2_corner_type_corrections": f"SELECT *, ['high-speed', 'slow-speed', 'slow-speed'][list_position(['slow', 'medium', 'high'], dominant)] AS wrong FROM ({_FORMS})",
+    "k3_driver_comparison_corrections": f"SELECT *, a1 + a2 + a3 AS total1, b1 + b2 + b3 AS total2, if(a1 + a2 + a3 > b1 + b2 + b3, d2, d1) AS stronger, if(a1 + a2 + a3 > b1 + b2 + b3, d1, d2) AS weaker FROM ({_FULL_PAIR}) ORDER BY season, circuit, d1, d2 LIMIT 200",
     "b1_strategy_examples": _scene(8, 28, 600, "'boost', "),
     "b2_corner_type_examples": _FORMS,
     "b3_sparse_comparison_examples": f"""
-WITH x AS (SELECT driver, circuit, season, {_SUM} AS s, avg_top_speed AS v, delta AS q FROM driver_sector_stats JOIN speed_trap_stats USING (driver, circuit, season) JOIN quali_race_delta USING (driver, circuit, season) WHERE {_ALL} AND delta IS NOT NULL)
-SELECT circuit, season, x.driver AS d1, y.driver AS d2, x.s AS s1, y.s AS s2, x.v AS v1, y.v AS v2, x.q AS q1, y.q AS q2 FROM x JOIN x AS y USING (circuit, season) WHERE y.driver > x.driver ORDER BY season, circuit, d1, d2 LIMIT 400""",
+WITH r AS (SELECT * FROM quali_race_delta WHERE quali_lap + avg_race_pace IS NOT NULL)
+SELECT p.*, x.quali_lap AS q1, y.quali_lap AS q2, x.avg_race_pace AS r1, y.avg_race_pace AS r2 FROM ({_FULL_PAIR}) AS p, r AS x, r AS y
+WHERE (x.driver, x.circuit, x.season) = (p.d1, p.circuit, p.season) AND (y.driver, y.circuit, y.season) = (p.d2, p.circuit, p.season) ORDER BY p.season, p.circuit, d1, d2 LIMIT 400""",
     "m2a_tyre_behaviour": f"SELECT {_TYRE}, track_temp_sensitivity FROM tyre_stats ORDER BY md5(concat_ws('|', season, circuit, compound)) LIMIT 200",
     "m2b_undercut_strategy": f"""
 SELECT {_TYRE}, (SELECT arg_min(fuel_effect_per_10kg, driver) FROM fuel_stats AS f WHERE f.circuit = t.circuit AND f.season = t.season) AS fuel,
@@ -133,11 +136,9 @@ SELECT driver, circuit, season, {_DELTA}, avg_top_speed, rank_in_field, quali_la
 FROM driver_sector_stats NATURAL LEFT JOIN speed_trap_stats NATURAL LEFT JOIN quali_race_delta WHERE avg_sector1_delta IS NOT NULL
 ORDER BY md5(concat_ws('|', season, circuit, driver)) LIMIT 200""",
     "m2d_circuit_strategy": """
-WITH t AS (SELECT *, compound || ':' || CAST(round(avg_deg_per_lap, 4) AS DECIMAL(9, 4)) || ':' || coalesce(CAST(max_viable_laps AS VARCHAR), 'N/A') AS item FROM tyre_stats),
-f AS (SELECT circuit, season, count(*) AS nf, round(avg(fuel_effect_per_10kg), 9) AS fuel FROM fuel_stats GROUP BY ALL), q AS (SELECT circuit, season, count(*) AS nq, min(avg_race_pace) AS pace FROM quali_race_delta GROUP BY ALL),
-s AS (SELECT circuit, season, deg, fuel, pace, list_sort(flatten(list_transform(range(0, greatest(1, coalesce(nf, 1)) * greatest(1, coalesce(nq, 1))), lambda i: items))) AS all_items
-  FROM (SELECT circuit, season, list(item) AS items, min(avg_deg_per_lap) AS deg FROM t GROUP BY ALL) LEFT JOIN f USING (circuit, season) LEFT JOIN q USING (circuit, season))
-SELECT circuit, season, array_to_string(all_items, ' | ') AS summary, deg, fuel, pace FROM s""",
+SELECT circuit, season, string_agg(compound || ':' || CAST(round(avg_deg_per_lap, 4) AS DECIMAL(9, 4)) || ':' || coalesce(CAST(max_viable_laps AS VARCHAR), 'N/A'), ' | ' ORDER BY compound) AS summary, min(avg_deg_per_lap) AS deg,
+  (SELECT round(avg(fuel_effect_per_10kg), 9) FROM fuel_stats AS f WHERE f.circuit = t.circuit AND f.season = t.season) AS fuel, (SELECT min(avg_race_pace) FROM quali_race_delta AS q WHERE q.circuit = t.circuit AND q.season = t.season) AS pace
+FROM tyre_stats AS t GROUP BY circuit, season ORDER BY md5(season || '|' || circuit) LIMIT 200""",
     "m2e_driver_comparison": f"""
 SELECT p.*, x.avg_top_speed AS v1, x.rank_in_field AS r1, y.avg_top_speed AS v2, y.rank_in_field AS r2 FROM ({_PAIR}) AS p
 LEFT JOIN speed_trap_stats AS x ON (x.driver, x.circuit, x.season) = (p.d1, p.circuit, p.season) LEFT JOIN speed_trap_stats AS y ON (y.driver, y.circuit, y.season) = (p.d2, p.circuit, p.season)
@@ -155,3 +156,27 @@ WITH c AS (SELECT * FROM raced JOIN tyre_stats USING (season, circuit, compound)
 g AS (SELECT c.*, (SELECT min(o.lap_time) FROM laps AS o WHERE o.session_id = c.session_id AND o.lap_number = c.lap_number AND o.driver <> c.driver AND o.is_valid = 1 AND o.lap_time > c.lap_time) - c.lap_time AS gap FROM c)
 SELECT season, circuit, driver, lap_number, tyre_age, compound, avg_deg_per_lap, cliff_lap, max_viable_laps, gap, cliff_lap - tyre_age AS margin FROM g WHERE gap >= 0.1 AND gap <= 5""",
 }
+
+
+def _named(code: str) -> str:
+    """A driver's name, looked up in a map of all of them."""
+    pairs = ", ".join(f"'{c}': '{n}'" for c, n in FULL_NAMES.items())
+    return f"coalesce(map_extract(MAP {{{pairs}}}, {code})[1], {code})"
+
+
+_COMP = "upper(compound[1]) || lower(compound[2:])"
+#: Questions worded apart from the templates' own text.
+QUESTIONS = {
+    "k1_tyre_corrections": f"printf('The %s at %s in %d is basically unusable after %d laps, right?', {_COMP}, circuit, season, wrong_max)",
+    "k2_corner_type_corrections": "printf('%s is mainly a %s circuit, isn''t it?', circuit, wrong)",
+    "k3_driver_comparison_corrections": f"printf('%s clearly had the edge over %s at %s in %d, right?', {_named('weaker')}, {_named('stronger')}, circuit, season)",
+    "b1_strategy_examples": f"printf('%s is on lap %d at %s in %d on %s tyres aged %d laps. What matters most for the strategy call?', {_named('driver')}, lap_number, circuit, season, {_COMP}, tyre_age)",
+    "b2_corner_type_examples": "printf('What setup story does the corner mix tell us for %s?', circuit)",
+    "b3_sparse_comparison_examples": f"printf('Give me a compact comparison of %s vs %s at %s in %d.', {_named('d1')}, {_named('d2')}, circuit, season)",
+    "e07_sector_attack_plan": f"printf('What sector should %s focus on at %s in %d?', {_named('driver')}, circuit, season)",
+    "e09_head_to_head_sector_edge": f"printf('Compare %s and %s by sector at %s in %d.', {_named('d1')}, {_named('d2')}, circuit, season)",
+    "e12_corner_attack": f"printf('What should %s change through Turn %d at %s?', {_named('driver')}, corner_number, circuit)",
+    "e16_quali_to_race_setup": f"printf('What does %s''s quali-to-race delta say at %s in %d?', {_named('driver')}, circuit, season)",
+    "t06_driver_sector_strengths": f"printf('Where does %s gain or lose time at %s in %d?', {_named('driver')}, circuit, season)",
+    "t10_corner_min_speed": f"printf('How does %s handle Turn %d at %s?', {_named('driver')}, corner_number, circuit)",
+}

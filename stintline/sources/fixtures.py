@@ -20,12 +20,15 @@ SESSION_LAPS = 60
 #: Telemetry samples of a race lap, every 50 m, and corners of a circuit.
 SAMPLES, CORNERS = 40, 15
 
+#: Codes of the twenty drivers.
+CODES = "VER,HAM,LEC,NOR,SAI,RUS,PIA,ALO,STR,GAS,OCO,PER,TSU,RIC,ALB,BOT,ZHO,MAG,HUL,SAR"
+
 #: Two of the events are at circuits that are held out of some corpora.
 HELD = "CASE {c} WHEN 'EUROPE 2' THEN 'Monaco' WHEN 'ASIA 2' THEN 'Singapore' ELSE {c} END"
 
 RAW = f"""
 SELECT 2022 + year(l_shipdate) % 4 AS season, r_name, CASE WHEN l_linenumber % 2 = 0 THEN 'Q' ELSE 'Race' END AS session_type,
-  concat('D', lpad(CAST(l_suppkey % 20 AS STRING), 2, '0')) AS driver,
+  CAST(l_suppkey % 20 AS INT) AS d,
   row_number() OVER (PARTITION BY year(l_shipdate) % 4, r_name, l_linenumber % 2, l_suppkey % 20
     ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn,
   CAST((l_partkey * 7919 + l_orderkey * 31) % 1000 AS DOUBLE) / 10007e0 AS u,
@@ -33,7 +36,7 @@ SELECT 2022 + year(l_shipdate) % 4 AS season, r_name, CASE WHEN l_linenumber % 2
 FROM lineitem JOIN region ON r_regionkey = l_partkey % 5"""
 
 NUMBERED = f"""
-SELECT season, {HELD.format(c=f"concat(r_name, ' ', CAST((rn - 1 - (rn - 1) % {SESSION_LAPS}) / {SESSION_LAPS} + 1 AS INT))")} AS circuit, session_type, driver,
+SELECT season, {HELD.format(c=f"concat(r_name, ' ', CAST((rn - 1 - (rn - 1) % {SESSION_LAPS}) / {SESSION_LAPS} + 1 AS INT))")} AS circuit, session_type, d, split_part('{CODES}', ',', d + 1) AS driver,
   CAST((rn - 1) % {SESSION_LAPS} + 1 AS INT) AS lap_number, u, v
 FROM ({RAW}) AS raw"""
 
@@ -50,7 +53,7 @@ TIMED = f"""
 SELECT *, CAST((lap_number - 1) % 18 + 1 AS INT) AS tyre_age,
   CASE WHEN lap_number <= 18 OR lap_number > 54 THEN 'SOFT' WHEN lap_number <= 36 THEN 'MEDIUM' ELSE 'HARD' END AS compound,
   82e0 - CAST(lap_number AS DOUBLE) / 50e0 + 0.02e0 * CAST((length(circuit) + season + CASE WHEN lap_number <= 18 OR lap_number > 54 THEN 0 WHEN lap_number <= 36 THEN 1 ELSE 2 END) % 6 AS DOUBLE) * CAST((lap_number - 1) % 18 + 1 AS DOUBLE)
-    + CASE WHEN (lap_number - 1) % 18 + 1 >= 13 THEN 0.5e0 ELSE 0e0 END + u + CAST(CAST(substr(driver, 2) AS INT) AS DOUBLE) * 0.13e0
+    + CASE WHEN (lap_number - 1) % 18 + 1 >= 13 THEN 0.5e0 ELSE 0e0 END + u + CAST(d AS DOUBLE) * 0.13e0
     - CASE WHEN session_type = 'Q' THEN 4e0 ELSE 0e0 END AS lap_time
 FROM ({NUMBERED}) AS numbered"""
 
@@ -66,7 +69,7 @@ SELECT concat_ws('|', CAST(season AS STRING), circuit, session_type) AS id, CAST
 FROM ({EVENTS}) AS held""",
     "telemetry": f"""
 SELECT id AS lap_id, CAST(50 * i AS DOUBLE) AS distance,
-  CAST(CASE WHEN length(circuit) % 3 = 0 THEN 184e0 + 2.5e0 * bend ELSE 64e0 + 11e0 * bend END + CAST(substr(driver, 2) AS INT) + lap_number % 2 AS DOUBLE) AS speed
+  CAST(CASE WHEN length(circuit) % 3 = 0 THEN 184e0 + 2.5e0 * bend ELSE 64e0 + 11e0 * bend END + CAST((instr('{CODES}', driver) - 1) / 4 AS INT) + lap_number % 2 AS DOUBLE) AS speed
 FROM (SELECT *, CAST(abs((17 * i + 8 * (length(circuit) % 5)) % 40 - 20) AS DOUBLE) AS bend FROM (SELECT laps.id, circuit, driver, lap_number, {{ints:{SAMPLES}}} AS i
   FROM laps JOIN sessions ON sessions.id = laps.session_id WHERE session_type = 'Race') AS laid) AS samples""",
     "corners": f"""
