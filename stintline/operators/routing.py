@@ -121,3 +121,16 @@ def answered(messages: DataFrame, laps: DataFrame, sessions: DataFrame) -> DataF
     )
     shown = F.when(source == STORED, F.col("rows")).otherwise(F.array().cast(told.schema["rows"].dataType))
     return told.select("id", "sid", "mode", source.alias("source"), "branch", "session_id", "rejection", shown.alias("rows"))
+
+
+def missing_sessions(messages: DataFrame, sessions: DataFrame, seasons: list[int], kinds: tuple[str, ...] = ("Q", "Race")) -> DataFrame:
+    """What an ingest should bring in: circuit, season and session_type that messages ask for and that aren't stored,
+    with place, the order in which seasons are tried where none was named (the newest first), and the number of messages.
+
+    Practice isn't landed, and so never asked for.
+    """
+    asked = routed(merged(parsed(messages)), sessions).where(F.col("asks") & F.col("_stored").isNotNull() & F.col("session_id").isNull() & F.col("_kind").isin(*kinds))
+    tried = F.array(*(F.struct(F.lit(y).alias("season"), F.lit(i + 1).alias("place")) for i, y in enumerate(sorted(seasons, reverse=True))))
+    one = F.array(F.struct(F.col("year").alias("season"), F.lit(1).alias("place")))
+    rows = asked.withColumn("t", F.explode(F.when(F.col("year").isNull(), tried).otherwise(one)))
+    return rows.groupBy(F.col("_stored").alias("circuit"), "t.season", F.col("_kind").alias("session_type"), "t.place").agg(F.count(F.lit(1)).alias("messages"))

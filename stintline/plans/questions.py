@@ -48,7 +48,17 @@ def bulk_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("id", "sid", "mode", "source", "branch", "session_id", "rejection", F.size("rows").cast("long").alias("n_rows"), F.array_join(F.transform("rows", row), ";").alias("rows"))
 
 
-QUERIES = {"bulk_answers": bulk_answers}
+#: Seasons that can be brought in.
+SEASONS = [2020, 2021, 2022, 2023, 2024, 2025]
+
+
+def missing_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that the questions ask for and that are not stored."""
+    sessions = run_sql(spark, NAMED_SESSIONS, tables(spark, sf_dir, "sessions"))
+    return routing.missing_sessions(_orders(spark, sf_dir, QUESTIONS), sessions, SEASONS)
+
+
+QUERIES = {"bulk_answers": bulk_answers, "missing_sessions": missing_sessions}
 
 _FIELDS = ("circuit", "year", "session", "lap", "d")
 
@@ -91,4 +101,11 @@ SELECT id, sid, CASE WHEN asks AND (circuit IS NOT NULL OR doubts) THEN 'telemet
     )
 
 
-ORACLE_SQL = {"bulk_answers": _bulk_sql()}
+_BULK = _bulk_sql()
+_MERGED = _BULK[: _BULK.rindex(",\nf AS MATERIALIZED")]
+ORACLE_SQL = {
+    "bulk_answers": _BULK,
+    "missing_sessions": f"""{_MERGED}
+SELECT coalesce(map_extract(MAP {{{', '.join(f'{_q(a)}: {_q(b)}' for a, b in K.STORED_NAMES.items())}}}, circuit)[1], circuit) AS circuit, y AS season, kind AS session_type, CAST(if(year IS NULL, {max(SEASONS)} - y + 1, 1) AS INTEGER) AS place, count(*) AS messages
+FROM q, (SELECT unnest(range(2000, 2100))::INTEGER AS y) WHERE ready AND sess IS NULL AND kind IN ('Q', 'Race') AND (y = year OR (year IS NULL AND y BETWEEN {min(SEASONS)} AND {max(SEASONS)})) GROUP BY ALL""",
+}
