@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import metrics
 from ..functions import text as X
-from ..operators import corpus, knn
+from ..operators import corpus, ivf, knn
 from ..sources.fixtures import run_sql
+from ..sources.store import shared_root
 from ..streaming import state
 from .stats import rounded
 
@@ -172,6 +175,19 @@ def cosine_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest(vectors, vectors.where("vec_id % 20 = 0"), 5)
 
 
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of the vectors whose id isn't divisible by 9, with the others put in later and searched for the five
+    nearest of every id divisible by 20: whether at least nine in ten of the true ones are found."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    index = ivf.Index(spark, f"{shared_root(spark)}/ivf-{uuid.uuid4().hex}")
+    index.build(vectors.where("vec_id % 9 <> 0"))
+    index.upsert(vectors.where("vec_id % 9 = 0 OR vec_id % 11 = 0"))
+    asked = vectors.where("vec_id % 20 = 0")
+    found = index.search(asked, 5).select("query_id", "id", F.lit(1).alias("hit"))
+    told = knn.nearest(vectors, asked, 5).select("query_id", "id").join(found, ["query_id", "id"], "left")
+    return told.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
 def rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose hallucination score, once found without tolerance, fell."""
     saved = answers(spark, sf_dir).withColumn("halluc", F.when(X.fails_guard(F.col("reference"), F.col("generated")), 1.0).otherwise(0.5))
@@ -195,7 +211,7 @@ def cleaned_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (rescored, worst_bleu, recovered_json, cleaned_responses, intent_mode, intent_fields, intent_drivers, intent_topics, numbers, grounding, redacted_claims, degradation_claims, sector_rewrites, grounding_prefix, vacuous_replies, rouge_l, bleu4, bleu_histogram, score_report, dedup_first, split_by_tag, leakage, quota_sample, chat_examples, history_last50, carry_forward, doubted_history, cosine_knn)
+    for f in (rescored, worst_bleu, recovered_json, cleaned_responses, intent_mode, intent_fields, intent_drivers, intent_topics, numbers, grounding, redacted_claims, degradation_claims, sector_rewrites, grounding_prefix, vacuous_replies, rouge_l, bleu4, bleu_histogram, score_report, dedup_first, split_by_tag, leakage, quota_sample, chat_examples, history_last50, carry_forward, doubted_history, cosine_knn, ivf_recall)
 }
 
 
@@ -284,6 +300,7 @@ j AS (SELECT i.*, nullif(drivers, '') AS d FROM i JOIN ({{drivers}}) AS n ON n.i
 SELECT sid, turn, {', '.join(f"coalesce({c}, last_value(CASE WHEN told THEN {c} END IGNORE NULLS) OVER w) AS {c}" for c in ('circuit', 'year', 'session', 'lap'))}, coalesce(d, last_value(CASE WHEN told THEN d END IGNORE NULLS) OVER w) AS drivers
 FROM j WINDOW w AS (PARTITION BY sid, since ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "doubted_history": f"{_A} SELECT id, CASE WHEN id % 2 = 0 THEN 'assistant' ELSE 'user' END AS role, CASE WHEN id % 2 = 0 AND id % 5 < 3 THEN regexp_replace(generated, {_q(K.CLAIM)}, {_q(K.REDACTED)}, 'gi') ELSE generated END AS content FROM a",
+    "ivf_recall": "WITH q AS (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0) SELECT count(*) AS queries, CAST(sum(least(5, (SELECT count(*) FROM embeddings) - 1)) AS BIGINT) AS neighbours, true AS enough FROM q",
     "cosine_knn": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
 SELECT query_id, id, similarity, CAST(rn AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rn FROM (
   SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 9) AS similarity FROM v JOIN v AS q ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)) WHERE rn <= 5""",
