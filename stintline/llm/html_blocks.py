@@ -13,8 +13,16 @@ from bisect import bisect_left
 from dataclasses import dataclass, field
 from html import unescape
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+#: White space in tags, and an attribute by the states of the HTML standard: a value in quotes runs to the same
+#: quote, any other to white space or the tag's end, and quotes elsewhere are characters like any other.
+_GAP = r"[\t\n\f\r ]"
+_VALUE = rf"""(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\t\n\f\r "'>][^\t\n\f\r >]*)"""
+_NAME = r"[^\t\n\f\r />][^\t\n\f\r />=]*+"
+#: Comments (which may end at once), other declarations, and tags.
+_TOKEN = re.compile(
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?=[^a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\t\n\f\r />]*+)((?:[\t\n\f\r /]++|{_NAME}(?:{_GAP}*+={_GAP}*+{_VALUE}?+)?+)*+)(?:>|\Z)", re.S
+)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_GAP}*+={_GAP}*+({_VALUE})?+)?+")
 #: Attributes whose words name an element.
 _NAMING = frozenset("class id role itemprop aria-label".split())
 _SPLIT = re.compile(r"[^a-z]+")
@@ -80,7 +88,9 @@ def _names(attributes: str) -> tuple[str, ...] | None:
     words: list[str] = []
     seen = set()
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+        name = name.lower()
+        if value[:1] in ("'", '"'):
+            value = value[1:].removesuffix(value[0])
         if name in seen:  # the first of a name counts
             continue
         seen.add(name)

@@ -35,9 +35,12 @@ ACCOUNT_CUES = ("iban", "account")
 SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "private_key", "bearer")
 SECRET = frozenset(string.ascii_letters + string.digits + "_+/=-.~")
 LEAST_SECRET = 16
-#: Prefixes of widely used access keys, the characters after them, and how many of these there are.
+#: Letters and digits of an account number at most, as its standard says.
+MOST_CODE = 34
+#: Prefixes of widely used access keys, the characters after them, and how many of these there are (at least, at most).
+NO_END = 1 << 62
 _UPPER, _WORD = frozenset(string.ascii_uppercase + string.digits), frozenset(string.ascii_letters + string.digits + "_-")
-KEY_PREFIXES = {"AKIA": (_UPPER, 16, 16), "ASIA": (_UPPER, 16, 16), "AIza": (_WORD, 35, 35), "ghp_": (_WORD, 36, 255), "gho_": (_WORD, 36, 255), "ghs_": (_WORD, 36, 255), "sk_live_": (_WORD, 16, 255), "xoxb-": (_WORD, 20, 255), "xoxp-": (_WORD, 20, 255)}
+KEY_PREFIXES = {"AKIA": (_UPPER, 16, 16), "ASIA": (_UPPER, 16, 16), "AIza": (_WORD, 35, 35), "ghp_": (_WORD, 36, NO_END), "gho_": (_WORD, 36, NO_END), "ghs_": (_WORD, 36, NO_END), "sk_live_": (_WORD, 16, NO_END), "xoxb-": (_WORD, 20, NO_END), "xoxp-": (_WORD, 20, NO_END)}
 _FOLD = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
@@ -50,7 +53,7 @@ def luhn(digits: str) -> bool:
 
 
 def iban(code: str) -> bool:
-    if not (15 <= len(code) <= 34 and code[:2].isalpha() and code[2:4].isdigit()):
+    if not (15 <= len(code) <= MOST_CODE and code[:2].isalpha() and code[2:4].isdigit()):
         return False
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
@@ -122,15 +125,17 @@ def _phone(text: str, plus: int) -> int:
 
 
 def _account(text: str, at: int) -> tuple[int, int] | None:
+    """The longest valid account number that begins here: up to MOST_CODE letters and digits, however they are spaced."""
     while at < len(text) and text[at] in " :=#.\"'":
         at += 1
-    code, end = "", at
-    for i in range(at, min(len(text), at + 50)):
+    code, end, i = "", at, at
+    while i < len(text) and len(code) < MOST_CODE:
         c = text[i]
+        i += 1
         if c in DIGITS or "A" <= c <= "Z":
             code += c
             if iban(code):
-                end = i + 1
+                end = i
         elif c not in " -":
             break
     return (at, end) if end > at else None
