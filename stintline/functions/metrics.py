@@ -2,115 +2,86 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import close, let, numbers, ungrounded
 
-
-#: Tokens that fit the bits of a long.
-WORD = 60
+#: Sizes of the n-grams that BLEU counts.
+ORDERS = (1, 2, 3, 4)
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: by bits if b is short, else by rows."""
-    return F.when(F.size(b) <= WORD, _lcs_bits(a, b)).otherwise(_lcs_rows(a, b))
-
-
-def _lcs_bits(a: Column, b: Column) -> Column:
-    """The table's rows as bits of one long: a zero bit stands where a row's value rises along b."""
-
-    def bit(i):
-        return F.call_function("shiftleft", F.lit(1).cast("long"), i)
-
-    full = bit(F.size(b)) - 1
-
-    def row(v, token):
-        marks = F.transform(b, lambda x, i: F.when(x == token, bit(i)).otherwise(F.lit(0).cast("long")))
-        hit = v.bitwiseAND(F.aggregate(marks, F.lit(0).cast("long"), lambda s, m: s + m))
-        return let(hit, lambda u: (v + u).bitwiseOR(v - u).bitwiseAND(full))
-
-    return F.size(b) - F.bit_count(F.aggregate(a, full, row))
+def common_subsequence(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: the table's rows as the bits of one whole number of any length.
 
-
-def _lcs_rows(a: Column, b: Column) -> Column:
-    """One row of the table at a time.
-
-    For each token of a, the new row is a running maximum along b. Time is the product of the
-    lengths; memory is one row.
+    A zero bit stands where a row's value rises along b, so that each token of a costs a few operations on the
+    number, in proportion to the machine words that b takes.
     """
-    start = F.transform(b, lambda _: F.lit(0))
-
-    def row(last, token):
-        def cell(acc, i):
-            diagonal = F.when(i > 0, F.get(last, i - 1)).otherwise(0)
-            left = F.when(i > 0, F.get(acc, i - 1)).otherwise(0)
-            value = F.when(F.get(b, i) == token, diagonal + 1).otherwise(F.greatest(F.get(last, i), left))
-            return F.concat(acc, F.array(value))
-
-        places = F.when(F.size(b) > 0, F.sequence(F.lit(0), F.size(b) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, F.array().cast("array<int>"), cell)
-
-    last = F.aggregate(a, start, row)
-    return F.coalesce(F.element_at(F.when(F.size(last) > 0, last), -1), F.lit(0))
+    marks: dict[str, int] = {}
+    for i, t in enumerate(b):
+        marks[t] = marks.get(t, 0) | 1 << i
+    full = row = (1 << len(b)) - 1
+    for t in a:
+        hit = row & marks.get(t, 0)
+        if hit:
+            row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
+
+
+def clipped_hits(a: list[str], b: list[str]) -> list[int]:
+    """For each of ORDERS, the n-grams of b that a has too, each at most as often. A gram is one number."""
+    place = {t: i for i, t in enumerate(dict.fromkeys([*a, *b]), 1)}
+    x, y, base, out = [place[t] for t in a], [place[t] for t in b], len(place) + 1, []
+    ga, gb = x, y
+    for n in ORDERS:
+        if n > 1:
+            ga, gb = ([g * base + t for g, t in zip(grams, side[n - 1 :])] for grams, side in ((ga, x), (gb, y)))
+        sa, sb = set(ga), set(gb)
+        if len(sa) == len(ga) or len(sb) == len(gb):  # no gram twice on one side
+            out.append(len(sa & sb))
+        else:
+            held = Counter(ga)
+            out.append(sum(min(k, held[g]) for g, k in Counter(gb).items()))
+    return out
+
+
+def _of_pairs(count, kind: T.DataType, reference: Column, prediction: Column) -> Column:
+    """count of two lists of tokens, in Arrow batches. Expressions over arrays would be interpreted, and a table of
+    common subsequences copied row by row."""
+
+    def run(r: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([count(x.split(" ") if x else [], y.split(" ") if y else []) for x, y in zip(r, p, strict=True)])
+
+    joined = lambda t: F.coalesce(F.array_join(t, " "), F.lit(""))  # noqa: E731  tokens hold no blank
+    return F.pandas_udf(run, kind)(joined(reference), joined(prediction))
 
 
 def rouge_l(reference: Column, prediction: Column) -> Column:
     """F1 of the longest common subsequence of lower-cased tokens; 0 if either side is empty."""
-    def f1(s):
-        r, p = s["r"], s["p"]
-        lcs = lcs_length(r, p).cast("double")
-        return F.when((F.size(r) == 0) | (F.size(p) == 0), 0.0).otherwise(2 * lcs / (F.size(r) + F.size(p)))
-
-    return let(_sides(reference, prediction), f1)
-
-
-def _sides(reference: Column, prediction: Column) -> Column:
-    return F.struct(tokens(reference).alias("r"), tokens(prediction).alias("p"))
-
-
-def _ngrams(t: Column, n: int) -> Column:
-    last = F.size(t) - n
-    joined = lambda i: F.array_join(F.slice(t, i + 1, n), " ")
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), joined)).otherwise(F.array().cast("array<string>"))
-
-
-def _clipped(theirs: Column, mine: Column) -> Column:
-    """Grams of mine that theirs has too, each at most as often.
-
-    If either side repeats no gram, that is the size of the intersection; else each occurrence is told by
-    its number within equal ones, and the k-th of one side meets the k-th of the other.
-    """
-
-    def told(grams):
-        return let(F.array_sort(grams), lambda s: F.transform(s, lambda g, i: F.struct(g.alias("g"), (i - F.array_position(s, g)).alias("k"))))
-
-    def of(s):
-        unique = (F.size(F.array_distinct(s["m"])) == F.size(s["m"])) | (F.size(F.array_distinct(s["t"])) == F.size(s["t"]))
-        return F.when(unique, F.size(F.array_intersect(s["m"], s["t"]))).otherwise(F.size(F.array_intersect(told(s["m"]), told(s["t"]))))
-
-    return let(F.struct(mine.alias("m"), theirs.alias("t")), of)
+    r, p = tokens(reference), tokens(prediction)
+    found = _of_pairs(common_subsequence, T.IntegerType(), r, p)
+    return F.when((F.size(r) == 0) | (F.size(p) == 0), 0.0).otherwise(2 * found.cast("double") / (F.size(r) + F.size(p)))
 
 
 def bleu4(reference: Column, prediction: Column) -> Column:
     """BLEU with clipped n-grams up to four, no smoothing (any order without a hit gives 0), and brevity penalty."""
-
-    def of(s):
-        r, p = s["r"], s["p"]
-        hits = F.array(*(_clipped(_ngrams(r, n), _ngrams(p, n)) for n in (1, 2, 3, 4)))
-        penalty = F.when(F.size(p) >= F.size(r), 1.0).otherwise(F.exp(1 - F.size(r) / F.size(p)))
-
-        def score(h):
-            logs = F.aggregate(h, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda a, k: F.struct((a["sum"] + F.log(k / (F.size(p) - a["n"]))).alias("sum"), (a["n"] + 1).alias("n")))
-            return F.when(F.forall(h, lambda k: k > 0), penalty * F.exp(logs["sum"] / 4)).otherwise(0.0)
-
-        return F.when((F.size(r) > 0) & (F.size(p) > 3), let(hits, score)).otherwise(0.0)
-
-    return let(_sides(reference, prediction), of)
+    r, p = tokens(reference), tokens(prediction)
+    nr, np = F.size(r), F.size(p)
+    found = _of_pairs(clipped_hits, T.ArrayType(T.IntegerType()), r, p)
+    hits = [found[i] for i in range(len(ORDERS))]
+    logs = reduce(lambda a, b: a + b, (F.log(h / (np - i)) for i, h in enumerate(hits)))
+    penalty = F.when(np >= nr, 1.0).otherwise(F.exp(1 - nr / np))
+    every = reduce(lambda a, b: a & b, (h > 0 for h in hits))
+    return F.when((nr > 0) & (np > 3), F.when(every, penalty * F.exp(logs / 4)).otherwise(0.0)).otherwise(0.0)
 
 
 def factual_of(r: Column, p: Column) -> Column:

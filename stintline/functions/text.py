@@ -62,13 +62,12 @@ def drivers(text: Column) -> Column:
     """Codes in the text in their order, then those of surnames in the order of the list; each once."""
     codes = F.transform(F.regexp_extract_all(text, F.lit(r"\b([A-Za-z]{3})\b"), 1), F.upper)
     known = F.filter(codes, lambda c: c.isin(*K.DRIVERS))
-    named = F.array_compact(F.array(*(F.when(F.lower(text).contains(name), F.lit(code)) for name, code in K.SURNAMES.items())))
+    named = let(F.lower(text), lambda low: F.array_compact(F.array(*(F.when(low.contains(name), F.lit(code)) for name, code in K.SURNAMES.items()))))
     return F.array_distinct(F.concat(known, named))
 
 
 def _first_alias(text: Column, aliases: list[tuple[str, str]]) -> Column:
-    low = F.lower(text)
-    return F.coalesce(*(F.when(low.contains(alias), F.lit(name)) for alias, name in aliases))
+    return let(F.lower(text), lambda low: F.coalesce(*(F.when(low.contains(alias), F.lit(name)) for alias, name in aliases)))
 
 
 def circuit(text: Column) -> Column:

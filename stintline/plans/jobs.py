@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import lap_query, session_load
 from ..operators.statistics import tyre_stats
-from ..sources.fixtures import run_sql
+from ..sources.fixtures import run_sql, spread
 from ..streaming import state
 from . import templates, texts
 from .laps import KEPT, RAW_LAPS, TRACE, _laps
@@ -46,7 +46,7 @@ FROM orders"""
 
 
 def _orders(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return run_sql(spark, sql, {"orders": spark.read.parquet(f"{sf_dir}/orders.parquet")})
+    return run_sql(spark, sql, {"orders": spread(spark.read.parquet(f"{sf_dir}/orders.parquet"))})
 
 
 def season_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import constants as K
 from ..functions import metrics
 from ..functions import text as X
 from ..operators import corpus, ivf, knn
-from ..sources.fixtures import run_sql
+from ..sources.fixtures import run_sql, spread
 from ..sources.store import shared_root
 from ..streaming import state
 from .stats import rounded
@@ -41,7 +41,7 @@ FROM (SELECT *, CAST(2019 + o_orderkey % 7 AS STRING) AS y, CAST(1 + o_custkey %
 
 
 def _orders(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return run_sql(spark, sql, {"orders": spark.read.parquet(f"{sf_dir}/orders.parquet")})
+    return run_sql(spark, sql, {"orders": spread(spark.read.parquet(f"{sf_dir}/orders.parquet"))})
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

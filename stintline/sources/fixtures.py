@@ -109,3 +109,10 @@ def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> Data
 def duck_views(*names: str) -> str:
     """The adapter tables as the head of a DuckDB WITH clause."""
     return ", ".join(f"{n} AS ({view_sql(n, 'duckdb')})" for n in names or VIEWS)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it comes in fewer pieces than there are: a small file is one task otherwise, however
+    much is to be done with each of its rows. Tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
