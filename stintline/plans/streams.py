@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import generation
 from ..sources.store import shared_root
 from ..streaming import ingest, stateful
 from . import jobs, texts
@@ -76,9 +77,37 @@ def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.groupBy("customer").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (history_streamed, carry_streamed, ingested)}
+#: Examples wanted of each category but the last, which gets none.
+QUOTA, CATEGORIES = 160, 5
+
+
+def generated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run tries for five categories, one of them without candidates enough, if it is stopped after a round, fails in
+    the next and goes on then: id, category, place and the reason of what is discarded.
+
+    The generator is a stand-in: it says what the answers' table holds, and nothing for some.
+    """
+    told = texts.answers(spark, sf_dir).select(F.concat(F.lit("c"), F.col("id") % CATEGORIES).alias("category"), "id", F.col("reference").alias("facts"), "generated")
+    told = told.where("id % 5 <> 3 OR id < 300")
+    quotas = spark.createDataFrame([(f"c{k}", QUOTA) for k in range(CATEGORIES - 1)], "category string, quota long")
+    root = _folder(spark, "generation")
+    say = lambda df: df.withColumn("response", F.when(F.col("id") % 13 > 0, F.col("generated")))
+    generation.run(spark, root, told, quotas, say, rounds=1)
+    try:
+        generation.run(spark, root, told, quotas, lambda df: say(df).withColumn("response", F.when(F.col("place") > 0, F.raise_error(F.lit("stopped")))))
+    except Exception as e:
+        if "stopped" not in str(e):
+            raise
+    generation.run(spark, root, told, quotas, say)
+    return generation.tried(spark, root).select("category", "id", "place", "reason")
+
+
+QUERIES = {f.__name__: f for f in (history_streamed, carry_streamed, ingested, generated_corpus)}
 ORACLE_SQL = {
     "history_streamed": jobs.ORACLE_SQL["history_cleared"],
     "carry_streamed": texts.ORACLE_SQL["carry_forward"],
+    "generated_corpus": f"""{texts._AN}, c AS (SELECT 'c' || id % 5 AS category, id, CASE WHEN id % 13 = 0 THEN 'bad_format' WHEN {texts._LONE} > 0 THEN 'ungrounded' END AS reason, md5(concat_ws('|', '84', id)) AS draw FROM n WHERE id % 5 < 4 AND (id % 5 <> 3 OR id < 300)),
+p AS (SELECT *, row_number() OVER w AS place, count(*) FILTER (reason IS NULL) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS kept FROM c WINDOW w AS (PARTITION BY category ORDER BY draw, id))
+SELECT category, id, place, reason FROM p WHERE kept < {QUOTA}""",
     "ingested": "SELECT o_custkey AS customer, count(*) AS n, round(sum(o_totalprice), 4) AS total FROM orders GROUP BY ALL",
 }
