@@ -2,9 +2,9 @@
 
 Centroids are fitted on a bounded sample; every row is stored, in the list of its nearest centroid. A search finds
 the lists nearest to each query, reads these alone, and ranks their rows exactly. How many lists it takes for
-the wanted recall is measured when the index is built, on a bounded sample of its own rows against brute
-force. Lists are folders named by a published version: an upsert rewrites those that it touches, and readers
-keep to theirs. knn.nearest() stays the exact way.
+the wanted recall is measured when the index is built, on a bounded sample of its own rows against a search of
+all lists. Lists are folders named by a published version: an upsert rewrites those that it touches, and readers
+keep to theirs. A search of all lists is exact, as is knn.nearest() without an index.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.versions import Version, Versions
-from .knn import nearest, unit
+from .knn import unit
 
 #: Rows that centroids are fitted on, rows that the recall is measured with, and lists, at most.
 SAMPLE, MEASURED, LISTS = 20_000, 200, 1024
@@ -74,7 +74,7 @@ class Index:
         centres = np.array([c / max(np.linalg.norm(c), 1e-12) for c in fitted.clusterCenters()]) if n > 1 else np.array([r["v"] for r in rows.collect()])
         self._put({}, rows, centres, Version(self.versions.current().number, {}), {"centroids": centres.tolist(), "probe": len(centres)})
         asked = _drawn(rows, MEASURED, "measure").select("id", "v")
-        truth = nearest(rows.select("id", "v"), asked, 5, "id", "v").select(F.col("query_id").alias("q"), F.col("id").alias("i"))
+        truth = self.search(asked, 5, "id", "v", probe=len(centres)).select(F.col("query_id").alias("q"), F.col("id").alias("i"))
         place = self._list_places(rows, asked, truth, centres)
         found = place.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("place", recall, 10_000).alias("p")).first()
         version = self.versions.current()
