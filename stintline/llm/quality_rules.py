@@ -1,8 +1,8 @@
 """Operator 3, quality rules: risk-controlled cutoffs from labelled holdouts.
 
-Each rule has a statistic of a text, a whole number from 0 to GRID, and rejects the texts above a cutoff.
-Labelled texts that pass the base rules are dealt into two halves by a hash of their ids. On the first
-half, each rule proposes cutoffs for each stratum: among those that lose no more of the good texts than a
+Each rule has a statistic of a text, a whole number on a grid that covers all values, and rejects the texts above
+a cutoff. Labelled texts that pass the base rules count once in each stratum, however many copies of them are
+labelled, and are dealt into two halves by a hash of the text, so that copies lie on one side. On the first half, each rule proposes cutoffs for each stratum: among those that lose no more of the good texts than a
 level allows, the most lenient whose balance, the share of bad texts caught less that of good ones lost, comes
 up to the level's part of the best; a rule that catches nothing has none. The levels go from lenient to strict, and what a level rejects the
 next one rejects too. On the second half, the hypothesis that the rules of a level together reject more
@@ -11,8 +11,8 @@ good texts rejected. Two corrections keep the chance of any wrong certificate un
 tests at DELTA / number of strata (Bonferroni), and within a stratum levels are tested in order, stopping
 at the first that isn't certified (fixed sequence). The last certified level gives the cutoffs.
 
-So, with probability 1 - DELTA, in no stratum do these rules reject more than RISK of the good texts that
-pass the base rules. Good texts that fail the base are not part of this guarantee: the base rejects
+So, with probability 1 - DELTA, in no stratum do these rules reject more than RISK of the different good
+texts that pass the base rules; copies of a text share its verdict. Good texts that fail the base are not part of this guarantee: the base rejects
 them whatever the labels say. A stratum with too few labels gets no cutoff and loses no text but by the base.
 """
 
@@ -29,14 +29,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SLICE, durable, map_rows, small_enough
+from .common import BROADCAST_BYTES, SLICE, durable, map_rows, small_enough
 
 RISK, DELTA = 0.03, 0.05
 #: For each level, how many good texts of a thousand in the first half a rule may lose, and the
 #: percentage of the best balance that its cutoff must reach.
 LEVELS = ((0, 50), (0, 90), (0, 100), (2, 100), (5, 100))
-#: Statistics are cut off here, so that a stratum has a bounded number of candidates.
-GRID = 8191
+#: Binary digits that a statistic keeps: values below 2^13 are exact, greater ones lose their lowest digits, so that
+#: candidates are few (at most 2^12 for each doubling) and no value is out of a cutoff's reach.
+DIGITS = 13
+#: Tasks that rows of a stratum are dealt to, where cutoffs are too large to broadcast.
+PARTS = 32
 #: Fixed values of the base statistics.
 WHITE, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
 WINDOW = 5
@@ -128,8 +131,9 @@ def statistics() -> Column:
     """The rules' statistics of a row of COUNTS, in order."""
     out = []
     for over, under, scale, high in RULES.values():
-        value = F.least(F.lit(GRID), F.floor(F.col(over) * scale / F.greatest(F.lit(1), F.col(under)))).cast("int")
-        out.append(value if high else GRID - value)
+        ratio = f"{over} * {scale} div greatest(1, {under})"
+        value = F.expr(f"{ratio} - ({ratio}) % shiftleft(1L, greatest(0, length(bin({ratio})) - {DIGITS}))")
+        out.append(value if high else -value)
     return F.array(*out)
 
 
@@ -162,7 +166,7 @@ def certified(n: int, ks: list[int], tests: int, risk: float, delta: float) -> i
 def proposals(half: DataFrame, levels: tuple[tuple[int, int], ...] = LEVELS) -> DataFrame:
     """stratum and proposed: for each level the rules' cutoffs (null: none), from rows (stratum, good, v).
 
-    Rows are counted by rule and value where they lie, so a window sees GRID + 1 rows of a stratum and rule at most.
+    Rows are counted by rule and value where they lie, so a window sees the grid's rows of a stratum and rule at most.
     """
     each = half.select("stratum", "good", F.posexplode("v").alias("rule", "value"))
     counts = each.groupBy("stratum", "rule", "value").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
@@ -198,7 +202,8 @@ def certify(holdout: DataFrame, risk: float = RISK, delta: float = DELTA, levels
     good = holdout.where("good AND NOT first").join(cuts, F.col("stratum").eqNullSafe(F.col("_of")), "left")
     ks = [F.count_if(F.exists(_broken(F.col("v"), F.get("proposed", F.lit(i))), lambda x: x)).alias(f"k{i}") for i in range(len(levels))]
     per = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *ks)
-    per = per.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # a row for each stratum
+    per = durable(per, "quality-strata")  # a row for each stratum
+    per = per.withColumn("strata", F.lit(per.count()))
     schema = T.StructType([T.StructField("stratum", T.StringType()), T.StructField("n", T.LongType()), T.StructField("level", T.IntegerType())])
 
     def make():
@@ -212,14 +217,33 @@ def certify(holdout: DataFrame, risk: float = RISK, delta: float = DELTA, levels
     return told.select("stratum", "n", "level", F.when(F.col("level") > 0, F.get("proposed", F.col("level") - 1)).alias("cuts"))
 
 
+def distinct_texts(labelled: DataFrame) -> DataFrame:
+    """A row (stratum, good, first, v) for each text of each stratum, from rows (stratum, good, mark, v).
+
+    mark is the text's hash. A text is good only if all of its labelled copies are, and its hash tells its half.
+    Copies are brought together where they lie first, so a text of many copies sends a row for each task.
+    """
+    once = labelled.groupBy("stratum", "mark").agg(F.min("good").alias("good"), F.first("v").alias("v"))
+    return once.select("stratum", "good", (F.substring("mark", 1, 1) < "8").alias("first"), "v")
+
+
 def cutoffs(counted: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
-    """certify() on the labelled texts among counted, ready to join: broadcast where it is small."""
+    """certify() on the labelled texts among counted."""
     told = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    first = F.substring(F.md5(F.encode(F.col("_id").cast("string"), "UTF-8")), 1, 1) < "8"
-    holdout = counted.where(~base_failed()).join(told.withColumnRenamed("doc_id", "_labelled"), F.col("_id") == F.col("_labelled"))
-    holdout = durable(holdout.select("stratum", "good", first.alias("first"), statistics().alias("v")), "quality-holdout")
-    cuts = durable(certify(holdout, risk, delta).withColumnRenamed("stratum", "_of"), "quality-cutoffs")
-    return F.broadcast(cuts) if small_enough(cuts, 128) else cuts
+    labelled = counted.where(~base_failed()).join(told.withColumnRenamed("doc_id", "_labelled"), F.col("_id") == F.col("_labelled"))
+    holdout = durable(distinct_texts(labelled.select("stratum", "good", "mark", statistics().alias("v"))), "quality-holdout")
+    return durable(certify(holdout, risk, delta).withColumnRenamed("stratum", "_of"), "quality-cutoffs")
+
+
+def with_cuts(rows: DataFrame, cuts: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """rows with the cutoffs of their stratum, if it has any: broadcast where they are small, else copied to PARTS
+    parts, to which the rows of each stratum are dealt."""
+    same = F.col("stratum").eqNullSafe(F.col("_of"))
+    if small_enough(cuts, 128, limit):
+        return rows.join(F.broadcast(cuts), same, "left")
+    parts = cuts.withColumn("_part_of", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = rows.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int"))
+    return dealt.join(parts, same & (F.col("_part") == F.col("_part_of")), "left").drop("_part", "_part_of")
 
 
 def broken_rules() -> Column:
@@ -228,22 +252,29 @@ def broken_rules() -> Column:
     return F.array_compact(F.array(*(F.when(F.get(flags, F.lit(i)), F.lit(r)) for i, r in enumerate(RULES))))
 
 
+def _counted(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
+    """_id, stratum, mark (the text's hash) and COUNTS of every row."""
+    text = F.col(text_col)
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(stratum_col).cast("string").alias("stratum"), F.md5(F.encode(text, "UTF-8")).alias("mark"), text.alias("_text"))
+    return with_counts(slim, ["_id", "stratum", "mark"], "_text").select("_id", "stratum", "mark", "_counts.*")
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """Verdict of every row of docs: doc_id, COUNTS, base_failed, broken (the certified rules that it
     breaks, in order) and kept.
 
     A null or empty text has no words and fails the base. Rows with a null id or a null stratum are
     judged like any other; unlabelled ids and labels without a document or a quality do not count as
-    holdouts. Repeated rows each get their verdict, and each counts as a holdout if labelled. If a label
-    is repeated, the document is good only if all of its labels say so. Empty docs give an empty result,
-    empty labels no cutoffs. Columns other than those named are neither read nor returned.
+    holdouts. Repeated rows each get their verdict, and count as one holdout, as do all labelled copies of a text
+    in a stratum. If a label is repeated, the document is good only if all of its labels say so. Long texts are
+    counted whole. Empty docs give an empty result, empty labels no cutoffs. Columns other than those named are
+    neither read nor returned, and may have any name.
     """
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("_text"))
-    counted = with_counts(slim, ["_id", "stratum"], "_text").select("_id", "stratum", "_counts.*")
+    counted = _counted(docs, id_col, text_col, stratum_col)
     counted = durable(counted, "quality-counts")
     cuts = cutoffs(counted, labels, risk, delta)
     return (
-        counted.join(cuts, F.col("stratum").eqNullSafe(F.col("_of")), "left")
+        with_cuts(counted, cuts)
         .select(F.col("_id").alias("doc_id"), *COUNTS, base_failed().alias("base_failed"), broken_rules().alias("broken"))
         .withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
     )
@@ -255,11 +286,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: flo
     The verdict is a function of text and stratum, so the second pass counts each text again on its
     way through; no text is shuffled, and repeated or missing ids need no care.
     """
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("_text"))
-    counted = with_counts(slim, ["_id", "stratum"], "_text").select("_id", "stratum", "_counts.*")
+    counted = _counted(docs, id_col, text_col, stratum_col)
     cuts = cutoffs(counted, labels, risk, delta)
     columns = docs.columns
     named = docs.select(F.struct(*columns).alias("_row"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("_text"))
     judged = with_counts(named, ["_row", "stratum"], "_text").select("_row", "stratum", "_counts.*")
-    judged = judged.join(cuts, F.col("stratum").eqNullSafe(F.col("_of")), "left")
-    return judged.where(~base_failed() & (F.size(broken_rules()) == 0)).select("_row.*")
+    return with_cuts(judged, cuts).where(~base_failed() & (F.size(broken_rules()) == 0)).select("_row.*")

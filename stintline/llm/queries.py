@@ -114,8 +114,9 @@ _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 
 def _statistics() -> str:
     """The rules' statistics of a row of counts, as an SQL list."""
-    values = [(f"least({quality_rules.GRID}, {over} * {scale} // greatest(1, {under}))", high) for over, under, scale, high in quality_rules.RULES.values()]
-    return f"[{', '.join(v if high else f'{quality_rules.GRID} - {v}' for v, high in values)}]"
+    ratios = [(f"({over} * {scale} // greatest(1, {under}))", high) for over, under, scale, high in quality_rules.RULES.values()]
+    values = [(f"{r} // (1::BIGINT << greatest(0, length(bin({r})) - {quality_rules.DIGITS})) * (1::BIGINT << greatest(0, length(bin({r})) - {quality_rules.DIGITS}))", high) for r, high in ratios]
+    return f"[{', '.join(v if high else f'-({v})' for v, high in values)}]"
 
 
 _RULES, _ALLOWED, _RISK = list(quality_rules.RULES), quality_rules.LEVELS, quality_rules.RISK
@@ -128,7 +129,7 @@ p AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest(range
 l AS (SELECT r, count(*) AS n_lines, count(*) FILTER (rn > 1) AS n_dup_lines FROM (
   SELECT r, row_number() OVER (PARTITION BY r, line) AS rn FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-
 ]')) GROUP BY r),
-c AS (SELECT d.r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ 	-
+c AS (SELECT d.r, doc_id, lang, t, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ 	-
 ]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
   length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS n_marks, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals,
@@ -136,7 +137,7 @@ c AS (SELECT d.r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(r
   FROM d LEFT JOIN p ON p.r = d.r LEFT JOIN l ON l.r = d.r),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {_statistics()} AS vals FROM c),
 told AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
-h AS (SELECT row_number() OVER () AS id, lang, vals, good, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' AS first FROM b JOIN told USING (doc_id) WHERE NOT base_failed),
+h AS (SELECT row_number() OVER () AS id, lang, any_value(vals) AS vals, bool_and(good) AS good, substr(md5(t), 1, 1) < '8' AS first FROM b JOIN told USING (doc_id) WHERE NOT base_failed GROUP BY lang, t),
 e AS (SELECT lang, rule, vals[rule] AS v, count(*) FILTER (good) AS g, count(*) FILTER (NOT good) AS b FROM h, (SELECT unnest(range(1, {len(_RULES) + 1})) AS rule) WHERE first GROUP BY ALL),
 o AS (SELECT *, coalesce(sum(g) OVER above, 0) AS lost, coalesce(sum(b) OVER above, 0) AS caught, sum(g) OVER whole AS ng, sum(b) OVER whole AS nb FROM e
   WINDOW whole AS (PARTITION BY lang, rule), above AS (PARTITION BY lang, rule ORDER BY v DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
