@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import traces
+
 STEP = 50.0
 RAW_TIMES = ["LapTime", "Sector1Time", "Sector2Time", "Sector3Time"]
 
@@ -66,8 +68,10 @@ def resample(trace: DataFrame, columns: dict[str, str], key: str = "lap_id", ord
     columns maps source columns to results; a source that trace doesn't have gives zeros. Between
     samples values are interpolated, before the first one held. Laps with fewer than two samples of
     a known distance yield nothing. Each sample lays out the grid's points up to the next one, so a lap is
-    sorted once and joins nothing.
+    sorted once and joins nothing. Packed traces, whose columns are arrays in the lap's row, aren't shuffled either.
     """
+    if traces.is_packed(trace, distance):
+        return traces.resampled(trace, columns, key, order, distance, step)
     known = trace.where(F.col(distance).isNotNull() & ~F.isnan(distance)).withColumn("_d", F.col(distance).cast("double"))
     there = {c: n for c, n in columns.items() if c in trace.columns}
     w = Window.partitionBy(key).orderBy(order)

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import cleaning, corner_map, lap_query
 from ..operators.statistics import GROUP, inlier, rejects, with_session
 from ..sources.files import append_new
+from ..sources import fixtures
 from ..sources.fixtures import run_sql
 from .stats import rounded, tables
 from .stats_sql import with_stats
@@ -41,7 +42,8 @@ def clean_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trace = run_sql(spark, TRACE.replace('"', "`"), tables(spark, sf_dir, "telemetry"))
+    uneven = run_sql(spark, TRACE.replace('"', "`"), {"telemetry": fixtures.shapes(spark)})
+    trace = fixtures.traces(tables(spark, sf_dir, "laps")["laps"], uneven, "i")
     return cleaning.resample(trace, {"Speed": "speed", "Throttle": "throttle", "nGear": "gear"})
 
 
