@@ -4,6 +4,7 @@ import shutil
 import threading
 from urllib.parse import unquote
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,11 @@ def test_corner_sums_add_up(spark):
     rows = spark.createDataFrame([("V", "A", 1, 100.0), ("V", "A", 1, 110.0), ("H", "A", 1, 90.0)], "driver string, circuit string, corner_number int, speed double")
     parts = S.corner_sums(rows.where("speed > 95")).unionByName(S.corner_sums(rows.where("speed <= 95")))
     assert sorted(map(tuple, S.corner_means(parts).select("driver", "avg_min_speed", "field").collect())) == [("H", 90.0, 97.5), ("V", 105.0, 97.5)]
+
+
+def test_halves_are_rounded_as_sql_rounds_them(spark):
+    values = [0.5200695, 1.0000005, 0.0078125, -0.5200695, -0.0078125, 2.5, 80.1234565, 0.1234565]
+    rows = spark.createDataFrame(list(enumerate(values)), "k int, v double")
+    got = {r["key"]: r["facts"] for r in incremental.together({"x": rows}, {"x": ["k"]}).collect()}
+    con = duckdb.connect()
+    assert got == {str(i): str(con.execute(f"SELECT CAST(CAST(round({v}::DOUBLE, 6) AS DECIMAL(18, 6)) AS VARCHAR)").fetchone()[0]) for i, v in enumerate(values)}
