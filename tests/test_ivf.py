@@ -39,3 +39,15 @@ def test_small_and_empty(spark, tmp_path):
     index.upsert(frame(spark, [(2, [0.6, 0.8])]))
     assert pairs(index.search(frame(spark, [(1, [1.0, 0.0]), (9, [0.0, 1.0])]), 5)) == [(1, 2, 1), (9, 1, 2), (9, 2, 1)]
     assert index.search(frame(spark, []), 5).collect() == []
+
+
+def test_neighbours_of_odd_vectors(spark):
+    """Zero vectors, none, other widths, ties and repeated blocks; products are of matrices, not of pairs joined."""
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, 0.0, 0.0]), (6, [0.0, 1.0]), (7, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for limit in (knn.BLOCK_BYTES, 100):
+        found = knn.nearest(df, df.where("vec_id IN (0, 3)"), 4, parts=3, block_bytes=limit)
+        assert "NestedLoop" not in found._jdf.queryExecution().toString()
+        got = {(r["query_id"], r["place"]): (r["id"], r["similarity"]) for r in found.collect()}
+        assert [got[0, i] for i in range(1, 5)] == [(1, 1.0), (2, 1.0), (6, 0.0), (7, -1.0)]
+        assert [got[3, i] for i in range(1, 5)] == [(0, None), (1, None), (2, None), (4, None)]
