@@ -66,8 +66,12 @@ def drivers(text: Column) -> Column:
     return F.array_distinct(F.concat(known, named))
 
 
+def _alias_in(low: Column, aliases: list[tuple[str, str]]) -> Column:
+    return F.coalesce(*(F.when(low.contains(alias), F.lit(name)) for alias, name in aliases))
+
+
 def _first_alias(text: Column, aliases: list[tuple[str, str]]) -> Column:
-    return let(F.lower(text), lambda low: F.coalesce(*(F.when(low.contains(alias), F.lit(name)) for alias, name in aliases)))
+    return let(F.lower(text), lambda low: _alias_in(low, aliases))
 
 
 def circuit(text: Column) -> Column:
@@ -80,6 +84,11 @@ def corpus_circuit(text: Column) -> Column:
     return _first_alias(text, K.corpus_aliases())
 
 
+def corpus_circuit_of(low: Column) -> Column:
+    """corpus_circuit() of a column of texts in lower case: compiled, where a text bound by let() is interpreted."""
+    return _alias_in(low, K.corpus_aliases())
+
+
 def stored_circuit(name: Column) -> Column:
     pairs = [F.lit(x) for pair in K.STORED_NAMES.items() for x in pair]
     return F.coalesce(F.element_at(F.create_map(*pairs), name), name)

@@ -69,7 +69,7 @@ def split_of(circuit: Column) -> Column:
 
 def tagged(examples: DataFrame, text: str) -> DataFrame:
     """examples with circuit (null if none is named) and split."""
-    out = examples.withColumn("circuit", X.corpus_circuit(F.col(text)))
+    out = examples.withColumn("_low", F.lower(F.col(text))).withColumn("circuit", X.corpus_circuit_of(F.col("_low"))).drop("_low")
     return out.withColumn("split", split_of(F.col("circuit")))
 
 

@@ -83,6 +83,14 @@ def test_store_builds_once_and_buckets(spark, tmp_path):
     assert "Exchange hashpartitioning" not in plan.split("== Physical Plan ==")[1]
 
 
+def test_store_reads_a_known_table_without_a_job(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", {"x": lambda s: spark.range(400)}, 600_000)
+    assert store["x"].count() == 400 and len(list((tmp_path / "s" / "x").glob("*.parquet"))) == store.files > 1
+    spark.sparkContext.setJobGroup("known", "reads of a known table")
+    assert store["x"].dtypes == [("id", "bigint")]
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("known")
+
+
 def test_laps_of_other_seasons_are_not_read(spark, tmp_path):
     laps = spark.createDataFrame([(s, f"{s}|A|Q", "VER", 1, 80.0, 25.0, 30.0, 25.0, 1) for s in (2023, 2024)], "season int, session_id string, driver string, lap_number int, lap_time double, sector1 double, sector2 double, sector3 double, is_valid int")
     laps.write.partitionBy("season").parquet(f"{tmp_path}/laps")

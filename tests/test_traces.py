@@ -73,6 +73,38 @@ def test_samples_and_laps_are_not_shuffled(spark, monkeypatch):
     assert not any("lap_id" in x for x in shuffled_by(S.corner_matches(traced, laps, t("sessions"), t("corners"))))
 
 
+def test_corner_sums_are_made_without_a_row_for_each_match(spark):
+    t = stats.drawn(stats.store(spark, SF))
+    given = t("telemetry"), t("laps"), t("sessions"), t("corners")
+    want = {r[:3]: r[3:] for r in S.corner_sums(S.corner_matches(*given)).collect()}
+    sums = S.matched_sums(*given)
+    got = {r[:3]: r[3:] for r in sums.collect()}
+    assert got.keys() == want.keys() and got
+    assert all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0]) for k in want)
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(x" not in plan and "lambdafunction" not in plan.split("MapInArrow")[1].split("Aggregate")[0]
+
+
+def test_nearest_corner_of_maps_out_of_place(spark):
+    """Corners that aren't numbered by distance, equally far ones, unknown places, and maps of several sizes."""
+    rng, rows, want = random.Random(5), [], set()
+    for lap in range(50):
+        place = [rng.choice([None, float("nan"), 50.0 * rng.randrange(12)]) for _ in range(lap % 6)]
+        speed = [float(rng.randrange(60, 300)) for _ in range(14)]
+        rows.append((f"l{lap}", [50.0 * i for i in range(14)], speed, place, list(range(1, len(place) + 1)), [60.0] * len(place)))
+        slow, found = sorted(speed)[7] * 0.2 + sorted(speed)[8] * 0.8, {}
+        for i in range(1, 13):
+            if speed[i - 1] >= speed[i] < speed[i + 1] and speed[i] <= slow:
+                near = [(abs(50.0 * i - p), k) for k, p in enumerate(place, 1) if p is not None and p == p]
+                if near and min(near)[0] <= 60:
+                    found.setdefault(min(near)[1], []).append(speed[i])
+        want |= {(f"l{lap}", k, min(v)) for k, v in found.items()}
+    held = spark.createDataFrame(rows, "lap_id string, distance array<double>, speed array<double>, place array<double>, number array<int>, reach array<double>")
+    assert {tuple(r) for r in traces.slowest_at_corners(held, "lap_id").collect()} == want and want
+    got = {(r["lap_id"], r["corner_number"], r["total"]) for r in traces.sums_at_corners(held, "lap_id").collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("laps", [0, 600_000, 36_000_000, 216_000_000])
 def test_buckets_grow_with_the_table(laps):
     assert laps / buckets_for(laps, 12) < 2 * BUCKET_LAPS[1]
