@@ -121,7 +121,9 @@ def assemble(sources: dict[str, DataFrame]) -> DataFrame:
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    kept = first_wins(every, "question", ["_place", "answer"])
+    # by a fixed number: all cores share in what follows, where AQE would merge the pieces into a few long tasks
+    dealt = every.repartition(int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")), "question")
+    kept = first_wins(dealt, "question", ["_place", "answer"])
     told = tagged(kept.withColumn("_text", F.concat_ws(" ", "question", "answer")), "_text")
     return told.select("question", "answer", "source", "circuit", "split")
 

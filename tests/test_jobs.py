@@ -203,3 +203,29 @@ def test_paced_calls():
         with pytest.raises(TooFast) as e:
             paced("p")
         assert e.value.for_today
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_draws_come_before_texts(spark):
+    from stintline.plans import templates
+
+    for name in ("m3_race_moments", "e20_lap_query_from_real_laps", "m2e_driver_comparison"):
+        plan = plan_of(templates.template(spark, "/root/testdata/sf0.001", name).select("question"))
+        below = plan[plan.index("Sort [") :]
+        assert "md5" not in below.splitlines()[0] and "md5" in below  # the key is computed once a row, not at each comparison
+        assert " AS question" not in below
+
+
+def test_stay_out_meets_its_draws(spark):
+    from stintline.plans import templates
+
+    assert "Window" not in plan_of(templates.template(spark, "/root/testdata/sf0.001", "stay_out"))  # no next lap is found for all laps
+
+
+def test_assembled_corpus_is_dealt_to_all_cores(spark):
+    rows = spark.range(3).select(F.concat(F.lit("At Monaco, "), "id").alias("question"), F.lit("Yes").alias("answer"))
+    found = corpus.assemble({"a": rows, "b": rows})
+    assert "RepartitionByExpression [question" in plan_of(found) and {(r["source"], r["circuit"], r["split"]) for r in found.collect()} == {("a", "Monaco", "test")}
