@@ -96,3 +96,23 @@ def test_quali_race_bounds(spark, sessions, gap, known):
 def test_rejects_name_the_first_reason(spark):
     df = spark.createDataFrame([(1, None, 5.0), (2, 9.0, 5.0), (3, 1.0, 50.0), (4, 1.0, 5.0)], "id int, a double, b double")
     assert {(r["id"], r["reason"]) for r in S.rejects(df, {"a": (0, 2), "b": (0, 9)}).collect()} == {(1, "a missing"), (2, "a out of bounds"), (3, "b out of bounds")}
+
+
+def test_tyre_stats_reads_laps_twice(spark, sessions):
+    laps = lap(spark, tyre_rows(0.05, 14)).withColumn("track_temp", 30 + F.col("lap_number") % 5 + F.lit(0.0))
+    plan = S.tyre_stats(laps, sessions)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("stddev_pop(" in line and "Window" in line for line in plan.splitlines()) == 2
+
+
+def test_warmth_is_the_slope_of_what_age_leaves(spark):
+    rows = [("a", 80 + 0.05 * i + 0.3 * (i * 7 % 5), float(i), 20.0 + i * 7 % 5) for i in range(12)]
+    rows += [("a", 200.0, 3.0, None), ("a", 300.0, 4.0, float("nan"))]  # of unknown warmth
+    rows += [("b", 80.0 + i, 5.0, 20.0 + i) for i in range(6)] + [("c", 80.0 + i, float(i), 20.0 + i) for i in range(5)] + [("d", 80.0 + i, float(i), 20.0) for i in range(6)]
+    laps = spark.createDataFrame(rows, "g string, lap_time double, age double, track_temp double")
+    known = laps.where("track_temp IS NOT NULL AND NOT isnan(track_temp)")
+    per_age = known.groupBy("g").agg(F.coalesce(F.regr_slope("lap_time", "age"), F.lit(0.0)).alias("per_age"))
+    left = known.join(per_age, "g").withColumn("left", F.col("lap_time") - F.col("per_age") * F.col("age"))
+    told = {r["g"]: r["s"] for r in left.groupBy("g").agg(F.regr_slope("left", "track_temp").alias("s")).collect()}
+    found = {r["g"]: r["w"] for r in laps.groupBy("g").agg(S.warmth().alias("w")).collect()}
+    assert found["a"] == pytest.approx(told["a"]) and found["b"] == pytest.approx(1.0)  # one age takes nothing off
+    assert found["c"] is None and found["d"] is None  # too few laps; one temperature
