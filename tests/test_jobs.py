@@ -219,6 +219,14 @@ def test_draws_come_before_texts(spark):
         assert " AS question" not in below
 
 
+@pytest.mark.parametrize("name", ["m2b_undercut_strategy", "m2c_driver_characteristics", "m2e_driver_comparison", "m3_race_moments"])
+def test_draws_come_before_what_joins_one_row(spark, name):
+    from stintline.plans import templates
+
+    plan = plan_of(templates.template(spark, "/root/testdata/sf0.001", name))
+    assert plan.count("Join LeftOuter") == 2 and "Join LeftOuter" not in plan[plan.index("Sort [") :]
+
+
 def test_stay_out_meets_its_draws(spark):
     from stintline.plans import templates
 
