@@ -2,9 +2,10 @@
 
 The table is hashed into buckets by key, and each file of a bucket is named in the published version with the
 range of its keys' hashes and a filter of them. A batch is hashed the same way; of the stored files it only opens
-those whose bucket and filter may hold one of its keys, so that what a batch reads does not grow with the table
-once that is larger. A version is published last: a batch that fails before leaves nothing behind, and one that
-is run again finds its keys and adds nothing.
+those whose bucket and filter may hold one of its keys, so that what a small batch reads does not grow with the
+table. A bucket of which a batch has many rows is opened without asking its filters, which would let some of them
+through anyway. Rows and stored keys are dealt by bucket once, and meet there. A version is published last: a
+batch that fails before leaves nothing behind, and one that is run again finds its keys and adds nothing.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ BUCKETS = 64
 FILTER_BITS, FILTER_HASHES = 10, 7
 #: Words of 32 bits that a filter has at most; fuller filters let more through, never less.
 MOST_WORDS = 1 << 16
+#: Rows that a batch may have of a bucket to be looked up in its filters.
+PROBED = 1000
 BEFORE_COMMIT = "before commit"
 
 
@@ -44,15 +47,18 @@ def _bit(h: Column, i: Column, bits: Column) -> Column:
 def filters(rows: DataFrame) -> DataFrame:
     """_bucket, batch, n, low, high, bits and words of each bucket of hashed rows: its filter, 32 bits a word.
 
-    Bits are found and put together by words, so that no task holds a bucket's keys.
+    Bits are found and put together by words, so that no task holds a bucket's keys. All words are there, in their
+    order, those without a bit, too.
     """
     sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), F.min("_hash").alias("low"), F.max("_hash").alias("high"))
     sizes = sizes.withColumn("bits", F.least(F.lit(32 * MOST_WORDS), 32 * F.ceil(F.col("n") * FILTER_BITS / 32)).cast("int"))
     set_bits = rows.join(F.broadcast(sizes.select("_bucket", "bits")), "_bucket")  # BUCKETS rows
     set_bits = set_bits.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(FILTER_HASHES)))).withColumn("_at", _bit(F.col("_hash"), F.col("_i"), F.col("bits")))
-    words = set_bits.groupBy("_bucket", F.floor(F.col("_at") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, _at % 32)")).alias("v"))
-    maps = words.groupBy("_bucket").agg(F.map_from_entries(F.collect_list(F.struct("w", "v"))).alias("words"))  # MOST_WORDS at most
-    return sizes.join(maps, "_bucket")
+    set_bits = set_bits.select("_bucket", F.floor(F.col("_at") / 32).cast("int").alias("w"), F.expr("shiftleft(1L, _at % 32)").alias("v"))
+    blank = sizes.select("_bucket", F.explode(F.sequence(F.lit(0), (F.col("bits") / 32 - 1).cast("int"))).alias("w"), F.lit(0).cast("long").alias("v"))
+    words = set_bits.unionByName(blank).groupBy("_bucket", "w").agg(F.bit_or("v").alias("v"))
+    lists = words.groupBy("_bucket").agg(F.array_sort(F.collect_list(F.struct("w", "v"))).alias("words"))  # MOST_WORDS at most
+    return sizes.join(lists.select("_bucket", F.col("words.v").alias("words")), "_bucket")
 
 
 def may_hold(h: Column, words: Column, bits: Column) -> Column:
@@ -60,8 +66,7 @@ def may_hold(h: Column, words: Column, bits: Column) -> Column:
     out = F.lit(True)
     for i in range(1, FILTER_HASHES + 1):
         at = _bit(h, F.lit(i), bits)
-        word = F.coalesce(F.try_element_at(words, F.floor(at / 32).cast("int")), F.lit(0).cast("long"))
-        out = out & (F.getbit(word, at % 32) == 1)
+        out = out & (F.getbit(F.get(words, F.floor(at / 32).cast("int")), at % 32) == 1)
     return out
 
 
@@ -80,16 +85,21 @@ def table(spark: SparkSession, target: str, schema: T.StructType, version: Versi
 
 def stored_keys(spark: SparkSession, versions: Versions, version: Version, fresh: DataFrame, schema: T.StructType, key: list[str]) -> tuple[DataFrame, list[str]]:
     """Keys of the stored files that may hold a key of fresh (hashed), and these files' folders: BUCKETS for each
-    batch at most are looked at, by their filters alone."""
+    batch at most are looked at, by their filters alone if fresh has no more than PROBED rows of the bucket."""
     named = version.folders.get("filters", [])
     empty = spark.createDataFrame([], T.StructType([schema[k] for k in key]))
     if not named:
         return empty, []
-    keys = fresh.select("_hash", "_bucket").distinct()
     held = spark.read.parquet(*named)
-    inside = (F.col("_hash") >= F.col("low")) & (F.col("_hash") <= F.col("high"))
-    hit = keys.join(F.broadcast(held) if len(named) <= 16 else held, "_bucket").where(inside & may_hold(F.col("_hash"), F.col("words"), F.col("bits")))
-    folders = [r["folder"] for r in hit.select("folder").distinct().collect()]  # BUCKETS for each batch at most
+    sizes = {r["_bucket"]: r["n"] for r in fresh.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # BUCKETS at most
+    few = [b for b, n in sizes.items() if n <= PROBED]
+    hit = held.where(F.col("_bucket").isin([b for b in sizes if b not in few])).select("folder")
+    if few:
+        keys = fresh.where(F.col("_bucket").isin(few)).select("_hash", "_bucket").distinct()  # PROBED for each bucket at most
+        inside = (F.col("_hash") >= F.col("low")) & (F.col("_hash") <= F.col("high"))
+        found = held.join(F.broadcast(keys), "_bucket").where(inside & may_hold(F.col("_hash"), F.col("words"), F.col("bits")))
+        hit = hit.unionByName(found.select("folder"))
+    folders = [r["folder"] for r in hit.distinct().collect()]  # BUCKETS for each batch at most
     return _files(spark, folders, empty.schema), folders
 
 
@@ -100,21 +110,18 @@ def append(spark: SparkSession, target: str, batch: DataFrame, key: list[str], f
     """
     versions = Versions(spark, target)
     base = versions.current()
-    schema = batch.schema
-    fresh = _hashed(batch.dropDuplicates(key), key)
-    keys, _ = stored_keys(spark, versions, base, fresh, schema, key)
-    same = [fresh[k].eqNullSafe(keys[k]) for k in key]
-    where = same[0]
-    for s in same[1:]:
-        where = where & s
-    new = fresh.join(keys, where, "left_anti")
+    fresh = _hashed(batch, key)
+    keys, _ = stored_keys(spark, versions, base, fresh, batch.schema, key)
+    rows = fresh.withColumn("_held", F.lit(False)).unionByName(_hashed(keys, key).withColumn("_held", F.lit(True)), allowMissingColumns=True)
+    kept = [F.first(c).alias(c) for c in fresh.columns if c not in (*key, "_bucket")]
+    one = rows.repartition("_bucket").groupBy("_bucket", *key).agg(*kept, F.max("_held").alias("_held"))
     path = versions.new_folder("rows")
-    if new.isEmpty():
+    one.where("NOT _held").select(fresh.columns).write.partitionBy("_bucket").parquet(path)
+    at = spark.read.schema("_hash LONG, _bucket INT").parquet(path)
+    if at.isEmpty():
         return base
-    new.repartition("_bucket").write.partitionBy("_bucket").parquet(path)
-    at = spark.read.parquet(path).select("_hash", "_bucket")
     marks = versions.new_folder("filters")
-    filters(at).withColumn("folder", F.concat(F.lit(f"{path}/_bucket="), F.col("_bucket"))).coalesce(1).write.parquet(marks)
+    filters(at).withColumn("folder", F.concat(F.lit(f"{path}/_bucket="), F.col("_bucket"))).write.parquet(marks)
     if fail == BEFORE_COMMIT:
         raise Broken(target)
     return versions.commit(base, {"rows": [*base.folders.get("rows", []), path], "filters": [*base.folders.get("filters", []), marks]})

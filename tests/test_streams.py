@@ -88,3 +88,30 @@ def test_a_batch_opens_few_files_as_the_table_grows(spark, tmp_path):
         known = ingest._hashed(spark.range(5, 6), ["id"])
         assert {r["id"] for r in ingest.stored_keys(spark, versions, versions.current(), known, spark.range(1).schema, ["id"])[0].collect()} >= {5}
     assert max(opened) <= 6 and sum(len(list((tmp_path / "t/data").glob("*/rows/_bucket=*"))) for _ in "x") > 200
+
+
+def test_a_large_batch_asks_no_filter(spark, tmp_path, monkeypatch):
+    target = f"file://{tmp_path}/t"
+    ingest.append(spark, target, spark.range(3000), ["id"])
+    monkeypatch.setattr(ingest, "PROBED", 10, raising=False)
+    monkeypatch.setattr(ingest, "may_hold", lambda *a: 1 / 0)
+    ingest.append(spark, target, spark.range(2000, 6000).unionByName(spark.range(10)), ["id"])
+    assert sorted(r["id"] for r in ingest.table(spark, target, spark.range(1).schema).collect()) == list(range(6000))
+
+
+def test_filters_are_words_by_place(spark):
+    for n in (1, 5000):  # in a filter of few keys some words have no bit
+        rows = ingest._hashed(spark.range(n), ["id"]).withColumn("_bucket", F.lit(3))
+        held = ingest.filters(rows)
+        assert dict(held.dtypes)["words"] == "array<bigint>" and held.where("size(words) = bits / 32").count() == 1
+        asked = ingest._hashed(spark.range(20 * n), ["id"]).crossJoin(held).where(ingest.may_hold(F.col("_hash"), F.col("words"), F.col("bits")))
+        found = [r["id"] for r in asked.select("id").collect()]
+        assert set(range(n)) <= set(found) and len(found) <= n + 19 * n * 0.03 + 2
+
+
+def test_zeros_and_nulls_of_keys_are_one(spark, tmp_path):
+    target, schema = f"file://{tmp_path}/t", "k double, p string, v string"
+    rows = lambda *r: spark.createDataFrame(r, schema)
+    ingest.append(spark, target, rows((0.0, None, "a"), (-0.0, None, "b"), (float("nan"), "x", "c"), (float("nan"), "x", None)), ["k", "p"])
+    ingest.append(spark, target, rows((-0.0, None, "d"), (float("nan"), "x", "e"), (None, None, None)), ["k", "p"])
+    assert ingest.table(spark, target, rows().schema).count() == 3
