@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stintline.operators import build, incremental
 from stintline.operators import statistics as S
+from stintline.operators import traces
 from stintline.plans.stats import KEYS, rounded
 from stintline.sources.versions import Conflict, Versions
 
@@ -66,6 +67,23 @@ def test_updates_equal_a_rebuild(spark, tmp_path):
     assert shown(incremental.finals(spark, root, corners)) == want and {r[0] for r in want} == set(build.STATISTICS)
 
 
+def test_many_sessions_are_read_by_season(spark, tmp_path, monkeypatch):
+    read, sessions, corners = data(spark, tmp_path)
+    t, root = read(), f"file://{tmp_path}/states"
+    laps = t["laps"].join(t["weather"].select(F.col("lap_id").alias("id"), "track_temp"), "id").join(sessions.select(F.col("id").alias("session_id"), "season"), "session_id")
+    traced = traces.packed(t["telemetry"]).join(laps.withColumnRenamed("id", "lap_id"), "lap_id")
+    for name, df in (("laps", laps), ("traces", traced)):
+        df.write.partitionBy("season").parquet(f"file://{tmp_path}/by/{name}")
+    laps, traced = (spark.read.parquet(f"file://{tmp_path}/by/{name}") for name in ("laps", "traces"))
+    monkeypatch.setattr(incremental, "NAMED", 0)  # sessions join
+    assert incremental.update(spark, root, laps, traced, sessions.where("season = 2023"), corners).number == 1
+    for name in ("laps", "traces"):  # listed, and not to be opened again
+        shutil.move(tmp_path / f"by/{name}/season=2023", tmp_path / f"{name}-2023")
+    assert incremental.update(spark, root, laps, traced, sessions, corners).number == 2
+    want = shown(rebuilt(t, sessions, corners))
+    assert shown(incremental.finals(spark, root, corners)) == want and {r[0] for r in want} == set(build.STATISTICS)
+
+
 def test_another_map_finds_its_corners_anew(spark, tmp_path):
     read, sessions, corners = data(spark, tmp_path)
     root = f"file://{tmp_path}/states"
